@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,9 @@ from labelloom.functions.columns import double_array
 MAX_MODEL_CELLS = 64_000_000  # 512 MB of doubles: the largest weight matrix sent to every task
 _CHUNK_CELLS = 4_000_000
 
+# Task functions travel with the job: executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 @dataclass(frozen=True)
 class LinearModel:

@@ -7,12 +7,14 @@ one L-BFGS state per classifier. A pass costs one scan of the blocks, whatever t
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,9 @@ DIRECT_PARTIALS = 64  # more partial sums than this are first added up on the ex
 _BLOCK = "n int, starts binary, idx binary, val binary, y binary, fold binary"
 _PARTIAL = "sums binary"
 
+# Task functions travel with the job: executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def pack(encoded: DataFrame, n_labels: int, n_features: int, key: str = "prompt") -> DataFrame:
     """Blocks of encoded rows (indices, values, y) with a calibration fold from the hash of ``key``."""
