@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 
 MAX_LABELS = 20_000
 SPREAD_BELOW_BYTES = 256 * 1024 * 1024
@@ -20,6 +21,17 @@ def bounded_rows(df: DataFrame, bound: int, what: str) -> list[Row]:
     return rows
 
 
+def small_side(df: DataFrame, bound: int = MAX_LABELS) -> DataFrame:
+    """A dimension as a broadcast join side if it really has at most ``bound`` rows.
+
+    A longer table is returned as it is and Spark chooses the join from its own statistics.
+    """
+    rows = df.limit(bound + 1).collect()
+    if len(rows) > bound:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan (file sizes for a plain scan)."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -96,10 +96,11 @@ def known_only(df: DataFrame, catalog: DataFrame, column: str = "label") -> Data
 def unseen_only(new: DataFrame, existing: DataFrame, key: str = "prompt", order: str = "seq") -> DataFrame:
     """New rows whose text does not exist yet; of several equal texts the first by ``order``.
 
-    Equal new texts collapse before the join (map-side too), so copies never meet in one task.
+    Equal texts collapse on both sides before the join (map-side too), so copies never meet in one
+    task, and the join runs on the partitioning of the two aggregations.
     """
     others = [c for c in new.columns if c not in (key, order)]
     first = new.groupBy(key).agg(
         F.min(order).alias(order), *[F.min_by(c, order).alias(c) for c in others]
     )
-    return first.join(existing.select(key), key, "left_anti").select(*new.columns)
+    return first.join(existing.select(key).distinct(), key, "left_anti").select(*new.columns)

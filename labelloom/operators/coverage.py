@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labelloom.functions.columns import let, str_array
+from labelloom.functions.sizing import small_side
 from labelloom.session import cut_lineage
 
 # Phrasing families. {desc}, {desc_lc}, {noun} and {noun_singular} are slots.
@@ -54,6 +55,7 @@ GENERIC_WORDS = (
     "bulk listing", "create", "update", "delete",
 )
 ROUNDS = 6  # passes over a template family, each with another noun variant
+MAX_CANDIDATES = 200_000  # texts sent to every task when looking for existing ones
 MARGIN = 10  # extra texts rendered per label to survive de-duplication
 
 
@@ -158,6 +160,16 @@ def render(thin: DataFrame) -> DataFrame:
     return first.withColumn("_r", rank).filter(F.col("_r") <= F.col("need") + MARGIN).drop("_r")
 
 
+def already_present(existing: DataFrame, candidates: DataFrame, text: str = "prompt") -> DataFrame:
+    """The candidate texts that a corpus of any size already holds.
+
+    The corpus is filtered where it lies: the rendered candidates, a few dozen per label, are the
+    broadcast side. Only a set beyond the bound makes Spark shuffle the corpus.
+    """
+    wanted = small_side(candidates.select("text").distinct(), MAX_CANDIDATES)
+    return existing.select(F.col(text).alias("text")).join(wanted, "text", "left_semi").distinct()
+
+
 def pick_new(candidates: DataFrame, existing: DataFrame, text: str = "prompt") -> DataFrame:
     """At most ``need`` unseen texts per label; an earlier label takes a text before a later one.
 
@@ -166,11 +178,8 @@ def pick_new(candidates: DataFrame, existing: DataFrame, text: str = "prompt") -
     texts taken by earlier labels removed; the lowest label is right at once, each pass settles the
     next in every chain of collisions, and a pass without change is the answer.
     """
-    fresh = cut_lineage(
-        candidates.join(existing.select(F.col(text).alias("text")), "text", "left_anti").select(
-            "pos", "label", "need", "attempt", "text"
-        )
-    )
+    rendered = cut_lineage(candidates.select("pos", "label", "need", "attempt", "text"))
+    fresh = cut_lineage(rendered.join(already_present(existing, rendered, text), "text", "left_anti").select(*rendered.columns))
     order = W.partitionBy("pos", "label").orderBy("attempt")
 
     def take(free: DataFrame) -> DataFrame:
@@ -195,5 +204,5 @@ def merge_corpus(existing: DataFrame, new: DataFrame) -> DataFrame:
     """Existing prompt records plus the new texts as records of their label; existing ones win."""
     records = new.select(F.col("text").alias("prompt"), F.array("label").alias("relevant_tools"))
     return existing.select("prompt", "relevant_tools").unionByName(
-        records.join(existing.select("prompt"), "prompt", "left_anti")
+        records.join(already_present(existing, new).withColumnRenamed("text", "prompt"), "prompt", "left_anti")
     )

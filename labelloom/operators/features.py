@@ -185,8 +185,9 @@ def tfidf_by_join(df: DataFrame, vocabulary: DataFrame, key: str, text: str = "p
                   ngram_range: tuple[int, int] = (1, 2)) -> DataFrame:
     """(key, term, value) TF-IDF against a vocabulary table of any size.
 
-    For vocabularies too large to ship to every task: the join is left to Spark, and the documents
-    are partitioned by key once, which serves the counting and the normalising alike.
+    For vocabularies too large to ship to every task: the join is left to Spark, with AQE splitting
+    the partitions of very common terms. Documents are partitioned by key first, so counting needs no
+    further shuffle, nor does normalising when the vocabulary turns out small.
     """
     grams = df.repartition(F.col(key)).select(key, F.explode_outer(grams_of(F.col(text), ngram_range)).alias("term"))
     counted = grams.filter(F.col("term").isNotNull()).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.functions.columns import double_array
+from labelloom.functions.sizing import small_side
 
 MAX_MODEL_CELLS = 64_000_000  # 512 MB of doubles: the largest weight matrix sent to every task
 _CHUNK_CELLS = 4_000_000
@@ -129,7 +130,7 @@ def predict(scores: Column, thresholds: Sequence[float]) -> Column:
 
 def with_thresholds(scores: DataFrame, thresholds: DataFrame, default: float = 0.5) -> DataFrame:
     """Long scores with the threshold of their label, ``default`` where none is set."""
-    return scores.join(thresholds.select("label", "threshold"), "label", "left").withColumn(
+    return scores.join(small_side(thresholds.select("label", "threshold")), "label", "left").withColumn(
         "threshold", F.coalesce("threshold", F.lit(float(default)))
     )
 

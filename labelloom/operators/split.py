@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labelloom.functions.columns import hash_bucket
+from labelloom.functions.sizing import small_side
 
 CELLS = 4096
 
@@ -64,7 +65,9 @@ def exact_split(
     def part(rank: Column) -> Column:
         return F.when(rank < F.col("_t"), "test").when(rank < F.col("_v"), "val").otherwise("train")
 
-    joined = hashed.join(cells, [*group, "_cell"])
+    # Without strata the histogram has at most CELLS rows; with strata their number decides.
+    side = F.broadcast(cells) if stratum is None else small_side(cells, 64 * CELLS)
+    joined = hashed.join(side, [*group, "_cell"])
     sure = joined.filter(~F.col("_cut")).withColumn("split", part(F.col("_before")))
     inner = F.row_number().over(W.partitionBy(*group, "_cell").orderBy("_h", key))
     edge = joined.filter("_cut").withColumn("split", part(F.col("_before") + inner - 1))

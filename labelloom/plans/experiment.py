@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelloom.functions.sizing import spread
 from labelloom.operators import features, metrics, quality, scoring, split, thresholds, training
 from labelloom.operators.features import FeatureSpace
 from labelloom.operators.scoring import LinearModel
@@ -32,17 +33,19 @@ def prepare(df: DataFrame, keyword_groups: Sequence[tuple[str, Sequence[str]]],
             ngram_range: tuple[int, int] = (1, 2)) -> tuple[DataFrame, FeatureSpace]:
     """Split, fit the feature space on the training part only, encode everything once.
 
-    The encoded rows are written to the durable folder, one partition folder per part: every later
-    pass prunes to its part and reads finished features instead of redoing the text work.
+    Both the split rows and the encoded rows are written to the durable folder, one partition folder
+    per part: cleaning is not repeated for the second scan, every later pass prunes to its part and
+    reads finished features instead of redoing the text work.
     """
     spark = df.sparkSession
-    parts = split.with_split(df, seed, test, validation)
+    rows_path, path = work_path(spark, "parts"), work_path(spark, "encoded")
+    split.with_split(df, seed, test, validation).write.partitionBy("split").parquet(rows_path)
+    parts = spark.read.parquet(rows_path)
     vocabulary = features.fit_vocabulary(
-        parts.filter(F.col("split") == "train"), "prompt", max_features, min_df, ngram_range
+        spread(parts.filter(F.col("split") == "train")), "prompt", max_features, min_df, ngram_range
     )
     space = features.space_from_vocabulary(vocabulary, keyword_groups, ngram_range)
-    path = work_path(spark, "encoded")
-    features.encode(parts, space).withColumn("key", F.md5("prompt")).select(
+    features.encode(spread(parts), space).withColumn("key", F.md5("prompt")).select(
         "key", "split", "y", "indices", "values"
     ).write.partitionBy("split").parquet(path)
     return spark.read.parquet(path), space

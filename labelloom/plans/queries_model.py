@@ -145,7 +145,7 @@ TRAIN_GROUPS = [*GROUPS[:4], ("quality", FLAGSHIP[0][1]), ("toxic", FLAGSHIP[1][
 
 def training_rows(spark, sf):
     """(prompt, y): labelled documents with their language, quality and toxicity."""
-    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    docs = texts(spark, sf).join(table(spark, sf, "labels"), "doc_id")
     flags = [(F.col("lang") == l).cast("int") for l in LANGS] + [F.col("quality"), F.col("toxic")]
     return docs.select(F.col("text").alias("prompt"), F.array(*flags).alias("y"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelloom.functions import text as tx
-from labelloom.functions.sizing import MAX_LABELS, bounded_rows
+from labelloom.functions.sizing import MAX_LABELS, bounded_rows, small_side
 
 _ENTRY = "map<string,struct<description:string,category:string,use_when:string>>"
 _META = "struct<__meta__:struct<version:string>>"
@@ -48,7 +48,7 @@ def describe_labels(df: DataFrame, catalog: DataFrame, label: str = "label") ->
     side = catalog.select(
         F.col("label").alias(label), "description", "category", F.lit(True).alias("in_catalog")
     )
-    return df.join(side, label, "left").select(
+    return df.join(small_side(side), label, "left").select(
         *df.columns,
         F.coalesce("description", F.lit("")).alias("description"),
         F.coalesce("category", F.lit("unknown")).alias("category"),
@@ -105,5 +105,6 @@ def ordered_labels(catalog: DataFrame, bound: int = MAX_LABELS) -> list[str]:
 
 
 def catalog_frame(spark: SparkSession, labels: Sequence[str]) -> DataFrame:
-    """(pos, label) of a label list; small enough by construction for Spark's own broadcast check."""
-    return spark.createDataFrame([(i, l) for i, l in enumerate(labels)], "pos int, label string")
+    """(pos, label) of a label list, as a broadcast side while the list is within its bound."""
+    out = spark.createDataFrame(list(enumerate(labels)), "pos int, label string")
+    return F.broadcast(out) if len(labels) <= MAX_LABELS else out
