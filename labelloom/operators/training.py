@@ -16,17 +16,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labelloom.functions.columns import hash_bucket
-from labelloom.functions.sizing import bounded_rows
+from labelloom.functions.sizing import bounded_rows, small_side
 from labelloom.operators.scoring import LinearModel, sigmoid
 from labelloom.session import cut_lineage
 
 ALGORITHMS = ("logistic_regression", "linear_svm")
 FOLDS = 3
 BLOCK_CELLS = 2_000_000  # rows x features of one block when dense: bounds a task's memory
-GROUP_CELLS = 4_000_000  # features x classifiers optimised together: bounds the driver's memory
+GROUP_CELLS = 1_000_000  # features x classifiers optimised together: bounds the driver's memory
+HISTORY_CELLS = 30_000_000  # doubles kept per L-BFGS history array
+THIN_CLASS = 1000  # classes up to this size get exactly balanced calibration folds
 DIRECT_PARTIALS = 64  # more partial sums than this are first added up on the executors
 
 _BLOCK = "n int, starts binary, idx binary, val binary, y binary, fold binary"
@@ -36,19 +39,47 @@ _PARTIAL = "sums binary"
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def pack(encoded: DataFrame, n_labels: int, n_features: int, key: str = "prompt") -> DataFrame:
-    """Blocks of encoded rows (indices, values, y) with a calibration fold from the hash of ``key``."""
-    block_rows = max(16, BLOCK_CELLS // max(1, n_features))
-    rows = encoded.select(
-        "indices", "values", "y", hash_bucket(F.concat(F.lit("fold|"), F.col(key).cast("string")), FOLDS).alias("fold")
+def assign_folds(encoded: DataFrame, n_labels: int, key: str = "prompt") -> DataFrame:
+    """Adds ``fold ARRAY<INT>``, the calibration fold of the row for every label.
+
+    Folds are balanced within each class of each label. A hash does that for large classes; the
+    members of a thin class are ranked by hash and dealt out in turn, so three members always reach
+    three folds. Only thin classes are ranked, at most THIN_CLASS rows in one window partition.
+    """
+    base = hash_bucket(F.concat(F.lit("fold|"), F.col(key).cast("string")), FOLDS).cast("int")
+    rows = encoded.withColumn("_base", base)
+    members = encoded.select(F.col(key).alias("_key"), F.posexplode("y").alias("pos", "v"))
+    sizes = bounded_rows(members.groupBy("pos", "v").count(), 2 * n_labels, "classes")
+    thin = [r["pos"] * 2 + r["v"] for r in sizes if r["count"] <= THIN_CLASS]
+    if not thin:
+        return rows.withColumn("fold", F.array_repeat("_base", n_labels)).drop("_base")
+    code = (F.col("pos") * 2 + F.col("v")).alias("code")
+    order = W.partitionBy("code").orderBy(F.md5(F.col("_key").cast("string")), "_key")
+    dealt = (
+        members.select("_key", "pos", code)
+        .filter(F.col("code").isin(thin))
+        .distinct()
+        .withColumn("f", (F.row_number().over(order) - 1) % FOLDS)
+        .groupBy("_key")
+        .agg(F.map_from_entries(F.collect_list(F.struct("pos", "f"))).alias("_own"))
     )
+    joined = rows.join(small_side(dealt, THIN_CLASS * 100), F.col(key) == F.col("_key"), "left")
+    fold = F.transform(F.array_repeat("_base", n_labels), lambda b, i: F.coalesce(F.try_element_at("_own", i), b))
+    return joined.withColumn("fold", fold).drop("_base", "_key", "_own")
+
+
+def pack(rows: DataFrame, n_features: int) -> DataFrame:
+    """Blocks of encoded rows (indices, values, y and, for calibration, fold)."""
+    block_rows = max(16, BLOCK_CELLS // max(1, n_features))
+    has_fold = "fold" in rows.columns
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, block_rows):
                 part = batch.slice(at, block_rows)
-                idx, val, y, fold = (part.column(i) for i in range(4))
+                idx, val, y = (part.column(i) for i in range(3))
                 starts = idx.offsets.to_numpy().astype(np.int64)
+                fold = part.column(3).flatten().to_numpy().astype(np.uint8).tobytes() if has_fold else b""
                 yield pa.RecordBatch.from_pydict(
                     {
                         "n": pa.array([part.num_rows], pa.int32()),
@@ -56,19 +87,21 @@ def pack(encoded: DataFrame, n_labels: int, n_features: int, key: str = "prompt"
                         "idx": [idx.flatten().to_numpy().astype(np.int32).tobytes()],
                         "val": [val.flatten().to_numpy().astype(np.float64).tobytes()],
                         "y": [y.flatten().to_numpy().astype(np.uint8).tobytes()],
-                        "fold": [fold.to_numpy().astype(np.uint8).tobytes()],
+                        "fold": [fold],
                     }
                 )
 
-    return cut_lineage(rows.mapInArrow(blocks, _BLOCK)).persist()
+    columns = ["indices", "values", "y"] + (["fold"] if has_fold else [])
+    return cut_lineage(rows.select(*columns).mapInArrow(blocks, _BLOCK)).persist()
 
 
-def _rows_of(block: dict, n_features: int, n_labels: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _rows_of(block: dict, n_features: int, n_labels: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
     n = block["n"]
     starts = np.frombuffer(block["starts"], np.int64)
     x = np.zeros((n, n_features))
     x[np.repeat(np.arange(n), np.diff(starts)), np.frombuffer(block["idx"], np.int32)] = np.frombuffer(block["val"])
-    return x, np.frombuffer(block["y"], np.uint8).reshape(n, n_labels), np.frombuffer(block["fold"], np.uint8)
+    y = np.frombuffer(block["y"], np.uint8).reshape(n, n_labels)
+    return x, y, np.frombuffer(block["fold"], np.uint8).reshape(n, -1) if block["fold"] else None
 
 
 def _pass(blocks: DataFrame, shape: tuple[int, int], kernel: Callable, payload: dict, size: int) -> np.ndarray:
@@ -101,11 +134,12 @@ def _pass(blocks: DataFrame, shape: tuple[int, int], kernel: Callable, payload:
     return total
 
 
-def _loss_kernel(x: np.ndarray, y: np.ndarray, fold: np.ndarray, p: dict) -> np.ndarray:
+def _loss_kernel(x: np.ndarray, y: np.ndarray, fold: np.ndarray | None, p: dict) -> np.ndarray:
     """Losses, weight gradients and intercept gradients of the classifiers in the payload."""
     z = np.where(y[:, p["label"]] == 1, 1.0, -1.0)
     s = np.where(z > 0, p["w_pos"], p["w_neg"])
-    s = np.where(fold[:, None] == p["held_out"], 0.0, s)
+    if fold is not None:
+        s = np.where(fold[:, p["label"]] == p["held_out"], 0.0, s)
     m = z * (x @ p["theta"][:-1] + p["theta"][-1])
     if p["hinge"]:
         h = np.maximum(0.0, 1.0 - m)
@@ -118,7 +152,7 @@ def _loss_kernel(x: np.ndarray, y: np.ndarray, fold: np.ndarray, p: dict) -> np.
 def _platt_kernel(x: np.ndarray, y: np.ndarray, fold: np.ndarray, p: dict) -> np.ndarray:
     """Loss, gradient and Hessian sums of the sigmoid fits on held-out rows."""
     m = x @ p["theta"][:-1] + p["theta"][-1]
-    held = fold[:, None] == p["held_out"]
+    held = fold[:, p["label"]] == p["held_out"]
     t = np.where(y[:, p["label"]] == 1, p["t_pos"], p["t_neg"])
     f = p["a"] * m + p["b"]
     q = sigmoid(-f)
@@ -139,11 +173,12 @@ class Fit:
 
 
 def minimise(evaluate: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], rows: int, columns: int,
-             scale: np.ndarray, tol: float, max_passes: int, memory: int = 10) -> Fit:
+             scale: np.ndarray, tol: float, max_passes: int, memory: int | None = None) -> Fit:
     """Independent L-BFGS per column; every pass serves one trial point of every unfinished column.
 
     A column whose step was too long retries with a shorter one while the others move on.
     """
+    memory = memory or int(np.clip(HISTORY_CELLS // (rows * columns), 10, 60))
     theta = np.zeros((rows, columns))
     loss, grad = evaluate(theta, np.arange(columns))
     s_hist = np.zeros((memory, rows, columns))
@@ -195,13 +230,14 @@ def minimise(evaluate: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.n
     return Fit(theta, np.abs(grad).max(0) / scale, passes)
 
 
-def _counts(encoded: DataFrame, n_labels: int, key: str) -> np.ndarray:
-    """(label, fold, class) row counts."""
-    fold = hash_bucket(F.concat(F.lit("fold|"), F.col(key).cast("string")), FOLDS)
+def _counts(rows: DataFrame, n_labels: int) -> np.ndarray:
+    """(label, fold, class) row counts; without folds everything counts as fold 0."""
+    fold = F.col("fold") if "fold" in rows.columns else F.array_repeat(F.lit(0), n_labels)
+    cells = F.arrays_zip(F.col("y").alias("y"), fold.alias("f"))
     grouped = (
-        encoded.select(fold.alias("fold"), F.posexplode("y").alias("pos", "v"))
-        .groupBy("pos", "fold")
-        .agg(F.sum("v").alias("p"), F.count(F.lit(1)).alias("n"))
+        rows.select(F.posexplode(cells).alias("pos", "c"))
+        .groupBy("pos", F.col("c.f").alias("fold"))
+        .agg(F.sum("c.y").alias("p"), F.count(F.lit(1)).alias("n"))
     )
     out = np.zeros((n_labels, FOLDS, 2))
     for r in bounded_rows(grouped, n_labels * FOLDS, "class counts"):
@@ -273,7 +309,8 @@ def fit_models(
         raise ValueError(f"Unknown algorithm: {algorithm}")
     hinge = algorithm == "linear_svm"
     n_labels = len(labels)
-    counts = _counts(encoded, n_labels, key)
+    rows = assign_folds(encoded, n_labels, key) if hinge else encoded
+    counts = _counts(rows, n_labels)
     total = counts.sum(1)
     label, held = [], []
     for j in range(n_labels):
@@ -294,7 +331,7 @@ def fit_models(
     else:
         w_pos = w_neg = np.ones(len(label))
     shape = (n_features, n_labels)
-    blocks = pack(encoded, n_labels, n_features, key)
+    blocks = pack(rows, n_features)
     size = n_features + 1
     theta = np.zeros((size, len(label)))
     gradient, passes = np.zeros(len(label)), 0

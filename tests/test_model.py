@@ -2,7 +2,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from labelloom.functions.columns import hash_bucket
 from labelloom.operators import features, metrics, scoring, thresholds, training
 from labelloom.operators.features import FeatureSpace
 from labelloom.plans import experiment
@@ -67,9 +66,7 @@ def dataset(spark, n=240, f=12, seed=3):
         for i in range(n)
     ]
     df = spark.createDataFrame(rows, "prompt string, indices array<int>, values array<double>, y array<int>")
-    fold_col = hash_bucket(F.concat(F.lit("fold|"), F.col("prompt")), training.FOLDS)
-    fold = {r[0]: r[1] for r in df.select("prompt", fold_col).collect()}
-    return df.repartition(3), x, y, np.array([fold[str(i)] for i in range(n)])
+    return df.repartition(3), x, y
 
 
 def solve(x, y, hinge, keep):
@@ -111,7 +108,7 @@ def platt(m, y):
 
 
 def test_logistic_regression_reaches_the_optimum(spark):
-    df, x, y, _ = dataset(spark)
+    df, x, y = dataset(spark)
     model, report = training.fit_models(df, ["a", "b", "none", "all"], 12, tol=1e-7)
     for j in (0, 1):
         w = solve(x, y[:, j], False, np.ones(len(x), bool))
@@ -125,7 +122,7 @@ def test_logistic_regression_agrees_with_mllib(spark):
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.linalg import Vectors
 
-    df, x, y, _ = dataset(spark, n=120)
+    df, x, y = dataset(spark, n=120)
     p = y[:, 0].sum()
     s = [len(y) / (2 * p) if v else len(y) / (2 * (len(y) - p)) for v in y[:, 0]]
     ml = spark.createDataFrame([(Vectors.dense(r), float(v), float(w)) for r, v, w in zip(x, y[:, 0], s)], ["features", "label", "w"])
@@ -136,10 +133,13 @@ def test_logistic_regression_agrees_with_mllib(spark):
 
 
 def test_calibrated_svm(spark):
-    df, x, y, fold = dataset(spark)
+    df, x, y = dataset(spark)
+    dealt = {r["prompt"]: r["fold"] for r in training.assign_folds(df, 4).collect()}
+    folds = np.array([dealt[str(i)] for i in range(len(x))])
     model, _ = training.fit_models(df, ["a", "b", "none", "all"], 12, "linear_svm", tol=1e-7)
     assert model.member_label.tolist() == [0, 0, 0, 1, 1, 1]
     for member, (j, f) in enumerate((j, f) for j in (0, 1) for f in range(3)):
+        fold = folds[:, j]
         w = solve(x, y[:, j], True, fold != f)
         assert model.weights[:, member] == pytest.approx(w[:-1], abs=1e-3)
         ab = platt((x @ model.weights[:, member] + model.intercepts[member])[fold == f], y[fold == f, j])
@@ -152,6 +152,18 @@ def test_calibrated_svm(spark):
     assert [got[str(i)] for i in range(len(x))] == pytest.approx(expected)
 
 
+def test_folds_are_balanced_within_thin_classes(spark, monkeypatch):
+    df, _, y = dataset(spark)
+    got = training.assign_folds(df, 4).select("y", "fold").collect()
+    for j in (0, 1):
+        for v in (0, 1):
+            sizes = np.bincount([r["fold"][j] for r in got if r["y"][j] == v], minlength=3)
+            assert sizes.max() - sizes.min() <= 1
+    monkeypatch.setattr(training, "THIN_CLASS", 0)
+    hashed = training.assign_folds(df, 4).select("fold").collect()
+    assert all(len(set(r[0])) == 1 for r in hashed) and {r[0][0] for r in hashed} == {0, 1, 2}
+
+
 def test_partial_sums_added_on_executors(spark, monkeypatch):
     df, *_ = dataset(spark, n=60)
     direct, _ = training.fit_models(df, ["a", "b", "none", "all"], 12)
