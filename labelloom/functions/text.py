@@ -46,6 +46,11 @@ def is_blank(text: Column) -> Column:
     return text.isNull() | ~text.rlike(NOT_SPACE)
 
 
+def digest(text: Column) -> Column:
+    """32 bytes standing for a text of any length where only equality matters; null stays null."""
+    return F.unhex(F.sha2(text, 256))
+
+
 def normalize(text: Column) -> Column:
     """Lower case, outer white space removed, inner runs collapsed to one blank; null gives ''."""
     lowered = F.lower(F.coalesce(text.cast("string"), F.lit("")))

@@ -97,10 +97,12 @@ def unseen_only(new: DataFrame, existing: DataFrame, key: str = "prompt", order:
     """New rows whose text does not exist yet; of several equal texts the first by ``order``.
 
     Equal texts collapse on both sides before the join (map-side too), so copies never meet in one
-    task, and the join runs on the partitioning of the two aggregations.
+    task. The existing corpus is reduced to digests: its texts are not shuffled.
     """
+    digest = tx.digest(F.col(key)).alias("_d")
     others = [c for c in new.columns if c not in (key, order)]
     first = new.groupBy(key).agg(
         F.min(order).alias(order), *[F.min_by(c, order).alias(c) for c in others]
     )
-    return first.join(existing.select(key).distinct(), key, "left_anti").select(*new.columns)
+    known = existing.select(digest).filter(F.col("_d").isNotNull()).distinct()
+    return first.select("*", digest).join(known, "_d", "left_anti").select(*new.columns)

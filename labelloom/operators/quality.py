@@ -13,11 +13,11 @@ from labelloom.functions.columns import ratio, str_array
 ROW = -1  # position of the per-prompt counters among the per-label ones
 
 
-def _merged(df: DataFrame, n_labels: int) -> DataFrame:
-    """One row per distinct text with its number of copies and the element-wise maximum of y."""
-    return df.groupBy("prompt").agg(
+def _merged(df: DataFrame, n_labels: int, *keys: str) -> DataFrame:
+    """One row per distinct key with its number of copies and the element-wise maximum of y."""
+    return df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("copies"), *[F.max(F.get("y", F.lit(i))).alias(f"_y{i}") for i in range(n_labels)]
-    ).select("prompt", "copies", F.array(*[F.col(f"_y{i}") for i in range(n_labels)]).alias("y"))
+    ).select(*keys, "copies", F.array(*[F.col(f"_y{i}") for i in range(n_labels)]).alias("y"))
 
 
 def clean(df: DataFrame, labels: Sequence[str]) -> DataFrame:
@@ -25,7 +25,7 @@ def clean(df: DataFrame, labels: Sequence[str]) -> DataFrame:
     kept = df.filter(~tx.is_blank(F.col("prompt")))
     one = F.lit(1)
     zero = F.lit(0)
-    return _merged(kept, len(labels)).select(
+    return _merged(kept, len(labels), "prompt").select(
         "prompt", F.transform("y", lambda v: F.greatest(zero, F.least(one, v)).cast("int")).alias("y")
     )
 
@@ -33,9 +33,11 @@ def clean(df: DataFrame, labels: Sequence[str]) -> DataFrame:
 def quality_counts(df: DataFrame, labels: Sequence[str]) -> DataFrame:
     """Every counter behind the report in one pass: position -1 for prompts, then one row per label.
 
-    Texts are grouped first; the fan-out to labels is folded back by the map-side aggregation.
+    Texts are grouped by digest, so the shuffle carries 32 bytes per distinct text; the fan-out to
+    labels is folded back by the map-side aggregation.
     """
-    merged = _merged(df, len(labels)).withColumn("blank", tx.is_blank(F.col("prompt")))
+    keyed = df.select(tx.digest(F.col("prompt")).alias("_d"), tx.is_blank(F.col("prompt")).alias("blank"), "y")
+    merged = _merged(keyed, len(labels), "_d", "blank")
     total = F.aggregate("y", F.lit(0.0), lambda a, v: a + v)
     per_label = F.transform(
         F.col("y"), lambda v, i: F.struct(i.alias("pos"), v.cast("double").alias("v"))
@@ -72,6 +74,7 @@ def quality_report(df: DataFrame, labels: Sequence[str]) -> DataFrame:
     def n(column: Column) -> Column:
         return column.cast("string")
 
+    # The wording of the messages.
     tool = ("Tool '", F.col("label"), "' ")
     issues = F.array(
         issue(1, is_row & (F.col("blank_rows") > 0), F.col("blank_rows"),
@@ -102,7 +105,7 @@ def describe_dataset(df: DataFrame, labels: Sequence[str]) -> DataFrame:
     """One row: shape, distinct and duplicate prompts, nulls, labels per prompt."""
     held = F.aggregate("y", F.lit(0).cast("long"), lambda a, v: a + F.coalesce(v, F.lit(0)).cast("long"))
     nulls = F.size(F.filter("y", lambda v: v.isNull())) + F.col("prompt").isNull().cast("int")
-    rows = df.select("prompt", held.alias("held"), nulls.alias("nulls"))
+    rows = df.select(tx.digest(F.col("prompt")).alias("prompt"), held.alias("held"), nulls.alias("nulls"))
     return rows.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_distinct("prompt").alias("unique_prompts"),

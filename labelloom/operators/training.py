@@ -179,22 +179,27 @@ def minimise(evaluate: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.n
     A column whose step was too long retries with a shorter one while the others move on.
     """
     memory = memory or int(np.clip(HISTORY_CELLS // (rows * columns), 10, 60))
-    theta = np.zeros((rows, columns))
-    loss, grad = evaluate(theta, np.arange(columns))
-    s_hist = np.zeros((memory, rows, columns))
-    y_hist = np.zeros((memory, rows, columns))
-    rho = np.zeros((memory, columns))
-    used = np.zeros(columns, int)
+    theta = np.zeros((columns, rows))  # one classifier per line while searching
+
+    def at(points: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        f, g = evaluate(np.ascontiguousarray(points.T), cols)
+        return f, np.ascontiguousarray(g.T)
+
+    loss, grad = at(theta, np.arange(columns))
+    s_hist = np.zeros((columns, memory, rows))
+    y_hist = np.zeros((columns, memory, rows))
+    rho = np.zeros((columns, memory))
+    stored = np.zeros(columns, int)  # pairs ever stored; the newest sits in slot (stored - 1) % memory
     direction = -grad
-    step = 1.0 / np.maximum(np.linalg.norm(grad, axis=0), 1e-12)
-    active = np.abs(grad).max(0) / scale > tol
+    step = 1.0 / np.maximum(np.linalg.norm(grad, axis=1), 1e-12)
+    active = np.abs(grad).max(1) / scale > tol
     passes = 1
     while active.any() and passes < max_passes:
         cols = np.flatnonzero(active)
-        trial = theta[:, cols] + step[cols] * direction[:, cols]
-        f, g = evaluate(trial, cols)
+        trial = theta[cols] + step[cols, None] * direction[cols]
+        f, g = at(trial, cols)
         passes += 1
-        slope = (grad[:, cols] * direction[:, cols]).sum(0)
+        slope = (grad[cols] * direction[cols]).sum(1)
         slack = 1e-10 * np.maximum(1.0, np.abs(loss[cols]))
         ok = f <= loss[cols] + 1e-4 * step[cols] * slope + slack
         retry = cols[~ok]
@@ -203,31 +208,37 @@ def minimise(evaluate: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.n
         done = cols[ok]
         if not len(done):
             continue
-        ds, dy = trial[:, ok] - theta[:, done], g[:, ok] - grad[:, done]
-        theta[:, done], loss[done], grad[:, done] = trial[:, ok], f[ok], g[:, ok]
-        sy = (ds * dy).sum(0)
-        good = sy > 1e-12 * np.maximum((dy * dy).sum(0), 1e-300)
-        for j, c in enumerate(done):
-            if good[j]:
-                s_hist[:, :, c] = np.roll(s_hist[:, :, c], -1, axis=0)
-                y_hist[:, :, c] = np.roll(y_hist[:, :, c], -1, axis=0)
-                rho[:, c] = np.roll(rho[:, c], -1)
-                s_hist[-1, :, c], y_hist[-1, :, c], rho[-1, c] = ds[:, j], dy[:, j], 1.0 / sy[j]
-                used[c] = min(memory, used[c] + 1)
-        q = grad[:, done].copy()
-        alpha = np.zeros((memory, len(done)))
-        for k in range(memory - 1, -1, -1):
-            alpha[k] = rho[k, done] * (s_hist[k][:, done] * q).sum(0)
-            q -= alpha[k] * y_hist[k][:, done]
-        yy = (y_hist[-1][:, done] ** 2).sum(0) * rho[-1, done]
-        q *= np.where(used[done] > 0, 1.0 / np.where(yy > 0, yy, 1.0), step[done])
-        for k in range(memory):
-            beta = rho[k, done] * (y_hist[k][:, done] * q).sum(0)
-            q += s_hist[k][:, done] * (alpha[k] - beta)
-        direction[:, done] = -q
+        ds, dy = trial[ok] - theta[done], g[ok] - grad[done]
+        theta[done], loss[done], grad[done] = trial[ok], f[ok], g[ok]
+        sy = (ds * dy).sum(1)
+        good = sy > 1e-12 * np.maximum((dy * dy).sum(1), 1e-300)
+        kept, slot = done[good], stored[done[good]] % memory
+        s_hist[kept, slot], y_hist[kept, slot], rho[kept, slot] = ds[good], dy[good], 1.0 / sy[good]
+        stored[kept] += 1
+        direction[done] = -_two_loop(grad[done], done, s_hist, y_hist, rho, stored, step)
         step[done] = 1.0
-        active[done] = np.abs(grad[:, done]).max(0) / scale[done] > tol
-    return Fit(theta, np.abs(grad).max(0) / scale, passes)
+        active[done] = np.abs(grad[done]).max(1) / scale[done] > tol
+    return Fit(theta.T.copy(), np.abs(grad).max(1) / scale, passes)
+
+
+def _two_loop(grad, done, s_hist, y_hist, rho, stored, step) -> np.ndarray:
+    """Inverse-Hessian estimate times gradient for the classifiers ``done``."""
+    memory = s_hist.shape[1]
+    depth = np.minimum(stored[done], memory)
+    q = grad.copy()
+    alpha = np.zeros((len(done), memory))
+    for k in range(depth.max()):
+        slot = (stored[done] - 1 - k) % memory
+        alpha[:, k] = np.where(k < depth, rho[done, slot] * (s_hist[done, slot] * q).sum(1), 0.0)
+        q -= alpha[:, k, None] * y_hist[done, slot]
+    newest = (stored[done] - 1) % memory
+    yy = (y_hist[done, newest] ** 2).sum(1) * rho[done, newest]
+    q *= np.where(depth > 0, 1.0 / np.where(yy > 0, yy, 1.0), step[done])[:, None]
+    for k in range(depth.max() - 1, -1, -1):
+        slot = (stored[done] - 1 - k) % memory
+        beta = rho[done, slot] * (y_hist[done, slot] * q).sum(1)
+        q += np.where(k < depth, alpha[:, k] - beta, 0.0)[:, None] * s_hist[done, slot]
+    return q
 
 
 def _counts(rows: DataFrame, n_labels: int) -> np.ndarray:

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.functions.sizing import spread
+from labelloom.functions.sizing import bounded_rows, spread
 from labelloom.operators import features, metrics, quality, scoring, split, thresholds, training
 from labelloom.operators.features import FeatureSpace
 from labelloom.operators.scoring import LinearModel
@@ -95,7 +95,8 @@ def train(df: DataFrame, labels: Sequence[str], keyword_groups: Sequence[tuple[s
     spark: SparkSession = df.sparkSession
     started = time.time()
     run_id = uuid.uuid4().hex[:8]
-    issues = [r["message"] for r in quality.quality_report(df, labels).orderBy("check_no", "pos").limit(10_000).collect()]
+    found = bounded_rows(quality.quality_report(df, labels), 3 * len(labels) + 4, "quality issues")
+    issues = [r["message"] for r in sorted(found, key=lambda r: (r["check_no"], r["pos"]))]
     encoded, space = prepare(quality.clean(df, labels), keyword_groups, **prepare_options)
     results = []
     for a in choices:

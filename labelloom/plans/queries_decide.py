@@ -330,7 +330,7 @@ def render(spark, sf):
 
 # The sequential rule itself: walk the labels in catalog order with the list of taken texts.
 _PICK = f"""WITH RECURSIVE {_RENDER},
-lists AS (SELECT row_number() OVER (ORDER BY pos) AS k, label, need, list(text ORDER BY attempt) AS ts FROM cands GROUP BY pos, label, need),
+lists AS MATERIALIZED (SELECT row_number() OVER (ORDER BY pos) AS k, label, need, list(text ORDER BY attempt) AS ts FROM cands GROUP BY pos, label, need),
 walk AS (
   SELECT 0::BIGINT AS k, ''::VARCHAR AS label, []::VARCHAR[] AS added, (SELECT list(DISTINCT upper(substr(p_name, 1, 1)) || substr(p_name, 2) || '.') FROM part WHERE p_size = 1) AS seen
   UNION ALL
