@@ -104,10 +104,20 @@ def _rows_of(block: dict, n_features: int, n_labels: int) -> tuple[np.ndarray, n
     return x, y, np.frombuffer(block["fold"], np.uint8).reshape(n, -1) if block["fold"] else None
 
 
-def _pass(blocks: DataFrame, shape: tuple[int, int], kernel: Callable, payload: dict, size: int) -> np.ndarray:
+@dataclass(frozen=True)
+class Blocks:
+    """Packed rows and what every pass needs to know about them."""
+
+    frame: DataFrame
+    n_parts: int
+    n_features: int
+    n_labels: int
+
+
+def _pass(blocks: Blocks, kernel: Callable, payload: dict, size: int) -> np.ndarray:
     """Sum of ``kernel(x, y, fold, payload)`` over all blocks; ``size`` doubles per partial."""
-    n_features, n_labels = shape
-    shared = blocks.sparkSession.sparkContext.broadcast(payload)
+    n_features, n_labels = blocks.n_features, blocks.n_labels
+    shared = blocks.frame.sparkSession.sparkContext.broadcast(payload)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
@@ -123,10 +133,9 @@ def _pass(blocks: DataFrame, shape: tuple[int, int], kernel: Callable, payload:
                 total += np.frombuffer(value.as_buffer())
         yield pa.RecordBatch.from_pydict({"sums": [total.tobytes()]})
 
-    out = blocks.mapInArrow(partial, _PARTIAL)
-    n_parts = blocks.rdd.getNumPartitions()
-    if n_parts > DIRECT_PARTIALS:
-        out = out.repartition(ceil(sqrt(n_parts))).mapInArrow(add, _PARTIAL)
+    out = blocks.frame.mapInArrow(partial, _PARTIAL)
+    if blocks.n_parts > DIRECT_PARTIALS:
+        out = out.repartition(ceil(sqrt(blocks.n_parts))).mapInArrow(add, _PARTIAL)
     total = np.zeros(size)
     for row in out.toLocalIterator() if size > 8_000_000 else out.collect():
         total += np.frombuffer(row["sums"])
@@ -261,7 +270,7 @@ def _balanced(neg: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return n / (2.0 * pos), n / (2.0 * neg)
 
 
-def _platt(blocks, shape, theta, label, held_out, cal_neg, cal_pos, max_passes: int = 60):
+def _platt(blocks, theta, label, held_out, cal_neg, cal_pos, max_passes: int = 60):
     """Sigmoid parameters per classifier by damped Newton steps, smoothed targets."""
     c = len(label)
     spec = {
@@ -272,7 +281,7 @@ def _platt(blocks, shape, theta, label, held_out, cal_neg, cal_pos, max_passes:
 
     def at(point: np.ndarray, cols: np.ndarray) -> np.ndarray:
         sub = {k: (v[..., cols]) for k, v in spec.items()}
-        return _pass(blocks, shape, _platt_kernel, {**sub, "a": point[0], "b": point[1]}, 6 * len(cols)).reshape(6, -1)
+        return _pass(blocks, _platt_kernel, {**sub, "a": point[0], "b": point[1]}, 6 * len(cols)).reshape(6, -1)
 
     current = at(ab, np.arange(c))
     step = np.ones(c)
@@ -341,8 +350,8 @@ def fit_models(
         w_pos, w_neg = _balanced(seen[:, 0], seen[:, 1])
     else:
         w_pos = w_neg = np.ones(len(label))
-    shape = (n_features, n_labels)
-    blocks = pack(rows, n_features)
+    packed = pack(rows, n_features)
+    blocks = Blocks(packed, packed.rdd.getNumPartitions(), n_features, n_labels)
     size = n_features + 1
     theta = np.zeros((size, len(label)))
     gradient, passes = np.zeros(len(label)), 0
@@ -358,7 +367,7 @@ def fit_models(
                 "w_pos": w_pos[ids], "w_neg": w_neg[ids],
             }
             k = len(ids)
-            sums = _pass(blocks, shape, _loss_kernel, payload, k * (size + 1))
+            sums = _pass(blocks, _loss_kernel, payload, k * (size + 1))
             loss = c * sums[:k]
             grad = c * np.vstack([sums[k : k + n_features * k].reshape(n_features, k), sums[-k:]])
             reg = point if hinge else np.vstack([point[:-1], np.zeros(k)])
@@ -368,10 +377,10 @@ def fit_models(
         theta[:, part], gradient[part] = fit.theta, fit.gradient
         passes += fit.passes
         if hinge:
-            ab = _platt(blocks, shape, fit.theta, label[part], held[part],
+            ab = _platt(blocks, fit.theta, label[part], held[part],
                         counts[label[part], held[part], 0], counts[label[part], held[part], 1])
             slope[part], offset[part] = ab
-    blocks.unpersist()
+    packed.unpersist()
     model = LinearModel(tuple(labels), theta[:-1], theta[-1], label, slope, offset,
                         algorithm=algorithm, version=version)
     report = [
