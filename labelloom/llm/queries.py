@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import bpe, decontaminate, line_dedup, quality, simhash, substring_dedup
+from labelloom.llm import bpe, decontaminate, line_dedup, ngram_lm, quality, simhash, substring_dedup
 from labelloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -60,6 +60,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contaminate(docs, table(spark, sf_dir, "benchmark")))
 
 
+@query("op9_lm_scoring")
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 @query("op10_quality_rules")
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
