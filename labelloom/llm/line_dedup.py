@@ -15,6 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from labelloom.llm.chunks import NO_ID, Layout, by_id, column, lay_out
 from labelloom.llm.packing import (
@@ -28,7 +29,6 @@ MIN_DOCS = 3
 ASK = "shard int, chunk int, size long, keys binary, checks binary, docs binary, last binary"
 INDEX = "shard int, size long, levels array<binary>, fingerprints binary, docs binary, last binary"
 REPLY = "chunk int, shard int, size long, marks binary"
-RESULT = "doc_id long, n_lines long, n_dropped long, kept string"
 
 
 class PerfectHash:
@@ -192,12 +192,14 @@ def drop_lines(
     Lines whose key (blanks stripped at both ends, A-Z lower-cased) has ``min_chars`` code points and
     is found in ``min_docs`` documents go, except in the document with the largest key holding them.
     Null or empty text is one empty line. A null key counts as the smallest; rows sharing a key
-    count as one document and keep a row each. ``more`` names columns to carry along.
+    count as one document and keep a row each. ``more`` names columns to carry along, which must not
+    be named like the results or ``chunk`` or ``raw``.
     """
     layout = lay_out(docs, key, text, more, **sizes)
     asked, index = build_index(layout, min_chars)
-    types = dict(docs.dtypes)
-    schema = RESULT + "".join(f", `{c}` {types[c]}" for c in more)
+    own = [StructField(n, t) for n, t in (("doc_id", LongType()), ("n_lines", LongType()), ("n_dropped", LongType()),
+                                          ("kept", StringType()))]
+    schema = StructType([*own, *[docs.schema[c] for c in more]])
 
     def probe(requests: pa.Table, shard: pa.Table) -> pa.Table:
         if not len(requests):
