@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
@@ -18,15 +19,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def str_array(items: Sequence[str]) -> Column:
-    if not items:
-        return F.array().cast("array<string>")
-    return F.array(*[F.lit(x) for x in items])
+    """A list of any length as one literal: the text folds to a constant when the plan is made."""
+    return F.from_json(F.lit(json.dumps(list(items))), "array<string>")
 
 
 def double_array(items: Sequence[float]) -> Column:
-    if not items:
-        return F.array().cast("array<double>")
-    return F.array(*[F.lit(float(x)) for x in items])
+    """Like ``str_array``; the shortest decimal form of a double gives back the same double."""
+    return F.from_json(F.lit(json.dumps([float(x) for x in items])), "array<double>")
 
 
 def ratio(top: Column, bottom: Column, empty: float | None = 0.0) -> Column:

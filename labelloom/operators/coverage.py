@@ -56,7 +56,6 @@ GENERIC_WORDS = (
 )
 ROUNDS = 6  # passes over a template family, each with another noun variant
 MAX_CANDIDATES = 200_000  # texts sent to every task when looking for existing ones
-MARGIN = 10  # extra texts rendered per label to survive de-duplication
 
 
 def thin_labels(catalog: DataFrame, counts: DataFrame, target: int = 10) -> DataFrame:
@@ -114,10 +113,16 @@ def noun_phrase(capabilities: Column, category: Column, variant: Column) -> Colu
 
 
 def _fill(template: Column, slots: dict[str, Column]) -> Column:
-    out = template
-    for name, value in slots.items():
-        out = F.replace(out, F.lit("{" + name + "}"), value)
-    return out
+    """All slots in one step: braces inside a filled-in value stay as they are."""
+
+    def piece(p: Column) -> Column:
+        out = p
+        for name, value in slots.items():
+            out = F.when(p == "{" + name + "}", value).otherwise(out)
+        return out
+
+    pieces = F.split(template, r"(?=\{)|(?<=\})")
+    return F.array_join(F.transform(pieces, piece), "")
 
 
 def _capitalised(text: Column) -> Column:
@@ -128,7 +133,8 @@ def render(thin: DataFrame) -> DataFrame:
     """(pos, label, need, attempt, text): distinct candidate texts per label in order of preference.
 
     ``thin`` has pos, label, description, category, need and optionally capabilities and
-    operation_type. Work is bounded by the catalog: at most 8 * ROUNDS + 10 rows per label.
+    operation_type. Work is bounded by the catalog: at most 8 * ROUNDS + 10 rows per label, all of
+    which are kept, so a label stays short only when its phrasings are exhausted.
     """
     columns = thin.columns
     capabilities = F.col("capabilities") if "capabilities" in columns else F.lit(None).cast("array<string>")
@@ -155,9 +161,7 @@ def render(thin: DataFrame) -> DataFrame:
         "pos", "label", "need", (F.col("i") + 1000).alias("attempt"),
         _capitalised(_fill(F.col("template"), {"desc_lc": F.col("desc_lc"), "desc": F.col("desc")})).alias("text"),
     )
-    first = own.unionByName(extra).groupBy("pos", "label", "need", "text").agg(F.min("attempt").alias("attempt"))
-    rank = F.row_number().over(W.partitionBy("pos", "label").orderBy("attempt"))
-    return first.withColumn("_r", rank).filter(F.col("_r") <= F.col("need") + MARGIN).drop("_r")
+    return own.unionByName(extra).groupBy("pos", "label", "need", "text").agg(F.min("attempt").alias("attempt"))
 
 
 def already_present(existing: DataFrame, candidates: DataFrame, text: str = "prompt") -> DataFrame:

@@ -62,8 +62,10 @@ def select_labels(
     """Adds selected, rejected (ranked (tool, score) arrays), fallback_used and reason.
 
     Narrow: every prompt is decided from its own score vector. The unrounded score is compared, the
-    rounded one is reported. Blank prompts and rows without usable scores fall back.
+    rounded one is reported. Prompts lose outer white space, null reads as ''. Blank prompts and rows
+    without usable scores fall back.
     """
+    df = df.withColumn("prompt", tx.strip(F.coalesce("prompt", F.lit(""))))
     chosen, others = _fallback(labels, strategy, defaults)
     cells = F.zip_with(
         F.transform(F.col("scores"), lambda s, i: F.struct(s.alias("s"), i.alias("pos"))),
@@ -95,7 +97,7 @@ def select_labels(
     )
 
 
-def result_record(df: DataFrame, version: str, algorithm: str, thresholds: dict[str, float] | Column,
+def result_record(version: str, algorithm: str, thresholds: dict[str, float] | Column,
                   include_prompt: bool = True) -> Column:
     """The selection as one struct with the fields of a result record."""
     if isinstance(thresholds, dict):

@@ -10,7 +10,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
-from math import ceil, sqrt
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from labelloom.functions.columns import hash_bucket
-from labelloom.functions.sizing import bounded_rows, small_side
+from labelloom.functions.sizing import bounded_rows
 from labelloom.operators.scoring import LinearModel, sigmoid
 from labelloom.session import cut_lineage
 
@@ -28,44 +27,47 @@ ALGORITHMS = ("logistic_regression", "linear_svm")
 FOLDS = 3
 BLOCK_CELLS = 2_000_000  # rows x features of one block when dense: bounds a task's memory
 GROUP_CELLS = 1_000_000  # features x classifiers optimised together: bounds the driver's memory
-HISTORY_CELLS = 30_000_000  # doubles kept per L-BFGS history array
-THIN_CLASS = 1000  # classes up to this size get exactly balanced calibration folds
-DIRECT_PARTIALS = 64  # more partial sums than this are first added up on the executors
+HISTORY = 30  # step and gradient pairs kept per classifier, at every model size
+RANKED_TOGETHER = 512  # rows ranked in one window partition, on average
+DIRECT_PARTIALS = 64  # more partial sums than this are added up on the executors, slice by slice
+SLICE_CELLS = 65_536  # doubles of one slice
 
 _BLOCK = "n int, starts binary, idx binary, val binary, y binary, fold binary"
-_PARTIAL = "sums binary"
+_PARTIAL = "slice int, sums binary"
 
 # Task functions travel with the job: executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+def fold_ranks(members: DataFrame, rows: int) -> DataFrame:
+    """(_key, pos, fold) of (_key, pos, v): ranked by hash within (pos, v) and dealt out in turn.
+
+    One rule for every class size. A histogram over the leading hash bits gives each cell's first
+    rank, and only the rows of a cell are ranked against each other. More rows mean more cells, which
+    leaves the ranks as they are.
+    """
+    bits = min(max(ceil(log2(max(rows, 1) / RANKED_TOGETHER)) if rows > RANKED_TOGETHER else 0, 0), 40)
+    digest = F.conv(F.substring(F.md5(F.col("_key").cast("string")), 1, 15), 16, 10).cast("long")
+    hashed = members.withColumn("_h", digest).withColumn("_cell", F.shiftright("_h", 60 - bits))
+    first = F.sum("n").over(W.partitionBy("pos", "v").orderBy("_cell").rowsBetween(W.unboundedPreceding, -1))
+    cells = hashed.groupBy("pos", "v", "_cell").agg(F.count(F.lit(1)).alias("n")).select(
+        "pos", "v", "_cell", F.coalesce(first, F.lit(0)).alias("_first"))
+    inside = F.row_number().over(W.partitionBy("pos", "v", "_cell").orderBy("_h", F.col("_key").cast("string")))
+    ranked = hashed.withColumn("_rank", inside).join(cells, ["pos", "v", "_cell"])
+    return ranked.select("_key", "pos", ((F.col("_first") + F.col("_rank") - 1) % FOLDS).cast("int").alias("fold"))
+
+
 def assign_folds(encoded: DataFrame, n_labels: int, key: str = "prompt") -> DataFrame:
     """Adds ``fold ARRAY<INT>``, the calibration fold of the row for every label.
 
-    Folds are balanced within each class of each label. A hash does that for large classes; the
-    members of a thin class are ranked by hash and dealt out in turn, so three members always reach
-    three folds. Only thin classes are ranked, at most THIN_CLASS rows in one window partition.
+    Folds are balanced within each class of each label, so three members always reach three folds.
+    ``key`` must be unique. Narrow (key, label, class) rows are shuffled, not the features.
     """
-    base = hash_bucket(F.concat(F.lit("fold|"), F.col(key).cast("string")), FOLDS).cast("int")
-    rows = encoded.withColumn("_base", base)
     members = encoded.select(F.col(key).alias("_key"), F.posexplode("y").alias("pos", "v"))
-    sizes = bounded_rows(members.groupBy("pos", "v").count(), 2 * n_labels, "classes")
-    thin = [r["pos"] * 2 + r["v"] for r in sizes if r["count"] <= THIN_CLASS]
-    if not thin:
-        return rows.withColumn("fold", F.array_repeat("_base", n_labels)).drop("_base")
-    code = (F.col("pos") * 2 + F.col("v")).alias("code")
-    order = W.partitionBy("code").orderBy(F.md5(F.col("_key").cast("string")), "_key")
-    dealt = (
-        members.select("_key", "pos", code)
-        .filter(F.col("code").isin(thin))
-        .distinct()
-        .withColumn("f", (F.row_number().over(order) - 1) % FOLDS)
-        .groupBy("_key")
-        .agg(F.map_from_entries(F.collect_list(F.struct("pos", "f"))).alias("_own"))
-    )
-    joined = rows.join(small_side(dealt, THIN_CLASS * 100), F.col(key) == F.col("_key"), "left")
-    fold = F.transform(F.array_repeat("_base", n_labels), lambda b, i: F.coalesce(F.try_element_at("_own", i), b))
-    return joined.withColumn("fold", fold).drop("_base", "_key", "_own")
+    dealt = fold_ranks(members, encoded.count()).groupBy("_key").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "fold"))).alias("_own"))
+    joined = encoded.join(dealt, F.col(key) == F.col("_key"))
+    return joined.withColumn("fold", F.transform("_own", lambda f: f["fold"])).drop("_key", "_own")
 
 
 def pack(rows: DataFrame, n_features: int) -> DataFrame:
@@ -119,27 +121,32 @@ def _pass(blocks: Blocks, kernel: Callable, payload: dict, size: int) -> np.ndar
     n_features, n_labels = blocks.n_features, blocks.n_labels
     shared = blocks.frame.sparkSession.sparkContext.broadcast(payload)
 
+    slices = ceil(size / SLICE_CELLS) if blocks.n_parts > DIRECT_PARTIALS else 1
+    edges = np.linspace(0, size, slices + 1).astype(int)
+
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
         for batch in batches:
             for block in batch.to_pylist():
                 total += kernel(*_rows_of(block, n_features, n_labels), shared.value)
-        yield pa.RecordBatch.from_pydict({"sums": [total.tobytes()]})
+        cut = [total[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        yield pa.RecordBatch.from_pydict({"slice": pa.array(range(slices), pa.int32()), "sums": cut})
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size)
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = key[0].as_py()
+        total = np.zeros(edges[number + 1] - edges[number])
         for batch in batches:
-            for value in batch.column(0):
+            for value in batch.column("sums"):
                 total += np.frombuffer(value.as_buffer())
-        yield pa.RecordBatch.from_pydict({"sums": [total.tobytes()]})
+        yield pa.RecordBatch.from_pydict({"slice": pa.array([number], pa.int32()), "sums": [total.tobytes()]})
 
     out = blocks.frame.mapInArrow(partial, _PARTIAL)
     if blocks.n_parts > DIRECT_PARTIALS:
-        out = out.repartition(ceil(sqrt(blocks.n_parts))).mapInArrow(add, _PARTIAL)
+        out = out.groupBy("slice").applyInArrow(add, _PARTIAL)
     total = np.zeros(size)
-    for row in out.toLocalIterator() if size > 8_000_000 else out.collect():
-        total += np.frombuffer(row["sums"])
-    shared.unpersist()
+    for row in out.collect():
+        total[edges[row["slice"]]:edges[row["slice"] + 1]] += np.frombuffer(row["sums"])
+    shared.destroy()
     return total
 
 
@@ -182,12 +189,11 @@ class Fit:
 
 
 def minimise(evaluate: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], rows: int, columns: int,
-             scale: np.ndarray, tol: float, max_passes: int, memory: int | None = None) -> Fit:
+             scale: np.ndarray, tol: float, max_passes: int, memory: int = HISTORY) -> Fit:
     """Independent L-BFGS per column; every pass serves one trial point of every unfinished column.
 
     A column whose step was too long retries with a shorter one while the others move on.
     """
-    memory = memory or int(np.clip(HISTORY_CELLS // (rows * columns), 10, 60))
     theta = np.zeros((columns, rows))  # one classifier per line while searching
 
     def at(points: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

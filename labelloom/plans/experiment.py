@@ -79,7 +79,9 @@ def run_experiment(experiment_id: str, algorithm: str, encoded: DataFrame, space
     table = per_label.withColumns({"experiment_id": F.lit(experiment_id), "algorithm": F.lit(algorithm)})
     if records_path:
         runs.append_run(records_path, timed, table)
-    return Experiment(experiment_id, algorithm, model, timed, table, report)
+        stored = [r.filter(F.col("experiment_id") == experiment_id) for r in runs.read_runs(encoded.sparkSession, records_path)]
+        timed, table = stored[0].select(*timed.columns), stored[1].select(*table.columns)
+    return Experiment(experiment_id, algorithm, model, runs.recorded(timed), table, report)
 
 
 def train(df: DataFrame, labels: Sequence[str], keyword_groups: Sequence[tuple[str, Sequence[str]]], out: str,

@@ -62,27 +62,20 @@ def load_labelled_csv(spark, sf):
 
 
 @query("a2_prompt_records", """
-SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '' ELSE md5(text) END AS prompt_md5,
-       CASE WHEN doc_id % 5 = 0 THEN '' ELSE lang || ',' || source END AS tools
-FROM documents""")
+SELECT CASE WHEN doc_id % 7 = 0 THEN '' ELSE md5(text) END AS prompt_md5,
+       CASE WHEN doc_id % 5 = 0 THEN '' ELSE lang || ',' || source END AS tools, count(*) AS n
+FROM documents GROUP BY ALL""")
 def prompt_records(spark, sf):
     path = work_path(spark, "records-json")
     texts(spark, sf).select(
-        "doc_id",
         F.when(F.col("doc_id") % 7 != 0, F.col("text")).alias("prompt"),
         F.when(F.col("doc_id") % 5 != 0, F.array("lang", "source")).alias("relevant_tools"),
     ).write.json(path)
-    raw = spark.read.schema("doc_id bigint, " + prompts.RECORD_SCHEMA).json(path)
-    done = raw.select(
-        "doc_id",
-        F.coalesce("prompt", F.lit("")).alias("prompt"),
-        F.coalesce("relevant_tools", str_array([])).alias("relevant_tools"),
-    )
-    return done.select(
-        "doc_id",
+    done = prompts.read_prompt_records(spark, path)
+    return done.groupBy(
         F.when(F.col("prompt") == "", "").otherwise(F.md5("prompt")).alias("prompt_md5"),
         F.array_join("relevant_tools", ",").alias("tools"),
-    )
+    ).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("a3_catalog_entries", """
@@ -107,15 +100,20 @@ def catalog_entries(spark, sf):
     )
 
 
+def _half_unknown():
+    """Part keys of line items, moved out of the catalog on odd lines."""
+    return F.col("l_partkey") + F.col("l_linenumber") % 2 * 10_000_000
+
+
 @query("a3_catalog_lookup", """
 SELECT l_orderkey, l_linenumber, coalesce(p_name, '') AS description, coalesce(p_brand, 'unknown') AS category,
        p_partkey IS NOT NULL AS in_catalog
-FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size > 10) ON p_partkey = l_partkey""")
+FROM lineitem LEFT JOIN part ON p_partkey = l_partkey + l_linenumber % 2 * 10000000""")
 def catalog_lookup(spark, sf):
-    catalog = table(spark, sf, "part").filter("p_size > 10").select(
+    catalog = table(spark, sf, "part").select(
         F.col("p_partkey").alias("label"), F.col("p_name").alias("description"), F.col("p_brand").alias("category")
     )
-    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("label"))
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", _half_unknown().alias("label"))
     return catalogs.describe_labels(rows, catalog).drop("label")
 
 
@@ -133,11 +131,12 @@ def catalog_from_tools(spark, sf):
 
 
 @query("a5_catalog_from_keywords", """
-SELECT source AS label, 'Tool: ' || source AS description, 'auto' AS category,
-       array_to_string(list_sort(list(DISTINCT lang)), ',') AS keywords
-FROM documents GROUP BY source""")
+SELECT p_brand AS label, 'Tool: ' || p_brand AS description, 'auto' AS category,
+       string_agg(p_type, ',' ORDER BY p_partkey) AS keywords
+FROM part GROUP BY p_brand""")
 def catalog_from_keywords(spark, sf):
-    pairs = table(spark, sf, "documents").select(F.col("source").alias("label"), F.col("lang").alias("keyword"))
+    pairs = table(spark, sf, "part").select(
+        F.col("p_brand").alias("label"), F.col("p_type").alias("keyword"), F.col("p_partkey").alias("pos"))
     return catalogs.catalog_from_keywords(pairs).withColumn("keywords", F.array_join("keywords", ","))
 
 
@@ -158,7 +157,7 @@ def long_table_sink(spark, sf):
 
 @query("a7_experiment_records", f"""
 WITH {fr.METRICS}
-SELECT 'hash' AS experiment_id, label, round(f1, 6) AS f1, tp, fp, tn, fn FROM scored""")
+SELECT 'hash' AS experiment_id, label, round(f1, 4) AS f1, tp, fp, tn, fn FROM scored""")
 def experiment_records(spark, sf):
     docs = table(spark, sf, "documents")
     labels = fr.document_labels(docs)
@@ -171,7 +170,7 @@ def experiment_records(spark, sf):
         per_label.withColumns({"experiment_id": F.lit("hash"), "algorithm": F.lit("none")}),
     )
     _, stored = runs.read_runs(spark, path)
-    return stored.select("experiment_id", "label", F.round("f1", 6).alias("f1"), "tp", "fp", "tn", "fn")
+    return stored.select("experiment_id", "label", "f1", "tp", "fp", "tn", "fn")
 
 
 def _evaluated(rows, labels):
@@ -183,18 +182,18 @@ def _evaluated(rows, labels):
 
 @query("a9_combined_sources", """
 SELECT prompt, label, y, count(*) AS n FROM (
-""" + LINEITEM_SQL + " UNION ALL " + LINEITEM_SQL.replace("FROM lineitem", "FROM (SELECT * FROM lineitem WHERE l_linenumber <= 2)") + """
+""" + LINEITEM_SQL + " UNION ALL " + LINEITEM_SQL.replace("l_discount > 0.05", "l_tax > 0.04") + """
 ) GROUP BY ALL""")
 def combined_sources(spark, sf):
     pairs = _lineitem_pairs(spark, sf)
-    early = table(spark, sf, "lineitem").filter("l_linenumber <= 2").select(
+    taxed = table(spark, sf, "lineitem").select(
         F.col("l_orderkey").cast("string").alias("prompt"),
         F.col("l_returnflag").alias("tool"),
-        (F.col("l_discount") > 0.05).cast("int").alias("label"),
+        (F.col("l_tax") > 0.04).cast("int").alias("label"),
     )
     paths = {"synthetic": work_path(spark, "synthetic"), "manager": work_path(spark, "manager")}
     pairs.write.parquet(paths["synthetic"])
-    early.write.parquet(paths["manager"])
+    taxed.write.parquet(paths["manager"])
     both = prompts.load_sources(spark, "combined", paths, FLAGS, "parquet")
     return _long(both, FLAGS).groupBy("prompt", "label", "y").agg(F.count(F.lit(1)).alias("n"))
 
@@ -331,11 +330,11 @@ def positive_view(spark, sf):
 # --- joins -----------------------------------------------------------------------------------
 
 @query("j_semi_known_labels", """
-SELECT l_partkey AS label, count(*) AS n FROM lineitem
-WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 25) GROUP BY l_partkey""")
+SELECT l_partkey + l_linenumber % 2 * 10000000 AS label, count(*) AS n FROM lineitem
+WHERE l_partkey + l_linenumber % 2 * 10000000 IN (SELECT p_partkey FROM part) GROUP BY ALL""")
 def semi_known_labels(spark, sf):
-    catalog = table(spark, sf, "part").filter("p_size > 25").select(F.col("p_partkey").alias("label"))
-    rows = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("label"))
+    catalog = table(spark, sf, "part").select(F.col("p_partkey").alias("label"))
+    rows = table(spark, sf, "lineitem").select(_half_unknown().alias("label"))
     return adapters.known_only(rows, catalog).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -20,19 +20,23 @@ CUT_LIST = [CUTS.get(l, 0.5) for l in LANGS]
 # Conversation turns; every 13th is blank, every 17th has no usable score.
 
 _TURNS = f"""
-WITH u AS (SELECT conv_id * 1000 + turn AS id, CASE WHEN (conv_id + turn) % 13 = 0 THEN chr(9) || ' ' ELSE text END AS prompt FROM conversations),
+WITH raw AS (SELECT conv_id * 1000 + turn AS id, CASE WHEN (conv_id + turn) % 13 = 0 THEN chr(9) || ' '
+    WHEN (conv_id + turn) % 11 <> 0 THEN CASE WHEN (conv_id + turn) % 7 = 0 THEN '  ' || text || chr(10) ELSE text END END AS prompt FROM conversations),
+u AS (SELECT id, {fr.sql_strip("coalesce(prompt, '')")} AS prompt FROM raw),
 l AS (SELECT * FROM (VALUES ('de', 0, 0.3::DOUBLE), ('en', 1, 0.5), ('es', 2, 0.7), ('fr', 3, 0.5)) AS v(label, pos, t)),
 s AS (SELECT id, prompt, label, pos, t, {fr.sql_bucket("id || '|' || label")} / 1000.0::DOUBLE AS score,
-             CASE WHEN {fr.sql_strip("prompt")} = '' THEN 'empty_prompt' WHEN id % 17 = 0 THEN 'scoring_error' END AS reason FROM u, l),
+             CASE WHEN prompt = '' THEN 'empty_prompt' WHEN id % 17 = 0 THEN 'scoring_error' END AS reason FROM u, l),
 d AS (SELECT *, CASE WHEN reason IS NULL THEN score >= t END AS keep, CASE WHEN reason IS NULL THEN score ELSE -1.0 END AS shown FROM s)"""
 _LISTS = """coalesce(string_agg(label || ':' || printf('%.4f', shown), ',' ORDER BY shown DESC, pos) FILTER ({sel}), '') AS selected,
        coalesce(string_agg(label || ':' || printf('%.4f', shown), ',' ORDER BY shown DESC, pos) FILTER ({rej}), '') AS rejected"""
 
 
 def _turns(spark, sf):
+    at = F.col("conv_id") + F.col("turn")
     rows = table(spark, sf, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
-        F.when((F.col("conv_id") + F.col("turn")) % 13 == 0, "\t ").otherwise(F.col("text")).alias("prompt"),
+        F.when(at % 13 == 0, "\t ").when(at % 11 == 0, F.lit(None)).when(at % 7 == 0, F.concat(F.lit("  "), "text", F.lit("\n")))
+        .otherwise(F.col("text")).alias("prompt"),
     )
     broken = F.array(F.lit(0.1), F.lit(float("nan")), F.lit(0.2), F.lit(0.3))
     scores = F.when(F.col("id") % 17 == 0, broken).otherwise(fr.hash_scores(F.col("id"), LANGS))
@@ -81,7 +85,7 @@ def result_record(spark, sf):
     rows = selection.select_labels(_turns(spark, sf), LANGS, CUT_LIST)
     given = F.when(F.col("id") % 3 == 0, F.concat(F.lit("given-"), F.col("id").cast("string")))
     rows = rows.withColumn("request_id", selection.request_id(given, F.col("prompt"), F.col("id")))
-    record = rows.select("id", selection.result_record(rows, "2.0.0", "none", CUTS).alias("r"))
+    record = rows.select("id", selection.result_record("2.0.0", "none", CUTS).alias("r"))
     hidden = selection.redact(F.col("r.prompt"), False)
     return record.select(
         "id", "r.request_id", "r.model_version", "r.algorithm",
@@ -224,7 +228,8 @@ def known_from_request(spark, sf):
 
 
 # --- coverage ------------------------------------------------------------------------------------
-# Catalog: one label per verb and part name; positives: returned first line items of its parts.
+# Catalog: one label per verb and part name; positives: line items of its parts. A label is thin when
+# it has fewer than the average label.
 
 _VERBS = ("list", "create", "fork", "update", "edit", "delete", "dismiss", "unstar", "search", "run",
           "merge", "trigger", "add", "push", "star", "get", "find")
@@ -232,8 +237,9 @@ _LABEL_SQL = "list_element([" + ", ".join(f"'{v}'" for v in _VERBS) + f"], 1 + p
 _CATALOG = f"""cat0 AS (SELECT {_LABEL_SQL} AS label, p_partkey, p_name, p_type, p_brand FROM part),
 catalog AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS pos, any_value(p_name) AS name, lower(min(p_type)) || '_parts' AS category,
                    list_sort(list(DISTINCT lower(p_brand))) AS brands FROM cat0 GROUP BY label),
-cnt AS (SELECT label, count(*) AS n FROM cat0 JOIN lineitem ON l_partkey = p_partkey WHERE l_returnflag = 'R' AND l_linenumber = 1 GROUP BY label),
-thin AS (SELECT c.*, coalesce(n, 0) AS have, 10 - coalesce(n, 0) AS need FROM catalog c LEFT JOIN cnt USING (label) WHERE coalesce(n, 0) < 10)"""
+cnt AS (SELECT label, count(*) AS n FROM cat0 JOIN lineitem ON l_partkey = p_partkey GROUP BY label),
+goal AS (SELECT CAST(ceil((SELECT count(*) FROM lineitem) / (SELECT count(*) FROM catalog)::DOUBLE) AS BIGINT) AS target),
+thin AS (SELECT c.*, coalesce(n, 0) AS have, target - coalesce(n, 0) AS need FROM catalog c LEFT JOIN cnt USING (label), goal WHERE coalesce(n, 0) < target)"""
 
 
 def _catalog(spark, sf):
@@ -252,10 +258,10 @@ def _catalog(spark, sf):
 
 def _thin(spark, sf):
     named, catalog = _catalog(spark, sf)
-    sold = table(spark, sf, "lineitem").filter("l_returnflag = 'R' AND l_linenumber = 1")
+    sold = table(spark, sf, "lineitem")
     held = sold.join(named.select("p_partkey", "label"), F.col("l_partkey") == F.col("p_partkey"))
     counts = held.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    return coverage.thin_labels(catalog, counts)
+    return coverage.thin_labels(catalog, counts, -(-sold.count() // catalog.count()))
 
 
 @query("l1_thin_labels", f"WITH {_CATALOG} SELECT label, have, need FROM thin")
@@ -305,22 +311,27 @@ def _sql_fill(noun: str, singular: str) -> str:
             f"'{{noun_singular}}', {singular}), '{{noun}}', {noun})")
 
 
-_RENDER = f"""{_CATALOG}, fam AS (SELECT *, {_FAMILY_SQL} AS family, replace(category, '_', ' ') AS noun FROM thin),
+_RENDER = f"""{_CATALOG}, fam AS (SELECT *, {_FAMILY_SQL} AS family FROM thin),
+many AS (SELECT label, v, list_filter(brands, lambda b: length(b) > 2) AS caps FROM thin, (SELECT unnest(range(48)) AS v)),
+nouns AS (SELECT label, v, string_agg(cap, ' ' ORDER BY r) FILTER (r <= 1 + v % least(3, k)) AS noun FROM (
+  SELECT label, v, k, cap, row_number() OVER (PARTITION BY label, v ORDER BY md5(v || '|' || cap)) AS r
+  FROM (SELECT label, v, len(caps) AS k, unnest(caps) AS cap FROM many)) GROUP BY label, v),
 tpl AS (SELECT * FROM (VALUES {_values([(k, i, len(ts), t) for k, ts in coverage.TEMPLATES.items() for i, t in enumerate(ts)])}) AS v(family, i, k, tpl)),
-own AS (SELECT pos, label, need, i + k * r AS attempt, {_sql_fill("noun", "split_part(noun, ' ', 1)")} AS x
-        FROM fam JOIN tpl USING (family), (SELECT unnest(range(6)) AS r)),
-extra AS (SELECT pos, label, need, 1000 + j AS attempt, {_sql_fill("noun", "noun")} AS x
+own AS (SELECT pos, f.label, need, i + k * r AS attempt, {_sql_fill("noun", "split_part(noun, ' ', 1)")} AS x
+        FROM (SELECT * FROM fam JOIN tpl USING (family), (SELECT unnest(range(6)) AS r)) AS f
+        JOIN nouns ON nouns.label = f.label AND nouns.v = i + k * r),
+extra AS (SELECT pos, label, need, 1000 + j AS attempt, {_sql_fill("''", "''")} AS x
           FROM fam, (VALUES {_values([(j, t) for j, t in enumerate(coverage.FALLBACK_TEMPLATES)])}) AS f(j, tpl)),
 texts AS (
   SELECT pos, label, need, attempt, CASE WHEN regexp_matches(c, '[?.]$') THEN c ELSE c || '.' END AS text
   FROM (SELECT *, upper(substr(x, 1, 1)) || substr(x, 2) AS c FROM own)
   UNION ALL SELECT pos, label, need, attempt, upper(substr(x, 1, 1)) || substr(x, 2) FROM extra),
 firsts AS (SELECT pos, label, need, text, min(attempt) AS attempt FROM texts GROUP BY ALL),
-cands AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY attempt) AS r FROM firsts) WHERE r <= need + 10)"""
+cands AS (SELECT * FROM firsts)"""
 
 
 def _candidates(spark, sf):
-    return coverage.render(_thin(spark, sf).drop("capabilities"))
+    return coverage.render(_thin(spark, sf))
 
 
 @query("l4_l5_render", f"WITH {_RENDER} SELECT label, CAST(attempt AS INTEGER) AS attempt, text FROM cands")
@@ -332,7 +343,7 @@ def render(spark, sf):
 _PICK = f"""WITH RECURSIVE {_RENDER},
 lists AS MATERIALIZED (SELECT row_number() OVER (ORDER BY pos) AS k, label, need, list(text ORDER BY attempt) AS ts FROM cands GROUP BY pos, label, need),
 walk AS (
-  SELECT 0::BIGINT AS k, ''::VARCHAR AS label, []::VARCHAR[] AS added, (SELECT list(DISTINCT upper(substr(p_name, 1, 1)) || substr(p_name, 2) || '.') FROM part WHERE p_size = 1) AS seen
+  SELECT 0::BIGINT AS k, ''::VARCHAR AS label, []::VARCHAR[] AS added, (SELECT list(DISTINCT upper(substr(p_name, 1, 1)) || substr(p_name, 2) || '.') FROM part) AS seen
   UNION ALL
   SELECT k, label, added, list_concat(seen, added) FROM (
     SELECT l.k, l.label, list_slice(list_filter(l.ts, lambda t: NOT list_contains(w.seen, t)), 1, l.need) AS added, w.seen
@@ -340,8 +351,8 @@ walk AS (
 
 
 def _existing(spark, sf):
-    """Prompts that exist already: the names of the smallest parts."""
-    part = table(spark, sf, "part").filter("p_size = 1")
+    """Prompts that exist already: the names of the parts."""
+    part = table(spark, sf, "part")
     text = F.concat(F.upper(F.substring("p_name", 1, 1)), F.substr("p_name", F.lit(2)), F.lit("."))
     return part.select(text.alias("prompt"), F.array(F.lit("part")).alias("relevant_tools")).dropDuplicates(["prompt"])
 
@@ -352,7 +363,7 @@ def pick_new(spark, sf):
 
 
 @query("l7_merge_corpus", _PICK + """ SELECT text AS prompt, label AS tools FROM (SELECT label, unnest(added) AS text FROM walk WHERE k > 0)
-UNION ALL SELECT DISTINCT upper(substr(p_name, 1, 1)) || substr(p_name, 2) || '.', 'part' FROM part WHERE p_size = 1""")
+UNION ALL SELECT DISTINCT upper(substr(p_name, 1, 1)) || substr(p_name, 2) || '.', 'part' FROM part""")
 def merge_corpus(spark, sf):
     existing = _existing(spark, sf)
     merged = coverage.merge_corpus(existing, coverage.pick_new(_candidates(spark, sf), existing))
@@ -363,7 +374,7 @@ def merge_corpus(spark, sf):
 
 _STREAM_SQL = f"""
 WITH {_VOCAB},
-u AS (SELECT conv_id * 1000 + turn AS prompt_id, {fr.sql_norm()} AS t FROM conversations WHERE role = 'user'),
+u AS (SELECT conv_id * 1000 + turn AS prompt_id, {fr.sql_norm()} AS t FROM conversations),
 uw AS (SELECT prompt_id, {fr.sql_words()} AS w FROM u),
 ug AS (SELECT prompt_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM uw),
 ux AS (SELECT prompt_id, idx, (1.0 + ln(count(*)::DOUBLE)) * any_value(idf) AS x FROM ug JOIN vocab USING (term) GROUP BY prompt_id, idx),
@@ -382,8 +393,8 @@ SELECT prompt_id, {_names("de", "true", "es", "fr")} AS execute, {_names("NOT de
 
 @query("i10_stream_selection_and_routing", _STREAM_SQL)
 def stream_selection_and_routing(spark, sf):
-    """User turns read as a stream, scored, selected, routed and written; the written table is the result."""
-    turns = table(spark, sf, "conversations").filter("role = 'user'").select(
+    """Turns read as a stream, scored, selected, routed and written; the written table is the result."""
+    turns = table(spark, sf, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("prompt_id"), F.col("text").alias("prompt")
     )
     source = work_path(spark, "turns")

@@ -48,13 +48,14 @@ FROM c""")
 def flagship_keyword_report(spark, sf):
     """Precision, recall and F1 per label of keyword scores: one shuffle to bring labels to documents."""
     names = [label for label, _ in FLAGSHIP]
-    docs = texts(spark, sf).select("doc_id", tx.normalize(F.col("text")).alias("t"))
+    # Most documents have no label: their texts are dropped before anything is done to them.
+    docs = texts(spark, sf).select("doc_id", "text").join(table(spark, sf, "labels"), "doc_id")
+    docs = docs.select(F.array(*names).alias("y"), tx.normalize(F.col("text")).alias("t"))
     shares = F.array(*[
         F.size(F.filter(str_array(kws), lambda k: F.contains(F.col("t"), k))) / F.lit(float(len(kws)))
         for _, kws in FLAGSHIP
     ])
-    scored = docs.select("doc_id", "t").withColumn("scores", shares).select("doc_id", "scores")
-    rows = scored.join(table(spark, sf, "labels"), "doc_id").select(F.array(*names).alias("y"), "scores")
+    rows = docs.select("y", shares.alias("scores"))
     report = metrics.per_label(metrics.confusion(rows, names, [0.5, 0.25]))
     return report.select(
         "label", "threshold", "tp", "fp", "tn", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")]
@@ -152,7 +153,7 @@ def training_rows(spark, sf):
 
 def _trained(spark, sf, algorithm):
     rows = quality.clean(training_rows(spark, sf), TRAIN_LABELS)
-    encoded, space = experiment.prepare(rows, TRAIN_GROUPS, max_features=1000)
+    encoded, space = experiment.prepare(rows, TRAIN_GROUPS, max_features=30000)
     return experiment.run_experiment("run_" + algorithm, algorithm, encoded, space, TRAIN_LABELS)
 
 
@@ -169,18 +170,40 @@ def train_svm(spark, sf):
     return _trained(spark, sf, "linear_svm").per_label.select(*_RUN_COLUMNS)
 
 
-@query("f5_training_report")
+@query("f5_training_report", """
+WITH d AS (SELECT lang, quality, toxic FROM documents JOIN labels USING (doc_id)),
+y AS (SELECT unnest(['de', 'en', 'es', 'fr']) AS label, unnest([lang = 'de', lang = 'en', lang = 'es', lang = 'fr']) AS y FROM d
+      UNION ALL SELECT 'quality', quality = 1 FROM d UNION ALL SELECT 'toxic', toxic = 1 FROM d
+      UNION ALL SELECT 'never', false FROM d UNION ALL SELECT 'always', true FROM d),
+c AS (SELECT label, count(*) FILTER (y) AS positives, count(*) FILTER (NOT y) AS negatives FROM y GROUP BY label)
+SELECT label, positives, negatives, CASE WHEN least(positives, negatives) > 0 THEN 1 ELSE 0 END AS members,
+       CASE WHEN least(positives, negatives) > 0 THEN true END AS converged FROM c""")
 def training_report(spark, sf):
     """Labels with one class only get no member; the gradient shows how far each fit converged."""
     base = training_rows(spark, sf).select("prompt", F.concat("y", F.array(F.lit(0), F.lit(1))).alias("y"))
     labels = [*TRAIN_LABELS, "never", "always"]
-    vocabulary = features.fit_vocabulary(base, max_features=300)
+    vocabulary = features.fit_vocabulary(base, max_features=3000)
     space = features.space_from_vocabulary(vocabulary, TRAIN_GROUPS)
     path = work_path(spark, "encoded")
     features.encode(base, space).write.parquet(path)
     _, report = training.fit_models(spark.read.parquet(path), labels, space.size)
-    schema = "label string, positives bigint, negatives bigint, members int, gradient double, passes int"
-    return spark.createDataFrame([tuple(r.values()) for r in report], schema)
+    rows = [(r["label"], r["positives"], r["negatives"], r["members"],
+             None if r["gradient"] is None else r["gradient"] <= 1e-4) for r in report]
+    return spark.createDataFrame(rows, "label string, positives bigint, negatives bigint, members int, converged boolean")
+
+
+@query("f3_calibration_folds", """
+WITH d AS (SELECT doc_id, lang, quality, toxic, substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS h
+           FROM documents JOIN labels USING (doc_id)),
+y AS (SELECT doc_id, h, unnest([0, 1, 2, 3, 4, 5]) AS pos,
+             unnest([lang = 'de', lang = 'en', lang = 'es', lang = 'fr', quality = 1, toxic = 1]) AS y FROM d)
+SELECT doc_id, CAST(pos AS INTEGER) AS pos,
+       CAST((row_number() OVER (PARTITION BY pos, y ORDER BY h, CAST(doc_id AS VARCHAR)) - 1) % 3 AS INTEGER) AS fold FROM y""")
+def calibration_folds(spark, sf):
+    docs = texts(spark, sf).join(table(spark, sf, "labels"), "doc_id")
+    flags = [(F.col("lang") == l).cast("int") for l in LANGS] + [F.col("quality"), F.col("toxic")]
+    rows = training.assign_folds(docs.select("doc_id", F.array(*flags).alias("y")), len(TRAIN_LABELS), "doc_id")
+    return rows.select("doc_id", F.posexplode("fold").alias("pos", "fold"))
 
 
 @query("f8_h12_h14_compare_train_evaluate")
@@ -188,7 +211,7 @@ def compare_train_evaluate(spark, sf):
     """Both algorithms, the better one stored, read back and evaluated on all labelled documents."""
     out = work_path(spark, "model")
     rows = training_rows(spark, sf)
-    experiment.train(rows, TRAIN_LABELS, TRAIN_GROUPS, out, "compare", max_features=500)
+    experiment.train(rows, TRAIN_LABELS, TRAIN_GROUPS, out, "compare", max_features=30000)
     _, per_label = experiment.evaluate_stored(rows, out)
     return per_label.select(*_RUN_COLUMNS)
 
@@ -258,14 +281,13 @@ def configured(spark, sf):
 
 @query("h1_h2_per_label", f"""
 WITH {fr.METRICS}
-SELECT label, threshold, tp, fp, tn, fn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1
+SELECT label, threshold, tp, fp, tn, fn, round(precision, 4) AS precision, round(recall, 4) AS recall, round(f1, 4) AS f1
 FROM scored JOIN tuned USING (label)""")
 def per_label(spark, sf):
     rows, labels = _scored(spark, sf)
     cuts = thresholds.threshold_list(thresholds.tune(rows, labels), labels)
-    return metrics.per_label(metrics.confusion(rows, labels, cuts)).select(
-        "label", "threshold", "tp", "fp", "tn", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")]
-    )
+    found = metrics.per_label(metrics.confusion(rows, labels, cuts))
+    return runs.recorded(found).select("label", "threshold", "tp", "fp", "tn", "fn", "precision", "recall", "f1")
 
 
 _AUC = """, ranked AS (SELECT label, y, rank() OVER (PARTITION BY label ORDER BY score)
@@ -281,6 +303,18 @@ def roc_auc(spark, sf):
     return metrics.roc_auc(rows, labels).select("label", F.round("auc", 6).alias("auc"))
 
 
+@query("h3_roc_auc_unguarded", f"""
+WITH {fr.TRUTH}{_AUC} SELECT label, round(auc, 6) AS auc FROM auc
+UNION ALL SELECT 'never', NULL UNION ALL SELECT 'always', -1.0""")
+def roc_auc_unguarded(spark, sf):
+    """Without the guard for labels of one class: no positives give null, no negatives NaN (shown as -1)."""
+    rows, labels = _scored(spark, sf)
+    both = rows.select(
+        F.concat("y", F.array(F.lit(0), F.lit(1))).alias("y"), F.concat("scores", F.array(F.lit(0.5), F.lit(0.5))).alias("scores"))
+    found = metrics.roc_auc(both, [*labels, "never", "always"], single_class_null=False)
+    return found.select("label", F.when(F.isnan("auc"), -1.0).otherwise(F.round("auc", 6)).alias("auc"))
+
+
 @query("h4_h11_summary", f"""
 WITH {fr.METRICS}, exact AS (
   SELECT avg(CAST(ok AS DOUBLE)) AS e, count(*) AS n FROM (
@@ -323,11 +357,11 @@ def _threshold_runs(spark, sf):
 
 
 @query("h13_best_run", _RUNS_SQL + """
-SELECT experiment_id, run_no, round(micro_f1, 6) AS micro_f1, round(macro_f1, 6) AS macro_f1
-FROM r ORDER BY r.micro_f1 DESC, r.macro_f1 DESC, run_no LIMIT 1""")
+SELECT experiment_id, run_no, round(micro_f1, 4) AS micro_f1, round(macro_f1, 4) AS macro_f1
+FROM r ORDER BY round(r.micro_f1, 4) DESC, round(r.macro_f1, 4) DESC, run_no LIMIT 1""")
 def best_run(spark, sf):
     summaries, _ = _threshold_runs(spark, sf)
-    return runs.best_run(summaries).withColumns({c: F.round(c, 6) for c in ("micro_f1", "macro_f1")})
+    return runs.best_run(summaries)
 
 
 @query("h15_weak_labels", _RUNS_SQL + """

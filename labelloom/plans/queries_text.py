@@ -17,7 +17,7 @@ GROUPS = [
     ("fr", (" le ", " et ", "eau", "ê")),
     ("symbols", ("%%%", "###", "***", "http")),
 ]
-MAX_FEATURES = 300
+MAX_FEATURES = 3000
 
 _NORMED = f"n AS (SELECT doc_id, {fr.sql_norm()} AS t FROM documents)"
 _GRAMS = _NORMED + f""", w AS (SELECT doc_id, {fr.sql_words()} AS w FROM n),

@@ -84,11 +84,14 @@ def catalog_from_tools(tools: DataFrame) -> DataFrame:
 
 
 def catalog_from_keywords(keywords: DataFrame) -> DataFrame:
-    """Catalog from distinct (label, keyword) pairs when no description exists."""
+    """Catalog from (label, keyword, pos) rows when no description exists; keywords keep order and repeats.
+
+    A catalog is a dimension: a label's keyword list is one cell of it.
+    """
     return keywords.groupBy("label").agg(
         F.concat(F.lit("Tool: "), F.col("label")).alias("description"),
         F.lit("auto").alias("category"),
-        F.array_sort(F.collect_set("keyword")).alias("keywords"),
+        F.array_sort(F.collect_list(F.struct("pos", "keyword")))["keyword"].alias("keywords"),
     )
 
 

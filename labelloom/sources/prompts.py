@@ -14,8 +14,9 @@ from labelloom.operators import adapters
 RECORD_SCHEMA = "prompt string, relevant_tools array<string>"
 
 
-def read_prompt_records(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
-    """Prompt records from JSON: a list of objects, or one object per line (``multiline=False``)."""
+def read_prompt_records(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """Prompt records from JSON: one object per line, or a list of objects (``multiline``), which is
+    one task per file."""
     return complete_records(spark.read.schema(RECORD_SCHEMA).json(path, multiLine=multiline))
 
 
@@ -27,23 +28,24 @@ def complete_records(df: DataFrame) -> DataFrame:
     )
 
 
-def read_table(spark: SparkSession, path: str, fmt: str = "csv", multiline: bool = True) -> DataFrame:
-    """Labelled table as stored. CSV columns stay text; ``multiline=False`` lets Spark split CSV
-    files whose quoted cells hold no line breaks."""
+def read_table(spark: SparkSession, path: str, fmt: str = "csv", multiline: bool = False) -> DataFrame:
+    """Labelled table as stored. CSV columns stay text; ``multiline`` is for files whose quoted cells
+    hold line breaks and which Spark then cannot split."""
     if fmt == "csv":
         return spark.read.csv(path, header=True, escape='"', multiLine=multiline)
     return spark.read.format(fmt).load(path)
 
 
 def load_labelled(
-    spark: SparkSession, path: str, labels: Sequence[str], fmt: str = "csv", multiline: bool = True
+    spark: SparkSession, path: str, labels: Sequence[str], fmt: str = "csv", multiline: bool = False
 ) -> DataFrame:
     """Read, detect the layout, convert and validate: (prompt, y)."""
     return adapters.to_canonical(read_table(spark, path, fmt, multiline), labels)
 
 
 def load_sources(
-    spark: SparkSession, source: str, paths: dict[str, str], labels: Sequence[str], fmt: str = "csv"
+    spark: SparkSession, source: str, paths: dict[str, str], labels: Sequence[str], fmt: str = "csv",
+    multiline: bool = False,
 ) -> DataFrame:
     """Labelled rows of one named source, or of all of them for 'combined'."""
     if source == "combined":
@@ -52,9 +54,9 @@ def load_sources(
         names = [source]
     else:
         raise ValueError(f"unknown source: {source}")
-    out = load_labelled(spark, paths[names[0]], labels, fmt)
+    out = load_labelled(spark, paths[names[0]], labels, fmt, multiline)
     for name in names[1:]:
-        out = out.unionByName(load_labelled(spark, paths[name], labels, fmt))
+        out = out.unionByName(load_labelled(spark, paths[name], labels, fmt, multiline))
     return out
 
 
@@ -74,8 +76,11 @@ def long_table(records: DataFrame, labels: Sequence[str], keep: Sequence[str] =
 
 
 def write_long_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Training pairs, one partition folder per tool so a per-tool read skips the rest."""
+    """Training pairs, one partition folder per tool so a per-tool read skips the rest.
+
+    Rows are rebalanced by tool first: few files for a small tool, several for a large one.
+    """
     if fmt == "csv":
         df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     else:
-        df.write.mode("overwrite").partitionBy("tool").format(fmt).save(path)
+        df.hint("rebalance", "tool").write.mode("overwrite").partitionBy("tool").format(fmt).save(path)

@@ -36,10 +36,16 @@ def run_labels_of(records: DataFrame) -> DataFrame:
     )
 
 
+def recorded(df: DataFrame) -> DataFrame:
+    """Metrics as a run record holds them: four digits; comparisons use the record."""
+    names = [c for c in (*METRICS, "precision", "recall", "f1", "auc") if c in df.columns]
+    return df.withColumns({c: F.round(c, 4) for c in names})
+
+
 def append_run(path: str, summary: DataFrame, per_label: DataFrame) -> None:
     """Add a run to the two run tables under ``path``."""
-    summary.write.mode("append").partitionBy("experiment_id").parquet(f"{path}/runs")
-    per_label.write.mode("append").partitionBy("experiment_id").parquet(f"{path}/run_label_metrics")
+    recorded(summary).write.mode("append").partitionBy("experiment_id").parquet(f"{path}/runs")
+    recorded(per_label).write.mode("append").partitionBy("experiment_id").parquet(f"{path}/run_label_metrics")
 
 
 def read_runs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -47,7 +53,8 @@ def read_runs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def best_run(runs: DataFrame) -> DataFrame:
-    """Highest micro F1, then macro F1; the earliest ``run_no`` on a full tie."""
+    """Highest recorded micro F1, then macro F1; the earliest ``run_no`` on a full tie."""
+    runs = recorded(runs)
     best = F.max_by(F.struct(*runs.columns), F.struct("micro_f1", "macro_f1", (-F.col("run_no")).alias("r")))
     return runs.agg(best.alias("b")).select("b.*")
 

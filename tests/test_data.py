@@ -68,7 +68,7 @@ def test_csv_round_trip(spark, tmp_path):
     path = str(tmp_path / "x.csv")
     with open(path, "w") as f:
         f.write('prompt,tool,label\n"line one\nline ""two""",a,1\nplain,b,1\nplain,a,0\n')
-    assert rows(prompts.load_labelled(spark, path, L)) == {'line one\nline "two"': [1, 0, 0], "plain": [0, 1, 0]}
+    assert rows(prompts.load_labelled(spark, path, L, multiline=True)) == {'line one\nline "two"': [1, 0, 0], "plain": [0, 1, 0]}
     with pytest.raises(Exception):
         prompts.load_labelled(spark, str(tmp_path / "none.csv"), L)
     with pytest.raises(ValueError):

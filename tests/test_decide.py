@@ -143,12 +143,23 @@ def test_rendering(spark):
     assert first == ["List stars.", "List repository stars.", "Show all repository stars.", "What repository stars exist?",
                      "Give me every repository.", "Could you list stars?", "I'd like to list stars.", "Please list stars.",
                      "Can you help me list stars?", "I need you to list stars.", "Would you list stars?",
-                     "Go ahead and list stars.", "For this repo, list stars."]
+                     "Go ahead and list stars.", "For this repo, list stars.", "Right now I need to list stars."]
     second = [r["text"] for r in got if r["pos"] == 1]
     assert second[:4] == ["Get the thing.", "Can you get the thing?", "Show me commit.", "What is commit?"]
     assert len(second) == len(set(second)) and all(t[-1] in "?." for t in second)
 
 
+def test_occupied_candidates_do_not_leave_a_label_short(spark):
+    thin = spark.createDataFrame(
+        [(0, "list_stars", "List {noun} stars.", "repository_stars", 2)],
+        "pos bigint, label string, description string, category string, need bigint")
+    rendered = coverage.render(thin).orderBy("attempt").collect()
+    assert all("{noun} stars" in r["text"] for r in rendered if "stars" in r["text"] and "epository stars" not in r["text"])
+    old = spark.createDataFrame([(r["text"],) for r in rendered[:12]], "prompt string")
+    got = coverage.pick_new(coverage.render(thin), old).collect()
+    assert {r["text"] for r in got} == {r["text"] for r in rendered[12:14]} and len(got) == 2
+
+
 def test_thin_labels_and_merge(spark):
     catalog = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "pos bigint, label string")
     counts = spark.createDataFrame([("a", 12), ("b", 9)], "label string, n bigint")

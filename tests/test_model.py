@@ -152,22 +152,25 @@ def test_calibrated_svm(spark):
     assert [got[str(i)] for i in range(len(x))] == pytest.approx(expected)
 
 
-def test_folds_are_balanced_within_thin_classes(spark, monkeypatch):
+def test_folds_are_balanced_whatever_the_number_of_cells(spark, monkeypatch):
     df, _, y = dataset(spark)
-    got = training.assign_folds(df, 4).select("y", "fold").collect()
-    for j in (0, 1):
-        for v in (0, 1):
-            sizes = np.bincount([r["fold"][j] for r in got if r["y"][j] == v], minlength=3)
-            assert sizes.max() - sizes.min() <= 1
-    monkeypatch.setattr(training, "THIN_CLASS", 0)
-    hashed = training.assign_folds(df, 4).select("fold").collect()
-    assert all(len(set(r[0])) == 1 for r in hashed) and {r[0][0] for r in hashed} == {0, 1, 2}
+    found = []
+    for together in (512, 3):
+        monkeypatch.setattr(training, "RANKED_TOGETHER", together)
+        got = training.assign_folds(df, 4).select("prompt", "y", "fold").collect()
+        found.append(sorted((r["prompt"], r["fold"]) for r in got))
+        for j in (0, 1):
+            for v in (0, 1):
+                sizes = np.bincount([r["fold"][j] for r in got if r["y"][j] == v], minlength=3)
+                assert sizes.max() - sizes.min() <= 1
+    assert found[0] == found[1]
 
 
 def test_partial_sums_added_on_executors(spark, monkeypatch):
     df, *_ = dataset(spark, n=60)
     direct, _ = training.fit_models(df, ["a", "b", "none", "all"], 12)
     monkeypatch.setattr(training, "DIRECT_PARTIALS", 1)
+    monkeypatch.setattr(training, "SLICE_CELLS", 5)
     monkeypatch.setattr(training, "GROUP_CELLS", 13)
     staged, _ = training.fit_models(df, ["a", "b", "none", "all"], 12)
     assert staged.weights == pytest.approx(direct.weights, abs=1e-8)
