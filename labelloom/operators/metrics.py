@@ -12,7 +12,6 @@ from labelloom.functions.columns import double_array, ratio, str_array
 from labelloom.operators.scoring import predict
 from labelloom.operators.thresholds import label_cells
 
-GRID = 65_536
 ROW = -1
 
 
@@ -63,16 +62,17 @@ def per_label(counts: DataFrame) -> DataFrame:
 def roc_auc(df: DataFrame, labels: Sequence[str], single_class_null: bool = True) -> DataFrame:
     """(pos, label, auc): Mann-Whitney with ties counted half, exact.
 
-    Equal scores are counted first. A grid over the score range then splits every label into up to
-    65,536 ordered cells: pairs inside a cell come from a window over that cell only, pairs across
-    cells from a running sum over cell totals. No task ever holds all scores of a label.
+    Equal scores are counted first. The counts are then range partitioned by label and score, so that
+    cells hold equally many distinct scores however crowded some part of the range is: pairs inside a
+    cell come from a window over that cell only, pairs across cells from a running sum over cell
+    totals. No task ever holds all scores of a label.
     """
-    clipped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score")))
     counts = (
         label_cells(df.select("y", F.col("scores").alias("score")), "y", "score")
         .groupBy("pos", "score")
         .agg(F.sum("y").cast("double").alias("p"), F.sum(1 - F.col("y")).cast("double").alias("n"))
-        .withColumn("cell", F.least(F.floor(clipped * GRID), F.lit(GRID - 1)).cast("int"))
+        .repartitionByRange("pos", "score")
+        .withColumn("cell", F.spark_partition_id())
     )
     inside = W.partitionBy("pos", "cell").orderBy("score").rowsBetween(W.unboundedPreceding, -1)
     below = F.coalesce(F.sum("n").over(inside), F.lit(0.0))

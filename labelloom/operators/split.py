@@ -37,13 +37,14 @@ def exact_split(
     """Split with exact sizes: ceil(n * test) test rows, then ceil of the validation share of the rest.
 
     Rows are ranked by hash without a global sort: a histogram over the leading hash digits tells
-    which cells lie wholly inside one part; only the few cells that a cut runs through are ranked.
-    With ``stratum`` the sizes hold inside every stratum. ``key`` must be unique.
+    which cells lie wholly inside one part; the few cells that a cut runs through get a histogram over
+    the next digits, and only the cells of that which are cut again, a sixteen-millionth of the rows
+    each, are ranked. With ``stratum`` the sizes hold inside every stratum. ``key`` must be unique.
     """
     group = [stratum] if stratum else []
     digest = F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
-    hashed = df.withColumn("_h", digest).withColumn(
-        "_cell", F.conv(F.substring("_h", 1, 3), 16, 10).cast("int")
+    hashed = df.withColumn("_h", digest).withColumns(
+        {c: F.conv(F.substring("_h", at, 3), 16, 10).cast("int") for c, at in (("_cell", 1), ("_sub", 4))}
     )
     cells = hashed.groupBy(*group, "_cell").agg(F.count(F.lit(1)).alias("_n"))
     # At most CELLS rows per stratum meet in one window.
@@ -56,11 +57,11 @@ def exact_split(
     n_test = F.ceil(F.round(size * F.lit(test), 6))
     n_val = F.ceil(F.round((size - n_test) * F.lit(share), 6))
     cells = cells.withColumn("_before", before).withColumn("_t", n_test).withColumn("_v", n_test + n_val)
-    first, last = F.col("_before"), F.col("_before") + F.col("_n")
-    crossed = (
-        ((first < F.col("_t")) & (last > F.col("_t"))) | ((first < F.col("_v")) & (last > F.col("_v")))
-    )
-    cells = cells.withColumn("_cut", crossed)
+
+    def crossed(first: Column, last: Column) -> Column:
+        return ((first < F.col("_t")) & (last > F.col("_t"))) | ((first < F.col("_v")) & (last > F.col("_v")))
+
+    cells = cells.withColumn("_cut", crossed(F.col("_before"), F.col("_before") + F.col("_n"))).drop("_n")
 
     def part(rank: Column) -> Column:
         return F.when(rank < F.col("_t"), "test").when(rank < F.col("_v"), "val").otherwise("train")
@@ -69,9 +70,20 @@ def exact_split(
     side = F.broadcast(cells) if stratum is None else small_side(cells, 64 * CELLS)
     joined = hashed.join(side, [*group, "_cell"])
     sure = joined.filter(~F.col("_cut")).withColumn("split", part(F.col("_before")))
-    inner = F.row_number().over(W.partitionBy(*group, "_cell").orderBy("_h", key))
-    edge = joined.filter("_cut").withColumn("split", part(F.col("_before") + inner - 1))
-    return sure.unionByName(edge).select(*df.columns, "split")
+    edge = joined.filter("_cut").drop("_cut", "_before")
+    place = [*group, "_cell"]
+    below = F.sum("_n").over(W.partitionBy(*place).orderBy("_sub").rowsBetween(W.unboundedPreceding, -1))
+    subs = edge.groupBy(*place, "_sub", "_t", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    subs = subs.join(cells.filter("_cut").select(*place, "_before"), place)
+    subs = subs.withColumn("_from", F.col("_before") + F.coalesce(below, F.lit(0)))
+    subs = subs.withColumn("_cut", crossed(F.col("_from"), F.col("_from") + F.col("_n"))).select(*place, "_sub", "_from", "_cut")
+    # Each cut runs through one cell, so there are two cells of at most CELLS sub-cells per stratum.
+    near = edge.join(F.broadcast(subs) if stratum is None else subs, [*place, "_sub"])
+    inside = near.filter(~F.col("_cut")).withColumn("split", part(F.col("_from")))
+    inner = F.row_number().over(W.partitionBy(*place, "_sub").orderBy("_h", key))
+    ranked = near.filter("_cut").withColumn("split", part(F.col("_from") + inner - 1))
+    return sure.select(*df.columns, "split").unionByName(inside.select(*df.columns, "split")).unionByName(
+        ranked.select(*df.columns, "split"))
 
 
 def split_sizes(n: int, test: float = 0.2, validation: float = 0.1) -> tuple[int, int, int]:
