@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 from tokenizers import Tokenizer
 
+from labelloom.llm.shipping import ship
+
 LEAF = 4096
 
 # The pre-token pattern of byte-level vocabularies.
@@ -166,6 +168,7 @@ def _slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
 
 def share_vocabulary(df: DataFrame, path: str) -> Broadcast:
     """The vocabulary file (a fixed one or two megabytes), read once and shipped to the executors."""
+    ship(df.sparkSession)
     with open(path, encoding="utf-8") as f:
         text = f.read()
     json.loads(text)

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labelloom.llm.shipping import ship
+
 CHUNK_BYTES = 8 << 20
 SHARD_BYTES = 16 << 20
 NO_ID = -(2**63)
@@ -46,6 +48,7 @@ def lay_out(
     chunk_bytes: int = CHUNK_BYTES, shard_bytes: int = SHARD_BYTES,
 ) -> Layout:
     """Deal documents to chunks by a hash of their key; counts follow the bytes of text."""
+    ship(docs.sparkSession)
     size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0))).first()[0]
     chunks, shards = max(1, -(-size // chunk_bytes)), max(1, -(-size // shard_bytes))
     dealt = docs.select(

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StringType, StructField
 
 from labelloom.llm import words as W
+from labelloom.llm.shipping import ship
 from labelloom.session import cut_lineage
 
 WINDOW = 10
@@ -220,6 +221,7 @@ def contaminate(
     documents have no words. Rows are independent, other columns pass through; those named like the
     results are replaced. Repeated item ids count once.
     """
+    ship(docs.sparkSession)
     results = ("n_words", "n_hit", "items", "hit_bits", "contaminated", MARK, ITEMS, COUNT)
     kept = [c for c in docs.columns if c not in results]
     plain = docs.select(*[F.col(f"`{c}`") for c in kept])

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelloom.llm.shipping import ship
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TO_LOWER = str.maketrans(UPPER, LOWER)
 
@@ -99,6 +101,7 @@ def judge_urls(
     judged by its terms alone (null: none, so it is allowed). A term listed as strict and soft is
     strict. Rows are independent; other columns pass through, those named like results are replaced.
     """
+    ship(pages.sparkSession)
     vocabulary = vocabulary or Vocabulary()
     results = ("host", "path", "n_strict", "n_soft", "rule", "verdict")
     kept = [c for c in pages.columns if c == url or c not in results]
