@@ -14,7 +14,7 @@ from labelloom.functions.labels import to_long
 from labelloom.operators import features, metrics, quality, scoring, thresholds, training
 from labelloom.plans import experiment
 from labelloom.plans import fragments as fr
-from labelloom.plans.queries_text import _ALL, GROUPS, _docs, _vocabulary
+from labelloom.plans.queries_text import _ALL, _VOCAB, GROUPS, _docs, _vocabulary
 from labelloom.plans.registry import query, table, texts
 from labelloom.session import work_path
 from labelloom.sources import artifacts, runs
@@ -206,6 +206,68 @@ def calibration_folds(spark, sf):
     return rows.select("doc_id", F.posexplode("fold").alias("pos", "fold"))
 
 
+# Two yes/no features of the labelled documents, so that Newton steps run over a handful of cells.
+_TWO = f"""d AS (SELECT doc_id, quality AS y, contains(t, ' the ')::INT AS x1, contains(t, '###')::INT AS x2,
+             substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS h
+      FROM (SELECT l.doc_id, l.quality, {fr.sql_norm("d.text")} AS t FROM documents d JOIN labels l ON l.doc_id = d.doc_id))"""
+
+
+def _newton(p: str, slope: str, curve: str, free: int) -> str:
+    """Newton steps on weighted cells (member, x1, x2, y, s): slope and curvature of the loss in the margin."""
+    det = "(h11 * (h22 * h33 - h23 * h23) - h12 * (h12 * h33 - h23 * h13) + h13 * (h12 * h23 - h22 * h13))"
+    return f"""
+nt AS (
+  SELECT member, 0 AS k, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c FROM (SELECT DISTINCT member FROM w)
+  UNION ALL
+  SELECT member, k + 1,
+         a - (g1 * (h22 * h33 - h23 * h23) - h12 * (g2 * h33 - h23 * g3) + h13 * (g2 * h23 - h22 * g3)) / {det},
+         b - (h11 * (g2 * h33 - g3 * h23) - g1 * (h12 * h33 - h23 * h13) + h13 * (h12 * g3 - g2 * h13)) / {det},
+         c - (h11 * (h22 * g3 - h23 * g2) - h12 * (h12 * g3 - g2 * h13) + g1 * (h12 * h23 - h22 * h13)) / {det}
+  FROM (SELECT member, k, a, b, c, sum(d1 * x1) + a AS g1, sum(d1 * x2) + b AS g2, sum(d1) + {1 - free} * c AS g3,
+               sum(d2 * x1) + 1 AS h11, sum(d2 * x1 * x2) AS h12, sum(d2 * x1) AS h13, sum(d2 * x2) + 1 AS h22,
+               sum(d2 * x2) AS h23, sum(d2) + {1 - free} AS h33
+        FROM (SELECT *, {slope} AS d1, {curve} AS d2
+              FROM (SELECT *, {p} AS p FROM (SELECT nt.*, x1, x2, z, s, z * (a * x1 + b * x2 + c) AS m FROM nt JOIN w USING (member) WHERE k < 40)))
+        GROUP BY member, k, a, b, c))
+SELECT CAST(member AS INTEGER) AS member, round(a, 3) AS w1, round(b, 3) AS w2, round(c, 3) AS intercept FROM nt WHERE k = 40"""
+
+
+_WEIGHTED = """, t AS (SELECT member, sum(n) AS n, sum(n) FILTER (y = 1) AS p FROM cells GROUP BY member),
+w AS (SELECT member, x1, x2, 2 * y - 1 AS z, cells.n * t.n / (2.0::DOUBLE * CASE WHEN y = 1 THEN t.p ELSE t.n - t.p END) AS s
+      FROM cells JOIN t USING (member)),"""
+
+
+def _two_features(spark, sf, algorithm):
+    docs = texts(spark, sf).select("doc_id", "text").join(table(spark, sf, "labels"), "doc_id")
+    docs = docs.select("doc_id", F.array("quality").alias("y"), tx.normalize(F.col("text")).alias("t"))
+    flags = F.array(F.contains("t", F.lit(" the ")), F.contains("t", F.lit("###")))
+    cells = F.filter(F.transform(flags, lambda v, i: F.when(v, i)), lambda i: i.isNotNull())
+    path = work_path(spark, "encoded")
+    docs.select("doc_id", "y", cells.alias("indices")).withColumn(
+        "values", F.transform("indices", lambda _: F.lit(1.0))).write.parquet(path)
+    model, _ = training.fit_models(spark.read.parquet(path), ["quality"], 2, algorithm, key="doc_id", tol=1e-9)
+    rows = [(m, *(round(float(x), 3) for x in (*model.weights[:, m], model.intercepts[m]))) for m in range(model.weights.shape[1])]
+    return spark.createDataFrame(rows, "member int, w1 double, w2 double, intercept double")
+
+
+@query("f1_logistic_weights", f"""
+WITH RECURSIVE {_TWO}, cells AS (SELECT 0 AS member, x1, x2, y, count(*) AS n FROM d GROUP BY ALL){_WEIGHTED}
+{_newton("1 / (1 + exp(m))", "-s * z * p", "s * p * (1 - p)", 1)}""")
+def logistic_weights(spark, sf):
+    """Weights of a logistic regression on two features, against Newton steps in SQL."""
+    return _two_features(spark, sf, "logistic_regression")
+
+
+@query("f2_svm_weights", f"""
+WITH RECURSIVE {_TWO},
+f AS (SELECT *, (row_number() OVER (PARTITION BY y ORDER BY h, CAST(doc_id AS VARCHAR)) - 1) % 3 AS fold FROM d),
+cells AS (SELECT member, x1, x2, y, count(*) AS n FROM f, (SELECT unnest([0, 1, 2]) AS member) WHERE fold <> member GROUP BY ALL){_WEIGHTED}
+{_newton("greatest(1 - m, 0)", "-2 * s * z * p", "CASE WHEN p > 0 THEN 2 * s ELSE 0 END", 0)}""")
+def svm_weights(spark, sf):
+    """Weights of the three fold members of a squared-hinge SVM, against Newton steps in SQL."""
+    return _two_features(spark, sf, "linear_svm")
+
+
 @query("f8_h12_h14_compare_train_evaluate")
 def compare_train_evaluate(spark, sf):
     """Both algorithms, the better one stored, read back and evaluated on all labelled documents."""
@@ -217,8 +279,12 @@ def compare_train_evaluate(spark, sf):
 
 
 @query("a8_model_artifact", """
-SELECT lang AS label, CAST(row_number() OVER (ORDER BY lang) - 1 AS INTEGER) AS member, 0.25::DOUBLE AS threshold
-FROM (SELECT DISTINCT lang FROM documents)""")
+WITH l AS (SELECT lang AS label, CAST(row_number() OVER (ORDER BY lang) - 1 AS INTEGER) AS member FROM (SELECT DISTINCT lang FROM documents)),
+i AS (SELECT unnest(range((SELECT count(*) + 13 FROM vocab))) AS idx)
+SELECT label, member, 0.25::DOUBLE AS threshold, count(*) AS weights,
+       round(sum(w), 6) AS weight_sum, round(sum(w * idx), 3) AS weight_moment
+FROM (SELECT label, member, idx, (BUCKET - 500) / 500.0::DOUBLE AS w FROM l, i) GROUP BY label, member""".replace(
+    "BUCKET", fr.sql_bucket("label || '|' || idx")).replace("WITH l AS", f"WITH {_VOCAB}, l AS"))
 def model_artifact(spark, sf):
     """Save a model built on the table's vocabulary, read it back, list its members and thresholds."""
     space = features.space_from_vocabulary(_vocabulary(spark, sf), GROUPS)
@@ -228,9 +294,11 @@ def model_artifact(spark, sf):
     artifacts.save_model(spark, path, space, artifacts.with_threshold_table(fixed, tuned), {"source": "fixed"})
     again, model, _ = artifacts.load_model(spark, path)
     assert again == space and np.array_equal(model.weights, fixed.weights)
-    members = artifacts.coefficient_table(spark, path).select("member", "label_pos").distinct()
+    members = artifacts.coefficient_table(spark, path).groupBy("member", "label_pos").agg(
+        F.count(F.lit(1)).alias("weights"), F.round(F.sum("w"), 6).alias("weight_sum"),
+        F.round(F.sum(F.col("w") * F.col("idx")), 3).alias("weight_moment"))
     names = spark.read.parquet(f"{path}/labels").select(F.col("pos").alias("label_pos"), "label", "threshold")
-    return members.join(names, "label_pos").select("label", "member", "threshold")
+    return members.join(names, "label_pos").select("label", "member", "threshold", "weights", "weight_sum", "weight_moment")
 
 
 # --- thresholds ----------------------------------------------------------------------------------
