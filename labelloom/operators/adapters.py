@@ -19,6 +19,7 @@ def normalize_headers(df: DataFrame) -> DataFrame:
 def detect_schema(columns: Sequence[str], labels: Sequence[str]) -> str:
     """canonical, paired_rows, json_tools_col or unknown; reads column names only."""
     names = {c.strip().lower() for c in columns}
+    # The names of the layouts and of the columns that tell them, in the order of the rules.
     if "prompt" not in names:
         return "unknown"
     if names.issuperset(labels):
@@ -64,6 +65,7 @@ def from_label_lists(df: DataFrame, labels: Sequence[str], keep: Sequence[str] =
 def from_wide(df: DataFrame, labels: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """One column per label to (keep.., prompt, y)."""
     missing = [c for c in ["prompt", *labels] if c not in df.columns]
+    # Fixed value: the message is part of the contract.
     if missing:
         raise ValueError(f"Missing columns: {missing}")
     return df.select(*keep, "prompt", F.array(*[lb.coerce(F.col(f"`{l}`")) for l in labels]).alias("y"))

@@ -71,6 +71,7 @@ def thin_labels(catalog: DataFrame, counts: DataFrame, target: int = 10) -> Data
 def template_family(label: Column, operation: Column, category: Column) -> Column:
     """Phrasing family from the label's name, then from the operation type."""
     name = F.lower(label)
+    # The prefixes and their order decide the family.
 
     def starts(*prefixes: str) -> Column:
         out = F.startswith(name, F.lit(prefixes[0]))

@@ -58,6 +58,7 @@ def route(df: DataFrame, labels: Sequence[str], policy: Policy, selected: Column
                 ),
             ).otherwise(s),
         )
+    # The wording of the notes (DEPENDENCY, MANDATORY, BANNED, MINIMUM).
     if policy.mandatory:
         state = F.aggregate(
             str_array(sorted(set(policy.mandatory))),

@@ -125,6 +125,7 @@ def threshold_map(thresholds: dict[str, float]) -> Column:
 def explain(version: str, algorithm: str, thresholds: dict[str, float]) -> Column:
     """Readable text of a selection: header, then one line per selected and per rejected label."""
     cut = threshold_map(thresholds)
+    # The wording and the column widths of the text.
 
     def lines(column: str, tag: str) -> Column:
         return F.transform(

@@ -392,6 +392,17 @@ def quality_report(spark, sf):
     return quality.quality_report(_quality_input(spark, sf), QUALITY_LABELS).select("check_no", "label", "n", "message")
 
 
+@query("c8_rows_without_labels", f"""
+WITH {_QUALITY_INPUT}, z AS (SELECT count(*) AS n FROM merged WHERE de = 0 AND fr = 0)
+SELECT 3 AS check_no, NULL AS label, n, 'Found ' || n || ' prompts with no tool selected — kept (valid negative examples)' AS message
+FROM z WHERE n > 0""")
+def rows_without_labels(spark, sf):
+    """The report's check for prompts without any label, on labels that leave some."""
+    rows = _quality_input(spark, sf).withColumn("y", F.slice("y", 1, 2))
+    report = quality.quality_report(rows, QUALITY_LABELS[:2])
+    return report.filter("check_no = 3").select("check_no", "label", "n", "message")
+
+
 @query("c1_blank_prompts", f"""
 SELECT count(*) AS n_rows, count(*) FILTER ({fr.sql_strip("html")} = '') AS blank,
        count(*) FILTER ({fr.sql_strip("html")} <> '') AS kept
