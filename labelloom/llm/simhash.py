@@ -1,14 +1,14 @@
 """SimHash near-duplicates by tiled exact comparison.
 
 Fingerprints that differ are sorted by the population counts of their four 16-bit quarters and cut
-into tiles of a fixed size. Two fingerprints within the radius differ by at most the radius in the
+into tiles of a fixed size, however many partitions they come in. Two fingerprints within the radius differ by at most the radius in the
 sum of their quarters' population counts, so a pair of tiles whose count boxes lie farther apart is
 skipped without being looked at; within a pair of tiles the same test skips sub-tiles. What remains
 is compared exactly with exclusive-or and bit counts.
 
 A group of mutually near fingerprints is never written out as pairs: every tile pair returns a
-spanning forest of its links. The forests are joined to components by label propagation with
-pointer jumping on a table of distinct fingerprints, checkpointed between passes.
+spanning forest of its links. The forests are joined to components by label propagation on a table
+of distinct fingerprints, written between passes.
 """
 
 from __future__ import annotations
@@ -19,11 +19,11 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from labelloom.llm import words as W
-from labelloom.session import durable_dir, work_path
+from labelloom.llm.shipping import ship
+from labelloom.session import cut_lineage, durable_dir, work_path
 
 SHINGLE = 4
 RADIUS = 4
@@ -63,6 +63,7 @@ def shingle_hashes(raw: bytes, width: int) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint", shingle: int = SHINGLE) -> DataFrame:
     """Add a 64-bit fingerprint (long) to every row; null and empty texts give zero."""
+    ship(docs.sparkSession)
     kept = [c for c in docs.columns if c not in (out, text)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,8 +136,9 @@ def compare_tiles(left: np.ndarray, right: np.ndarray, radius: int, same: bool)
     return everything[member], everything[forest.root[member]]
 
 
-def tiles_of(distinct: DataFrame, tile: int) -> DataFrame:
-    """Sorted tiles: ``part``, ``number``, ``box`` (least and largest quarter counts) and packed ``prints``."""
+def pieces_of(distinct: DataFrame, tile: int) -> DataFrame:
+    """Sorted pieces of at most ``tile`` fingerprints: ``id`` in sort order, ``size``, ``box`` (least and
+    largest quarter counts) and packed ``prints``."""
     byte = [F.bit_count(F.shiftrightunsigned("fp", 16 * q).bitwiseAND(F.lit(0xFFFF))) for q in range(4)]
     parts = max(1, -(-distinct.count() // tile))
     ordered = distinct.select("fp", *[b.alias(f"q{q}") for q, b in enumerate(byte)]).repartitionByRange(
@@ -154,38 +156,51 @@ def tiles_of(distinct: DataFrame, tile: int) -> DataFrame:
             cut = prints[at:at + tile]
             c = quarter_counts(cut)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([number], pa.int32()),
+                [pa.array([part * 2**20 + number], pa.int64()), pa.array([len(cut)], pa.int64()),
                  pa.array([[*c.min(0).tolist(), *c.max(0).tolist()]], pa.list_(pa.int32())),
-                 pa.array([cut.tobytes()], pa.binary())], names=["part", "number", "box", "prints"])
+                 pa.array([cut.tobytes()], pa.binary())], names=["id", "size", "box", "prints"])
 
-    return ordered.mapInArrow(run, "part int, number int, box array<int>, prints binary")
+    return ordered.mapInArrow(run, "id long, size long, box array<int>, prints binary")
+
+
+def assign_tiles(pieces: list[tuple[int, int, list[int]]], tile: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Neighbouring pieces (id, size, box) gathered to tiles of at most ``tile``: (id, tile) pairs and tile boxes."""
+    owner, boxes, filled = [], [], tile
+    for number, size, box in sorted(pieces):
+        if filled + size > tile:
+            boxes.append(box)
+            filled = 0
+        last = boxes[-1]
+        boxes[-1] = [*map(min, last[:4], box[:4]), *map(max, last[4:], box[4:])]
+        filled += size
+        owner.append((number, len(boxes) - 1))
+    return owner, np.array(boxes, np.int64).reshape(-1, 8)
 
 
 def link_fingerprints(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """Links (a, b) that connect what the radius connects; ``distinct`` has one column ``fp``.
 
-    The driver sees one box of eight counts per tile, not fingerprints.
+    The driver sees one box of eight counts per piece, not fingerprints.
     """
     spark = distinct.sparkSession
-    path = work_path(spark, "tiles")
-    tiles_of(distinct, tile).write.parquet(path)
-    tiles = spark.read.parquet(path)
-    boxes = sorted((r["part"], r["number"], r["box"]) for r in tiles.select("part", "number", "box").toLocalIterator())
-    ids = [p * 2**20 + n for p, n, _ in boxes]
-    box = np.array([b for _, _, b in boxes], np.int64).reshape(-1, 8)
+    path = work_path(spark, "pieces")
+    pieces_of(distinct, tile).write.parquet(path)
+    pieces = spark.read.parquet(path)
+    owner, box = assign_tiles([(r["id"], r["size"], r["box"]) for r in pieces.select("id", "size", "box").collect()], tile)
     pairs = []
-    for i in range(len(ids)):
+    for i in range(len(box)):
         near = np.flatnonzero(_apart(box[i, :4], box[i, 4:], box[i:, :4], box[i:, 4:]) <= radius) + i
-        pairs += [(ids[i], ids[j]) for j in near]
-    wanted = spark.createDataFrame(pairs or [(0, 0)], "a long, b long").repartition(max(1, len(pairs)), "a", "b")
-    numbered = tiles.select((F.col("part").cast("long") * 2**20 + F.col("number")).alias("id"), "prints")
-    left = numbered.select(F.col("id").alias("a"), F.col("prints").alias("x"))
-    right = numbered.select(F.col("id").alias("b"), F.col("prints").alias("y"))
+        pairs += [(i, int(j)) for j in near]
+    wanted = spark.createDataFrame(pairs or [(0, 0)], "a long, b long")
+    owned = pieces.join(spark.createDataFrame(owner or [(0, 0)], "id long, tile long"), "id")
+    tiles = owned.groupBy("tile").agg(F.array_sort(F.collect_list(F.struct("id", "prints")))["prints"].alias("prints"))
+    left = tiles.select(F.col("tile").alias("a"), F.col("prints").alias("x"))
+    right = tiles.select(F.col("tile").alias("b"), F.col("prints").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                x, y = np.frombuffer(r["x"], np.uint64), np.frombuffer(r["y"], np.uint64)
+                x, y = (np.frombuffer(b"".join(r[side]), np.uint64) for side in "xy")
                 a, b = compare_tiles(x, y, radius, r["a"] == r["b"])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
@@ -197,8 +212,10 @@ def link_fingerprints(distinct: DataFrame, radius: int = RADIUS, tile: int = TIL
 def components(links: DataFrame, labels: DataFrame) -> DataFrame:
     """Smallest ``label`` reachable from each ``fp`` over undirected links (a, b).
 
-    Label propagation with pointer jumping: each pass takes the least label among the neighbours,
-    then follows labels to the labels they have got. Only fingerprints with a link take part.
+    Label propagation: each pass is one join and one aggregation over the links, with a loop at every
+    linked fingerprint so that its own label takes part. From the second pass on, labels are followed
+    to the labels they have got themselves, which shortens long chains. Only linked fingerprints
+    take part, and every pass is written to the shared folder.
     """
     spark = labels.sparkSession
 
@@ -207,20 +224,22 @@ def components(links: DataFrame, labels: DataFrame) -> DataFrame:
         df.write.parquet(path)
         return spark.read.parquet(path)
 
-    both = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    linked = both.select(F.col("a").alias("fp")).distinct()
-    now = stored(labels.join(linked, "fp").select("fp", F.col("label").alias("own"), "label"))
+    ways = F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x in "ab" for y in "ab"])
+    # The checkpoint keeps the links partitioned for the join of every pass.
+    edges = cut_lineage(links.select(F.explode(ways).alias("e")).select("e.*").repartition("b"))
+    now = labels.select("fp", F.col("label").alias("own"), "label")
+    passes = 0
     while True:
-        least = both.join(now.select(F.col("fp").alias("b"), "label"), "b").groupBy(F.col("a").alias("fp")).agg(
-            F.min("label").alias("near"))
-        spread = now.join(least, "fp").select("fp", "own", F.least("label", "near").alias("new"), "label")
-        root = now.select(F.col("own").alias("new"), F.col("label").alias("up"))
-        after = stored(spread.join(root, "new", "left").select(
-            "fp", "own", F.least("new", F.coalesce("up", "new")).alias("label"),
-            (F.least("new", F.coalesce("up", "new")) < F.col("label")).alias("moved")))
-        moved = after.filter("moved").limit(1).count()
-        now = after.drop("moved")
-        if not moved:
+        own = [F.max(F.when(F.col("a") == F.col("b"), F.col(c))).alias(n) for c, n in (("own", "own"), ("label", "old"))]
+        near = edges.join(now.withColumnRenamed("fp", "b"), "b").groupBy(F.col("a").alias("fp")).agg(
+            F.min("label").alias("label"), *own)
+        if passes:
+            root = now.select(F.col("own").alias("label"), F.col("label").alias("up"))
+            near = near.join(root, "label", "left").withColumn("label", F.least("label", "up"))
+        moved = Observation()
+        now = stored(near.observe(moved, F.count_if(F.col("label") < F.col("old")).alias("n")).select("fp", "own", "label"))
+        passes += 1
+        if not moved.get["n"]:
             break
     return labels.join(now.select("fp", F.col("label").alias("component")), "fp", "left").select(
         "fp", F.coalesce("component", "label").alias("component"))
@@ -242,7 +261,9 @@ def near_duplicates(
     path = work_path(spark, "fingerprints")
     fingerprints(docs.select(key, text), text, "fp", shingle).write.parquet(path)
     printed = spark.read.parquet(path)
-    labels = printed.groupBy("fp").agg(F.coalesce(F.min(key).cast("long"), F.lit(2**63 - 1)).alias("label"))
+    path = work_path(spark, "distinct-fingerprints")
+    printed.groupBy("fp").agg(F.coalesce(F.min(key).cast("long"), F.lit(2**63 - 1)).alias("label")).write.parquet(path)
+    labels = spark.read.parquet(path)
     found = components(link_fingerprints(labels.select("fp"), radius, tile), labels)
     return printed.join(found, "fp").select(
         key, F.col("fp").alias("fingerprint"),
