@@ -20,6 +20,11 @@ from pyspark.sql import functions as F
 
 from labelloom.functions.columns import let
 
+# A bitmap of the engine covers 32,768 ids in 4,096 bytes.
+PARTS = 16
+PART_BYTES, PART_BITS = 4096 // PARTS, 32_768 // PARTS
+
+
 @dataclass(frozen=True)
 class Rule:
     """A secret's kind, Java regular expression and the literal strings of which a match must hold one.
@@ -83,7 +88,10 @@ def postings(docs: DataFrame, key: str, text: str, rules: Sequence[Rule]) -> Dat
 
 
 def candidates(index: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """One row per block with the bitmap of candidate ids of each rule that has a trigram query."""
+    """The bitmaps of candidate ids by rule (those with a trigram query): a row per part of a block.
+
+    Parts keep the rows that meet one bitmap few, however few blocks the ids fill.
+    """
     spark = index.sparkSession
     needs = [(r.kind, n, len(a), t) for r in rules for n, a in enumerate(r.trigram_query()) for t in sorted(a)]
     query = spark.createDataFrame(needs or [("", 0, 1, "")], "kind string, alternative int, needed int, trigram string")
@@ -91,7 +99,10 @@ def candidates(index: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         F.bitmap_and_agg("bits").alias("bits"), F.count(F.lit(1)).alias("present"))
     either = every.filter(F.col("present") == F.col("needed")).groupBy("block", "kind").agg(
         F.bitmap_or_agg("bits").alias("bits"))
-    return either.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("kind", "bits"))).alias("maps"))
+    whole = either.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("kind", "bits"))).alias("maps"))
+    cut = whole.select("block", "maps", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    return cut.select("block", "part", F.transform_values("maps", lambda _, bits: F.substring(
+        bits, F.col("part") * PART_BYTES + 1, F.lit(PART_BYTES))).alias("maps"))
 
 
 def in_bitmap(bits: Column, position: Column) -> Column:
@@ -136,16 +147,18 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: Sequen
     kept = [c for c in docs.columns if c != "spans"]
     source = docs.select(*[F.col(f"`{c}`") for c in kept])
     found = candidates(postings(source, key, text, rules), rules)
-    blocked = source.withColumn("posting block", F.bitmap_bucket_number(F.col(key))).join(
-        found.withColumnsRenamed({"block": "posting block", "maps": "posting maps"}), "posting block", "left")
-    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     position = F.bitmap_bit_position(F.col(key))
+    names = {"block": "posting block", "part": "posting part", "maps": "posting maps"}
+    placed = source.withColumns({
+        names["block"]: F.bitmap_bucket_number(F.col(key)), names["part"]: F.floor(position / PART_BITS).cast("int")})
+    blocked = placed.join(found.withColumnsRenamed(names), [names["block"], names["part"]], "left")
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
 
     def matched(rule: Rule, order: int) -> Column:
         here = spans(body, rule, order)
         if not rule.trigram_query():
             return here
-        candidate = F.col(key).isNull() | in_bitmap(F.element_at("posting maps", rule.kind), position)
+        candidate = F.col(key).isNull() | in_bitmap(F.element_at("posting maps", rule.kind), position % PART_BITS)
         return F.when(candidate, here)
 
     every = F.concat(*[F.coalesce(matched(r, n), F.array().cast("array<struct<start:int,order:int,kind:string,end:int>>"))
