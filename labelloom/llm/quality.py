@@ -110,13 +110,15 @@ def votes(prefix: str = "q_") -> dict[str, Column]:
     c = {n: F.col(prefix + n) for n in (*FEATURES, *EXTRA)}
     per_word = F.try_divide(c["word_chars"], c["n_words"])
     symbols = F.coalesce(F.try_divide(c["n_symbols"], c["n_words"]), F.lit(0.0))
+    per_char = F.coalesce(F.try_divide(c["n_symbols"], c["word_chars"]), F.lit(0.0))
     dup_lines = F.coalesce(F.try_divide(c["n_dup_lines"], c["n_lines"]), F.lit(0.0))
     repeats = F.coalesce(F.try_divide(c["n_repeat_words"], c["n_words"]), F.lit(0.0))
     return {
         "length": _vote(c["n_words"] >= 50, c["n_words"] < 20),
         "word_length": _vote(per_word.between(3, 10), F.coalesce(~per_word.between(2, 15), F.lit(True))),
         "symbols": _vote(symbols <= 0.1, symbols > 0.3),
-        "lines": _vote(dup_lines <= 0.1, dup_lines > 0.3),
+        "markup": _vote(per_char <= 0.02, per_char > 0.05),
+        "lines": _vote(dup_lines <= 0.1, (dup_lines > 0.5) & (c["n_dup_lines"] >= 3)),
         "repeats": _vote(repeats <= 0.2, repeats > 0.5),
         "stop_words": _vote(c["n_stop_words"] >= 2, (c["n_stop_words"] == 0) & (c["n_words"] >= 20)),
         "sentence": _vote(c["ends_sentence"] == 1, F.lit(False)),
