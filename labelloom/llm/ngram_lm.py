@@ -121,9 +121,8 @@ def quantise(probability: np.ndarray) -> np.ndarray:
     return np.clip(code, 1, 65535).astype(np.uint16)
 
 
-def restore(code: np.ndarray) -> np.ndarray:
-    """Probability of a code; absent gives zero."""
-    return np.where(code > 0, 10.0 ** ((code.astype(float) - 1) / 65534 * -LEAST + LEAST), 0.0)
+#: Probability of every code; absent gives zero.
+RESTORED = np.concatenate([[0.0], 10.0 ** (np.arange(65535) / 65534 * -LEAST + LEAST)])
 
 
 class Level:
@@ -150,39 +149,47 @@ class Level:
 
 
 class Trie:
-    """Trigrams (v, u, w) with counts, below their middle words."""
+    """Trigrams with counts below their middle words, from distinct rows ordered by (v, u, w)."""
 
     def __init__(self, v: np.ndarray, u: np.ndarray, w: np.ndarray, count: np.ndarray, total: np.ndarray,
                  strength: float):
-        """Distinct trigrams; ``total`` is the training count of each row's middle word."""
-        self.middle = np.unique(v)
-        parent = np.searchsorted(self.middle, v)
-        self.middles = Level(np.zeros(len(self.middle), np.int64), self.middle, 1)
-        order = np.lexsort((w, parent))
+        """``total`` is the training count of each row's middle word."""
+        first, parent = groups(v)
+        self.middles = Level(np.zeros(len(first), np.int64), v[first], 1)
+        middles = len(first)
+        order = np.argsort(joined(parent, w), kind="stable")
         first, run = groups2(parent[order], w[order])
         pair_count = np.bincount(run, weights=count[order])
         at = order[first]
-        self.successors = Level(parent[at], w[at], len(self.middle), quantise(pair_count / (total[at] + strength)))
-        begin = np.searchsorted(parent[at], np.arange(len(self.middle)))
+        self.strength = strength
+        self.successors = Level(parent[at], w[at], middles, quantise(pair_count / (total[at] + strength)))
+        begin = np.searchsorted(parent[at], np.arange(middles))
         rank, share = np.empty(len(v), np.int64), np.empty(len(v))
         rank[order] = run - begin[parent[order]]
         share[order] = count[order] / pair_count[run]
-        order = np.lexsort((rank, u, parent))
-        first, run = groups2(parent[order], u[order])
-        at = order[first]
-        self.contexts = Level(parent[at], u[at], len(self.middle))
-        self.follow = Level(run, rank[order], len(first), quantise(share[order]))
+        # Places among the successors ascend like the words do, so the rows are in order already.
+        first, run = groups2(parent, u)
+        self.contexts = Level(parent[first], u[first], middles)
+        self.follow = Level(run, rank, len(first), quantise(share))
         self.begin = begin
 
-    def query(self, v: np.ndarray, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of c(vw) / (c(v) + s2) and of c(uvw) / c(vw) for each trigram; 0 where unseen."""
+    def query(self, v: np.ndarray, u: np.ndarray, w: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """c(vw) and c(uvw) as the stored c(vw) / (c(v) + s2) and c(uvw) / c(vw) tell them; 0 where unseen.
+
+        Counts are sent rather than codes as small whole numbers pack better.
+        """
         parent = self.middles.find(np.zeros(len(v), np.int64), v)
         pair = self.successors.find(parent, w)
-        second = np.where(pair >= 0, self.successors.codes[pair], 0)
+        second = np.rint(np.where(pair >= 0, RESTORED[self.successors.codes[pair]], 0.0) * (total + self.strength))
         rank = np.where(pair >= 0, pair - self.begin[parent], -1)
         triple = self.follow.find(self.contexts.find(parent, u), rank)
-        third = np.where(triple >= 0, self.follow.codes[triple], 0)
-        return second.astype(np.uint16), third.astype(np.uint16)
+        third = np.rint(np.where(triple >= 0, RESTORED[self.follow.codes[triple]], 0.0) * second)
+        return second.astype(np.int64), third.astype(np.int64)
+
+
+def joined(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Pairs of numbers below 2**32 as one sortable number."""
+    return high.astype(np.uint64) << np.uint64(32) | low.astype(np.uint64)
 
 
 def groups2(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -239,7 +246,7 @@ class Chunk:
         salts = (total // SPLIT + 1).astype(np.uint64)
         spot = W.mix(v.astype(np.uint64) * np.uint64(W.GOLDEN) + W.mix(self.id.astype(np.uint64)) % salts)
         shard = ((spot >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
-        order = np.lexsort((self.id, u, v, shard))
+        order = np.lexsort((joined(u, self.id), joined(shard, v)))
         ordered = [x[order] for x in (shard, v, u, self.id, total)]
         new = np.ones(len(order), bool)
         new[1:] = np.any([x[1:] != x[:-1] for x in ordered[1:4]], axis=0)
@@ -266,17 +273,15 @@ class Chunk:
     def scores(self, told: pa.Table, shards: int, s2: float, s3: float) -> pa.Table:
         number = self.grams(shards)[-1]
         rows = sorted(told.to_pylist(), key=lambda r: r["shard"])
-        second = restore(np.concatenate([unpack(r["second"]) for r in rows])[number])
-        third = restore(np.concatenate([unpack(r["third"]) for r in rows])[number])
+        pair, triple = (np.concatenate([unpack(r[c]) for r in rows])[number].astype(float) for c in ("second", "third"))
         begin = self.first[:-1]
         before = np.concatenate([[0], self.count[:-1]])
         before[begin] = self.starts
-        pair = np.rint(second * (before + s2))
         context = np.concatenate([[0.0], pair[:-1]])
         context[begin] = self.starts
         p1 = (self.count + 1) / (self.tokens + self.vocabulary + 1)
-        p2 = second + s2 / (before + s2) * p1
-        p3 = np.rint(third * pair) / (context + s3) + s3 / (context + s3) * p2
+        p2 = (pair + s2 * p1) / (before + s2)
+        p3 = (triple + s3 * p2) / (context + s3)
         known = np.add.reduceat((self.count > 0).astype(np.int64), begin)
         n = len(self.ids)
         return pa.table({
@@ -320,15 +325,15 @@ def answer_grams(table: pa.Table, strength: float) -> pa.Table:
     v, u, w, count, total = (np.concatenate(x) for x in zip(*parts, strict=True))
     del parts
     seen = np.flatnonzero(count)
-    order = seen[np.lexsort((w[seen], u[seen], v[seen]))]
+    order = seen[np.lexsort((joined(u[seen], w[seen]), v[seen]))]
     new = np.ones(len(order), bool)
     new[1:] = np.any([x[order][1:] != x[order][:-1] for x in (v, u, w)], axis=0)
     sums = np.bincount(np.cumsum(new) - 1, weights=count[order])
     at = order[new]
     if len(at):
-        second, third = Trie(v[at], u[at], w[at], sums, total[at], strength).query(v, u, w)
+        second, third = Trie(v[at], u[at], w[at], sums, total[at], strength).query(v, u, w, total)
     else:
-        second = third = np.zeros(len(v), np.uint16)
+        second = third = np.zeros(len(v), np.int64)
     ends = np.cumsum([r["size"] for r in rows])
     spans = [slice(e - r["size"], e) for r, e in zip(rows, ends, strict=True)]
     return pa.table({
