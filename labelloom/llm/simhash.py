@@ -213,9 +213,10 @@ def components(links: DataFrame, labels: DataFrame) -> DataFrame:
     """Smallest ``label`` reachable from each ``fp`` over undirected links (a, b).
 
     Label propagation: each pass is one join and one aggregation over the links, with a loop at every
-    linked fingerprint so that its own label takes part. From the second pass on, labels are followed
-    to the labels they have got themselves, which shortens long chains. Only linked fingerprints
-    take part, and every pass is written to the shared folder.
+    linked fingerprint so that its own label takes part. What travels is the smallest (label, fp), as
+    several fingerprints may share a label. From the second pass on, it is followed to what its
+    fingerprint has got itself, which shortens long chains. Only linked fingerprints take part, and
+    every pass is written to the shared folder.
     """
     spark = labels.sparkSession
 
@@ -227,21 +228,21 @@ def components(links: DataFrame, labels: DataFrame) -> DataFrame:
     ways = F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x in "ab" for y in "ab"])
     # The checkpoint keeps the links partitioned for the join of every pass.
     edges = cut_lineage(links.select(F.explode(ways).alias("e")).select("e.*").repartition("b"))
-    now = labels.select("fp", F.col("label").alias("own"), "label")
+    now = labels.select("fp", F.struct("label", "fp").alias("least"))
     passes = 0
     while True:
-        own = [F.max(F.when(F.col("a") == F.col("b"), F.col(c))).alias(n) for c, n in (("own", "own"), ("label", "old"))]
+        old = F.max(F.when(F.col("a") == F.col("b"), F.col("least")))
         near = edges.join(now.withColumnRenamed("fp", "b"), "b").groupBy(F.col("a").alias("fp")).agg(
-            F.min("label").alias("label"), *own)
+            F.min("least").alias("least"), old.alias("old"))
         if passes:
-            root = now.select(F.col("own").alias("label"), F.col("label").alias("up"))
-            near = near.join(root, "label", "left").withColumn("label", F.least("label", "up"))
+            root = now.select(F.col("fp").alias("root"), F.col("least").alias("up"))
+            near = near.join(root, F.col("least.fp") == F.col("root"), "left").withColumn("least", F.least("least", "up"))
         moved = Observation()
-        now = stored(near.observe(moved, F.count_if(F.col("label") < F.col("old")).alias("n")).select("fp", "own", "label"))
+        now = stored(near.observe(moved, F.count_if(F.col("least") < F.col("old")).alias("n")).select("fp", "least"))
         passes += 1
         if not moved.get["n"]:
             break
-    return labels.join(now.select("fp", F.col("label").alias("component")), "fp", "left").select(
+    return labels.join(now.select("fp", F.col("least.label").alias("component")), "fp", "left").select(
         "fp", F.coalesce("component", "label").alias("component"))
 
 

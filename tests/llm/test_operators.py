@@ -96,6 +96,29 @@ def test_long_chain_of_components(spark):
     assert {r["component"] for r in simhash.components(links, labels).collect()} == {1000}
 
 
+def test_fingerprints_sharing_a_label_stay_apart(spark):
+    none = 2**63 - 1
+    label = {1: none, 2: none, 3: none, 4: none, 5: 7, 6: none, 7: none, 8: 9, 9: 3, 10: 9, 11: 12}
+    pairs = [(1, 2), (2, 3), (4, 5), (6, 7), (8, 9), (10, 11)]
+    links = spark.createDataFrame(pairs, "a long, b long")
+    labels = spark.createDataFrame(list(label.items()), "fp long, label long")
+    got = {}
+    for r in simhash.components(links, labels).collect():
+        got.setdefault(r["fp"], []).append(r["component"])
+    assert got == {1: [none], 2: [none], 3: [none], 4: [7], 5: [7], 6: [none], 7: [none], 8: [3], 9: [3], 10: [9], 11: [9]}
+
+
+def test_simhash_of_repeated_and_missing_ids(spark):
+    def near(word, n):
+        text = " ".join(f"{word}{k}" for k in range(400))
+        return [f"{text} end{i}" for i in range(n)]
+
+    found = [(None, t) for t in near("a", 5) + near("b", 2)] + [(9, t) for t in near("c", 4) + near("d", 2)]
+    found += [(3, near("d", 3)[2]), (7, near("b", 3)[2]), (None, near("e", 1)[0])]
+    got = simhash.digest(simhash.near_duplicates(spark.createDataFrame(found, "doc_id long, text string"), tile=16))
+    assert rows(got, "doc_id", "fingerprint", "component_id") == plain(brute.simhash(found))
+
+
 def test_keep_one(frame, docs):
     kept = simhash.keep_one(frame).select("doc_id").collect()
     expected = {c for i, _, c in brute.simhash(docs) if i is not None}
