@@ -26,7 +26,10 @@ NO_ID = -(2**63)
 
 @dataclass(frozen=True)
 class Layout:
-    """Documents dealt to chunks (``chunk``, ``doc_id``, ``raw``, further columns) and the shard count."""
+    """Documents dealt to chunks (``chunk``, ``doc_id``, ``split``, ``raw``, further columns) and the shard count.
+
+    Rows of one id are in one chunk unless ``split`` is set.
+    """
 
     docs: DataFrame
     chunks: int
@@ -47,14 +50,31 @@ def lay_out(
     docs: DataFrame, key: str = "doc_id", text: str = "text", more: tuple[str, ...] = (),
     chunk_bytes: int = CHUNK_BYTES, shard_bytes: int = SHARD_BYTES,
 ) -> Layout:
-    """Deal documents to chunks by a hash of their key; counts follow the bytes of text."""
-    ship(docs.sparkSession)
-    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0))).first()[0]
+    """Deal documents to chunks by a hash of their key; counts follow the bytes of text.
+
+    Rows of a key (null is one, too) with more than an eighth of a chunk's bytes are dealt singly, by
+    their place in the input, which has to come in the same order when read again, as files do. The
+    driver sees these keys only, at most eight for each chunk.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    held = docs.groupBy(F.col(key).cast("long").alias("id")).agg(
+        F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0)).alias("bytes"))
+    large = F.when(F.col("bytes") > max(1, chunk_bytes // 8), F.struct("id"))
+    size, large = held.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.collect_list(large)).first()
     chunks, shards = max(1, -(-size // chunk_bytes)), max(1, -(-size // shard_bytes))
-    dealt = docs.select(
-        F.pmod(F.xxhash64(F.col(key)), F.lit(chunks)).cast("int").alias("chunk"),
-        F.col(key).cast("long").alias("doc_id"),
-        F.col(text).cast("binary").alias("raw"),
+    source = docs.select(
+        F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("raw"), *[F.col(c) for c in more])
+    if large and chunks > 1:
+        owners = spark.createDataFrame([(r["id"], True) for r in large], "large_id long, split boolean")
+        source = source.withColumn("row place", F.monotonically_increasing_id()).join(
+            F.broadcast(owners), F.col("doc_id").eqNullSafe(F.col("large_id")), "left")
+        split = F.coalesce("split", F.lit(False))
+        spot = F.when(split, F.xxhash64("doc_id", "row place")).otherwise(F.xxhash64("doc_id"))
+    else:
+        split, spot = F.lit(False), F.xxhash64("doc_id")
+    dealt = source.select(
+        F.pmod(spot, F.lit(chunks)).cast("int").alias("chunk"), "doc_id", split.alias("split"), "raw",
         *[F.col(c) for c in more],
     ).repartition(chunks, "chunk")
     return Layout(dealt, chunks, shards)

@@ -1,7 +1,8 @@
 """Removal of lines that many documents share, by a sharded minimal perfect hash.
 
 A line's key is 128 bits of hash. Chunks of documents send each shard their distinct keys with the
-number of documents (saturating) and the largest id holding them. Every shard builds a minimal
+number of documents (saturating), the ids that are dealt to several chunks and the largest id holding
+them. Every shard builds a minimal
 perfect hash over its distinct keys; it indexes three arrays: fingerprints, document counts and
 largest ids. Documents then probe those arrays with packed keys and get one bit per key back; lines
 are never joined. ``build_index`` returns the shards as rows, so an index can be kept and probed
@@ -26,7 +27,7 @@ from labelloom.llm.words import mix
 MIN_CHARS = 20
 MIN_DOCS = 3
 
-ASK = "shard int, chunk int, size long, keys binary, checks binary, docs binary, last binary"
+ASK = "shard int, chunk int, size long, keys binary, checks binary, docs binary, last binary, held binary, ids binary"
 INDEX = "shard int, size long, levels array<binary>, fingerprints binary, docs binary, last binary"
 REPLY = "chunk int, shard int, size long, marks binary"
 
@@ -101,7 +102,15 @@ class ChunkLines:
         # Documents are in the order of their ids: count the distinct ones and take the largest per key.
         owner = self.place[doc[at]][order] if len(at) else np.empty(0, np.int64)
         pair = np.unique(np.stack([number, owner]), axis=1) if len(at) else np.empty((2, 0), np.int64)
-        self.docs = np.bincount(pair[0], minlength=len(first))
+        # Ids that other chunks may hold as well are named, for the shard to count them once.
+        ids = self.ids[np.concatenate([[0], np.flatnonzero(np.diff(self.place)) + 1])] if len(self.ids) else self.ids
+        split = np.zeros(len(ids), bool)
+        split[self.place] = column(ordered, "split").to_numpy(zero_copy_only=False)
+        named = split[pair[1]]
+        self.docs = np.bincount(pair[0][~named], minlength=len(first))
+        self.held = np.bincount(pair[0][named], minlength=len(first))
+        self.named = ids[pair[1][named]]
+        self.begin = np.concatenate([[0], np.cumsum(self.held)])
         self.last = np.full(len(first), NO_ID)
         np.maximum.at(self.last, number, self.ids[doc[at]][order])
 
@@ -118,6 +127,9 @@ def _requests(table: pa.Table, shards: int, min_chars: int) -> pa.Table:
         "checks": pa.array([pack(lines.check[x]) for _, x in spans], pa.binary()),
         "docs": pa.array([pack(lines.docs[x]) for _, x in spans], pa.binary()),
         "last": pa.array([pack(lines.last[x].view(np.uint64)) for _, x in spans], pa.binary()),
+        "held": pa.array([pack(lines.held[x]) for _, x in spans], pa.binary()),
+        "ids": pa.array([pack(lines.named[lines.begin[x.start]:lines.begin[x.stop]].view(np.uint64)) for _, x in spans],
+                        pa.binary()),
     })
 
 
@@ -137,6 +149,14 @@ def build_shard(table: pa.Table) -> pa.Table:
     first, run = groups(joined[order])
     distinct = joined[order][first]
     count = np.bincount(run, weights=docs[order]).astype(np.int64)
+    which = np.empty(len(keys), np.int64)
+    which[order] = run
+    which = np.repeat(which, np.concatenate([unpack(x) for x in table["held"].to_pylist()]).astype(np.int64))
+    ids = np.concatenate([unpack(x) for x in table["ids"].to_pylist()]).view(np.int64)
+    place = np.lexsort((ids, which))
+    new = np.ones(len(ids), bool)
+    new[1:] = (np.diff(which[place]) != 0) | (np.diff(ids[place]) != 0)
+    count += np.bincount(which[place][new], minlength=len(first))
     largest = np.full(len(first), NO_ID)
     np.maximum.at(largest, run, last[order])
     perfect = PerfectHash.build(distinct)
@@ -193,7 +213,7 @@ def drop_lines(
     is found in ``min_docs`` documents go, except in the document with the largest key holding them.
     Null or empty text is one empty line. A null key counts as the smallest; rows sharing a key
     count as one document and keep a row each. ``more`` names columns to carry along, which must not
-    be named like the results or ``chunk`` or ``raw``.
+    be named like the results or ``chunk``, ``split``, ``large_id``, ``row place`` or ``raw``.
     """
     layout = lay_out(docs, key, text, more, **sizes)
     asked, index = build_index(layout, min_chars)

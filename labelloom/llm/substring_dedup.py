@@ -6,7 +6,8 @@ block. Three rounds between documents and shards of the hash space:
 
 1. Chunks of documents send the hash of every rolling block-sized window, marked where it is one
    of the document's own blocks (the index side). A shard answers which are *anchors*: indexed in
-   one document and present in another.
+   one document and present in another (or in another chunk, if its id is dealt to several; round 2
+   compares ids).
 2. Hits are extended to full windows: a window around an anchor is sent by its own hash with the
    smallest document id that holds it. A shard answers which also start in a smaller document.
 3. Overlapping windows that were answered grow into maximal exact repeats, and their words go.

@@ -1,12 +1,14 @@
 """The ten operators against plain versions, on odd and on empty input."""
 
+import random
+
 import brute
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from labelloom.llm import bpe, decontaminate, licenses, line_dedup, ngram_lm, quality, secrets, simhash, substring_dedup
+from labelloom.llm import bpe, chunks, decontaminate, licenses, line_dedup, ngram_lm, quality, secrets, simhash, substring_dedup
 from labelloom.llm import url_filter, words
 from labelloom.llm.packing import pack, pack_flags, pack_sorted, shard_bounds, unpack, unpack_flags, unpack_sorted
 from labelloom.llm.queries import TOKENIZERS
@@ -46,6 +48,31 @@ def test_line_dedup(frame, docs, nothing):
     assert line_dedup.drop_lines(nothing).collect() == []
 
 
+@pytest.fixture(scope="module")
+def crowded():
+    """A third of the rows without a key and a third under one, with lines and passages in common."""
+    rng = random.Random(3)
+    few = [" ".join(f"{rng.choice('abcdef')}{rng.randint(0, 99)}" for _ in range(60)) for _ in range(30)]
+    return [([None, 7, n][n % 3], f"{rng.choice(few)}\n{rng.choice(few)}\nown words {n}") for n in range(240)]
+
+
+def test_no_chunk_holds_all_rows_of_a_key(spark, crowded):
+    df = spark.createDataFrame(crowded, "doc_id long, text string").repartition(3)
+    layout = chunks.lay_out(df, chunk_bytes=8_000, shard_bytes=30_000)
+    held = [r["n"] for r in layout.docs.groupBy("chunk").agg(F.sum(F.octet_length("raw")).alias("n")).collect()]
+    assert sum(held) == sum(len(t) for _, t in crowded) and max(held) <= 3 * 8_000
+
+
+def test_keys_dealt_to_several_chunks(spark, crowded):
+    sizes = {"chunk_bytes": 8_000, "shard_bytes": 30_000}
+    df = spark.createDataFrame(crowded, "doc_id long, text string").repartition(3)
+    for least in (2, 3, 12):
+        got = line_dedup.drop_lines(df, min_docs=least, **sizes)
+        assert rows(got, "doc_id", "n_lines", "n_dropped", "kept") == plain(brute.lines(crowded, least))
+    got = substring_dedup.remove_repeats(df, **sizes)
+    assert rows(got, "doc_id", "n_words", "n_removed", "kept") == plain(brute.substring(crowded))
+
+
 def test_perfect_hash():
     keys = np.unique(np.random.default_rng(1).integers(0, 2**63, 20_000).astype(np.uint64))
     perfect = line_dedup.PerfectHash.build(keys)
