@@ -13,7 +13,7 @@ of distinct fingerprints, written between passes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -271,13 +271,16 @@ def near_duplicates(
         F.when(F.col("component") < 2**63 - 1, F.col("component")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
-    """The rows of ``docs`` whose key is the smallest of their near-duplicate component.
+def keep_one(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", near: Callable[..., DataFrame] = near_duplicates,
+    **options: int,
+) -> DataFrame:
+    """The rows of ``docs`` whose key is the smallest of their near-duplicate component, as ``near`` finds it.
 
     Rows without a key have nothing smaller to yield to and stay. Of rows repeating a kept key one
     stays.
     """
-    kept = near_duplicates(docs, key, text, **options).filter(F.col(key) == F.col("component_id")).select(key).distinct()
+    kept = near(docs, key, text, **options).filter(F.col(key) == F.col("component_id")).select(key).distinct()
     numbered = docs.join(kept, key, "left_semi").withColumn(
         "copy number", F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(text))))
     lone = docs.filter(F.col(key).isNull())

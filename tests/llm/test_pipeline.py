@@ -1,11 +1,14 @@
 """The pipeline's stages, each on its own input, against plain versions."""
 
+import random
+
 import brute
 import pytest
 from test_operators import VOCABULARY
 
 import __spark_entry__ as driver
 import corpus_pipeline as pipeline
+from labelloom.llm import set_dedup
 
 
 @pytest.fixture(scope="module")
@@ -65,3 +68,35 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def shingles(text, width=5):
+    w = brute.words((text or "").translate(brute.LOWER))
+    return {tuple(w[k:k + width]) for k in range(max(len(w) - width, 0) + 1)} if w else set()
+
+
+def test_near_dedup_finds_every_pair_of_similarity(spark):
+    rng = random.Random(11)
+    found, number = [], 0
+    for length in (3, 12, 60, 60, 60, 200, 900):
+        base = [f"{length}w{rng.randint(0, 9999)}" for _ in range(length)]
+        passage = [f"common{k}" for k in range(30)] if length == 60 else []
+        for share in (0, 0, 0.01, 0.01, 0.02, 0.02, 0.03, 0.05):
+            changed = [f"x{rng.randint(0, 9999)}" if rng.random() < share else w for w in base]
+            number += 7
+            found.append((None if number % 11 == 0 else number % 200, " ".join(changed + passage)))
+    found += [(500, None), (501, ""), (502, " \n")]
+    sets, root = [shingles(t) for _, t in found], list(range(len(found)))
+    for a in range(len(found)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                root = [root[b] if r == root[a] else r for r in root]
+    least = {}
+    for r, (i, _) in zip(root, found, strict=True):
+        least[r] = min(least.get(r, 2**63), 2**63 if i is None else i)
+    expected = [(i, least[r] if least[r] < 2**63 else None) for r, (i, _) in zip(root, found, strict=True)]
+    df = spark.createDataFrame(found, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in set_dedup.near_duplicates(df).collect()]
+    assert sorted(got, key=repr) == sorted(expected, key=repr)
+    kept = {r["doc_id"] for r in pipeline.near_duplicates(spark, df, "").collect()}
+    assert kept - {None} == {c for i, c in expected if i is not None and i == c}
