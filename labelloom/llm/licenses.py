@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelloom.llm.license_texts import WHOLE
+
 # Spellings that license guidelines treat as equal, longer words first.
 SPELLINGS = (
     ("acknowledgement", "acknowledgment"), ("authorisation", "authorization"), ("sublicence", "sublicense"),
@@ -65,7 +67,7 @@ def known_digests(docs: DataFrame, known: Sequence[tuple[str, str]] = KNOWN) ->
 
 
 def scan(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", known: Sequence[tuple[str, str]] = KNOWN,
+    docs: DataFrame, key: str = "doc_id", text: str = "text", known: Sequence[tuple[str, str]] = (*KNOWN, *WHOLE),
 ) -> DataFrame:
     """One row per input row: key, digest of the canonical text, its license (or null) and license notices.
 
@@ -89,7 +91,7 @@ def scan(
 
 
 def oracle(known: Sequence[tuple[str, str]] = KNOWN) -> str:
-    """SQL counterpart over ``documents``."""
+    """SQL counterpart over ``documents``; unlike ``scan``, it does not know ``WHOLE``."""
 
     def form(x: str) -> str:
         out = f"regexp_replace(coalesce({x}, ''), '{COPYRIGHT_LINE}', '', 'g')"

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from labelloom.llm import bpe, chunks, decontaminate, licenses, line_dedup, ngram_lm, quality, secrets, simhash, substring_dedup
+from labelloom.llm import bpe, chunks, decontaminate, license_texts, licenses, line_dedup, ngram_lm, quality, secrets, simhash, substring_dedup
 from labelloom.llm import url_filter, words
 from labelloom.llm.packing import pack, pack_flags, pack_sorted, shard_bounds, unpack, unpack_flags, unpack_sorted
 from labelloom.llm.queries import TOKENIZERS
@@ -287,6 +287,20 @@ def test_licenses(spark, nothing):
     assert licenses.scan(nothing).collect() == []
 
 
+def test_whole_licenses(spark):
+    mit, isc = license_texts.MIT, license_texts.ISC
+    bsd = {n: b for n, b in license_texts.WHOLE if n.startswith("BSD") and b.startswith("Redist") and ":\n\n1. " in b}
+    owner = "Copyright (c) 2020 Some One\n\n"
+    texts = [(1, owner + mit), (2, "MIT License\n\n" + owner + mit), (3, owner + isc), (4, "ISC License\n\n" + owner + isc),
+             (5, "BSD 2-Clause License\n\n" + owner + bsd["BSD-2-Clause"]), (6, owner + bsd["BSD-3-Clause"]),
+             (7, owner + license_texts.ZLIB), (8, license_texts.UNLICENSE), (9, mit.replace("free of charge", "for money")),
+             (10, "\n\n".join(" ".join(p.split()) for p in isc.split("\n\n")))]
+    got = licenses.scan(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert {r["doc_id"]: r["license"] for r in got.collect()} == {
+        1: "MIT", 2: "MIT", 3: "ISC", 4: "ISC", 5: "BSD-2-Clause", 6: "BSD-3-Clause", 7: "Zlib", 8: "Unlicense", 9: None,
+        10: "ISC"}
+
+
 def test_urls(spark):
     urls = [("https://A.example.net/en/x?porn", "a.example.net", "/en/x", "example.net/en/", "allow"),
             ("https://a.example.net", "a.example.net", "", None, "allow"),
