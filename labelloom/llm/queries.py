@@ -1,16 +1,23 @@
-"""The ten operators over their whole tables, and the pipeline."""
+"""The operators over their whole tables, and the pipeline."""
 
 from __future__ import annotations
 
 import os
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import bpe, decontaminate, licenses, line_dedup, ngram_lm, quality, secrets, simhash, substring_dedup, url_filter
+from labelloom.llm import bpe, decontaminate, importance, licenses, line_dedup, ngram_lm, quality, secrets, simhash
+from labelloom.llm import substring_dedup, url_filter
 from labelloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+
+
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file."""
+    folder = os.environ.get("TOKENIZER_DIR")
+    return os.path.join(folder, name) if folder else public_tokenizers.path(name)
 
 
 @query("op1_substring_dedup")
@@ -61,7 +68,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_bpe_round_trip")
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = bpe.encode_decode(docs, f"{TOKENIZERS}/byte_bpe_50k.json")
+    done = bpe.encode_decode(docs, vocabulary("byte_bpe_50k.json"))
     return done.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -86,6 +93,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+@query("op13_importance_resampling")
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline

@@ -170,3 +170,29 @@ def secrets(docs):
         out.append((i, *[sum(f[1] == o for f in found) for o in range(3)],
                     sha(",".join(f"{k}:{a}:{b}" for a, _, k, b in found))))
     return out
+
+
+def plain_words(text):
+    return re.findall("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+
+
+def importance(docs, items, order=1, buckets=10_000, percent=10, min_words=20):
+    def hashed(text):
+        w = plain_words(text)
+        return [zlib.crc32(" ".join(w[k:k + n]).encode()) % buckets for n in range(1, order + 1) for k in range(len(w) - n + 1)]
+
+    raw, target = (Counter(b for _, t in rows for b in hashed(t)) for rows in (docs, items))
+    s_all, t_all = sum(raw.values()), sum(target.values())
+    out = []
+    for i, t in docs:
+        found = hashed(t)
+        gain = [math.floor(1000 * math.log((target[b] + 1) * (s_all + buckets) / ((raw[b] + 1) * (t_all + buckets))))
+                for b in found]
+        weight = math.floor(sum(gain) / len(gain)) if gain else 0
+        h = int(sha(f"2024:{'' if i is None else i}")[:8], 16)
+        out.append([i, len(found), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None])
+    able = [k for k, (_, t) in enumerate(docs) if len(plain_words(t)) >= min_words]
+    able.sort(key=lambda k: (-out[k][3], out[k][0] is None, out[k][0]))
+    for place, k in enumerate(able[:percent * len(able) // 100]):
+        out[k][4] = place + 1
+    return [tuple(x) for x in out]

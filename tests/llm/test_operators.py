@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from labelloom.llm import bpe, chunks, decontaminate, license_texts, licenses, line_dedup, ngram_lm, quality, secrets, simhash, substring_dedup
 from labelloom.llm import url_filter, words
 from labelloom.llm.packing import pack, pack_flags, pack_sorted, shard_bounds, unpack, unpack_flags, unpack_sorted
-from labelloom.llm.queries import TOKENIZERS
+from labelloom.llm.queries import vocabulary
 
 SMALL = {"chunk_bytes": 20_000, "shard_bytes": 30_000}
-VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.json"
+VOCABULARY = vocabulary("byte_bpe_50k.json")
 
 
 def rows(df, *columns):
