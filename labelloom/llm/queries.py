@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import bpe, decontaminate, importance, licenses, line_dedup, ngram_lm, quality, secrets, simhash
-from labelloom.llm import substring_dedup, url_filter
+from labelloom.llm import alignment, bpe, decontaminate, importance, licenses, line_dedup, ngram_lm, quality, secrets
+from labelloom.llm import simhash, substring_dedup, url_filter
 from labelloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -93,6 +93,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+@query("op12_tokenizer_alignment")
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return alignment.agreement(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 @query("op13_importance_resampling")
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -1,5 +1,6 @@
 """Plain versions of the operators' contracts for small inputs."""
 
+import bisect
 import hashlib
 import math
 import re
@@ -196,3 +197,53 @@ def importance(docs, items, order=1, buckets=10_000, percent=10, min_words=20):
     for place, k in enumerate(able[:percent * len(able) // 100]):
         out[k][4] = place + 1
     return [tuple(x) for x in out]
+
+
+def alignment(docs, byte_vocabulary, piece_model):
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(byte_vocabulary)
+    library.encode_special_tokens = True
+    pieces = sentencepiece.SentencePieceProcessor(model_file=piece_model)
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    letter = {chr(x): x for x in visible} | {chr(256 + n): x for n, x in enumerate(x for x in range(256) if x not in visible)}
+
+    def raw_a(i):
+        return bytes(letter[c] for c in library.id_to_token(i))
+
+    def raw_b(i):
+        piece = pieces.id_to_piece(i)
+        byte = re.fullmatch("<0x(..)>", piece)
+        return bytes([int(byte[1], 16)]) if byte else piece.replace("▁", " ").encode()
+
+    found, count = [], Counter()
+    for i, t in docs:
+        a, b = library.encode(" " + (t or ""), add_special_tokens=False).ids, pieces.encode(t or "")
+        joined = (b" " + (t or "").encode())
+        if not t or b"".join(map(raw_a, a)) != joined or b"".join(map(raw_b, b)) != joined:
+            a, b = [], []
+        ends = []
+        for ids, raw in ((a, raw_a), (b, raw_b)):
+            at, out = 0, []
+            for x in ids:
+                at += len(raw(x))
+                out.append(at)
+            ends.append(out)
+        shared = sorted(set(ends[0]) & set(ends[1]))
+        groups = [([], []) for _ in shared]
+        for side, ids in enumerate((a, b)):
+            for x, e in zip(ids, ends[side]):
+                groups[bisect.bisect_left(shared, e)][side].append(x)
+        count.update((x[-1], y[-1]) for x, y in groups)
+        found.append((i, a, b, groups))
+    best = {}
+    for (_, y), n in count.items():
+        best[y] = max(best.get(y, 0), n)
+    out = []
+    for i, a, b, groups in found:
+        pairs = [(x[-1], y[-1]) for x, y in groups]
+        written = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
+        out.append((i, len(a), len(b), len(groups), len(groups), sum(count[p] == best[p[1]] for p in pairs),
+                    sum(count[p] for p in pairs), sha(written) if groups else ""))
+    return out
