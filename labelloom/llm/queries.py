@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelloom.llm import alignment, bpe, decontaminate, importance, licenses, line_dedup, ngram_lm, quality, secrets
-from labelloom.llm import simhash, substring_dedup, url_filter
+from labelloom.llm import sanitise, simhash, substring_dedup, url_filter
 from labelloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -93,6 +93,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+@query("op11_sanitise")
+def op11_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitise.digest(sanitise.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 @query("op12_tokenizer_alignment")
 def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

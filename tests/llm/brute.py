@@ -247,3 +247,52 @@ def alignment(docs, byte_vocabulary, piece_model):
         out.append((i, len(a), len(b), len(groups), len(groups), sum(count[p] == best[p[1]] for p in pairs),
                     sum(count[p] for p in pairs), sha(written) if groups else ""))
     return out
+
+
+PERSONAL = (
+    ("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")),
+    ("ip", re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")),
+    ("card", re.compile(r"[0-9]([\x20-]?[0-9])+")),
+    ("phone", re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")),
+)
+
+
+def personal_spans(text):
+    def good(kind, found):
+        digits = [int(c) for c in found if c.isdigit()]
+        if kind == "ip":
+            return all(int(p) <= 255 for p in found.split("."))
+        if kind == "card":
+            check = sum(d if n % 2 == 0 else sum(map(int, str(2 * d))) for n, d in enumerate(reversed(digits)))
+            return 14 <= len(digits) <= 19 and check % 10 == 0
+        return kind == "email" or 10 <= len(digits) <= 15
+
+    return sorted((m.start(), o, k, m.end()) for o, (k, p) in enumerate(PERSONAL) for m in p.finditer(text or "")
+                  if good(k, m.group()))
+
+
+def disclosures(docs, reach):
+    """(entity, word) -> (contexts, disclosure) from pairs of entity and word counted one by one."""
+    word = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
+    near, windows, held, documents = Counter(), {}, Counter(), Counter()
+    for _, t in docs:
+        t = t or ""
+        spans = personal_spans(t)
+        every = [(m.start(), m.end(), m.group().translate(LOWER), not any(a < m.end() and m.start() < b for a, _, _, b in spans))
+                 for m in word.finditer(t)]
+        documents.update({w for _, _, w, _ in every})
+        ids = [(k, t[a:b].lower() if k in ("email", "ip") else "".join(filter(str.isdigit, t[a:b]))) for a, _, k, b in spans]
+        held.update(set(ids))
+        pairs = set()
+        for e, (a, _, _, b) in zip(ids, spans):
+            window = [x for x in every if x[1] <= a][-reach:] + [x for x in every if x[0] >= b][:reach]
+            window = frozenset(w for _, _, w, free in window if free)
+            for w in window:
+                windows.setdefault((e, w), set()).add(window)
+                pairs.add((e, w))
+        near.update(pairs)
+    out = {}
+    for (e, w), n in near.items():
+        content = math.log2(len(docs) / held[e])
+        out[e, w] = len(windows[e, w]), 1 + math.log2(n / documents[w]) / content if content else 0.0
+    return out
