@@ -51,3 +51,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def work_path(spark: SparkSession, name: str) -> str:
     """Fresh path for an intermediate table inside the durable folder."""
     return os.path.join(durable_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
