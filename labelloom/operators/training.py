@@ -3,6 +3,12 @@
 Rows are packed once into sparse blocks that stay on the executors. Every pass evaluates loss and
 gradient of all unfinished classifiers at once; the driver only sees model-sized sums and advances
 one L-BFGS state per classifier. A pass costs one scan of the blocks, whatever the number of labels.
+
+Blocks that are small altogether are broadcast instead, and tasks share out the classifiers: the same
+steps on the same sums, without a job for every pass.
+
+Calibration computes the margins of held-out rows once, folds them to a table of distinct margins with
+their class counts, and takes its Newton steps on that.
 """
 
 from __future__ import annotations
@@ -31,6 +37,9 @@ HISTORY = 30  # step and gradient pairs kept per classifier, at every model size
 RANKED_TOGETHER = 512  # rows ranked in one window partition, on average
 DIRECT_PARTIALS = 64  # more partial sums than this are added up on the executors, slice by slice
 SLICE_CELLS = 65_536  # doubles of one slice
+SPARSE_BELOW = 1 / 48  # blocks filled less than this are multiplied by index
+LOCAL_VALUES = 8_000_000  # non-zero values (12 bytes each) of all blocks that may be broadcast
+LOCAL_CELLS = 40_000_000  # rows x features a task may hold as doubles; above, it multiplies by index
 
 _BLOCK = "n int, starts binary, idx binary, val binary, y binary, fold binary"
 _PARTIAL = "slice int, sums binary"
@@ -97,13 +106,38 @@ def pack(rows: DataFrame, n_features: int) -> DataFrame:
     return cut_lineage(rows.select(*columns).mapInArrow(blocks, _BLOCK)).persist()
 
 
-def _rows_of(block: dict, n_features: int, n_labels: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-    n = block["n"]
-    starts = np.frombuffer(block["starts"], np.int64)
-    x = np.zeros((n, n_features))
-    x[np.repeat(np.arange(n), np.diff(starts)), np.frombuffer(block["idx"], np.int32)] = np.frombuffer(block["val"])
-    y = np.frombuffer(block["y"], np.uint8).reshape(n, n_labels)
-    return x, y, np.frombuffer(block["fold"], np.uint8).reshape(n, -1) if block["fold"] else None
+class Rows:
+    """Rows of a block: a dense matrix where it is filled enough, else indices and values."""
+
+    def __init__(self, block: dict, n_features: int, n_labels: int, sparse: bool = False):
+        n = block["n"]
+        self.shape = n, n_features
+        self.starts = np.frombuffer(block["starts"], np.int64)
+        self.idx, self.val = np.frombuffer(block["idx"], np.int32), np.frombuffer(block["val"])
+        self.y = np.frombuffer(block["y"], np.uint8).reshape(n, n_labels)
+        self.fold = np.frombuffer(block["fold"], np.uint8).reshape(n, -1) if block["fold"] else None
+        self.x = None
+        if not sparse and len(self.idx) >= SPARSE_BELOW * n * n_features:
+            self.x = np.zeros(self.shape)
+            self.x[np.repeat(np.arange(n), np.diff(self.starts)), self.idx] = self.val
+
+    def times(self, weights: np.ndarray) -> np.ndarray:
+        """Rows times a features x members matrix."""
+        if self.x is not None:
+            return self.x @ weights
+        out = np.empty((self.shape[0], weights.shape[1]))
+        for r, (a, b) in enumerate(zip(self.starts[:-1], self.starts[1:], strict=True)):
+            out[r] = self.val[a:b] @ weights[self.idx[a:b]]
+        return out
+
+    def transposed_times(self, slope: np.ndarray) -> np.ndarray:
+        """Transposed rows times a rows x members matrix; a row's indices are different."""
+        if self.x is not None:
+            return self.x.T @ slope
+        out = np.zeros((self.shape[1], slope.shape[1]))
+        for r, (a, b) in enumerate(zip(self.starts[:-1], self.starts[1:], strict=True)):
+            out[self.idx[a:b]] += self.val[a:b, None] * slope[r]
+        return out
 
 
 @dataclass(frozen=True)
@@ -114,10 +148,16 @@ class Blocks:
     n_parts: int
     n_features: int
     n_labels: int
+    rows: int
+    values: int
+
+    def small(self) -> bool:
+        """Whether all blocks may be broadcast."""
+        return self.values <= LOCAL_VALUES
 
 
 def _pass(blocks: Blocks, kernel: Callable, payload: dict, size: int) -> np.ndarray:
-    """Sum of ``kernel(x, y, fold, payload)`` over all blocks; ``size`` doubles per partial."""
+    """Sum of ``kernel(rows, payload)`` over all blocks; ``size`` doubles per partial."""
     n_features, n_labels = blocks.n_features, blocks.n_labels
     shared = blocks.frame.sparkSession.sparkContext.broadcast(payload)
 
@@ -128,7 +168,7 @@ def _pass(blocks: Blocks, kernel: Callable, payload: dict, size: int) -> np.ndar
         total = np.zeros(size)
         for batch in batches:
             for block in batch.to_pylist():
-                total += kernel(*_rows_of(block, n_features, n_labels), shared.value)
+                total += kernel(Rows(block, n_features, n_labels), shared.value)
         cut = [total[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
         yield pa.RecordBatch.from_pydict({"slice": pa.array(range(slices), pa.int32()), "sums": cut})
 
@@ -150,33 +190,19 @@ def _pass(blocks: Blocks, kernel: Callable, payload: dict, size: int) -> np.ndar
     return total
 
 
-def _loss_kernel(x: np.ndarray, y: np.ndarray, fold: np.ndarray | None, p: dict) -> np.ndarray:
+def _loss_kernel(rows: Rows, p: dict) -> np.ndarray:
     """Losses, weight gradients and intercept gradients of the classifiers in the payload."""
-    z = np.where(y[:, p["label"]] == 1, 1.0, -1.0)
+    z = np.where(rows.y[:, p["label"]] == 1, 1.0, -1.0)
     s = np.where(z > 0, p["w_pos"], p["w_neg"])
-    if fold is not None:
-        s = np.where(fold[:, p["label"]] == p["held_out"], 0.0, s)
-    m = z * (x @ p["theta"][:-1] + p["theta"][-1])
+    if rows.fold is not None:
+        s = np.where(rows.fold[:, p["label"]] == p["held_out"], 0.0, s)
+    m = z * (rows.times(p["theta"][:-1]) + p["theta"][-1])
     if p["hinge"]:
         h = np.maximum(0.0, 1.0 - m)
         loss, slope = s * h * h, -2.0 * s * z * h
     else:
         loss, slope = s * np.logaddexp(0.0, -m), -s * z * sigmoid(-m)
-    return np.concatenate([loss.sum(0), (x.T @ slope).ravel(), slope.sum(0)])
-
-
-def _platt_kernel(x: np.ndarray, y: np.ndarray, fold: np.ndarray, p: dict) -> np.ndarray:
-    """Loss, gradient and Hessian sums of the sigmoid fits on held-out rows."""
-    m = x @ p["theta"][:-1] + p["theta"][-1]
-    held = fold[:, p["label"]] == p["held_out"]
-    t = np.where(y[:, p["label"]] == 1, p["t_pos"], p["t_neg"])
-    f = p["a"] * m + p["b"]
-    q = sigmoid(-f)
-    loss = held * (t * np.logaddexp(0.0, f) + (1.0 - t) * np.logaddexp(0.0, -f))
-    d = held * (t - q)
-    h = held * q * (1.0 - q)
-    sums = (loss, d * m, d, h * m * m, h * m, h)
-    return np.concatenate([v.sum(0) for v in sums])
+    return np.concatenate([loss.sum(0), rows.transposed_times(slope).ravel(), slope.sum(0)])
 
 
 @dataclass
@@ -276,24 +302,16 @@ def _balanced(neg: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return n / (2.0 * pos), n / (2.0 * neg)
 
 
-def _platt(blocks, theta, label, held_out, cal_neg, cal_pos, max_passes: int = 60):
-    """Sigmoid parameters per classifier by damped Newton steps, smoothed targets."""
-    c = len(label)
-    spec = {
-        "theta": theta, "label": label, "held_out": held_out,
-        "t_pos": (cal_pos + 1.0) / (cal_pos + 2.0), "t_neg": 1.0 / (cal_neg + 2.0),
-    }
+def _newton(at: Callable[[np.ndarray, np.ndarray], np.ndarray], cal_neg: np.ndarray, cal_pos: np.ndarray,
+            max_passes: int = 60) -> np.ndarray:
+    """Sigmoid parameters per classifier by damped Newton steps; ``at`` gives six sums for points and classifiers."""
+    c = len(cal_pos)
     ab = np.vstack([np.zeros(c), np.log((cal_neg + 1.0) / (cal_pos + 1.0))])
-
-    def at(point: np.ndarray, cols: np.ndarray) -> np.ndarray:
-        sub = {k: (v[..., cols]) for k, v in spec.items()}
-        return _pass(blocks, _platt_kernel, {**sub, "a": point[0], "b": point[1]}, 6 * len(cols)).reshape(6, -1)
-
     current = at(ab, np.arange(c))
     step = np.ones(c)
     active = np.ones(c, bool)
+    scale = np.maximum(cal_neg + cal_pos, 1.0)
     for _ in range(max_passes):
-        scale = np.maximum(cal_neg + cal_pos, 1.0)
         active &= np.abs(current[1:3]).max(0) / scale > 1e-7
         cols = np.flatnonzero(active)
         if not len(cols):
@@ -313,6 +331,169 @@ def _platt(blocks, theta, label, held_out, cal_neg, cal_pos, max_passes: int = 6
     return ab
 
 
+def _targets(cal_neg: np.ndarray, cal_pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Smoothed targets of the sigmoid fit for positive and negative rows."""
+    return (cal_pos + 1.0) / (cal_pos + 2.0), 1.0 / (cal_neg + 2.0)
+
+
+def held_out_margins(blocks: Blocks, theta: np.ndarray, label: np.ndarray, held_out: np.ndarray) -> DataFrame:
+    """(member, margin, positives, negatives) over the rows that a member has not seen: one scan of the blocks.
+
+    A checkpointed table of distinct margins.
+    """
+    n_features, n_labels = blocks.n_features, blocks.n_labels
+    shared = blocks.frame.sparkSession.sparkContext.broadcast((theta, label, held_out))
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        theta, label, held_out = shared.value
+        for batch in batches:
+            for block in batch.to_pylist():
+                rows = Rows(block, n_features, n_labels)
+                margin = rows.times(theta[:-1]) + theta[-1]
+                row, member = np.nonzero(rows.fold[:, label] == held_out)
+                yield pa.RecordBatch.from_pydict({
+                    "member": pa.array(member, pa.int32()), "margin": margin[row, member],
+                    "y": pa.array(rows.y[row, label[member]], pa.int32())})
+
+    found = blocks.frame.mapInArrow(cells, "member int, margin double, y int")
+    return cut_lineage(found.groupBy("member", "margin").agg(
+        F.sum("y").alias("positives"), F.sum(1 - F.col("y")).alias("negatives")))
+
+
+def _platt(blocks: Blocks, theta: np.ndarray, label: np.ndarray, held_out: np.ndarray, cal_neg: np.ndarray,
+           cal_pos: np.ndarray) -> np.ndarray:
+    """Sigmoid parameters of members fitted over all blocks; a Newton step sums over distinct margins."""
+    margins = held_out_margins(blocks, theta, label, held_out).persist()
+    t_pos, t_neg = _targets(cal_neg, cal_pos)
+    spark = blocks.frame.sparkSession
+    f = F.col("a") * F.col("margin") + F.col("b")
+    q, count = 1.0 / (1.0 + F.exp(f)), F.col("positives") + F.col("negatives")
+    wanted = F.col("positives") * F.col("t_pos") + F.col("negatives") * F.col("t_neg")
+    # log(1 + exp(f)) without overflow; log(1 + exp(-f)) is the same less f.
+    softplus = F.greatest(f, F.lit(0.0)) + F.log1p(F.exp(-F.abs(f)))
+    loss = wanted * softplus + (count - wanted) * (softplus - f)
+    d, h = wanted - count * q, count * q * (1.0 - q)
+    m = F.col("margin")
+    sums = [F.sum(v).alias(f"s{i}") for i, v in enumerate((loss, d * m, d, h * m * m, h * m, h))]
+
+    def at(point: np.ndarray, cols: np.ndarray) -> np.ndarray:
+        given = spark.createDataFrame(
+            [(int(j), *map(float, (point[0, i], point[1, i], t_pos[j], t_neg[j]))) for i, j in enumerate(cols)],
+            "member int, a double, b double, t_pos double, t_neg double")
+        out, place = np.zeros((6, len(cols))), {int(j): i for i, j in enumerate(cols)}
+        # One row per member on either side.
+        for r in margins.join(F.broadcast(given), "member").groupBy("member").agg(*sums).collect():
+            out[:, place[r["member"]]] = [r[f"s{i}"] for i in range(6)]
+        return out
+
+    ab = _newton(at, cal_neg, cal_pos)
+    margins.unpersist()
+    return ab
+
+
+def _platt_rows(rows: list[Rows], theta: np.ndarray, label: np.ndarray, held_out: np.ndarray, cal_neg: np.ndarray,
+                cal_pos: np.ndarray) -> np.ndarray:
+    """The same from the rows of all blocks in one task."""
+    t_pos, t_neg = _targets(cal_neg, cal_pos)
+    parts = [(r.times(theta[:-1]) + theta[-1], r.fold[:, label] == held_out, r.y[:, label] == 1) for r in rows]
+    found = []
+    for j in range(len(label)):
+        held = np.concatenate([h[:, j] for _, h, _ in parts])
+        found.append((np.concatenate([m[:, j] for m, _, _ in parts])[held],
+                      np.where(np.concatenate([y[:, j] for _, _, y in parts])[held], t_pos[j], t_neg[j])))
+
+    def at(point: np.ndarray, cols: np.ndarray) -> np.ndarray:
+        out = np.zeros((6, len(cols)))
+        for i, j in enumerate(cols):
+            m, t = found[j]
+            f = point[0, i] * m + point[1, i]
+            q = sigmoid(-f)
+            d, h = t - q, q * (1.0 - q)
+            loss = t * np.logaddexp(0.0, f) + (1.0 - t) * np.logaddexp(0.0, -f)
+            out[:, i] = [v.sum() for v in (loss, d * m, d, h * m * m, h * m, h)]
+        return out
+
+    return _newton(at, cal_neg, cal_pos)
+
+
+def _objective(sums: np.ndarray, point: np.ndarray, n_features: int, hinge: bool, c: float) -> tuple[np.ndarray, np.ndarray]:
+    """Regularised losses and gradients from the sums of ``_loss_kernel``."""
+    k = point.shape[1]
+    loss = c * sums[:k]
+    grad = c * np.vstack([sums[k : k + n_features * k].reshape(n_features, k), sums[-k:]])
+    reg = point if hinge else np.vstack([point[:-1], np.zeros(k)])
+    return loss + 0.5 * (reg * reg).sum(0), grad + reg
+
+
+def _solve_in_passes(blocks: Blocks, spec: dict, hinge: bool, c: float, tol: float, max_passes: int):
+    """Parameters of all classifiers; every trial point is a job over the blocks."""
+    size, members = blocks.n_features + 1, len(spec["label"])
+    theta, gradient, passes = np.zeros((size, members)), np.zeros(members), 0
+    slope, offset = np.full(members, -1.0), np.zeros(members)
+    group = max(1, GROUP_CELLS // size)
+    for at in range(0, members, group):
+        part = np.arange(at, min(at + group, members))
+
+        def evaluate(point: np.ndarray, cols: np.ndarray, part=part) -> tuple[np.ndarray, np.ndarray]:
+            ids = part[cols]
+            payload = {"theta": point, "hinge": hinge} | {k: spec[k][ids] for k in ("label", "held_out", "w_pos", "w_neg")}
+            sums = _pass(blocks, _loss_kernel, payload, len(ids) * (size + 1))
+            return _objective(sums, point, blocks.n_features, hinge, c)
+
+        fit = minimise(evaluate, size, len(part), spec["weight"][part], tol, max_passes)
+        theta[:, part], gradient[part] = fit.theta, fit.gradient
+        passes += fit.passes
+        if hinge:
+            slope[part], offset[part] = _platt(
+                blocks, fit.theta, *(spec[k][part] for k in ("label", "held_out", "cal_neg", "cal_pos")))
+    return theta, gradient, slope, offset, passes
+
+
+def _solve_in_tasks(blocks: Blocks, spec: dict, hinge: bool, c: float, tol: float, max_passes: int):
+    """The same for blocks of at most ``LOCAL_VALUES`` non-zero values, which every task holds; tasks share out classifiers."""
+    n_features, n_labels, members = blocks.n_features, blocks.n_labels, len(spec["label"])
+    spark = blocks.frame.sparkSession
+    shared = spark.sparkContext.broadcast(([r.asDict() for r in blocks.frame.collect()], spec))
+    by_index = blocks.rows * n_features > LOCAL_CELLS
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = np.array([i for batch in batches for i in batch.column(0).to_pylist()], int)
+        if not len(ids):
+            return
+        packed, spec = shared.value
+        rows = [Rows(b, n_features, n_labels, by_index) for b in packed]
+        own = {k: v[ids] for k, v in spec.items()}
+
+        def evaluate(point: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            payload = {"theta": point, "hinge": hinge} | {k: own[k][cols] for k in ("label", "held_out", "w_pos", "w_neg")}
+            sums = np.zeros(len(cols) * (n_features + 2))
+            for r in rows:
+                sums += _loss_kernel(r, payload)
+            return _objective(sums, point, n_features, hinge, c)
+
+        fit = minimise(evaluate, n_features + 1, len(ids), own["weight"], tol, max_passes)
+        ab = np.vstack([np.full(len(ids), -1.0), np.zeros(len(ids))])
+        if hinge:
+            ab = _platt_rows(rows, fit.theta, *(own[k] for k in ("label", "held_out", "cal_neg", "cal_pos")))
+        yield pa.RecordBatch.from_pydict({
+            "member": pa.array(ids, pa.int32()), "theta": [t.tobytes() for t in fit.theta.T], "gradient": fit.gradient,
+            "slope": ab[0], "offset": ab[1], "passes": pa.array([fit.passes] * len(ids), pa.int32())})
+
+    theta, gradient, passes = np.zeros((n_features + 1, members)), np.zeros(members), 0
+    slope, offset = np.full(members, -1.0), np.zeros(members)
+    if members:
+        tasks = min(members, spark.sparkContext.defaultParallelism)
+        dealt = spark.range(members).select((F.col("id") % tasks).cast("int").alias("task"), F.col("id").cast("int").alias("member"))
+        dealt = dealt.repartitionByRange(tasks, "task").select("member")
+        solved = dealt.mapInArrow(solve, "member int, theta binary, gradient double, slope double, offset double, passes int")
+        for r in solved.collect():
+            j = r["member"]
+            theta[:, j], gradient[j], slope[j], offset[j] = np.frombuffer(r["theta"]), r["gradient"], r["slope"], r["offset"]
+            passes = max(passes, r["passes"])
+    shared.destroy()
+    return theta, gradient, slope, offset, passes
+
+
 def fit_models(
     encoded: DataFrame,
     labels: Sequence[str],
@@ -357,35 +538,12 @@ def fit_models(
     else:
         w_pos = w_neg = np.ones(len(label))
     packed = pack(rows, n_features)
-    blocks = Blocks(packed, packed.rdd.getNumPartitions(), n_features, n_labels)
-    size = n_features + 1
-    theta = np.zeros((size, len(label)))
-    gradient, passes = np.zeros(len(label)), 0
-    slope, offset = np.full(len(label), -1.0), np.zeros(len(label))
-    group = max(1, GROUP_CELLS // size)
-    for at in range(0, len(label), group):
-        part = np.arange(at, min(at + group, len(label)))
-
-        def evaluate(point: np.ndarray, cols: np.ndarray, part=part) -> tuple[np.ndarray, np.ndarray]:
-            ids = part[cols]
-            payload = {
-                "theta": point, "label": label[ids], "held_out": held[ids], "hinge": hinge,
-                "w_pos": w_pos[ids], "w_neg": w_neg[ids],
-            }
-            k = len(ids)
-            sums = _pass(blocks, _loss_kernel, payload, k * (size + 1))
-            loss = c * sums[:k]
-            grad = c * np.vstack([sums[k : k + n_features * k].reshape(n_features, k), sums[-k:]])
-            reg = point if hinge else np.vstack([point[:-1], np.zeros(k)])
-            return loss + 0.5 * (reg * reg).sum(0), grad + reg
-
-        fit = minimise(evaluate, size, len(part), seen[part].sum(1), tol, max_passes)
-        theta[:, part], gradient[part] = fit.theta, fit.gradient
-        passes += fit.passes
-        if hinge:
-            ab = _platt(blocks, fit.theta, label[part], held[part],
-                        counts[label[part], held[part], 0], counts[label[part], held[part], 1])
-            slope[part], offset[part] = ab
+    held_rows, values = packed.agg(F.sum("n"), F.sum(F.octet_length("idx"))).first()
+    blocks = Blocks(packed, packed.rdd.getNumPartitions(), n_features, n_labels, held_rows or 0, (values or 0) // 4)
+    spec = {"label": label, "held_out": held, "w_pos": w_pos, "w_neg": w_neg, "weight": seen.sum(1),
+            "cal_neg": counts[label, np.minimum(held, FOLDS - 1), 0], "cal_pos": counts[label, np.minimum(held, FOLDS - 1), 1]}
+    solve = _solve_in_tasks if blocks.small() else _solve_in_passes
+    theta, gradient, slope, offset, passes = solve(blocks, spec, hinge, c, tol, max_passes)
     packed.unpersist()
     model = LinearModel(tuple(labels), theta[:-1], theta[-1], label, slope, offset,
                         algorithm=algorithm, version=version)

@@ -153,7 +153,7 @@ def training_rows(spark, sf):
 
 def _trained(spark, sf, algorithm):
     rows = quality.clean(training_rows(spark, sf), TRAIN_LABELS)
-    encoded, space = experiment.prepare(rows, TRAIN_GROUPS, max_features=30000)
+    encoded, space = experiment.prepare(rows, TRAIN_GROUPS, max_features=3000)
     return experiment.run_experiment("run_" + algorithm, algorithm, encoded, space, TRAIN_LABELS)
 
 
@@ -228,9 +228,11 @@ nt AS (
                sum(d2 * x2) AS h23, sum(d2) + {1 - free} AS h33
         FROM (SELECT *, {slope} AS d1, {curve} AS d2
               FROM (SELECT *, {p} AS p FROM (SELECT nt.*, x1, x2, z, s, z * (a * x1 + b * x2 + c) AS m FROM nt JOIN w USING (member) WHERE k < 40)))
-        GROUP BY member, k, a, b, c))
-SELECT CAST(member AS INTEGER) AS member, round(a, 3) AS w1, round(b, 3) AS w2, round(c, 3) AS intercept FROM nt WHERE k = 40"""
+        GROUP BY member, k, a, b, c))"""
+
 
+_SHOW_WEIGHTS = """
+SELECT CAST(member AS INTEGER) AS member, round(a, 3) AS w1, round(b, 3) AS w2, round(c, 3) AS intercept FROM nt WHERE k = 40"""
 
 _WEIGHTED = """, t AS (SELECT member, sum(n) AS n, sum(n) FILTER (y = 1) AS p FROM cells GROUP BY member),
 w AS (SELECT member, x1, x2, 2 * y - 1 AS z, cells.n * t.n / (2.0::DOUBLE * CASE WHEN y = 1 THEN t.p ELSE t.n - t.p END) AS s
@@ -245,27 +247,55 @@ def _two_features(spark, sf, algorithm):
     path = work_path(spark, "encoded")
     docs.select("doc_id", "y", cells.alias("indices")).withColumn(
         "values", F.transform("indices", lambda _: F.lit(1.0))).write.parquet(path)
-    model, _ = training.fit_models(spark.read.parquet(path), ["quality"], 2, algorithm, key="doc_id", tol=1e-9)
+    return training.fit_models(spark.read.parquet(path), ["quality"], 2, algorithm, key="doc_id", tol=1e-9)[0]
+
+
+def _weights_of(spark, model):
     rows = [(m, *(round(float(x), 3) for x in (*model.weights[:, m], model.intercepts[m]))) for m in range(model.weights.shape[1])]
     return spark.createDataFrame(rows, "member int, w1 double, w2 double, intercept double")
 
 
 @query("f1_logistic_weights", f"""
 WITH RECURSIVE {_TWO}, cells AS (SELECT 0 AS member, x1, x2, y, count(*) AS n FROM d GROUP BY ALL){_WEIGHTED}
-{_newton("1 / (1 + exp(m))", "-s * z * p", "s * p * (1 - p)", 1)}""")
+{_newton("1 / (1 + exp(m))", "-s * z * p", "s * p * (1 - p)", 1)}{_SHOW_WEIGHTS}""")
 def logistic_weights(spark, sf):
     """Weights of a logistic regression on two features, against Newton steps in SQL."""
-    return _two_features(spark, sf, "logistic_regression")
+    return _weights_of(spark, _two_features(spark, sf, "logistic_regression"))
 
 
-@query("f2_svm_weights", f"""
+_FOLD_CELLS = f"""
 WITH RECURSIVE {_TWO},
 f AS (SELECT *, (row_number() OVER (PARTITION BY y ORDER BY h, CAST(doc_id AS VARCHAR)) - 1) % 3 AS fold FROM d),
 cells AS (SELECT member, x1, x2, y, count(*) AS n FROM f, (SELECT unnest([0, 1, 2]) AS member) WHERE fold <> member GROUP BY ALL){_WEIGHTED}
-{_newton("greatest(1 - m, 0)", "-2 * s * z * p", "CASE WHEN p > 0 THEN 2 * s ELSE 0 END", 0)}""")
+{_newton("greatest(1 - m, 0)", "-2 * s * z * p", "CASE WHEN p > 0 THEN 2 * s ELSE 0 END", 0)}"""
+
+
+@query("f2_svm_weights", _FOLD_CELLS + _SHOW_WEIGHTS)
 def svm_weights(spark, sf):
     """Weights of the three fold members of a squared-hinge SVM, against Newton steps in SQL."""
-    return _two_features(spark, sf, "linear_svm")
+    return _weights_of(spark, _two_features(spark, sf, "linear_svm"))
+
+
+@query("f3_calibration_sigmoids", _FOLD_CELLS + """,
+held AS (SELECT fold AS member, a * x1 + b * x2 + c AS m, count(*) FILTER (y = 1) AS p, count(*) FILTER (y = 0) AS n
+         FROM f JOIN nt ON nt.member = f.fold AND k = 40 GROUP BY ALL),
+size AS (SELECT member AS of_member, sum(p) AS all_p, sum(n) AS all_n FROM held GROUP BY member),
+cal AS (SELECT member, m, p + n AS total, p * (all_p + 1.0::DOUBLE) / (all_p + 2) + n / (all_n + 2.0::DOUBLE) AS wanted
+        FROM held JOIN size ON of_member = member),
+st AS (
+  SELECT of_member AS member, 0 AS step, 0.0::DOUBLE AS slope, ln((all_n + 1.0::DOUBLE) / (all_p + 1)) AS shift FROM size
+  UNION ALL
+  SELECT member, step + 1, slope - (hbb * ga - hab * gb) / (haa * hbb - hab * hab), shift - (haa * gb - hab * ga) / (haa * hbb - hab * hab)
+  FROM (SELECT member, step, slope, shift, sum(g * m) AS ga, sum(g) AS gb, sum(h * m * m) + 1e-10 AS haa, sum(h * m) AS hab, sum(h) + 1e-10 AS hbb
+        FROM (SELECT *, wanted - total * q AS g, total * q * (1 - q) AS h
+              FROM (SELECT st.*, m, total, wanted, 1 / (1 + exp(slope * m + shift)) AS q FROM st JOIN cal USING (member) WHERE step < 30))
+        GROUP BY member, step, slope, shift))
+SELECT CAST(member AS INTEGER) AS member, round(slope, 3) AS slope, round(shift, 3) AS offset_ FROM st WHERE step = 30""")
+def calibration_sigmoids(spark, sf):
+    """Slope and offset of the sigmoid of each fold member, against Newton steps in SQL on held-out margins."""
+    model = _two_features(spark, sf, "linear_svm")
+    rows = [(m, round(float(a), 3), round(float(b), 3)) for m, (a, b) in enumerate(zip(model.slope, model.offset, strict=True))]
+    return spark.createDataFrame(rows, "member int, slope double, offset_ double")
 
 
 @query("f8_h12_h14_compare_train_evaluate")
@@ -273,7 +303,7 @@ def compare_train_evaluate(spark, sf):
     """Both algorithms, the better one stored, read back and evaluated on all labelled documents."""
     out = work_path(spark, "model")
     rows = training_rows(spark, sf)
-    experiment.train(rows, TRAIN_LABELS, TRAIN_GROUPS, out, "compare", max_features=30000)
+    experiment.train(rows, TRAIN_LABELS, TRAIN_GROUPS, out, "compare", max_features=3000)
     _, per_label = experiment.evaluate_stored(rows, out)
     return per_label.select(*_RUN_COLUMNS)
 

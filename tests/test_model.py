@@ -107,7 +107,16 @@ def platt(m, y):
     return a
 
 
-def test_logistic_regression_reaches_the_optimum(spark):
+@pytest.fixture(params=["tasks", "passes", "by index"])
+def solver(request, monkeypatch):
+    """All ways to multiply and to share out the work; they differ in plan only."""
+    if request.param == "passes":
+        monkeypatch.setattr(training, "LOCAL_VALUES", 0)
+    if request.param == "by index":
+        monkeypatch.setattr(training, "LOCAL_CELLS", 0)
+
+
+def test_logistic_regression_reaches_the_optimum(spark, solver):
     df, x, y = dataset(spark)
     model, report = training.fit_models(df, ["a", "b", "none", "all"], 12, tol=1e-7)
     for j in (0, 1):
@@ -132,7 +141,7 @@ def test_logistic_regression_agrees_with_mllib(spark):
     assert model.intercepts[0] == pytest.approx(other.intercept, abs=1e-3)
 
 
-def test_calibrated_svm(spark):
+def test_calibrated_svm(spark, solver):
     df, x, y = dataset(spark)
     dealt = {r["prompt"]: r["fold"] for r in training.assign_folds(df, 4).collect()}
     folds = np.array([dealt[str(i)] for i in range(len(x))])
@@ -167,6 +176,7 @@ def test_folds_are_balanced_whatever_the_number_of_cells(spark, monkeypatch):
 
 
 def test_partial_sums_added_on_executors(spark, monkeypatch):
+    monkeypatch.setattr(training, "LOCAL_VALUES", 0)
     df, *_ = dataset(spark, n=60)
     direct, _ = training.fit_models(df, ["a", "b", "none", "all"], 12)
     monkeypatch.setattr(training, "DIRECT_PARTIALS", 1)
