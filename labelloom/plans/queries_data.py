@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from labelloom.functions import labels as lb
@@ -61,23 +62,60 @@ def load_labelled_csv(spark, sf):
     return _long(prompts.load_labelled(spark, path, FLAGS, multiline=False), FLAGS)
 
 
-@query("a2_prompt_records", """
+_RECORDS_SQL = """
 SELECT CASE WHEN doc_id % 7 = 0 THEN '' ELSE md5(text) END AS prompt_md5,
        CASE WHEN doc_id % 5 = 0 THEN '' ELSE lang || ',' || source END AS tools, count(*) AS n
-FROM documents GROUP BY ALL""")
-def prompt_records(spark, sf):
-    path = work_path(spark, "records-json")
-    texts(spark, sf).select(
+FROM documents GROUP BY ALL"""
+
+
+def _records(spark, sf):
+    return texts(spark, sf).select(
         F.when(F.col("doc_id") % 7 != 0, F.col("text")).alias("prompt"),
-        F.when(F.col("doc_id") % 5 != 0, F.array("lang", "source")).alias("relevant_tools"),
-    ).write.json(path)
-    done = prompts.read_prompt_records(spark, path)
-    return done.groupBy(
+        F.when(F.col("doc_id") % 5 != 0, F.array("lang", "source")).alias("relevant_tools"))
+
+
+def _counted(records):
+    return records.groupBy(
         F.when(F.col("prompt") == "", "").otherwise(F.md5("prompt")).alias("prompt_md5"),
         F.array_join("relevant_tools", ",").alias("tools"),
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("a2_prompt_records", _RECORDS_SQL)
+def prompt_records(spark, sf):
+    path = work_path(spark, "records-json")
+    _records(spark, sf).write.json(path)
+    return _counted(prompts.read_prompt_records(spark, path))
+
+
+@query("a2_prompt_record_lists", _RECORDS_SQL)
+def prompt_record_lists(spark, sf):
+    """Each file is one JSON list of records, on indented lines."""
+    path = work_path(spark, "records-lists")
+
+    def listed(batches):
+        mark = "["
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"value": [f"{mark if i == 0 else ','}\n  {r}" for i, r in enumerate(
+                batch.column(0).to_pylist())]})
+            mark = "," if batch.num_rows else mark
+        yield pa.RecordBatch.from_pydict({"value": ["[]" if mark == "[" else "]"]})
+
+    _records(spark, sf).select(F.to_json(F.struct("prompt", "relevant_tools"))).mapInArrow(listed, "value string").write.text(path)
+    return _counted(prompts.read_prompt_records(spark, path, multiline=True))
+
+
+@query("a1_csv_with_line_breaks", """
+SELECT md5(text) AS text_md5, lang, source, count(*) AS n FROM documents GROUP BY ALL""")
+def csv_with_line_breaks(spark, sf):
+    """Whole texts as quoted cells, commas, quotes and line breaks included."""
+    path = work_path(spark, "texts-csv")
+    texts(spark, sf).select("text", "lang", "source").write.option("header", True).option("escape", '"').option(
+        "quoteAll", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    found = prompts.read_table(spark, path, multiline=True)
+    return found.groupBy(F.md5("text").alias("text_md5"), "lang", "source").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("a3_catalog_entries", """
 SELECT p_partkey, 0 AS pos, p_name AS label, CASE WHEN p_size % 3 = 0 THEN '' ELSE p_type END AS description,
        CASE WHEN p_size % 4 = 0 THEN 'unknown' ELSE p_brand END AS category,

@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 from labelloom.functions import text as tx
 from labelloom.functions.labels import membership, to_long
 from labelloom.operators import adapters
+from labelloom.sources import stitched
 
 RECORD_SCHEMA = "prompt string, relevant_tools array<string>"
 
 
 def read_prompt_records(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
-    """Prompt records from JSON: one object per line, or a list of objects (``multiline``), which is
-    one task per file."""
-    return complete_records(spark.read.schema(RECORD_SCHEMA).json(path, multiLine=multiline))
+    """Prompt records from JSON: one object per line, or (``multiline``) lists of objects laid out in any
+    way. Both are read by several tasks per file."""
+    if multiline:
+        return complete_records(stitched.read_json_list(spark, path, RECORD_SCHEMA))
+    return complete_records(spark.read.schema(RECORD_SCHEMA).json(path))
 
 
 def complete_records(df: DataFrame) -> DataFrame:
@@ -30,9 +33,9 @@ def complete_records(df: DataFrame) -> DataFrame:
 
 def read_table(spark: SparkSession, path: str, fmt: str = "csv", multiline: bool = False) -> DataFrame:
     """Labelled table as stored. CSV columns stay text; ``multiline`` is for files whose quoted cells
-    hold line breaks and which Spark then cannot split."""
+    hold line breaks. Both are read by several tasks per file."""
     if fmt == "csv":
-        return spark.read.csv(path, header=True, escape='"', multiLine=multiline)
+        return stitched.read_csv(spark, path) if multiline else spark.read.csv(path, header=True, escape='"')
     return spark.read.format(fmt).load(path)
 
 
