@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.functions.columns import double_array
-from labelloom.functions.sizing import small_side
+from labelloom.functions.sizing import MAX_LABELS, bounded_rows, small_side
+from labelloom.operators import products
+from labelloom.session import work_path
 
 MAX_MODEL_CELLS = 64_000_000  # 512 MB of doubles: the largest weight matrix sent to every task
 _CHUNK_CELLS = 4_000_000
@@ -76,10 +78,11 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 def score_vectors(df: DataFrame, model: LinearModel) -> DataFrame:
     """Adds ``scores ARRAY<DOUBLE>`` in label order; labels without a model score 0.
 
-    Narrow: the weight matrix is broadcast (its size is checked), rows stay where they are.
+    Narrow: the weight matrix is broadcast if it has at most ``MAX_MODEL_CELLS``; a larger one is
+    multiplied in blocks (``score_in_blocks``).
     """
     if model.weights.size > MAX_MODEL_CELLS:
-        raise ValueError("model too large to broadcast; use score_by_join")
+        return score_in_blocks(df, model)
     shared = df.sparkSession.sparkContext.broadcast(
         (model.weights, model.intercepts, model.member_label, model.slope, model.offset, len(model.labels))
     )
@@ -91,36 +94,70 @@ def score_vectors(df: DataFrame, model: LinearModel) -> DataFrame:
         idx = indices.values.to_numpy(zero_copy_only=False)
         val = values.values.to_numpy(zero_copy_only=False)
         val = val[int(values.offsets[0].as_py()) - int(starts[0]) :] if starts[0] != values.offsets[0].as_py() else val
-        m = margins(idx, val, starts, w) + b
-        p = sigmoid(-(slope * m + offset))
-        total = np.zeros((len(starts) - 1, n_labels))
-        members = np.zeros(n_labels)
-        for j, label in enumerate(owner):
-            total[:, label] += p[:, j]
-            members[label] += 1
-        total /= np.maximum(members, 1)
-        ends = np.arange(0, total.size + 1, n_labels, dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(total.ravel()))
+        return label_scores(margins(idx, val, starts, w), b, owner, slope, offset, n_labels)
 
     return df.withColumn("scores", scores("indices", "values"))
 
 
+def label_scores(m: np.ndarray, b: np.ndarray, owner: np.ndarray, slope: np.ndarray, offset: np.ndarray, n_labels: int) -> pa.Array:
+    """Scores of labels, a list per row, from the margins of members without intercepts."""
+    p = sigmoid(-(slope * (m + b) + offset))
+    total = np.zeros((len(m), n_labels))
+    members = np.zeros(n_labels)
+    for j, label in enumerate(owner):
+        total[:, label] += p[:, j]
+        members[label] += 1
+    total /= np.maximum(members, 1)
+    ends = np.arange(0, total.size + 1, n_labels, dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(total.ravel()))
+
+
+def score_in_blocks(df: DataFrame, model: LinearModel) -> DataFrame:
+    """``score_vectors`` for a matrix of any size: rows are written with a number, multiplied in blocks, and
+    joined with their scores."""
+    spark = df.sparkSession
+    path = work_path(spark, "rows-to-score")
+    df.drop("scores").withColumn("row number", F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    found = products.block_margins(
+        rows.select(F.col("row number").alias("row"), "indices", "values"), products.matrix_blocks(spark, model.weights))
+    found = products.row_margins(found).groupBy("row").agg(products.whole_rows(found).alias("margins"))
+    shared = spark.sparkContext.broadcast((model.intercepts, model.member_label, model.slope, model.offset, len(model.labels)))
+
+    @F.arrow_udf("array<double>")
+    def scores(margins: pa.Array) -> pa.Array:
+        m = margins.flatten().to_numpy(zero_copy_only=False).reshape(len(margins), -1)
+        return label_scores(m, *shared.value)
+
+    scored = found.select(F.col("row").alias("scored row"), scores("margins").alias("scores"))
+    return rows.join(scored, F.col("row number") == F.col("scored row")).drop("scored row", "row number")
+
+
 def score_by_join(features: DataFrame, coefficients: DataFrame, intercepts: DataFrame, key: str) -> DataFrame:
-    """(key, label, margin, score) from long features and a coefficient table of any size.
+    """(key, label, margin, score) from long features (key, feature, value) and tables of any size:
+    coefficients (label, feature, w) and intercepts (label, b).
 
-    The general way when the matrix outgrows a broadcast: join on the feature, sum per key and label.
-    Spark picks broadcast or shuffle from the table's size.
+    Both sides are brought to blocks on the executors; a feature of a key occurs once. A key without a
+    feature that has a weight gives no row, as in a join, and labels without weights give none.
     """
-    summed = (
-        features.select(key, "feature", "value")
-        .join(coefficients, "feature")
-        .groupBy(key, "label")
-        .agg(F.sum(F.col("value") * F.col("w")).alias("dot"))
-    )
-    return summed.join(intercepts, "label").select(
-        key, "label", (F.col("dot") + F.col("b")).alias("margin"),
-        (F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("dot") + F.col("b"))))).alias("score"),
-    )
+    spark = features.sparkSession
+    labels = intercepts.join(coefficients.select("label").distinct(), "label", "left_semi").orderBy("label")
+    names = [(r["label"], r["b"], i) for i, r in enumerate(bounded_rows(labels, MAX_LABELS, "labels"))]
+    members = spark.createDataFrame(names, "label string, b double, member int")
+    weighted = coefficients.select("feature").distinct()
+    rows = features.join(weighted, "feature", "left_semi").groupBy(key).agg(
+        F.array_sort(F.collect_list(F.struct(F.col("feature").cast("int").alias("feature"), F.col("value").cast("double").alias(
+            "value")))).alias("cells"))
+    path = work_path(spark, "rows-to-score")
+    rows.select(key, F.transform("cells", lambda c: c["feature"]).alias("indices"), F.transform(
+        "cells", lambda c: c["value"]).alias("values"), F.monotonically_increasing_id().alias("row")).write.parquet(path)
+    rows = spark.read.parquet(path)
+    blocks = products.coefficient_blocks(coefficients.join(F.broadcast(members), "label"), len(names))
+    found = products.row_margins(products.block_margins(rows.select("row", "indices", "values"), blocks))
+    long = found.select("row", "first", F.posexplode("margins").alias("place", "dot")).withColumn("member", F.col("first") + F.col("place"))
+    named = long.join(F.broadcast(members), "member").join(rows.select("row", key), "row")
+    margin = F.col("dot") + F.col("b")
+    return named.select(key, "label", margin.alias("margin"), (F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))).alias("score"))
 
 
 def predict(scores: Column, thresholds: Sequence[float]) -> Column:

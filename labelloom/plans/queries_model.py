@@ -91,6 +91,17 @@ def predict_proba(spark, sf):
     )
 
 
+@query("f6_predict_proba_in_blocks", _MARGINS + "SELECT doc_id, label, round(1 / (1 + exp(-margin)), 6) AS score FROM m")
+def predict_proba_in_blocks(spark, sf):
+    """Scores by the way that serves matrices beyond a broadcast."""
+    docs = _docs(spark, sf)
+    space = features.space_from_vocabulary(_vocabulary(spark, sf), GROUPS)
+    encoded = features.encode(docs, space).select("doc_id", "indices", "values")
+    scored = scoring.score_in_blocks(encoded, _fixed_model(space))
+    return to_long(scored.select("doc_id", F.col("scores").alias("y")), LANGS, ["doc_id"]).select(
+        "doc_id", "label", F.round("y", 6).alias("score"))
+
+
 @query("j_spmv_score_by_join", _MARGINS + """
 SELECT doc_id, label, round(margin, 6) AS margin, round(1 / (1 + exp(-margin)), 6) AS score FROM m""")
 def score_by_join(spark, sf):
