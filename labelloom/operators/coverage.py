@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterable, Iterator
+
+import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,6 +16,9 @@ from labelloom.functions.columns import let, str_array
 from labelloom.functions.sizing import small_side
 from labelloom.session import cut_lineage
 
+# Task functions travel with the job: executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Phrasing families. {desc}, {desc_lc}, {noun} and {noun_singular} are slots.
 TEMPLATES = {
     "read": (
@@ -175,34 +184,70 @@ def already_present(existing: DataFrame, candidates: DataFrame, text: str = "pro
     return existing.select(F.col(text).alias("text")).join(wanted, "text", "left_semi").distinct()
 
 
+def _forest(links: Iterable[tuple[int, int]]) -> dict[int, int]:
+    """Smallest label linked with each label, over all chains of links."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        top = x
+        while root.setdefault(top, top) != top:
+            top = root[top]
+        while root[x] != top:
+            root[x], x = top, root[x]
+        return top
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {x: find(x) for x in list(root)}
+
+
+def colliding_groups(fresh: DataFrame) -> DataFrame:
+    """(pos, component) of the labels that share a candidate text with another one, directly or over others.
+
+    Tasks reduce their links to a spanning forest, one row per label at most, and one task joins the
+    forests: its work is that of the catalog's length, and two steps serve chains of any length.
+    """
+    shared = fresh.groupBy("text").agg(F.min("pos").alias("a"), F.max("pos").alias("b")).filter("a < b")
+    links = fresh.join(shared.select("text", "a"), "text").filter("pos > a").select(
+        F.col("a").cast("long").alias("a"), F.col("pos").cast("long").alias("b"))
+
+    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _forest(link for b in batches for link in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        yield pa.RecordBatch.from_pydict({"pos": pa.array(found, pa.int64()), "component": pa.array(found.values(), pa.int64())})
+
+    schema = "pos long, component long"
+    return links.mapInArrow(reduced, schema).repartition(1).mapInArrow(reduced, schema)
+
+
+def _walk(group: pd.DataFrame) -> pd.DataFrame:
+    """Labels of a component in turn; each takes its first free texts."""
+    seen: set[str] = set()
+    kept = []
+    for _, own in group.sort_values(["pos", "attempt"]).groupby("pos", sort=True):
+        left = int(own["need"].iloc[0])
+        for at, text in zip(own.index, own["text"], strict=True):
+            if left > 0 and text not in seen:
+                seen.add(text)
+                kept.append(at)
+                left -= 1
+    return group.loc[kept].drop(columns="component")
+
+
 def pick_new(candidates: DataFrame, existing: DataFrame, text: str = "prompt") -> DataFrame:
     """At most ``need`` unseen texts per label; an earlier label takes a text before a later one.
 
     A label takes only its first ``need`` free texts, so what a later label may use depends on what
-    the earlier ones really took. Start from what every label would take alone and repeat with the
-    texts taken by earlier labels removed; the lowest label is right at once, each pass settles the
-    next in every chain of collisions, and a pass without change is the answer.
+    the earlier ones really took. Labels whose candidates meet no other label's take theirs at once; the
+    others are settled component by component, each in one walk.
     """
     rendered = cut_lineage(candidates.select("pos", "label", "need", "attempt", "text"))
     fresh = cut_lineage(rendered.join(already_present(existing, rendered, text), "text", "left_anti").select(*rendered.columns))
+    groups = small_side(cut_lineage(colliding_groups(fresh)))
     order = W.partitionBy("pos", "label").orderBy("attempt")
-
-    def take(free: DataFrame) -> DataFrame:
-        return free.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= F.col("need")).drop("_r")
-
-    taken = cut_lineage(take(fresh))
-    while True:
-        owners = taken.groupBy("text").agg(F.min("pos").alias("owner"))
-        free = fresh.join(owners, "text", "left").filter(
-            F.col("owner").isNull() | (F.col("owner") >= F.col("pos"))
-        ).drop("owner")
-        following = cut_lineage(take(free))
-        same = following.select("pos", "text").exceptAll(taken.select("pos", "text")).isEmpty() and taken.select(
-            "pos", "text"
-        ).exceptAll(following.select("pos", "text")).isEmpty()
-        if same:
-            return following
-        taken = following
+    free = fresh.join(groups, "pos", "left_anti").withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= F.col("need"))
+    walked = fresh.join(groups, "pos").groupBy("component").applyInPandas(_walk, fresh.schema)
+    return free.drop("_r").select(*fresh.columns).unionByName(walked)
 
 
 def merge_corpus(existing: DataFrame, new: DataFrame) -> DataFrame:

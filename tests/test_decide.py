@@ -127,12 +127,25 @@ def test_picking_follows_the_sequential_rule(spark):
     rng = random.Random(5)
     table = [(p, rng.randint(1, 4), rng.sample("abcdefghijklm", 8)) for p in range(12)]
     chain = [(p, 1, [f"t{p - 1}", f"t{p}"]) for p in range(6)]  # every label's choice moves the next one's
-    for case, existing in ((table, ["a", "m"]), (chain, []), (chain, ["t-1"])):
+    alone = [(100 + p, 2, [f"u{p}", f"v{p}", f"w{p}"]) for p in range(5)]
+    for case, existing in ((table, ["a", "m"]), (chain, []), (chain, ["t-1"]), (alone, []), (table + alone + [(200, 0, ["a", "b"])], ["u1"])):
         old = spark.createDataFrame([(e,) for e in existing], "prompt string")
         got = coverage.pick_new(candidates(spark, case), old)
         assert {(r["label"], r["text"]) for r in got.collect()} == walk(case, existing)
 
 
+def test_picking_takes_as_many_jobs_for_a_long_chain(spark):
+    chain = [(p, 1, [f"t{p - 1}", f"t{p}"]) for p in range(300)]
+    old = spark.createDataFrame([], "prompt string")
+    status, jobs = spark.sparkContext.statusTracker(), []
+    for case in (chain[:6], chain):
+        spark.sparkContext.setJobGroup(f"pick {len(case)}", "")
+        got = {(r["label"], r["text"]) for r in coverage.pick_new(candidates(spark, case), old).collect()}
+        assert got == walk(case, [])
+        jobs.append(len(status.getJobIdsForGroup(f"pick {len(case)}")))
+    assert abs(jobs[0] - jobs[1]) <= 3
+
+
 def test_rendering(spark):
     thin = spark.createDataFrame(
         [(0, "list_stars", "List stars.", "repository_stars", 3, None), (1, "get_x", "Get the thing", "a_b", 40, ["read", "commit", "ab"])],
