@@ -90,16 +90,31 @@ def train(df: DataFrame, labels: Sequence[str], keyword_groups: Sequence[tuple[s
 
     ``compare`` trains both and keeps the higher micro F1, then macro F1, the first on a tie.
     """
-    choices = training.ALGORITHMS if algorithm == "compare" else (algorithm,)
-    for a in choices:
-        if a not in training.ALGORITHMS:
-            raise ValueError(f"Unknown algorithm: {a}")
     spark: SparkSession = df.sparkSession
+    choices = algorithms(algorithm)
     started = time.time()
-    run_id = uuid.uuid4().hex[:8]
     found = bounded_rows(quality.quality_report(df, labels), 3 * len(labels) + 4, "quality issues")
     issues = [r["message"] for r in sorted(found, key=lambda r: (r["check_no"], r["pos"]))]
     encoded, space = prepare(quality.clean(df, labels), keyword_groups, **prepare_options)
+    best, meta = train_encoded(encoded, space, labels, out, choices, version)
+    meta |= {"training_source": source, "data_quality_issues": issues, "total_training_seconds": round(time.time() - started, 2)}
+    artifacts.save_model(spark, out, space, best.model, meta)
+    return meta
+
+
+def algorithms(algorithm: str) -> tuple[str, ...]:
+    """What to train: both for ``compare``."""
+    choices = training.ALGORITHMS if algorithm == "compare" else (algorithm,)
+    for a in choices:
+        if a not in training.ALGORITHMS:
+            raise ValueError(f"Unknown algorithm: {a}")
+    return choices
+
+
+def train_encoded(encoded: DataFrame, space: FeatureSpace, labels: Sequence[str], out: str, choices: Sequence[str],
+                  version: str = "1.0.0") -> tuple[Experiment, dict]:
+    """Train the algorithms on encoded parts, record every run under ``out``; the best run and what to store of it."""
+    run_id = uuid.uuid4().hex[:8]
     results = []
     for a in choices:
         suffix = "LR" if a == "logistic_regression" else "SVM"
@@ -107,17 +122,14 @@ def train(df: DataFrame, labels: Sequence[str], keyword_groups: Sequence[tuple[s
     rows = [e.summary.first().asDict() for e in results]
     best = max(range(len(rows)), key=lambda i: (rows[i]["micro_f1"], rows[i]["macro_f1"], -i))
     sizes = {r["split"]: r["count"] for r in encoded.groupBy("split").count().collect()}
-    meta = {
-        "run_id": run_id, "model_version": version, "algorithm": results[best].algorithm, "training_source": source,
+    return results[best], {
+        "run_id": run_id, "model_version": version, "algorithm": results[best].algorithm,
         "tools": list(labels), "num_tools": len(labels), "thresholds": results[best].model.thresholds,
         "train_size": sizes.get("train", 0), "val_size": sizes.get("val", 0), "test_size": sizes.get("test", 0),
         "feature_count": space.size, "training_timestamp": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()),
-        "total_training_seconds": round(time.time() - started, 2), "data_quality_issues": issues,
         "evaluation_metrics": rows[best],
         "all_experiment_results": {e.algorithm: r for e, r in zip(results, rows)},
     }
-    artifacts.save_model(spark, out, space, results[best].model, meta)
-    return meta
 
 
 def score(df: DataFrame, space: FeatureSpace, model: LinearModel, text: str = "prompt") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from labelloom.functions import text as tx
 from labelloom.functions.columns import str_array
 from labelloom.functions.labels import to_long
-from labelloom.operators import features, metrics, quality, scoring, thresholds, training
+from labelloom.operators import features, metrics, quality, scoring, split, thresholds, training
 from labelloom.plans import experiment
 from labelloom.plans import fragments as fr
 from labelloom.plans.queries_text import _ALL, _VOCAB, GROUPS, _docs, _vocabulary
@@ -274,6 +274,22 @@ def logistic_weights(spark, sf):
     return _weights_of(spark, _two_features(spark, sf, "logistic_regression"))
 
 
+_SIGMOIDS = """
+held AS (SELECT fold AS member, a * x1 + b * x2 + c AS m, count(*) FILTER (y = 1) AS p, count(*) FILTER (y = 0) AS n
+         FROM f JOIN nt ON nt.member = f.fold AND k = 40 GROUP BY ALL),
+size AS (SELECT member AS of_member, sum(p) AS all_p, sum(n) AS all_n FROM held GROUP BY member),
+cal AS (SELECT member, m, p + n AS total, p * (all_p + 1.0::DOUBLE) / (all_p + 2) + n / (all_n + 2.0::DOUBLE) AS wanted
+        FROM held JOIN size ON of_member = member),
+st AS (
+  SELECT of_member AS member, 0 AS step, 0.0::DOUBLE AS slope, ln((all_n + 1.0::DOUBLE) / (all_p + 1)) AS shift FROM size
+  UNION ALL
+  SELECT member, step + 1, slope - (hbb * ga - hab * gb) / (haa * hbb - hab * hab), shift - (haa * gb - hab * ga) / (haa * hbb - hab * hab)
+  FROM (SELECT member, step, slope, shift, sum(g * m) AS ga, sum(g) AS gb, sum(h * m * m) + 1e-10 AS haa, sum(h * m) AS hab, sum(h) + 1e-10 AS hbb
+        FROM (SELECT *, wanted - total * q AS g, total * q * (1 - q) AS h
+              FROM (SELECT st.*, m, total, wanted, 1 / (1 + exp(slope * m + shift)) AS q FROM st JOIN cal USING (member) WHERE step < 30))
+        GROUP BY member, step, slope, shift))"""
+
+
 _FOLD_CELLS = f"""
 WITH RECURSIVE {_TWO},
 f AS (SELECT *, (row_number() OVER (PARTITION BY y ORDER BY h, CAST(doc_id AS VARCHAR)) - 1) % 3 AS fold FROM d),
@@ -287,20 +303,7 @@ def svm_weights(spark, sf):
     return _weights_of(spark, _two_features(spark, sf, "linear_svm"))
 
 
-@query("f3_calibration_sigmoids", _FOLD_CELLS + """,
-held AS (SELECT fold AS member, a * x1 + b * x2 + c AS m, count(*) FILTER (y = 1) AS p, count(*) FILTER (y = 0) AS n
-         FROM f JOIN nt ON nt.member = f.fold AND k = 40 GROUP BY ALL),
-size AS (SELECT member AS of_member, sum(p) AS all_p, sum(n) AS all_n FROM held GROUP BY member),
-cal AS (SELECT member, m, p + n AS total, p * (all_p + 1.0::DOUBLE) / (all_p + 2) + n / (all_n + 2.0::DOUBLE) AS wanted
-        FROM held JOIN size ON of_member = member),
-st AS (
-  SELECT of_member AS member, 0 AS step, 0.0::DOUBLE AS slope, ln((all_n + 1.0::DOUBLE) / (all_p + 1)) AS shift FROM size
-  UNION ALL
-  SELECT member, step + 1, slope - (hbb * ga - hab * gb) / (haa * hbb - hab * hab), shift - (haa * gb - hab * ga) / (haa * hbb - hab * hab)
-  FROM (SELECT member, step, slope, shift, sum(g * m) AS ga, sum(g) AS gb, sum(h * m * m) + 1e-10 AS haa, sum(h * m) AS hab, sum(h) + 1e-10 AS hbb
-        FROM (SELECT *, wanted - total * q AS g, total * q * (1 - q) AS h
-              FROM (SELECT st.*, m, total, wanted, 1 / (1 + exp(slope * m + shift)) AS q FROM st JOIN cal USING (member) WHERE step < 30))
-        GROUP BY member, step, slope, shift))
+@query("f3_calibration_sigmoids", _FOLD_CELLS + "," + _SIGMOIDS + """
 SELECT CAST(member AS INTEGER) AS member, round(slope, 3) AS slope, round(shift, 3) AS offset_ FROM st WHERE step = 30""")
 def calibration_sigmoids(spark, sf):
     """Slope and offset of the sigmoid of each fold member, against Newton steps in SQL on held-out margins."""
@@ -309,6 +312,89 @@ def calibration_sigmoids(spark, sf):
     return spark.createDataFrame(rows, "member int, slope double, offset_ double")
 
 
+_SVM_NEWTON = _newton("greatest(1 - m, 0)", "-2 * s * z * p", "CASE WHEN p > 0 THEN 2 * s ELSE 0 END", 0)
+_LR_NEWTON = _newton("1 / (1 + exp(m))", "-s * z * p", "s * p * (1 - p)", 1)
+# One label, two yes/no features: split, both fits, sweep, test, choice and evaluation of the chosen model.
+_RUN = f"""
+WITH RECURSIVE d AS (
+  SELECT md5(text) AS key, y, contains(t, ' the ')::INT AS x1, contains(t, '###')::INT AS x2,
+         CASE WHEN bucket < 200 THEN 'test' WHEN bucket < 300 THEN 'val' ELSE 'train' END AS part
+  FROM (SELECT text, max(quality) AS y, {fr.sql_norm("text")} AS t, {fr.sql_bucket("'42|' || text")} AS bucket
+        FROM documents JOIN labels USING (doc_id) GROUP BY text)),
+folded AS (SELECT *, (row_number() OVER (PARTITION BY y ORDER BY substr(md5(key), 1, 15), key) - 1) % 3 AS fold FROM d WHERE part = 'train'),
+lr AS (WITH RECURSIVE cells AS (SELECT 0 AS member, x1, x2, y, count(*) AS n FROM folded GROUP BY ALL){_WEIGHTED}
+{_LR_NEWTON} SELECT a, b, c FROM nt WHERE k = 40),
+svm AS (WITH RECURSIVE f AS (SELECT * FROM folded), cells AS (SELECT member, x1, x2, y, count(*) AS n FROM f, (SELECT unnest([0, 1, 2]) AS member) WHERE fold <> member GROUP BY ALL){_WEIGHTED}
+{_SVM_NEWTON},{_SIGMOIDS} SELECT a, b, c, slope, shift FROM nt JOIN st USING (member) WHERE k = 40 AND step = 30),
+cell AS (SELECT DISTINCT x1, x2 FROM d),
+model AS (SELECT 'logistic_regression' AS label, x1, x2, 1 / (1 + exp(-(a * x1 + b * x2 + c))) AS score FROM cell, lr
+          UNION ALL SELECT 'linear_svm', x1, x2, avg(1 / (1 + exp(slope * (a * x1 + b * x2 + c) + shift))) FROM cell, svm GROUP BY x1, x2),
+every AS (SELECT part, label, y, score FROM d JOIN model USING (x1, x2)),
+truth AS (SELECT label, y, score FROM every WHERE part = 'val'), {fr.TUNED},
+counted AS (SELECT label, threshold, part = 'test' AS tested, count(*) FILTER (score >= threshold AND y = 1) AS tp,
+                   count(*) FILTER (score >= threshold AND y = 0) AS fp, count(*) FILTER (score < threshold AND y = 0) AS tn,
+                   count(*) FILTER (score < threshold AND y = 1) AS fn FROM every JOIN tuned USING (label) GROUP BY ALL),
+tested AS (SELECT *, CASE WHEN tp + fp + fn = 0 THEN 0.0 ELSE round(2.0 * tp / (2 * tp + fp + fn), 4) END AS f1 FROM counted WHERE tested),
+chosen AS (SELECT * FROM tested ORDER BY f1 DESC, label DESC LIMIT 1)"""
+
+
+def _two_feature_run(spark, sf):
+    """(rows, labels, encoded, space): whole texts once each, of whose features only two keywords train."""
+    docs = texts(spark, sf).select("doc_id", "text").join(table(spark, sf, "labels"), "doc_id")
+    rows = docs.groupBy(F.col("text").alias("prompt")).agg(F.array(F.max("quality")).alias("y"))
+    space = features.FeatureSpace((), (), (("the", (" the ",)), ("hashes", ("###",))))
+    path = work_path(spark, "encoded")
+    encoded = features.encode(split.with_split(rows), space)
+    kept = F.filter(F.arrays_zip("indices", "values"), lambda c: (c["indices"] < 2) & (c["values"] != 0))
+    encoded.withColumn("kept", kept).select(
+        F.md5("prompt").alias("key"), "split", "y", F.col("kept.indices").alias("indices"), F.col("kept.values").alias("values")
+    ).write.parquet(path)
+    return rows, ["quality"], spark.read.parquet(path), space
+
+
+@query("f8_choose_algorithm", _RUN + """
+SELECT label AS algorithm, round(threshold, 6) AS threshold, f1, label = (SELECT label FROM chosen) AS chosen FROM tested""")
+def choose_algorithm(spark, sf):
+    """Both algorithms trained, tuned on the validation part and tested; the better one is chosen."""
+    _, labels, encoded, space = _two_feature_run(spark, sf)
+    best, meta = experiment.train_encoded(encoded, space, labels, work_path(spark, "model"), training.ALGORITHMS)
+    rows = [(a, r["micro_f1"], a == best.algorithm) for a, r in meta["all_experiment_results"].items()]
+    runs_of = spark.createDataFrame(rows, "algorithm string, f1 double, chosen boolean")
+    cuts = []
+    for a in training.ALGORITHMS:
+        again = experiment.run_experiment("again", a, encoded, space, labels) if a != best.algorithm else best
+        cuts.append((a, again.model.threshold_list()[0]))
+    tuned = spark.createDataFrame(cuts, "algorithm string, threshold double")
+    return runs_of.join(tuned, "algorithm").select("algorithm", F.round("threshold", 6).alias("threshold"), "f1", "chosen")
+
+
+@query("h12_run_experiment", _RUN + """
+SELECT label AS algorithm, 'quality' AS label, tp, fp, tn, fn,
+       CASE WHEN tp + fp = 0 THEN 0.0 ELSE round(tp / (tp + fp)::DOUBLE, 4) END AS precision,
+       CASE WHEN tp + fn = 0 THEN 0.0 ELSE round(tp / (tp + fn)::DOUBLE, 4) END AS recall, f1 FROM tested""")
+def run_experiment(spark, sf):
+    """Counts and metrics of both algorithms on the test part, as recorded and read back."""
+    _, labels, encoded, space = _two_feature_run(spark, sf)
+    out = work_path(spark, "runs")
+    for a in training.ALGORITHMS:
+        experiment.run_experiment(a, a, encoded, space, labels, out)
+    found = runs.read_runs(spark, out)[1]
+    return found.select("algorithm", "label", "tp", "fp", "tn", "fn", "precision", "recall", "f1")
+
+
+@query("h14_evaluate_stored", _RUN + """
+SELECT 'quality' AS label, any_value(threshold) AS threshold, sum(tp) AS tp, sum(fp) AS fp, sum(tn) AS tn, sum(fn) AS fn
+FROM counted WHERE label = (SELECT label FROM chosen)""")
+def evaluate_stored(spark, sf):
+    """The chosen model stored, read back and evaluated on all rows from their texts."""
+    rows, labels, encoded, space = _two_feature_run(spark, sf)
+    out = work_path(spark, "model")
+    best, meta = experiment.train_encoded(encoded, space, labels, out, training.ALGORITHMS)
+    artifacts.save_model(spark, out, space, best.model, meta)
+    _, per_label = experiment.evaluate_stored(rows, out)
+    return per_label.select("label", "threshold", "tp", "fp", "tn", "fn")
+
+
 @query("f8_h12_h14_compare_train_evaluate")
 def compare_train_evaluate(spark, sf):
     """Both algorithms, the better one stored, read back and evaluated on all labelled documents."""
