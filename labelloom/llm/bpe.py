@@ -1,15 +1,19 @@
 """BPE encoding and decoding of whole texts by tree concatenation.
 
-A text longer than a leaf is halved until leaves remain. A cut before an ASCII blank that follows a
-visible character is free: no pre-token and no merge reaches across, so both sides agree at once.
-*Unsplit text* has no such cut: its pre-tokens are found first, and a pre-token that is itself
-longer than a leaf is halved anywhere. Its leaves are encoded in parallel, then neighbours are
-joined pairwise up the tree: a window around each join is encoded anew and grown on both sides until
-its tokens agree with what lies left and right of it.
+A text longer than a leaf is halved in the middle, wherever that is, until leaves remain. Leaves are
+encoded in parallel, then neighbours are joined up the tree: a window around each join is encoded anew
+and grown on both sides until it ends where both sides agree with what lies beyond.
 
-Why a join is exact: a token sequence is the encoding of its text when every pair of neighbouring
-tokens is the encoding of the pair's own text. The window agrees with one token on either side, so
-each pair of the result occurs in a sequence that is an encoding already.
+Within a text they agree at a *free cut*, before an ASCII blank that follows a visible character: no
+pre-token and no merge reaches across one, so what lies between two is encoded the same in any text
+that holds it. The window from the last free cut of the left half to the first one of the right half
+is all that a join can change.
+
+A stretch without a free cut that is longer than a leaf is a node of its own: its pre-tokens are found
+first, and one that is itself longer than a leaf is halved in the same way. There the window grows until
+its first and last tokens are those of the halves. A token sequence is the encoding of its text when
+every pair of neighbouring tokens is the encoding of the pair's own text, and each pair of the result
+then occurs in a sequence that is an encoding already.
 
 Leaves go to the fastest exact engine: rank merging for scripts whose character classes all
 libraries share, the tokenizer of the vocabulary file itself for everything else.
@@ -21,6 +25,7 @@ import json
 import re
 from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -45,6 +50,18 @@ CUT = re.compile(r"(?<=\S)(?=[ \t-\r])")
 SHARED_SCRIPTS = re.compile(r"[\x00-\u058f]*")
 
 
+@dataclass(frozen=True)
+class Node:
+    """Part start .. end - 1 of a text: a leaf, or two nodes that meet at a cut."""
+
+    start: int
+    end: int
+    left: Node | None = None
+    right: Node | None = None
+    cut: int = 0
+    leaf: int | None = None
+
+
 class TreeEncoder:
     """Encoder and decoder of one byte-level vocabulary; ``leaf`` characters are merged at once."""
 
@@ -66,21 +83,74 @@ class TreeEncoder:
         if not merges_follow_ids(vocabulary):
             raise ValueError("ids of the vocabulary do not follow the order of its merges")
         self.fast = tiktoken.Encoding("text", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens=self.special)
+        self.size_of = np.array([len(x) for x in self.bytes_of], np.int64)
+        self.pool = ThreadPoolExecutor(2)
         self.unsplit = tiktoken.Encoding("piece", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> np.ndarray:
         """Token ids of a whole text (int32)."""
-        if len(text) <= self.leaf:
+        leaves: list[tuple[int, int]] = []
+        tree = self._halve(text, 0, len(text), leaves)
+        run = self.pool.map if len(leaves) > 2 else map
+        made = list(run(lambda ends: self._piece(text[ends[0]:ends[1]]), leaves))
+        return self._fold(text, tree, made)
+
+    def _halve(self, text: str, a: int, b: int, leaves: list[tuple[int, int]]) -> Node:
+        """The tree over text[a:b]; its leaves are added to the list."""
+        if b - a <= self.leaf:
+            leaves.append((a, b))
+            return Node(a, b, leaf=len(leaves) - 1)
+        middle = (a + b) // 2
+        low, high = self._cuts_around(text, a, b, middle)
+        if high - low <= self.leaf:
+            return Node(a, b, self._halve(text, a, middle, leaves), self._halve(text, middle, b, leaves), middle)
+        # A long stretch without a free cut is a node, joined at the cuts around it.
+        leaves.append((low, high))
+        node = Node(low, high, leaf=len(leaves) - 1)
+        if low > a:
+            node = Node(a, high, self._halve(text, a, low, leaves), node, low)
+        return Node(a, b, node, self._halve(text, high, b, leaves), high) if high < b else node
+
+    def _cuts_around(self, text: str, a: int, b: int, middle: int) -> tuple[int, int]:
+        """Last free cut from a to the middle and first one from there to b, else a and b themselves."""
+        reach = 64
+        while True:
+            low = max(a, middle - reach)
+            before = None
+            for before in CUT.finditer(text, low, middle + 1):
+                pass
+            if before is not None and before.start() > a or low == a:
+                break
+            reach *= 4
+        behind = CUT.search(text, middle, b)
+        start = before.start() if before is not None and before.start() > a else a
+        return start, behind.start() if behind else b
+
+    def _fold(self, text: str, node: Node, made: list[np.ndarray]) -> np.ndarray:
+        """Ids of a node from those of its leaves."""
+        if node.leaf is not None:
+            return made[node.leaf]
+        left, right = self._fold(text, node.left, made), self._fold(text, node.right, made)
+        low, high = self._cuts_around(text, node.start, node.end, node.cut)
+        if low == node.cut or high == node.cut:
+            return np.concatenate([left, right])
+        keep = len(left) - self._tokens(left[::-1], text[low:node.cut])
+        skip = self._tokens(right, text[node.cut:high])
+        return np.concatenate([left[:keep], self._piece(text[low:high]), right[skip:]])
+
+    def _tokens(self, ids: np.ndarray, text: str) -> int:
+        """How many ids from the first on make up a text."""
+        want, reach = len(text.encode()), 64
+        while True:
+            held = np.cumsum(self.size_of[ids[:reach]])
+            if held[-1] >= want or reach >= len(ids):
+                return int(np.searchsorted(held, want)) + 1
+            reach *= 4
+
+    def _piece(self, text: str) -> np.ndarray:
+        if len(text) <= 2 * self.leaf:
             return self._leaf(text)
-        parts, at = [], 0
-        while at < len(text):
-            cut = CUT.search(text, at + self.leaf // 2)
-            end = cut.start() if cut else len(text)
-            piece = text[at:end]
-            long = len(piece) > 2 * self.leaf
-            parts.append(np.array(self.encode_long(piece), "<i4") if long else self._leaf(piece))
-            at = end
-        return np.concatenate(parts)
+        return np.array(self.encode_long(text), "<i4")
 
     def _leaf(self, text: str) -> np.ndarray:
         if SHARED_SCRIPTS.fullmatch(text):
@@ -108,11 +178,10 @@ class TreeEncoder:
         cuts = [text[i:i + self.leaf] for i in range(0, len(text), self.leaf)]
         if len(cuts) == 1:
             return self.unsplit.encode_ordinary(text)
-        with ThreadPoolExecutor(2) as pool:
-            nodes = list(pool.map(self.unsplit.encode_ordinary, cuts))
-            while len(nodes) > 1:
-                joined = list(pool.map(self.join, nodes[:-1:2], nodes[1::2]))
-                nodes = joined + nodes[len(joined) * 2:]
+        nodes = list(map(self.unsplit.encode_ordinary, cuts))
+        while len(nodes) > 1:
+            joined = list(map(self.join, nodes[:-1:2], nodes[1::2]))
+            nodes = joined + nodes[len(joined) * 2:]
         return nodes[0]
 
     def join(self, left: Sequence[int], right: Sequence[int]) -> list[int]:
@@ -181,7 +250,8 @@ def encode_decode(
 ) -> DataFrame:
     """Add token ids (array<int>) and the text decoded from them to every row.
 
-    Null or empty text: no ids, empty decoded text. Rows are independent: repeated rows and any
+    Null or empty text: no ids, empty decoded text. A very long text is halved like any other beyond
+    ``leaf`` characters. Rows are independent: repeated rows and any
     other columns pass through; columns already named like the results are replaced.
     """
     shared = share_vocabulary(docs, vocabulary_path)
