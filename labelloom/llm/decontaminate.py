@@ -54,8 +54,8 @@ def hashes_of(windows: list[tuple[bytes, ...]]) -> list[np.ndarray]:
 class Block:
     """Distinct windows of some items with their shingles."""
 
-    def __init__(self, items: list[tuple[str, tuple[bytes, ...]]], window: int, shingle: int):
-        self.items_of: dict[tuple[bytes, ...], list[str]] = defaultdict(list)
+    def __init__(self, items: list[tuple[str | None, tuple[bytes, ...]]], window: int, shingle: int):
+        self.items_of: dict[tuple[bytes, ...], list[str | None]] = defaultdict(list)
         for item, words in items:
             for i in range(max(len(words) - window, 0) + 1 if words else 0):
                 self.items_of[words[i:i + window]].append(item)
@@ -76,7 +76,7 @@ class Block:
         for number, (width, hashed) in enumerate(self.shingles):
             at = min(range(len(hashed)), key=lambda i: (counts.get(hashed[i], 0), hashed[i]))
             found[width][hashed[at]].append((number, at))
-        return PrefixIndex(found, self.windows, [sorted(set(self.items_of[w])) for w in self.windows])
+        return PrefixIndex(found, self.windows, [sorted({i for i in self.items_of[w] if i is not None}) for w in self.windows])
 
 
 class Sieve:
@@ -195,7 +195,7 @@ def mark_block(docs: DataFrame, text: str, index: PrefixIndex) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
-def item_blocks(items: DataFrame, key: str, text: str, block_words: int) -> Iterator[list[tuple[str, tuple[bytes, ...]]]]:
+def item_blocks(items: DataFrame, key: str, text: str, block_words: int) -> Iterator[list[tuple[str | None, tuple[bytes, ...]]]]:
     """Items in blocks of at most ``block_words`` words (a longer item is a block of its own)."""
     block, size = [], 0
     for row in items.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).toLocalIterator():
@@ -203,7 +203,7 @@ def item_blocks(items: DataFrame, key: str, text: str, block_words: int) -> Iter
         if block and size + len(words) > block_words:
             yield block
             block, size = [], 0
-        if words and row["k"] is not None:
+        if words:
             block.append((row["k"], words))
             size += len(words)
     if block:
@@ -217,8 +217,8 @@ def contaminate(
     """Add n_words, n_hit, items (sorted ids as strings), hit bits and contaminated to every row.
 
     Words are lower-cased runs of letters, digits and characters beyond ASCII. An item of fewer words
-    than a window is one window; an item without words or without an id never occurs. Null or empty
-    documents have no words. Rows are independent, other columns pass through; those named like the
+    than a window is one window; an item without words never occurs, and one without an id marks words but
+    is not named in ``items``. Null or empty documents have no words; a very long one is a batch of its own. Rows are independent, other columns pass through; those named like the
     results are replaced. Repeated item ids count once.
     """
     ship(docs.sparkSession)
