@@ -147,7 +147,8 @@ def fit_votes(voted: DataFrame, rules: list[str], passes: int = 100, least: floa
     """Expectation-maximisation over the vote columns of all rows.
 
     Each rule has an accuracy on good and one on bad documents, kept ``least`` away from certainty
-    and jointly above chance, so no rule can turn round. One aggregation folds all rows to their
+    and jointly above chance, so no rule can turn round; the share of good documents is kept between
+    0.05 and 0.95, so that a table of one kind does not silence all rules. One aggregation folds all rows to their
     vote patterns, 3 ** len(rules) at most; the passes run over those counts. An empty table gives
     the start values.
     """
@@ -180,19 +181,8 @@ def _odds(prior: float, on_good: list[float], on_bad: list[float], pattern: list
     return odds
 
 
-def judge(docs: DataFrame, text: str = "text", threshold: float = 0.5, prefix: str = "q_") -> DataFrame:
-    """Add measures, ``q_base_failed``, ``q_posterior`` and ``q_kept`` to every row.
-
-    The measured rows are written to the shared folder once; fitting and the verdict read that
-    table. Null and empty texts have no words, fail the base rule and are not kept. Repeated rows
-    count as often as they occur. Columns named like the results are replaced.
-    """
-    spark = docs.sparkSession
-    durable_dir(spark)
-    path = work_path(spark, "quality")
-    clash = [c for c in docs.columns if c.startswith(prefix)]
-    with_features(docs.drop(*clash), text, prefix).write.parquet(path)
-    measured = spark.read.parquet(path)
+def _verdict(measured: DataFrame, threshold: float, prefix: str) -> DataFrame:
+    """Verdict columns next to written measures; the fit and the verdict read the same table."""
     rules = votes(prefix)
     model = fit_votes(measured.select(*[c.alias(n) for n, c in rules.items()]), list(rules))
     words, repeats = F.col(f"{prefix}n_words"), F.col(f"{prefix}n_repeat_words")
@@ -202,7 +192,27 @@ def judge(docs: DataFrame, text: str = "text", threshold: float = 0.5, prefix: s
     }).withColumn(f"{prefix}kept", ~F.col(f"{prefix}base_failed") & (F.col(f"{prefix}posterior") >= threshold))
 
 
+def _written(df: DataFrame) -> DataFrame:
+    spark = df.sparkSession
+    durable_dir(spark)
+    path = work_path(spark, "quality")
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def judge(docs: DataFrame, text: str = "text", threshold: float = 0.5, prefix: str = "q_") -> DataFrame:
+    """Add measures, ``q_base_failed``, ``q_posterior`` and ``q_kept`` to every row.
+
+    The rows are written to the shared folder with their measures once. Null and empty texts have no
+    words, fail the base rule and are not kept; a very long text is measured like any other. Repeated
+    rows count as often as they occur. Columns named like the results are replaced, others stay.
+    """
+    made = {f"{prefix}{n}" for n in (*FEATURES, *EXTRA, "measured", "base_failed", "posterior", "kept")}
+    return _verdict(_written(with_features(docs.drop(*(made & set(docs.columns))), text, prefix)), threshold, prefix)
+
+
 def quality(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One verdict per row: key, measures, base_failed, kept, posterior."""
-    judged = judge(docs.select(F.col(key), F.col(text)), text)
-    return judged.select(key, *[F.col(f"q_{n}").alias(n) for n in (*FEATURES, "base_failed", "kept", "posterior")])
+    """One verdict per row: key, measures, base_failed, kept, posterior. Texts are not written."""
+    plain = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    judged = _verdict(_written(with_features(plain).drop("text")), 0.5, "q_")
+    return judged.select(F.col("key").alias(key), *[F.col(f"q_{n}").alias(n) for n in (*FEATURES, "base_failed", "kept", "posterior")])

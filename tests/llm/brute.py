@@ -93,15 +93,15 @@ def contaminated(docs, items, window=10):
     found = {}
     for i, t in items:
         w = split(t)
-        for k in range(max(len(w) - window, 0) + 1 if w and i is not None else 0):
-            found.setdefault(tuple(w[k:k + window]), set()).add(str(i))
+        for k in range(max(len(w) - window, 0) + 1 if w else 0):
+            found.setdefault(tuple(w[k:k + window]), set()).update([] if i is None else [str(i)])
     out = []
     for i, t in docs:
         w, hit, ids = split(t), set(), set()
         for size in {len(x) for x in found}:
             for k in range(len(w) - size + 1):
                 here = found.get(tuple(w[k:k + size]))
-                if here:
+                if here is not None:
                     hit.update(range(k, k + size))
                     ids |= here
         out.append((i, len(w), len(hit), sorted(ids)))
@@ -155,6 +155,30 @@ def quality(docs):
     return out
 
 
+def vote_posteriors(votes, passes=100, least=0.001):
+    """Posterior of good quality for each document, by passes over the documents themselves."""
+    prior, good_rate, bad_rate = 0.85, [0.95] * len(votes[0]), [0.5] * len(votes[0])
+
+    def posterior(v):
+        good, bad = prior, 1 - prior
+        for x, a, b in zip(v, good_rate, bad_rate):
+            good *= {1: a, -1: 1 - a, 0: 1}[x]
+            bad *= {1: 1 - b, -1: b, 0: 1}[x]
+        return good / (good + bad)
+
+    for _ in range(passes):
+        p = [posterior(v) for v in votes]
+        before, prior = prior, min(max(sum(p) / len(p), 0.05), 0.95)
+        for j in range(len(good_rate)):
+            cast = [(g, v[j]) for g, v in zip(p, votes) if v[j]]
+            good_rate[j] = min((sum(g for g, x in cast if x > 0) + 1) / (sum(g for g, _ in cast) + 2), 1 - least)
+            bad = (sum(1 - g for g, x in cast if x < 0) + 1) / (sum(1 - g for g, _ in cast) + 2)
+            bad_rate[j] = min(max(bad, 1 - good_rate[j] + least), 1 - least)
+        if abs(prior - before) < 1e-9:
+            break
+    return [posterior(v) for v in votes]
+
+
 SECRETS = (
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
                           re.I | re.A), 2, 6),

@@ -160,7 +160,8 @@ ITEMS = [(1, None), (2, ""), (None, "lost item")]
 def test_decontamination(spark, frame, docs, nothing):
     passage = next(t for i, t in docs if i == 3003).split()
     items = [*ITEMS, (3, " ".join(passage[30:45]).upper()), (3, " ".join(passage[30:45])), (4, docs[0][1] or "x y z"),
-             (5, " ".join(passage[40:43])), (6, "not there at all but long enough to be one window")]
+             (5, " ".join(passage[40:43])), (6, "not there at all but long enough to be one window"),
+             (None, " ".join(docs[3][1].split()[:12]) if docs[3][1] else "lost"), (None, " ".join(passage[5:16]))]
     table = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.contaminate(frame, table)
     assert rows(got, "doc_id", "n_words", "n_hit", "items") == plain(brute.contaminated(docs, items))
@@ -185,13 +186,15 @@ def test_bpe(spark, frame, docs, nothing):
     assert bpe.encode_decode(nothing, VOCABULARY).collect() == []
 
 
-def test_tree_concatenation_equals_the_library():
+def test_tree_concatenation_equals_the_library(monkeypatch):
     import random
 
     from tokenizers import Tokenizer
 
     vocabulary = open(VOCABULARY, encoding="utf-8").read()
     tree, library = bpe.TreeEncoder(vocabulary, leaf=8), Tokenizer.from_str(vocabulary)
+    joins = []
+    monkeypatch.setattr(tree, "_tokens", lambda ids, text, of=tree._tokens: joins.append(text) or of(ids, text))
     rng = random.Random(5)
     pieces = ["a", "the", " ", "  ", "\n", "\x1c", "!", "'re", "'s", "é", "日本", "<|endoftext|>", "<|endof", "1", "\u00a0",
               "\u2009", "\x85", "😀", "\t", "_", "א", "Ω", "x" * 9]
@@ -204,6 +207,8 @@ def test_tree_concatenation_equals_the_library():
         for _ in range(100):
             text = "".join(rng.choice(letters) for _ in range(rng.randint(50, 400)))
             assert tree.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+    # Halves did meet inside of words and special tokens, where a window decides.
+    assert len(joins) > 1000 and any("<|end" in t for t in joins)
 
 
 def test_language_model(frame, docs, nothing):
@@ -244,6 +249,20 @@ def test_quality(frame, docs, nothing):
     assert quality.quality(nothing).collect() == []
 
 
+def test_quality_verdicts_follow_from_votes_alone(frame):
+    more = frame.withColumnRenamed("chunk", "q_source").withColumn("q_kept", F.lit("mine"))
+    judged = quality.judge(more).withColumns({f"vote {n}": c for n, c in quality.votes().items()})
+    assert {"q_source", "lang", "n_words"} <= set(judged.columns) and judged.columns.count("q_kept") == 1
+    found = judged.collect()
+    plainly = brute.vote_posteriors([[r[f"vote {n}"] for n in quality.votes()] for r in found])
+    for r, p in zip(found, plainly):
+        assert r["q_posterior"] == pytest.approx(p, abs=1e-9)
+        assert r["q_kept"] == (not r["q_base_failed"] and p >= 0.5)
+    assert {r["q_kept"] for r in found} == {True, False}
+    alone = rows(quality.quality(more), "doc_id", "kept")
+    assert alone == plain((r["doc_id"], r["q_kept"]) for r in found)
+
+
 def test_votes_find_the_bad_documents(spark):
     import random
 
