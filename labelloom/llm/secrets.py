@@ -1,8 +1,9 @@
 """Secret scans through a trigram inverted index.
 
-Every rule's pattern is reduced to a Boolean query: any of several alternatives, each a set of
-trigrams that a match must hold. Documents are indexed by those trigrams as bitmaps of their ids, a
-bitmap per trigram and block of ids. Postings are intersected within an alternative and united
+Every rule's pattern is reduced to a Boolean query (``trigrams``): any of several alternatives, each a set
+of trigrams that a match must hold. Documents are indexed by those trigrams as bitmaps of slots, as many
+as there are rows, to which a hash of key and text deals them; rows that share a slot only share their
+candidates. Postings are intersected within an alternative and united
 across alternatives, which leaves candidate documents per rule; only those are matched against the
 rule's expression. A rule whose pattern has no mandatory trigram scans every document.
 
@@ -13,12 +14,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.functions.columns import let
+from labelloom.llm.trigrams import trigram_query
 
 # A bitmap of the engine covers 32,768 ids in 4,096 bytes.
 PARTS = 16
@@ -27,44 +28,34 @@ PART_BYTES, PART_BITS = 4096 // PARTS, 32_768 // PARTS
 
 @dataclass(frozen=True)
 class Rule:
-    """A secret's kind, Java regular expression and the literal strings of which a match must hold one.
+    """A secret's kind and Java regular expression.
 
-    ``literals`` is a list of alternatives, each a tuple of strings that must all occur (in any
-    case). An empty list means the pattern has no mandatory literal. ``group`` of a match must have
-    ``least`` characters; a shorter match is dropped but still consumes its text.
+    ``group`` of a match must have ``least`` characters; a shorter match is dropped but still consumes
+    its text.
     """
 
     kind: str
     pattern: str
-    literals: Sequence[tuple[str, ...]] = ()
     group: int = 0
     least: int = 1
 
     def trigram_query(self) -> list[frozenset[str]]:
         """Alternatives of mandatory trigrams; empty when some alternative has none."""
-        found = [frozenset(x[i:i + 3] for x in words for i in range(len(x) - 2)) for words in self.literals]
-        found = [f for f in found if not any(g < f for g in found)]
-        return found if found and all(found) else []
-
-
-def spell(*parts: Sequence[str]) -> list[tuple[str, ...]]:
-    """Alternatives for a concatenation of choices, as whole literals."""
-    return [("".join(x),) for x in product(*parts)]
+        return trigram_query(self.pattern)
 
 
 BASE = (
-    Rule("assign", r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)",
-         spell(("password", "passwd", "secret", "token", "apikey", "api_key")), group=2, least=6),
-    Rule("access", r"AKIA[A-Z0-9]+", [("akia",)], least=20),
+    Rule("assign", r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", group=2, least=6),
+    Rule("access", r"AKIA[A-Z0-9]+", least=20),
     # The length is part of the pattern: the runs found are the same, short ones need not be listed.
     Rule("hex", r"[0-9a-f]{24,}", least=24),
 )
 MORE = (
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", [("-----begin ", "private key-----")]),
-    Rule("github", r"\bgh[pousr]_[A-Za-z0-9]{36,}", [("ghp_",), ("gho_",), ("ghu_",), ("ghs_",), ("ghr_",)]),
-    Rule("slack", r"\bxox[abprs]-[A-Za-z0-9-]{10,}", [("xoxa-",), ("xoxb-",), ("xoxp-",), ("xoxr-",), ("xoxs-",)]),
-    Rule("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", [("eyj", ".eyj")]),
-    Rule("google", r"\bAIza[A-Za-z0-9_-]{35}", [("aiza",)]),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("github", r"\bgh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("slack", r"\bxox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("google", r"\bAIza[A-Za-z0-9_-]{35}"),
 )
 RULES = BASE + MORE
 
@@ -73,16 +64,21 @@ def trigrams(rules: Sequence[Rule]) -> list[str]:
     return sorted({t for r in rules for alternative in r.trigram_query() for t in alternative})
 
 
-def postings(docs: DataFrame, key: str, text: str, rules: Sequence[Rule]) -> DataFrame:
-    """(trigram, block, bits): which ids of a block of ids hold the trigram, in any case.
+def slot(key: str, text: str, slots: int) -> Column:
+    """1 .. ``slots`` by a hash of key and text; null or not, no value gathers rows of different texts."""
+    return F.pmod(F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")), F.lit(slots)) + 1
+
+
+def postings(docs: DataFrame, key: str, text: str, rules: Sequence[Rule], slots: int) -> DataFrame:
+    """(trigram, block, bits): which slots of a block of slots hold the trigram, in any case.
 
-    Only trigrams of some rule's query are indexed. Rows without a key are not.
+    Only trigrams of some rule's query are indexed.
     """
     wanted = trigrams(rules)
-    lowered = F.lower(F.coalesce(F.col(text), F.lit("")))
+    lowered = F.lower(F.coalesce(F.col(f"`{text}`"), F.lit("")))
     held = let(lowered, lambda t: F.array_compact(F.array(*[
         F.when(F.contains(t, F.lit(x)), F.lit(x)) for x in wanted]))) if wanted else F.array().cast("array<string>")
-    rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.explode(held).alias("trigram"))
+    rows = docs.select(slot(key, text, slots).alias("id"), F.explode(held).alias("trigram"))
     return rows.groupBy("trigram", F.bitmap_bucket_number("id").alias("block")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("bits"))
 
@@ -115,20 +111,39 @@ def in_bitmap(bits: Column, position: Column) -> Column:
 def spans(text: Column, rule: Rule, order: int) -> Column:
     """Matches that are long enough, leftmost and non-overlapping, as (start, order, kind, end)."""
     kind = "array<struct<start:int,order:int,kind:string,end:int>>"
+    chunk = 256
 
-    def walk(wholes: Column, gaps: Column, measured: Column) -> Column:
-        steps = F.transform(wholes, lambda w, i: F.struct(
-            F.length(F.get(gaps, i)).alias("gap"), F.length(w).alias("size"),
-            (F.length(F.get(measured, i)) >= rule.least).alias("counts")))
+    def grown(a: Column, x: Column) -> Column:
+        return a + x["gap"] + x["size"]
+
+    def located(steps: Column, start: Column) -> Column:
         return F.aggregate(
-            steps, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("found")),
+            steps, F.struct(start.alias("at"), F.array().cast(kind).alias("found")),
             lambda a, x: F.struct(
-                (a["at"] + x["gap"] + x["size"]).alias("at"),
+                grown(a["at"], x).alias("at"),
                 F.when(x["counts"], F.concat(a["found"], F.array(F.struct(
                     (a["at"] + x["gap"]).alias("start"), F.lit(order).alias("order"), F.lit(rule.kind).alias("kind"),
-                    (a["at"] + x["gap"] + x["size"]).alias("end"))))).otherwise(a["found"]).alias("found")),
+                    grown(a["at"], x).alias("end"))))).otherwise(a["found"]).alias("found")),
             lambda a: a["found"])
 
+    def starts(chunks: Column) -> Column:
+        return F.aggregate(
+            F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), grown)),
+            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+            lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")),
+            lambda a: a["out"])
+
+    def walk(wholes: Column, gaps: Column, measured: Column) -> Column:
+        # Lists grow within a chunk only: appending to one of all matches would copy it for every match.
+        steps = F.transform(wholes, lambda w, i: F.struct(
+            F.length(F.get(gaps, i)).alias("gap"), F.length(w).alias("size"),
+            (F.length(F.get(measured, i)) >= rule.least).alias("counts")))
+        cut = let(steps, lambda s: F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(s) - 1) / chunk).cast("int")),
+            lambda n: F.slice(s, n * chunk + 1, F.lit(chunk))))
+        return let(cut, lambda chunks: let(starts(chunks), lambda begun: F.flatten(
+            F.transform(chunks, lambda c, n: located(c, F.get(begun, n))))))
+
     def of(group: int) -> Column:
         return F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(group))
 
@@ -140,17 +155,19 @@ def spans(text: Column, rule: Rule, order: int) -> Column:
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
     """Add ``spans``: array<struct<start, order, kind, end>> sorted by start, then by the rules' order.
 
-    Null text is empty and holds nothing. A row without a key is not indexed and is matched against
-    every rule. Rows sharing a key share their postings; each is matched by itself. Other columns
-    pass through; a column named ``spans`` is replaced.
+    Null text is empty and holds nothing. Keys may be null or repeated; each row is matched by itself, and
+    equal rows share a slot. A very long text takes time in proportion to its length and matches. Other
+    columns pass through; a column named ``spans`` is replaced.
     """
     kept = [c for c in docs.columns if c != "spans"]
     source = docs.select(*[F.col(f"`{c}`") for c in kept])
-    found = candidates(postings(source, key, text, rules), rules)
-    position = F.bitmap_bit_position(F.col(key))
+    slots = max(1, source.count())
+    found = candidates(postings(source, key, text, rules, slots), rules)
+    own = slot(key, text, slots)
+    position = F.bitmap_bit_position(own)
     names = {"block": "posting block", "part": "posting part", "maps": "posting maps"}
     placed = source.withColumns({
-        names["block"]: F.bitmap_bucket_number(F.col(key)), names["part"]: F.floor(position / PART_BITS).cast("int")})
+        names["block"]: F.bitmap_bucket_number(own), names["part"]: F.floor(position / PART_BITS).cast("int")})
     blocked = placed.join(found.withColumnsRenamed(names), [names["block"], names["part"]], "left")
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
 
@@ -158,8 +175,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: Sequen
         here = spans(body, rule, order)
         if not rule.trigram_query():
             return here
-        candidate = F.col(key).isNull() | in_bitmap(F.element_at("posting maps", rule.kind), position % PART_BITS)
-        return F.when(candidate, here)
+        return F.when(in_bitmap(F.element_at("posting maps", rule.kind), position % PART_BITS), here)
 
     every = F.concat(*[F.coalesce(matched(r, n), F.array().cast("array<struct<start:int,order:int,kind:string,end:int>>"))
                        for n, r in enumerate(rules)])

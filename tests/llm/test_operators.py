@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from labelloom.llm import bpe, chunks, decontaminate, license_texts, licenses, line_dedup, ngram_lm, quality, secrets, simhash, substring_dedup
-from labelloom.llm import url_filter, words
+from labelloom.llm import trigrams, url_filter, words
 from labelloom.llm.packing import pack, pack_flags, pack_sorted, shard_bounds, unpack, unpack_flags, unpack_sorted
 from labelloom.llm.queries import vocabulary
 
@@ -291,7 +291,64 @@ def test_trigram_queries():
     by_kind = {r.kind: r.trigram_query() for r in secrets.RULES}
     assert by_kind["hex"] == []
     assert by_kind["access"] == [frozenset({"aki", "kia"})]
-    assert secrets.Rule("x", "ab|secret", [("ab",), ("secret",)]).trigram_query() == []
+    assert frozenset({"tok", "oke", "ken"}) in by_kind["assign"] and len(by_kind["assign"]) == 6
+    assert sorted(map(sorted, by_kind["github"])) == [sorted([f"gh{c}", f"h{c}_"]) for c in "oprsu"]
+    assert by_kind["jwt"] == [frozenset({"eyj", ".ey"})]
+    assert trigrams.trigram_query("ab|secret") == [] and trigrams.trigram_query("(secret)?x") == []
+    assert {*trigrams.trigram_query("se(cr|r)et{2}")} == {
+        frozenset({"sec", "ecr", "cre", "ret", "ett"}), frozenset({"ser", "ere", "ret", "ett"})}
+    with pytest.raises(ValueError):
+        trigrams.trigram_query("(ab")
+
+
+def random_pattern(rng, depth=3):
+    """A pattern and a function that makes strings it matches."""
+    kind = rng.choice(["literal", "class", "sequence", "sequence", "choice", "repeat"] if depth else ["literal", "class"])
+    if kind == "literal":
+        text = "".join(rng.choice("abcXYZ._- é") for _ in range(rng.randint(1, 5)))
+        return "".join(c if c.isalnum() or c == "_" else f"\\x{ord(c):02x}" if rng.random() < 0.5 else "\\" + c for c in text), lambda: text
+    if kind == "class":
+        chars = rng.choice(["ab", "a-c", "A-Z0-9", "x_.", "^a", "a-"])
+        members = {"ab": "ab", "a-c": "abc", "A-Z0-9": "AQZ059", "x_.": "x_.", "^a": "bcZ. ", "a-": "a-"}[chars]
+        return f"[{chars}]", lambda: rng.choice(members)
+    if kind == "repeat":
+        inner, make = random_pattern(rng, depth - 1)
+        mark, low, high = rng.choice([("*", 0, 3), ("+", 1, 3), ("?", 0, 1), ("{2}", 2, 2), ("{1,3}", 1, 3), ("{6,}", 6, 8), ("{0,2}", 0, 2)])
+        return f"(?:{inner}){mark}", lambda: "".join(make() for _ in range(rng.randint(low, high)))
+    parts = [random_pattern(rng, depth - 1) for _ in range(rng.randint(1, 4))]
+    if kind == "choice":
+        return "(" + "|".join(p for p, _ in parts) + ")", lambda: rng.choice(parts)[1]()
+    return "".join(p for p, _ in parts), lambda: "".join(m() for _, m in parts)
+
+
+def test_every_match_holds_a_derived_alternative():
+    import re
+
+    rng, told = random.Random(8), 0
+    for _ in range(3000):
+        pattern, make = random_pattern(rng)
+        query = trigrams.trigram_query(pattern)
+        told += bool(query)
+        for _ in range(5):
+            text = make()
+            assert re.fullmatch(pattern, text)
+            assert not query or any(all(t in text.lower() for t in a) for a in query), (pattern, text, query)
+    assert told > 800
+
+
+def test_many_matches_and_wide_ids(spark):
+    import time
+
+    wide = 2**59
+    found = [(wide * (i % 7) + i * i, f"x {i} token=abcdef{i} end" if i % 3 else f"plain {i}") for i in range(300)]
+    found += [(None, "token=abcdef1"), (None, "nothing"), (5, ("0123456789abcdef" * 2 + " ") * 100_000)]
+    df = spark.createDataFrame(found, "doc_id long, text string").repartition(3)
+    index = secrets.postings(df, "doc_id", "text", secrets.RULES, df.count())
+    assert index.agg(F.sum(F.length("bits"))).first()[0] <= 4096 * len(secrets.trigrams(secrets.RULES))
+    begun = time.time()
+    got = secrets.digest(secrets.scan(df))
+    assert rows(got, "doc_id", "n_assign", "n_access", "n_hex", "base_sha256") == plain(brute.secrets(found))
+    assert time.time() - begun < 60
 
 
 def test_licenses(spark, nothing):
