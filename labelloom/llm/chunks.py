@@ -11,16 +11,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labelloom.functions.sizing import small_side
 from labelloom.llm.shipping import ship
+from labelloom.session import durable_dir, work_path
 
 CHUNK_BYTES = 8 << 20
 SHARD_BYTES = 16 << 20
+#: Rows between chunks and shards in one round.
+MOST_ROWS = 4_000_000
 NO_ID = -(2**63)
 
 
@@ -46,38 +51,44 @@ class Layout:
         return replies.repartition(self.chunks, "chunk")
 
 
+def counts_of(size: int, chunk_bytes: int, shard_bytes: int) -> tuple[int, int]:
+    """Numbers of chunks and shards; both sizes grow, eightfold at most, before the rows between them pass ``MOST_ROWS``."""
+    rows = size / chunk_bytes * size / shard_bytes
+    grown = min(max(1.0, (rows / MOST_ROWS) ** 0.5), 8.0)
+    return max(1, ceil(size / (chunk_bytes * grown))), max(1, ceil(size / (shard_bytes * grown)))
+
+
 def lay_out(
     docs: DataFrame, key: str = "doc_id", text: str = "text", more: tuple[str, ...] = (),
     chunk_bytes: int = CHUNK_BYTES, shard_bytes: int = SHARD_BYTES,
 ) -> Layout:
     """Deal documents to chunks by a hash of their key; counts follow the bytes of text.
 
-    Rows of a key (null is one, too) with more than an eighth of a chunk's bytes are dealt singly, by
-    their place in the input, which has to come in the same order when read again, as files do. The
-    driver sees these keys only, at most eight for each chunk.
+    Rows of a key (null is one, too) that several rows share and that has more than an eighth of a
+    chunk's bytes are dealt singly, by a number each that is written once with them. A single long row
+    is no such case.
     """
     spark = docs.sparkSession
     ship(spark)
-    held = docs.groupBy(F.col(key).cast("long").alias("id")).agg(
-        F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0)).alias("bytes"))
-    large = F.when(F.col("bytes") > max(1, chunk_bytes // 8), F.struct("id"))
-    size, large = held.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.collect_list(large)).first()
-    chunks, shards = max(1, -(-size // chunk_bytes)), max(1, -(-size // shard_bytes))
-    source = docs.select(
-        F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("raw"), *[F.col(c) for c in more])
-    if large and chunks > 1:
-        owners = spark.createDataFrame([(r["id"], True) for r in large], "large_id long, split boolean")
-        source = source.withColumn("row place", F.monotonically_increasing_id()).join(
-            F.broadcast(owners), F.col("doc_id").eqNullSafe(F.col("large_id")), "left")
-        split = F.coalesce("split", F.lit(False))
-        spot = F.when(split, F.xxhash64("doc_id", "row place")).otherwise(F.xxhash64("doc_id"))
-    else:
-        split, spot = F.lit(False), F.xxhash64("doc_id")
-    dealt = source.select(
-        F.pmod(spot, F.lit(chunks)).cast("int").alias("chunk"), "doc_id", split.alias("split"), "raw",
-        *[F.col(c) for c in more],
-    ).repartition(chunks, "chunk")
-    return Layout(dealt, chunks, shards)
+    held = docs.groupBy(F.col(f"`{key}`").cast("long").alias("large id")).agg(
+        F.coalesce(F.sum(F.octet_length(F.col(f"`{text}`"))), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("rows"))
+    large = (F.col("bytes") > max(1, chunk_bytes // 8)) & (F.col("rows") > 1)
+    size, shared = held.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count_if(large)).first()
+    chunks, shards = counts_of(size, chunk_bytes, shard_bytes)
+    rest = [F.col(f"`{c}`") for c in more]
+    source = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("raw"), *rest)
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int")
+    dealt = source.select(place.alias("chunk"), "doc_id", F.lit(False).alias("split"), "raw", *rest)
+    if shared and chunks > 1:
+        durable_dir(spark)
+        owners = small_side(held.filter(large).select("large id", F.lit(True).alias("of a large id")))
+        same = F.col("doc_id").eqNullSafe(F.col("large id"))
+        path = work_path(spark, "rows-of-large-ids")
+        source.join(owners, same).select("doc_id", "raw", *rest, F.monotonically_increasing_id().alias("row place")).write.parquet(path)
+        split = spark.read.parquet(path).select(
+            F.pmod(F.xxhash64("row place"), F.lit(chunks)).cast("int").alias("chunk"), "doc_id", F.lit(True).alias("split"), "raw", *rest)
+        dealt = dealt.join(owners, same, "left_anti").unionByName(split)
+    return Layout(dealt.repartition(chunks, "chunk"), chunks, shards)
 
 
 def by_id(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:

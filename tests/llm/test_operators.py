@@ -63,6 +63,20 @@ def test_no_chunk_holds_all_rows_of_a_key(spark, crowded):
     assert sum(held) == sum(len(t) for _, t in crowded) and max(held) <= 3 * 8_000
 
 
+def test_long_documents_are_no_large_keys(spark, monkeypatch):
+    df = spark.range(1000).selectExpr("id AS doc_id", "repeat(concat('w', id, ' '), 500) AS text")
+    monkeypatch.setattr(chunks, "small_side", lambda df: pytest.fail("a list of keys was made"))
+    layout = chunks.lay_out(df, chunk_bytes=8_000, shard_bytes=30_000)
+    assert layout.chunks > 100 and layout.docs.filter("split").isEmpty()
+
+
+def test_rows_between_chunks_and_shards_are_bounded():
+    for size in (0, 1, 10**8, 10**10, 3 * 10**10, 15 * 10**10):
+        made, shards = chunks.counts_of(size, chunks.CHUNK_BYTES, chunks.SHARD_BYTES)
+        assert made >= 1 and shards >= 1 and made * shards <= 1.01 * chunks.MOST_ROWS
+    assert chunks.counts_of(5 * 10**8, chunks.CHUNK_BYTES, chunks.SHARD_BYTES) == (60, 30)
+
+
 def test_keys_dealt_to_several_chunks(spark, crowded):
     sizes = {"chunk_bytes": 8_000, "shard_bytes": 30_000}
     df = spark.createDataFrame(crowded, "doc_id long, text string").repartition(3)
