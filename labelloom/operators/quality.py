@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from labelloom.functions import text as tx
 from labelloom.functions.columns import ratio, str_array
 
+WORD = 62  # labels in a word of bits
 ROW = -1  # position of the per-prompt counters among the per-label ones
 
 
@@ -21,13 +22,24 @@ def _merged(df: DataFrame, n_labels: int, *keys: str) -> DataFrame:
 
 
 def clean(df: DataFrame, labels: Sequence[str]) -> DataFrame:
-    """Blank prompts removed, equal texts merged with OR, labels clipped to 0/1."""
-    kept = df.filter(~tx.is_blank(F.col("prompt")))
-    one = F.lit(1)
-    zero = F.lit(0)
-    return _merged(kept, len(labels), "prompt").select(
-        "prompt", F.transform("y", lambda v: F.greatest(zero, F.least(one, v)).cast("int")).alias("y")
-    )
+    """Blank prompts removed, equal texts merged with OR, labels clipped to 0/1.
+
+    Texts meet by digest, with their labels as bits of a few words: one word and one ``bit_or`` for
+    ``WORD`` labels. Copies collapse before the shuffle, which carries a text once per task.
+    """
+    starts = range(0, len(labels), WORD)
+    packed = [F.aggregate(F.slice("y", at + 1, WORD), F.lit(0).cast("long"),
+                          lambda a, v: F.call_function("shiftleft", a, F.lit(1)) + (v >= 1).cast("long")).alias(f"_w{at}")
+              for at in starts]
+    keyed = df.filter(~tx.is_blank(F.col("prompt"))).select(tx.digest(F.col("prompt")).alias("_d"), "prompt", *packed)
+    merged = keyed.groupBy("_d").agg(F.first("prompt").alias("prompt"), *[F.bit_or(f"_w{at}").alias(f"_w{at}") for at in starts])
+
+    def bits(at: int) -> Column:
+        n = min(WORD, len(labels) - at)
+        places = F.sequence(F.lit(n - 1), F.lit(0), F.lit(-1))
+        return F.transform(places, lambda i: F.call_function("shiftright", F.col(f"_w{at}"), i).bitwiseAND(F.lit(1)).cast("int"))
+
+    return merged.select("prompt", F.concat(F.array().cast("array<int>"), *[bits(at) for at in starts]).alias("y"))
 
 
 def quality_counts(df: DataFrame, labels: Sequence[str]) -> DataFrame:

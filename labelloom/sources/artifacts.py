@@ -4,14 +4,22 @@ from __future__ import annotations
 
 import dataclasses
 import json
+import sys
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.functions.sizing import bounded_rows
+from labelloom.functions.sizing import MAX_LABELS, bounded_rows
+from labelloom.operators import products
 from labelloom.operators.features import FeatureSpace
-from labelloom.operators.scoring import MAX_MODEL_CELLS, LinearModel
+from labelloom.operators.scoring import LinearModel
+
+# Task functions travel with the job: executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 TABLES = ("terms", "keywords", "members", "labels", "meta")
 
@@ -21,7 +29,10 @@ class ModelNotFound(RuntimeError):
 
 
 def save_model(spark: SparkSession, path: str, space: FeatureSpace, model: LinearModel, meta: dict) -> None:
-    """Write the artifact tables; ``meta`` comes last and marks the artifact complete."""
+    """Write the artifact tables; ``meta`` comes last and marks the artifact complete.
+
+    Weights are stored in blocks of features and members, each a row of raw doubles.
+    """
     tables = {
         "terms": ([(i, t, v) for i, (t, v) in enumerate(zip(space.terms, space.idf))], "idx int, term string, idf double"),
         "keywords": (
@@ -30,11 +41,10 @@ def save_model(spark: SparkSession, path: str, space: FeatureSpace, model: Linea
         ),
         "members": (
             [
-                (j, int(model.member_label[j]), model.weights[:, j].tolist(), float(model.intercepts[j]),
-                 float(model.slope[j]), float(model.offset[j]))
+                (j, int(model.member_label[j]), float(model.intercepts[j]), float(model.slope[j]), float(model.offset[j]))
                 for j in range(model.weights.shape[1])
             ],
-            "member int, label_pos int, weights array<double>, intercept double, slope double, offset double",
+            "member int, label_pos int, intercept double, slope double, offset double",
         ),
         "labels": (
             [(i, l, model.thresholds.get(l)) for i, l in enumerate(model.labels)],
@@ -47,6 +57,8 @@ def save_model(spark: SparkSession, path: str, space: FeatureSpace, model: Linea
             "feature_count int, details string",
         ),
     }
+    blocks = products.matrix_blocks(spark, model.weights)
+    blocks.write.mode("overwrite").parquet(f"{path}/weights")
     for name in TABLES:
         rows, schema = tables[name]
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}")
@@ -65,7 +77,7 @@ def load_model(spark: SparkSession, path: str) -> tuple[FeatureSpace, LinearMode
         raise ModelNotFound(f"no model under {path}") from missing
     terms = sorted(rows("terms", 1_000_000))
     keywords = sorted(rows("keywords", 1_000_000))
-    members = sorted(rows("members", MAX_MODEL_CELLS), key=lambda r: r["member"])
+    members = sorted(rows("members", MAX_LABELS * 3), key=lambda r: r["member"])
     labels = sorted(rows("labels", 1_000_000))
     space = FeatureSpace(
         tuple(r["term"] for r in terms),
@@ -74,7 +86,12 @@ def load_model(spark: SparkSession, path: str) -> tuple[FeatureSpace, LinearMode
         (meta["ngram_low"], meta["ngram_high"]),
         meta["sublinear"],
     )
-    weights = np.array([r["weights"] for r in members]).T if members else np.zeros((space.size, 0))
+    weights = np.zeros((space.size, len(members)))
+    # The matrix itself, block by block: what a driver holds that scores with it.
+    for r in spark.read.parquet(f"{path}/weights").toLocalIterator():
+        block = np.frombuffer(r["matrix"]).reshape(-1, r["members"])
+        at = r["slice"] * products.FEATURES
+        weights[at:at + len(block), r["first"]:r["first"] + r["members"]] = block
     model = LinearModel(
         tuple(r["label"] for r in labels),
         weights,
@@ -90,10 +107,21 @@ def load_model(spark: SparkSession, path: str) -> tuple[FeatureSpace, LinearMode
 
 
 def coefficient_table(spark: SparkSession, path: str) -> DataFrame:
-    """(member, label_pos, idx, w) rows of a stored model, for scoring by join."""
-    return spark.read.parquet(f"{path}/members").select(
-        "member", "label_pos", F.posexplode("weights").alias("idx", "w")
-    )
+    """(member, label_pos, idx, w) rows of a stored model, unpacked on the executors, for scoring by join."""
+    width = products.FEATURES
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                block = np.frombuffer(r["matrix"]).reshape(-1, r["members"])
+                idx, member = np.indices(block.shape, np.int32)
+                yield pa.RecordBatch.from_pydict({
+                    "member": member.ravel() + np.int32(r["first"]), "idx": idx.ravel() + np.int32(r["slice"] * width),
+                    "w": block.ravel()})
+
+    found = spark.read.parquet(f"{path}/weights").mapInArrow(cells, "member int, idx int, w double")
+    owners = spark.read.parquet(f"{path}/members").select("member", "label_pos")
+    return found.join(owners, "member").select("member", "label_pos", "idx", "w")
 
 
 def with_threshold_table(model: LinearModel, thresholds: DataFrame) -> LinearModel:

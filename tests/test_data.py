@@ -115,6 +115,11 @@ def test_quality(spark):
         "prompt string, y array<int>",
     )
     assert rows(quality.clean(df, L)) == {"p": [1, 1, 1], "q": [0, 0, 1], "r": [0, 0, 1], "s": [1, 0, 1]}
+    many = [f"l{i}" for i in range(130)]
+    wide = spark.createDataFrame([("a", [int(i % 7 == k) for i in range(130)]) for k in (0, 3)] + [("b", [2] * 130)],
+                                 "prompt string, y array<int>")
+    assert rows(quality.clean(wide, many)) == {"a": [int(i % 7 in (0, 3)) for i in range(130)], "b": [1] * 130}
+    assert rows(quality.clean(wide.selectExpr("prompt", "array() AS y"), [])) == {"a": [], "b": []}
     messages = [r["message"] for r in quality.quality_report(df, L).orderBy("check_no", "pos").collect()]
     assert messages == [
         "Found 1 empty prompts — removed",
