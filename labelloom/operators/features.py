@@ -18,8 +18,13 @@ from pyspark.sql import functions as F
 
 from labelloom.functions import text as tx
 from labelloom.functions.columns import double_array, let, str_array
-from labelloom.functions.sizing import bounded_rows
+from labelloom.functions.sizing import bounded_rows, estimated_bytes
+from labelloom.session import work_path
 
+CELLS = 1 << 18  # hash cells of n-grams: few for a task to send, many for a rare n-gram to be told
+SAMPLE = 16  # one text in so many is looked at for a guess
+SURE = 8  # occurrences in the sample that make a guess
+PRUNE_FROM_BYTES = 8 * 1024 * 1024
 DOCUMENTS = ""  # pseudo term whose document frequency is the number of documents
 
 
@@ -51,12 +56,14 @@ def grams_of(text: Column, ngram_range: tuple[int, int] = (1, 2)) -> Column:
     return tx.ngrams(tx.words(tx.normalize(text)), *ngram_range)
 
 
-def term_counts(df: DataFrame, text: str = "prompt", ngram_range: tuple[int, int] = (1, 2)) -> DataFrame:
+def term_counts(df: DataFrame, text: str = "prompt", ngram_range: tuple[int, int] = (1, 2),
+                cells: DataFrame | None = None) -> DataFrame:
     """(term, cf, df): corpus count and document frequency of every n-gram.
 
     One scan and one shuffle: each document emits its n-grams for the corpus count and its distinct
     n-grams for the document frequency; frequent terms are folded map-side. The pseudo term
-    DOCUMENTS carries the number of documents along.
+    DOCUMENTS carries the number of documents along. With ``cells``, only n-grams of those hash cells
+    are counted.
     """
 
     def emitted(grams: Column) -> Column:
@@ -72,7 +79,63 @@ def term_counts(df: DataFrame, text: str = "prompt", ngram_range: tuple[int, int
 
     # explode_outer: plain explode would add a filter that evaluates the whole expression again.
     rows = df.select(F.explode_outer(let(grams_of(F.col(text), ngram_range), emitted)).alias("g"))
-    return rows.groupBy(F.col("g.term").alias("term")).agg(F.sum("g.cf").alias("cf"), F.sum("g.df").alias("df"))
+    rows = rows.select("g.term", "g.cf", "g.df")
+    if cells is not None:
+        rows = rows.join(F.broadcast(cells), gram_cell(F.col("term")) == F.col("cell"))
+    return rows.groupBy("term").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"))
+
+
+def frequent_cells(df: DataFrame, least: int, text: str, ngram_range: tuple[int, int]) -> DataFrame:
+    """(cell): hash cells whose n-grams together occur ``least`` times or more, and that of DOCUMENTS.
+
+    No n-gram of another cell can occur that often. Counts by cell are fixed in number and width, so this
+    shuffles no text; the cells found are at most all n-grams / ``least``.
+    """
+    rows = df.select(F.explode(F.transform(grams_of(F.col(text), ngram_range), gram_cell)).alias("cell"))
+    found = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("cell")
+    return found.unionByName(df.sparkSession.range(1).select(gram_cell(F.lit(DOCUMENTS)).alias("cell"))).distinct()
+
+
+def gram_cell(gram: Column) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(CELLS))
+
+
+def _guess(df: DataFrame, text: str, max_features: int, min_df: int, ngram_range: tuple[int, int]) -> int:
+    """About half as often as the last term of the vocabulary occurs, from a sample; 0 if that tells nothing."""
+    sample = df.filter(F.pmod(F.xxhash64(F.col(text)), F.lit(SAMPLE)) == 0)
+    counted = term_counts(sample, text, ngram_range).filter((F.col("term") != DOCUMENTS) & (F.col("df") * SAMPLE >= min_df))
+    last = counted.orderBy(F.col("cf").desc()).limit(max_features).agg(F.min("cf"), F.count(F.lit(1))).first()
+    return last[0] * SAMPLE // 2 if last[1] == max_features and last[0] >= SURE else 0
+
+
+def _top(counts: DataFrame, max_features: int, min_df: int) -> DataFrame:
+    """The most frequent terms, ties by term, and the pseudo term in front."""
+    is_total = F.col("term") == DOCUMENTS
+    return counts.filter(is_total | (F.col("df") >= min_df)).orderBy(
+        is_total.desc(), F.col("cf").desc(), F.col("term")).limit(max_features + 1)
+
+
+def top_terms(df: DataFrame, text: str, max_features: int, min_df: int, ngram_range: tuple[int, int]) -> DataFrame:
+    """(term, cf, df) of the ``max_features`` most frequent terms and of DOCUMENTS.
+
+    In three steps where a sample promises to spare the shuffle of rare n-grams: guess a count that the
+    wanted terms surely reach, count n-grams by hash cells, then count the n-grams of cells that reach the
+    guess. If the last term found does reach it, no n-gram left out can be among the wanted; if not, or if
+    there is nothing to guess from, all n-grams are counted.
+    """
+    spark = df.sparkSession
+    least = _guess(df, text, max_features, min_df, ngram_range) if estimated_bytes(df) >= PRUNE_FROM_BYTES else 0
+    if least > 1:
+        path = work_path(spark, "gram-cells")
+        frequent_cells(df, least, text, ngram_range).write.parquet(path)
+        found = _top(term_counts(df, text, ngram_range, spark.read.parquet(path)), max_features, min_df)
+        path = work_path(spark, "top-terms")
+        found.write.parquet(path)
+        found = spark.read.parquet(path)
+        last = found.filter(F.col("term") != DOCUMENTS).agg(F.min("cf"), F.count(F.lit(1))).first()
+        if last[1] == max_features and last[0] >= least:
+            return found
+    return _top(term_counts(df, text, ngram_range), max_features, min_df)
 
 
 def fit_vocabulary(
@@ -86,11 +149,8 @@ def fit_vocabulary(
 
     ``idx`` is alphabetical. The sort is a top-k; the two windows see at most max_features + 1 rows.
     """
-    counts = term_counts(df, text, ngram_range)
+    top = top_terms(df, text, max_features, min_df, ngram_range)
     is_total = F.col("term") == DOCUMENTS
-    top = counts.filter(is_total | (F.col("df") >= min_df)).orderBy(
-        is_total.desc(), F.col("cf").desc(), F.col("term")
-    ).limit(max_features + 1)
     n_docs = F.max(F.when(is_total, F.col("df"))).over(W.partitionBy(F.lit(0)))
     idf = F.log((F.lit(1.0) + F.col("n_docs")) / (F.lit(1.0) + F.col("df"))) + 1.0
     index = F.row_number().over(W.partitionBy(F.lit(0)).orderBy("term")) - 1

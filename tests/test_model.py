@@ -45,6 +45,20 @@ def test_vocabulary_and_encoding(spark):
     assert len(space.names) == space.size == 18
 
 
+@pytest.mark.parametrize("sample, sure, cells", [(1, 1, 1 << 18), (2, 1, 64), (1, 10**6, 64), (4, 1, 1 << 18)])
+def test_vocabulary_by_cells(spark, monkeypatch, sample, sure, cells):
+    """Whatever the guess, the same terms; a guess too high is noticed."""
+    rng = np.random.default_rng(0)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.3, 30) if x < 500) for _ in range(200)]
+    df = spark.createDataFrame([(t,) for t in texts], "prompt string").repartition(3)
+    plain = [[tuple(r) for r in features.fit_vocabulary(df, max_features=n, min_df=m).orderBy("idx").collect()]
+             for n, m in ((40, 1), (40, 30), (10**5, 1))]
+    for name, value in (("PRUNE_FROM_BYTES", 0), ("SAMPLE", sample), ("SURE", sure), ("CELLS", cells)):
+        monkeypatch.setattr(features, name, value)
+    assert plain == [[tuple(r) for r in features.fit_vocabulary(df, max_features=n, min_df=m).orderBy("idx").collect()]
+                     for n, m in ((40, 1), (40, 30), (10**5, 1))]
+
+
 def test_min_df_and_unseen_terms(spark):
     voc = features.fit_vocabulary(docs(spark), min_df=2)
     assert {r["term"] for r in voc.collect()} == {"find", "the", "file", "find the", "the file"}
