@@ -4,6 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import zstandard
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from labelloom.functions.sizing import bounded_rows
+
+#: Bits of a table that tells hashes in question; a full one only lets others pass for a while.
+TABLE_BITS = 24
 
 # A key's shard follows from its leading 32 bits, so sorted keys are sorted by shard as well.
 
@@ -49,3 +56,23 @@ def groups(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     new = np.ones(len(ordered), bool)
     new[1:] = ordered[1:] != ordered[:-1]
     return np.flatnonzero(new), np.cumsum(new) - 1
+
+
+def bit_table(hashes: DataFrame, bits: int = TABLE_BITS) -> np.ndarray:
+    """One bit for each value of a hash's lowest bits: 2 ** bits of them, however many hashes there are.
+
+    ``hashes`` has one column.
+    """
+    hashes = hashes.toDF("hash")
+    word = F.shiftright(F.col("hash").bitwiseAND(F.lit(2**bits - 1)), 5)
+    packed = hashes.groupBy(word.alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(hash & 31 AS int)))").alias("mask"))
+    table = np.zeros(max(1, 2**bits >> 5), np.uint32)
+    for r in bounded_rows(packed, len(table), "words of the bit table"):
+        table[r["word"]] = r["mask"]
+    return table
+
+
+def marked(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the bit of each hash (int64) is set."""
+    spot = hashes & (len(table) * 32 - 1)
+    return (table[spot >> 5] >> (spot & 31).astype(np.uint32)) & 1 == 1

@@ -27,11 +27,11 @@ from itertools import chain, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelloom.functions.sizing import bounded_rows
 from labelloom.llm import words
+from labelloom.llm.packing import bit_table, marked
 from labelloom.llm.shipping import ship
 from labelloom.session import durable_dir, work_path
 
@@ -40,8 +40,6 @@ TERM = "term"
 REACH = 6
 SUPPORT = 5
 GENERALISE, REMOVE = 0.8, 0.95
-#: Bits of the table that tells terms in question; a full one would only let other terms pass for a while.
-TABLE_BITS = 24
 #: Revealing terms that a pass marks: 16 bytes each on the driver and in a worker.
 SLICE = 1_000_000
 HELD = 1_000_000
@@ -172,21 +170,6 @@ def contexts(docs: DataFrame, text: str = "text", reach: int = REACH) -> DataFra
     return docs.select(F.col(f"`{text}`").cast("string")).mapInArrow(run, "entity long, term long, least long, held long")
 
 
-def bit_table(spark: SparkSession, terms: DataFrame, bits: int = TABLE_BITS) -> np.ndarray:
-    """One bit for each value of a term's lowest bits: 2 ** bits of them, however many terms there are."""
-    word = F.shiftright(F.col("term").bitwiseAND(F.lit(2**bits - 1)), 5)
-    packed = terms.groupBy(word.alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(term & 31 AS int)))").alias("mask"))
-    table = np.zeros(max(1, 2**bits >> 5), np.uint32)
-    for r in bounded_rows(packed, len(table), "words of the bit table"):
-        table[r["word"]] = r["mask"]
-    return table
-
-
-def _marked(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    spot = hashes & (len(table) * 32 - 1)
-    return (table[spot >> 5] >> (spot & 31).astype(np.uint32)) & 1 == 1
-
-
 def document_counts(docs: DataFrame, table: np.ndarray, text: str = "text") -> DataFrame:
     """(term, documents) for the terms that the bit table lets pass."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
@@ -199,7 +182,7 @@ def document_counts(docs: DataFrame, table: np.ndarray, text: str = "text") -> D
                 data, offsets = words.buffers(batch.column(0)[a:b])
                 found = words.split_words(data, offsets, words.ALPHANUMERIC)
                 hashes = words.word_hashes(data, found, words.LOWER).view(np.int64)
-                wanted = np.flatnonzero(_marked(table, hashes))
+                wanted = np.flatnonzero(marked(table, hashes))
                 text_of = found.text_of()[wanted]
                 order = np.lexsort((hashes[wanted], text_of))
                 kept, text_of = hashes[wanted][order], text_of[order]
@@ -235,7 +218,7 @@ def disclosures(docs: DataFrame, text: str = "text", reach: int = REACH, support
     near = found.filter("term is not null").groupBy("entity", "term", "least").agg(F.sum("held").alias("near"))
     near = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"), F.sum("near").alias("near"))
     near = stored(near.filter(F.col("contexts") >= support), "entity-terms")
-    table = bit_table(spark, near.select("term"))
+    table = bit_table(near.select("term"))
     known = document_counts(docs, table, text) if table.any() else near.select("term", F.lit(1).alias("documents")).limit(0)
     held = found.filter("term is null").groupBy("entity").agg(F.sum("held").alias("held"))
     total = docs.count()

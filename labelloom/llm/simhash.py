@@ -19,17 +19,18 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from labelloom.llm.shipping import ship
-from labelloom.session import cut_lineage, durable_dir, work_path
+from labelloom.session import cut_lineage, discard, durable_dir, work_path
 
 SHINGLE = 4
 RADIUS = 4
 SEED = 42
 TILE = 32_768
 SUB_TILE = 256
+HOT_SHARE = 1000
 
 EDGE = "a long, b long"
 
@@ -177,21 +178,46 @@ def assign_tiles(pieces: list[tuple[int, int, list[int]]], tile: int) -> tuple[l
     return owner, np.array(boxes, np.int64).reshape(-1, 8)
 
 
+def near_tiles(boxes: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, b), a <= b, of tiles whose boxes (least and largest counts) come as near as the radius.
+
+    Tiles meet at the sums of their counts, of which there are 65; only then are their boxes compared.
+    """
+    low, high = (sum((F.get("box", F.lit(q)) for q in part), F.lit(0)) for part in (range(4), range(4, 8)))
+    left = boxes.select(F.col("tile").alias("a"), F.col("box").alias("x"), F.explode(F.sequence(low, high)).alias("sum"))
+    right = boxes.select(
+        F.col("tile").alias("b"), F.col("box").alias("y"), F.explode(F.sequence(low - radius, high + radius)).alias("sum"))
+    gap = sum((F.greatest(F.lit(0), F.col("y")[q] - F.col("x")[q + 4], F.col("x")[q] - F.col("y")[q + 4]) for q in range(4)), F.lit(0))
+    return left.join(right, "sum").filter((F.col("a") <= F.col("b")) & (gap <= radius)).select("a", "b").distinct()
+
+
+def with_labels(rows: DataFrame, labels: DataFrame, key: str = "fp") -> DataFrame:
+    """``rows`` joined with their ``labels``, one row per key; keys of many rows are not gathered.
+
+    Fewer than ``HOT_SHARE`` keys can have more than that part of all rows, so theirs are broadcast.
+    """
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("rows of key"))
+    hot = counts.filter(F.col("rows of key") > rows.count() // HOT_SHARE).select(key)
+    hot = labels.join(F.broadcast(hot), key, "left_semi")
+    there = rows.join(F.broadcast(hot), key)
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(labels, key)
+    return there.unionByName(others)
+
+
 def link_fingerprints(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """Links (a, b) that connect what the radius connects; ``distinct`` has one column ``fp``.
 
-    The driver sees one box of eight counts per piece, not fingerprints.
+    The driver sees one box of eight counts per piece, not fingerprints or pairs.
     """
     spark = distinct.sparkSession
     path = work_path(spark, "pieces")
     pieces_of(distinct, tile).write.parquet(path)
     pieces = spark.read.parquet(path)
     owner, box = assign_tiles([(r["id"], r["size"], r["box"]) for r in pieces.select("id", "size", "box").collect()], tile)
-    pairs = []
-    for i in range(len(box)):
-        near = np.flatnonzero(_apart(box[i, :4], box[i, 4:], box[i:, :4], box[i:, 4:]) <= radius) + i
-        pairs += [(i, int(j)) for j in near]
-    wanted = spark.createDataFrame(pairs or [(0, 0)], "a long, b long")
+    boxes = spark.createDataFrame([(i, b.tolist()) for i, b in enumerate(box)] or [(0, [0] * 8)], "tile long, box array<long>")
+    path = work_path(spark, "tile-pairs")
+    near_tiles(boxes, radius).write.parquet(path)
+    wanted = spark.read.parquet(path)
     owned = pieces.join(spark.createDataFrame(owner or [(0, 0)], "id long, tile long"), "id")
     tiles = owned.groupBy("tile").agg(F.array_sort(F.collect_list(F.struct("id", "prints")))["prints"].alias("prints"))
     left = tiles.select(F.col("tile").alias("a"), F.col("prints").alias("x"))
@@ -206,7 +232,7 @@ def link_fingerprints(distinct: DataFrame, radius: int = RADIUS, tile: int = TIL
                     [pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
     matched = wanted.join(left, "a").join(right, "b")
-    return matched.repartition(max(1, len(pairs)), "a", "b").mapInArrow(run, EDGE)
+    return matched.repartition(max(1, wanted.count()), "a", "b").mapInArrow(run, EDGE)
 
 
 def components(links: DataFrame, labels: DataFrame) -> DataFrame:
@@ -219,17 +245,11 @@ def components(links: DataFrame, labels: DataFrame) -> DataFrame:
     every pass is written to the shared folder.
     """
     spark = labels.sparkSession
-
-    def stored(df: DataFrame) -> DataFrame:
-        path = work_path(spark, "components")
-        df.write.parquet(path)
-        return spark.read.parquet(path)
-
     ways = F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x in "ab" for y in "ab"])
     # The checkpoint keeps the links partitioned for the join of every pass.
     edges = cut_lineage(links.select(F.explode(ways).alias("e")).select("e.*").repartition("b"))
     now = labels.select("fp", F.struct("label", "fp").alias("least"))
-    passes = 0
+    passes, path = 0, None
     while True:
         old = F.max(F.when(F.col("a") == F.col("b"), F.col("least")))
         near = edges.join(now.withColumnRenamed("fp", "b"), "b").groupBy(F.col("a").alias("fp")).agg(
@@ -238,7 +258,11 @@ def components(links: DataFrame, labels: DataFrame) -> DataFrame:
             root = now.select(F.col("fp").alias("root"), F.col("least").alias("up"))
             near = near.join(root, F.col("least.fp") == F.col("root"), "left").withColumn("least", F.least("least", "up"))
         moved = Observation()
-        now = stored(near.observe(moved, F.count_if(F.col("least") < F.col("old")).alias("n")).select("fp", "least"))
+        before, path = path, work_path(spark, "components")
+        near.observe(moved, F.count_if(F.col("least") < F.col("old")).alias("n")).select("fp", "least").write.parquet(path)
+        now = spark.read.parquet(path)
+        if before:
+            discard(spark, before)
         passes += 1
         if not moved.get["n"]:
             break
@@ -266,7 +290,9 @@ def near_duplicates(
     printed.groupBy("fp").agg(F.coalesce(F.min(key).cast("long"), F.lit(2**63 - 1)).alias("label")).write.parquet(path)
     labels = spark.read.parquet(path)
     found = components(link_fingerprints(labels.select("fp"), radius, tile), labels)
-    return printed.join(found, "fp").select(
+    path = work_path(spark, "components")
+    found.write.parquet(path)
+    return with_labels(printed, spark.read.parquet(path)).select(
         key, F.col("fp").alias("fingerprint"),
         F.when(F.col("component") < 2**63 - 1, F.col("component")).alias("component_id"))
 
@@ -277,14 +303,21 @@ def keep_one(
 ) -> DataFrame:
     """The rows of ``docs`` whose key is the smallest of their near-duplicate component, as ``near`` finds it.
 
-    Rows without a key have nothing smaller to yield to and stay. Of rows repeating a kept key one
-    stays.
+    Rows without a key have nothing smaller to yield to and stay. Of rows repeating a kept key the one
+    with the smallest row hash stays (map columns are not looked at), of equal rows any.
     """
     kept = near(docs, key, text, **options).filter(F.col(key) == F.col("component_id")).select(key).distinct()
-    numbered = docs.join(kept, key, "left_semi").withColumn(
-        "copy number", F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(text))))
-    lone = docs.filter(F.col(key).isNull())
-    return numbered.filter(F.col("copy number") == 1).drop("copy number").select(*docs.columns).unionByName(lone)
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if not dict(docs.dtypes)[c].startswith("map")])
+    copies = docs.select(F.col(f"`{key}`").alias("kept key"), row.alias("row hash")).groupBy("kept key", "row hash").agg(
+        F.count(F.lit(1)).alias("copies"))
+    chosen = copies.groupBy("kept key").agg(F.min(F.struct("row hash", "copies")).alias("one")).select("kept key", "one.*").join(
+        kept.withColumnRenamed(key, "kept key"), "kept key", "left_semi")
+    of = docs.withColumn("hash of row", row)
+    met = of.join(chosen, (F.col(f"`{key}`") == F.col("kept key")) & (F.col("hash of row") == F.col("row hash")))
+    single, equal = met.filter("copies = 1"), met.filter("copies > 1").dropDuplicates(["kept key"])
+    lone = docs.filter(F.col(f"`{key}`").isNull())
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return single.select(*names).unionByName(equal.select(*names)).unionByName(lone)
 
 
 def digest(rows: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 from test_operators import plain, rows
 
 from labelloom.llm import alignment
-from labelloom.llm.queries import vocabulary
+from labelloom.llm.vocabularies import vocabulary
 
 PATHS = vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")
 COLUMNS = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from labelloom.llm import bpe, chunks, decontaminate, license_texts, licenses, line_dedup, ngram_lm, quality, secrets, simhash, substring_dedup
 from labelloom.llm import trigrams, url_filter, words
 from labelloom.llm.packing import pack, pack_flags, pack_sorted, shard_bounds, unpack, unpack_flags, unpack_sorted
-from labelloom.llm.queries import vocabulary
+from labelloom.llm.vocabularies import vocabulary
 
 SMALL = {"chunk_bytes": 20_000, "shard_bytes": 30_000}
 VOCABULARY = vocabulary("byte_bpe_50k.json")
@@ -149,6 +149,26 @@ def test_fingerprints_sharing_a_label_stay_apart(spark):
     assert got == {1: [none], 2: [none], 3: [none], 4: [7], 5: [7], 6: [none], 7: [none], 8: [3], 9: [3], 10: [9], 11: [9]}
 
 
+def test_tile_pairs_are_those_of_near_boxes(spark):
+    rng = np.random.default_rng(4)
+    low = rng.integers(0, 14, (40, 4))
+    box = np.hstack([low, low + rng.integers(0, 3, (40, 4))])
+    boxes = spark.createDataFrame([(i, b.tolist()) for i, b in enumerate(box)], "tile long, box array<long>")
+    for radius in (0, 4, 9):
+        expected = {(i, j) for i in range(40) for j in range(i, 40)
+                    if simhash._apart(box[i, :4], box[i, 4:], box[j, :4], box[j, 4:]) <= radius}
+        assert {tuple(r) for r in simhash.near_tiles(boxes, radius).collect()} == expected
+
+
+def test_labels_of_hot_keys(spark, monkeypatch):
+    data = spark.range(300).selectExpr("id AS doc", "CASE WHEN id % 3 = 0 THEN 7 ELSE id END AS fp")
+    labels = data.select("fp").distinct().selectExpr("fp", "fp * 10 AS component")
+    for share in (2, 50, 1000):
+        monkeypatch.setattr(simhash, "HOT_SHARE", share)
+        got = simhash.with_labels(data, labels).collect()
+        assert sorted((r["doc"], r["component"]) for r in got) == [(i, 70 if i % 3 == 0 else 10 * i) for i in range(300)]
+
+
 def test_simhash_of_repeated_and_missing_ids(spark):
     def near(word, n):
         text = " ".join(f"{word}{k}" for k in range(400))
