@@ -24,17 +24,20 @@ from itertools import chain, repeat
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 from tokenizers import Tokenizer
 
 from labelloom.llm import words
-from labelloom.llm.bpe import SHARED_SCRIPTS, TreeEncoder, share_vocabulary
+from labelloom.llm.bpe import PRE_TOKEN, SHARED_SCRIPTS, byte_letters, merges_follow_ids, share_vocabulary
 from labelloom.session import durable_dir, work_path
 
 #: Pairs that a pass looks up: 16 bytes each on the driver and in a worker.
 SLICE = 2_000_000
+#: Text that is aligned at once; a longer text is a batch of its own.
+BATCH_BYTES = 1 << 19
 #: Distinct pairs a task holds before it passes their counts on.
 HELD = 1_000_000
 RESULTS = ("a_ids", "b_ids", "a_ends", "b_ends")
@@ -44,19 +47,28 @@ class ByteSide:
     """Byte-level vocabulary; strings of special tokens in a text are ordinary text."""
 
     def __init__(self, vocabulary: str):
-        self.tree = TreeEncoder(vocabulary)
         self.library = Tokenizer.from_str(vocabulary)
         self.library.no_truncation()
         self.library.no_padding()
         self.library.encode_special_tokens = True
-        self.bytes_of = self.tree.bytes_of
+        if not merges_follow_ids(vocabulary):
+            raise ValueError("ids of the vocabulary do not follow the order of its merges")
+        letters, special = byte_letters(), self.library.get_added_tokens_decoder()
+        self.bytes_of = [b""] * self.library.get_vocab_size()
+        ranks = {}
+        for token, i in self.library.get_vocab().items():
+            plain = i not in special and all(c in letters for c in token)
+            self.bytes_of[i] = bytes(letters[c] for c in token) if plain else token.encode()
+            if plain:
+                ranks[self.bytes_of[i]] = i
+        self.fast = tiktoken.Encoding("plain", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [self._ids(" " + t) for t in texts]
 
     def _ids(self, text: str) -> np.ndarray:
         if SHARED_SCRIPTS.fullmatch(text):
-            return self.tree.fast.encode_to_numpy(text, disallowed_special=()).astype(np.int32)
+            return self.fast.encode_to_numpy(text).astype(np.int32)
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32)
 
 
@@ -85,7 +97,8 @@ def shared_cuts(a_end: np.ndarray, b_end: np.ndarray, low: np.ndarray, high: np.
     Ends ascend strictly, and the last of B's is not before any of A's.
     """
     found = [np.empty(0, np.int64)]
-    low, high = low[low < high], high[low < high]
+    left = low < high
+    low, high = low[left], high[left]
     while len(low):
         middle = (low + high) // 2
         at, cut = middle.copy(), np.full(len(low), -1)
@@ -100,9 +113,11 @@ def shared_cuts(a_end: np.ndarray, b_end: np.ndarray, low: np.ndarray, high: np.
             unsettled = unsettled[at[unsettled] < high[unsettled]]
         hit = cut >= 0
         found.append(cut[hit])
-        low, high = np.concatenate([low, cut[hit] + 1]), np.concatenate([middle, high[hit]])
-        open_ = low < high
-        low, high = low[open_], high[open_]
+        # Neighbours stay neighbours, so that the next bisections walk through memory in order.
+        low = np.column_stack([low, np.where(hit, cut + 1, high)]).ravel()
+        high = np.column_stack([middle, high]).ravel()
+        left = low < high
+        low, high = low[left], high[left]
     return np.sort(np.concatenate(found))
 
 
@@ -120,7 +135,8 @@ def align_texts(texts: list[str], a: ByteSide, b: PieceSide) -> list[pa.Array]:
     none = np.empty(0, np.int32)
     for n, t in enumerate(texts):
         raw = b" " + t.encode()
-        if not t or any(b"".join(map(s.bytes_of.__getitem__, x[n].tolist())) != raw for s, x in ((a, a_ids), (b, b_ids))):
+        if not t or any(_sizes(s)[x[n]].sum() != len(raw) or b"".join(map(s.bytes_of.__getitem__, x[n].tolist())) != raw
+                        for s, x in ((a, a_ids), (b, b_ids))):
             a_ids[n] = b_ids[n] = none
     a_first, b_first = _firsts(a_ids), _firsts(b_ids)
     a_all, b_all = (np.concatenate([none, *x]) for x in (a_ids, b_ids))
@@ -148,23 +164,33 @@ def align(docs: DataFrame, byte_vocabulary: str, piece_model: str, text: str = "
     empty lists. Rows are independent: repeated rows and other columns pass through; columns named like
     the results are replaced. A very long text is a batch of its own.
     """
-    shared = share_vocabulary(docs, byte_vocabulary)
-    with open(piece_model, "rb") as f:
-        model = docs.sparkSession.sparkContext.broadcast(f.read())
     kept = [c for c in docs.columns if c not in RESULTS]
     source = docs.select(*[F.col(f"`{c}`") for c in kept])
     schema = StructType([*source.schema, *(StructField(n, ArrayType(IntegerType())) for n in RESULTS)])
-    at = kept.index(text)
+    aligned = _aligning(source, byte_vocabulary, piece_model, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, made in aligned(batches):
+            yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*kept, *RESULTS])
+
+    return source.mapInArrow(run, schema)
+
+
+def _aligning(source: DataFrame, byte_vocabulary: str, piece_model: str, text: str):
+    """A function from record batches to (part of a batch, its four results) on the executors."""
+    shared = share_vocabulary(source, byte_vocabulary)
+    with open(piece_model, "rb") as f:
+        model = source.sparkSession.sparkContext.broadcast(f.read())
+    at = source.columns.index(text)
+
+    def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         a, b = _sides(shared.value, model.value)
         for batch in batches:
-            for i, j in words.slices(batch.column(at).cast(pa.binary())):
+            for i, j in words.slices(batch.column(at).cast(pa.binary()), BATCH_BYTES):
                 part = batch.slice(i, j - i)
-                made = align_texts([t or "" for t in part.column(at).to_pylist()], a, b)
-                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*kept, *RESULTS])
+                yield part, align_texts([t or "" for t in part.column(at).to_pylist()], a, b)
 
-    return source.mapInArrow(run, schema)
+    return aligned
 
 
 def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -179,38 +205,52 @@ def _numerals(a_size: int, b_size: int) -> list[bytes]:
             for i in range(size)]
 
 
-def summarise(aligned: DataFrame, a_size: int, b_size: int, key: str = "doc_id") -> DataFrame:
-    """key, n_a, n_b, n_groups, groups_sha256 and ``links``, a code a * b_size + b for each linked pair."""
+def _digests(made: list[pa.Array], numeral: list[bytes], a_size: int, b_size: int) -> list[pa.Array]:
+    """n_a, n_b, n_groups, groups_sha256 and links of each text from its four results."""
+    (a, a_first), (b, b_first), (a_end, first), (b_end, _) = map(_flat, made)
+    text_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    a_last, b_last = a_end + a_first[text_of] - 1, b_end + b_first[text_of] - 1
+    links = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(a[a_last] * b_size + b[b_last]))
+    a_group, b_group = np.diff(a_last, prepend=-1), np.diff(b_last, prepend=-1)
+    a[a_last] += a_size
+    b[b_last] += b_size
+    # Tokens in the order of their groups, A's half first.
+    of_a = np.repeat(np.tile([True, False], len(a_group)), np.column_stack([a_group, b_group]).ravel())
+    code = np.empty(len(of_a), np.int64)
+    code[of_a] = a
+    code[~of_a] = b + 2 * a_size
+    edge = (a_first + b_first).tolist()
+    written = [hashlib.sha256(b"".join(map(numeral.__getitem__, code[i:j].tolist()))[:-1]).hexdigest() if j > i else ""
+               for i, j in zip(edge[:-1], edge[1:])]
+    return [*(pa.array(np.diff(x)) for x in (a_first, b_first, first)), pa.array(written, pa.string()), links]
+
+
+def linked(docs: DataFrame, byte_vocabulary: str, piece_model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_a, n_b, n_groups, groups_sha256 and ``links`` of every row, aligned and digested in one pass.
+
+    A link's code is its A id times the size of the piece vocabulary, plus its B id.
+    """
     names = [key, "n_a", "n_b", "n_groups", "groups_sha256", "links"]
+    source = docs.select(F.col(f"`{key}`"), F.col(f"`{text}`"))
+    aligned, (a_size, b_size) = _aligning(source, byte_vocabulary, piece_model, text), sizes(byte_vocabulary, piece_model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numeral = _numerals(a_size, b_size).__getitem__
-        for batch in batches:
-            (a, a_first), (b, b_first), (a_end, first), (b_end, _) = (_flat(batch[n]) for n in RESULTS)
-            text_of = np.repeat(np.arange(batch.num_rows), np.diff(first))
-            a_last, b_last = a_end + a_first[text_of] - 1, b_end + b_first[text_of] - 1
-            # Where each token stands when groups are written one after the other, A's half first.
-            a_group, b_group = (np.searchsorted(x, np.arange(len(y))) for x, y in ((a_last, a), (b_last, b)))
-            a_code, b_code = a.copy(), b + 2 * a_size
-            a_code[a_last] += a_size
-            b_code[b_last] += b_size
-            code = np.empty(len(a) + len(b), np.int64)
-            code[np.arange(len(a)) + np.concatenate([[0], b_last + 1])[a_group]] = a_code
-            code[np.arange(len(b)) + a_last[b_group] + 1] = b_code
-            edge = (a_first + b_first).tolist()
-            digests = [hashlib.sha256(b"".join(map(numeral, code[i:j].tolist()))[:-1]).hexdigest() if j > i else ""
-                       for i, j in zip(edge[:-1], edge[1:])]
-            links = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(a[a_last] * b_size + b[b_last]))
-            counts = [pa.array(np.diff(x)) for x in (a_first, b_first, first)]
-            yield pa.RecordBatch.from_arrays([batch[key], *counts, pa.array(digests, pa.string()), links], names=names)
-
-    source = aligned.select(F.col(f"`{key}`"), *RESULTS)
+        numeral = _numerals(a_size, b_size)
+        for part, made in aligned(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), *_digests(made, numeral, a_size, b_size)], names=names)
+
     kind = dict(source.dtypes)[key]
     return source.mapInArrow(
         run, f"`{key}` {kind}, n_a long, n_b long, n_groups long, groups_sha256 string, links array<long>")
 
 
-def pair_counts(linked: DataFrame, b_size: int, links: str = "links") -> DataFrame:
+def sizes(byte_vocabulary: str, piece_model: str) -> tuple[int, int]:
+    """Numbers of ids of both sides."""
+    pieces = sentencepiece.SentencePieceProcessor(model_file=piece_model)
+    return Tokenizer.from_file(byte_vocabulary).get_vocab_size(), pieces.get_piece_size()
+
+
+def pair_counts(rows: DataFrame, b_size: int, links: str = "links") -> DataFrame:
     """(pair, n, best): how often each pair is linked, and whether no other pair of its B id is more often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,20 +265,20 @@ def pair_counts(linked: DataFrame, b_size: int, links: str = "links") -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(counts)], names=["pair", "n"])
                 pairs, counts = pairs[:0], counts[:0]
 
-    counted = linked.select(links).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    path = work_path(linked.sparkSession, "pair-counts")
+    counted = rows.select(links).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    path = work_path(rows.sparkSession, "pair-counts")
     counted.write.parquet(path)
-    counted = linked.sparkSession.read.parquet(path)
+    counted = rows.sparkSession.read.parquet(path)
     b = F.pmod("pair", F.lit(b_size))
     # One row per B id: the vocabulary bounds it.
     most = F.broadcast(counted.groupBy(b.alias("b")).agg(F.max("n").alias("most")))
     return counted.join(most, b == F.col("b")).select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
 
 
-def look_up(linked: DataFrame, pairs: np.ndarray, counts: np.ndarray, best: np.ndarray, links: str = "links") -> DataFrame:
+def look_up(rows: DataFrame, pairs: np.ndarray, counts: np.ndarray, best: np.ndarray, links: str = "links") -> DataFrame:
     """Add to ``n_best`` and ``count_sum`` what the given ascending pairs contribute to each row."""
-    shared = linked.sparkSession.sparkContext.broadcast((pairs, counts, best))
-    names = linked.columns
+    shared = rows.sparkSession.sparkContext.broadcast((pairs, counts, best))
+    names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts, best = shared.value
@@ -254,21 +294,21 @@ def look_up(linked: DataFrame, pairs: np.ndarray, counts: np.ndarray, best: np.n
             yield pa.RecordBatch.from_arrays(
                 [pa.array(batch[c].to_numpy() + add[c]) if c in add else batch[c] for c in names], names=names)
 
-    return linked.mapInArrow(run, linked.schema)
+    return rows.mapInArrow(run, rows.schema)
 
 
-def meet_counts(linked: DataFrame, b_size: int, links: str = "links", slice_pairs: int = SLICE) -> DataFrame:
+def meet_counts(rows: DataFrame, b_size: int, links: str = "links", slice_pairs: int = SLICE) -> DataFrame:
     """Add n_best and count_sum to a written table of links.
 
     Pairs are looked up in slices of about ``slice_pairs``; each is one pass, and the sums so far are
     written between passes.
     """
-    spark = linked.sparkSession
+    spark = rows.sparkSession
     path = work_path(spark, "pairs")
-    pair_counts(linked, b_size, links).write.parquet(path)
+    pair_counts(rows, b_size, links).write.parquet(path)
     counted = spark.read.parquet(path)
     slices = max(1, -(-counted.count() // slice_pairs))
-    rows = linked.withColumn("n_best", F.lit(0).cast("long")).withColumn("count_sum", F.lit(0).cast("long"))
+    rows = rows.withColumn("n_best", F.lit(0).cast("long")).withColumn("count_sum", F.lit(0).cast("long"))
     for number in range(slices):
         part = counted.filter(F.pmod(F.xxhash64("pair"), F.lit(slices)) == number).toPandas().sort_values("pair")
         if len(part):
@@ -291,10 +331,7 @@ def agreement(
     """
     spark = docs.sparkSession
     durable_dir(spark)
-    sizes = Tokenizer.from_file(byte_vocabulary).get_vocab_size(), sentencepiece.SentencePieceProcessor(
-        model_file=piece_model).get_piece_size()
-    aligned = align(docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")), byte_vocabulary, piece_model, text)
     path = work_path(spark, "links")
-    summarise(aligned, *sizes, key).write.parquet(path, compression="zstd")
-    rows = meet_counts(spark.read.parquet(path), sizes[1], slice_pairs=slice_pairs)
+    linked(docs, byte_vocabulary, piece_model, key, text).write.parquet(path, compression="zstd")
+    rows = meet_counts(spark.read.parquet(path), sizes(byte_vocabulary, piece_model)[1], slice_pairs=slice_pairs)
     return rows.select(key, "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), "n_best", "count_sum", "groups_sha256")
