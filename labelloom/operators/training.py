@@ -16,6 +16,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 from math import ceil, log2
 
 import numpy as np
@@ -38,6 +39,8 @@ RANKED_TOGETHER = 512  # rows ranked in one window partition, on average
 DIRECT_PARTIALS = 64  # more partial sums than this are added up on the executors, slice by slice
 SLICE_CELLS = 65_536  # doubles of one slice
 SPARSE_BELOW = 1 / 48  # blocks filled less than this are multiplied by index
+FEW = 8  # classifiers that are multiplied by index one by one
+INDEX_COST = 5  # a product by index costs as much as so many cells of a dense matrix
 LOCAL_VALUES = 8_000_000  # non-zero values (12 bytes each) of all blocks that may be broadcast
 LOCAL_CELLS = 40_000_000  # rows x features a task may hold as doubles; above, it multiplies by index
 
@@ -125,9 +128,16 @@ class Rows:
         """Rows times a features x members matrix."""
         if self.x is not None:
             return self.x @ weights
-        out = np.empty((self.shape[0], weights.shape[1]))
-        for r, (a, b) in enumerate(zip(self.starts[:-1], self.starts[1:], strict=True)):
-            out[r] = self.val[a:b] @ weights[self.idx[a:b]]
+        if weights.shape[1] > FEW:
+            out = np.empty((self.shape[0], weights.shape[1]))
+            for r, (a, b) in enumerate(zip(self.starts[:-1], self.starts[1:], strict=True)):
+                out[r] = self.val[a:b] @ weights[self.idx[a:b]]
+            return out
+        out = np.zeros((self.shape[0], weights.shape[1]))
+        filled = np.flatnonzero(np.diff(self.starts))
+        if len(filled):
+            for j in range(weights.shape[1]):
+                out[filled, j] = np.add.reduceat(self.val * weights[:, j][self.idx], self.starts[filled])
         return out
 
     def transposed_times(self, slope: np.ndarray) -> np.ndarray:
@@ -135,10 +145,23 @@ class Rows:
         if self.x is not None:
             return self.x.T @ slope
         out = np.zeros((self.shape[1], slope.shape[1]))
-        for r, (a, b) in enumerate(zip(self.starts[:-1], self.starts[1:], strict=True)):
-            out[self.idx[a:b]] += self.val[a:b, None] * slope[r]
+        if slope.shape[1] > FEW:
+            for r, (a, b) in enumerate(zip(self.starts[:-1], self.starts[1:], strict=True)):
+                out[self.idx[a:b]] += self.val[a:b, None] * slope[r]
+            return out
+        row, val, feature, first = self.by_feature
+        for j in range(slope.shape[1] if len(first) else 0):
+            out[feature, j] = np.add.reduceat(val * slope[:, j][row], first)
         return out
 
+    @cached_property
+    def by_feature(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Rows and values in the order of their features, the features that occur, and where each begins."""
+        order = np.argsort(self.idx, kind="stable")
+        idx = self.idx[order]
+        first = np.flatnonzero(np.r_[True, idx[1:] != idx[:-1]]) if len(idx) else np.empty(0, np.int64)
+        return np.repeat(np.arange(self.shape[0]), np.diff(self.starts))[order], self.val[order], idx[first], first
+
 
 @dataclass(frozen=True)
 class Blocks:
@@ -454,7 +477,10 @@ def _solve_in_tasks(blocks: Blocks, spec: dict, hinge: bool, c: float, tol: floa
     n_features, n_labels, members = blocks.n_features, blocks.n_labels, len(spec["label"])
     spark = blocks.frame.sparkSession
     shared = spark.sparkContext.broadcast(([r.asDict() for r in blocks.frame.collect()], spec))
-    by_index = blocks.rows * n_features > LOCAL_CELLS
+    tasks = max(1, min(members, spark.sparkContext.defaultParallelism))
+    # A dense matrix is read whole for every product, whether for one classifier or for a dozen.
+    dense = blocks.rows * n_features
+    by_index = dense > LOCAL_CELLS or blocks.values * ceil(members / tasks) * INDEX_COST < dense
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = np.array([i for batch in batches for i in batch.column(0).to_pylist()], int)
@@ -482,7 +508,6 @@ def _solve_in_tasks(blocks: Blocks, spec: dict, hinge: bool, c: float, tol: floa
     theta, gradient, passes = np.zeros((n_features + 1, members)), np.zeros(members), 0
     slope, offset = np.full(members, -1.0), np.zeros(members)
     if members:
-        tasks = min(members, spark.sparkContext.defaultParallelism)
         dealt = spark.range(members).select((F.col("id") % tasks).cast("int").alias("task"), F.col("id").cast("int").alias("member"))
         dealt = dealt.repartitionByRange(tasks, "task").select("member")
         solved = dealt.mapInArrow(solve, "member int, theta binary, gradient double, slope double, offset double, passes int")

@@ -121,13 +121,17 @@ def platt(m, y):
     return a
 
 
-@pytest.fixture(params=["tasks", "passes", "by index"])
+@pytest.fixture(params=["tasks", "passes", "by index", "passes by index", "one by one"])
 def solver(request, monkeypatch):
     """All ways to multiply and to share out the work; they differ in plan only."""
-    if request.param == "passes":
+    if request.param.startswith("passes"):
         monkeypatch.setattr(training, "LOCAL_VALUES", 0)
-    if request.param == "by index":
+    if request.param in ("by index", "one by one"):
         monkeypatch.setattr(training, "LOCAL_CELLS", 0)
+    if request.param == "passes by index":
+        monkeypatch.setattr(training, "SPARSE_BELOW", 2)
+    if request.param != "one by one":
+        monkeypatch.setattr(training, "FEW", 0)
 
 
 def test_logistic_regression_reaches_the_optimum(spark, solver):
