@@ -7,11 +7,13 @@ digests of known license texts and notices by a hash join; nothing is matched ap
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelloom.llm.license_digests import DIGESTS
 from labelloom.llm.license_texts import WHOLE
 
 # Spellings that license guidelines treat as equal, longer words first.
@@ -59,28 +61,37 @@ def canonical(text: Column) -> Column:
     return out
 
 
-def known_digests(docs: DataFrame, known: Sequence[tuple[str, str]] = KNOWN) -> DataFrame:
-    """(digest, license) of known texts, one row per digest; as many rows as the catalog at most."""
-    rows = docs.sparkSession.createDataFrame(list(known), "license string, body string")
-    return rows.select(F.sha2(canonical(F.col("body")), 256).alias("digest"), "license").groupBy("digest").agg(
-        F.min("license").alias("license"))
+def known_digests(
+    docs: DataFrame, known: Sequence[tuple[str, str]] = (*KNOWN, *WHOLE), digests: Sequence[tuple[str, str]] = DIGESTS,
+) -> DataFrame:
+    """(digest, license) of known texts and digests, one row per digest; as many rows as the catalog at most."""
+    spark = docs.sparkSession
+    rows = spark.createDataFrame(list(known), "license string, body string")
+    made = rows.select(F.sha2(canonical(F.col("body")), 256).alias("digest"), "license")
+    given = spark.createDataFrame(list(digests), "license string, digest string").select("digest", "license")
+    return made.unionByName(given).groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def scan(
     docs: DataFrame, key: str = "doc_id", text: str = "text", known: Sequence[tuple[str, str]] = (*KNOWN, *WHOLE),
+    digests: Sequence[tuple[str, str]] = DIGESTS,
 ) -> DataFrame:
     """One row per input row: key, digest of the canonical text, its license (or null) and license notices.
 
     ``license`` is set when the entire text is a known one; ``n_notices`` counts lines that are known
     notices and ``notices`` lists their different licenses, sorted. A text or line that is empty once
     canonical matches nothing. Null reads as empty; repeated rows and rows without a key each give a
-    row; other columns are ignored. The catalog is a list in this program and is broadcast.
+    row; other columns are ignored; a very long text is taken whole. The catalog is a list in this program
+    and is broadcast; a notice of one line has to hold what ``NOTICE_SIGN`` looks for.
     """
-    found = known_digests(docs, known)
+    unseen = [body for _, body in known if "\n" not in body and not re.search(NOTICE_SIGN, body)]
+    if unseen:
+        raise ValueError(f"notices without a sign of one: {unseen}")
+    found = known_digests(docs, known, digests)
     pairs = [F.lit(x) for r in found.collect() for x in (r["digest"], r["license"])]
     catalog = F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,string>")
-    whole = F.sha2(canonical(F.col(text)), 256)
-    lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: x.rlike(NOTICE_SIGN))
+    whole = F.sha2(canonical(F.col(f"`{text}`")), 256)
+    lines = F.filter(F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n"), lambda x: x.rlike(NOTICE_SIGN))
     notices = F.transform(lines, lambda x: F.element_at(catalog, F.sha2(canonical(x), 256)))
     out = docs.select(
         F.col(key), whole.alias("digest"), F.filter(notices, lambda x: x.isNotNull()).alias("hits"),
@@ -90,8 +101,8 @@ def scan(
         F.array_join(F.array_sort(F.array_distinct("hits")), ",").alias("notices"))
 
 
-def oracle(known: Sequence[tuple[str, str]] = KNOWN) -> str:
-    """SQL counterpart over ``documents``; unlike ``scan``, it does not know ``WHOLE``."""
+def oracle(known: Sequence[tuple[str, str]] = (*KNOWN, *WHOLE), digests: Sequence[tuple[str, str]] = DIGESTS) -> str:
+    """SQL counterpart over ``documents``, with the same catalog."""
 
     def form(x: str) -> str:
         out = f"regexp_replace(coalesce({x}, ''), '{COPYRIGHT_LINE}', '', 'g')"
@@ -102,9 +113,12 @@ def oracle(known: Sequence[tuple[str, str]] = KNOWN) -> str:
         return out
 
     rows = ", ".join("('{}', '{}')".format(n, b.replace("'", "''")) for n, b in known)
+    given = ", ".join(f"('{n}', '{d}')" for n, d in digests)
     return f"""
 WITH k AS (
-  SELECT sha256({form('body')}) AS digest, min(license) AS license FROM (VALUES {rows}) AS x(license, body) GROUP BY 1
+  SELECT digest, min(license) AS license
+  FROM (SELECT license, sha256({form('body')}) AS digest FROM (VALUES {rows}) AS x(license, body)
+        UNION ALL SELECT * FROM (VALUES {given}) AS y(license, digest)) GROUP BY digest
 ), l AS (
   SELECT r, line FROM (SELECT r, unnest(string_split(coalesce(text, ''), chr(10))) AS line
                        FROM (SELECT row_number() OVER () AS r, text FROM documents))

@@ -1,5 +1,6 @@
 """The ten operators against plain versions, on odd and on empty input."""
 
+import os
 import random
 
 import brute
@@ -411,6 +412,37 @@ def test_whole_licenses(spark):
         10: "ISC"}
 
 
+PUBLISHED = "/usr/share/common-licenses"
+
+
+def test_the_sql_counterpart_has_the_same_catalog(spark, nothing):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)")
+    texts = [(n, f"Copyright (c) 2021 A\n\n{body.upper()}") for n, (_, body) in enumerate([*licenses.KNOWN, *license_texts.WHOLE])]
+    con.executemany("INSERT INTO documents VALUES (?, ?)", texts)
+    found = con.execute(licenses.oracle()).fetchall()
+    got = licenses.scan(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert rows(got, *got.columns) == plain(found) and all(r[2] for r in found)
+    with pytest.raises(ValueError):
+        licenses.scan(nothing, known=[("X", "All rights reserved.")])
+
+
+@pytest.mark.skipif(not os.path.isdir(PUBLISHED), reason="published texts are not here")
+def test_digests_of_published_licenses(spark):
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0",
+             "CC0-1.0": "CC0-1.0", "GFDL-1.3": "GFDL-1.3"}
+    texts = []
+    for number, name in enumerate(names):
+        with open(f"{PUBLISHED}/{name}", encoding="utf-8") as f:
+            texts.append((number, f.read()))
+    whole = texts[0][1]
+    texts += [(100, whole[:whole.index("   APPENDIX:")]), (101, whole.replace("License", "LICENSE").replace(",", " ,")), (102, whole[:500])]
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {**dict(enumerate(names.values())), 100: "Apache-2.0", 101: "Apache-2.0", 102: None}
+
+
 def test_urls(spark):
     urls = [("https://A.example.net/en/x?porn", "a.example.net", "/en/x", "example.net/en/", "allow"),
             ("https://a.example.net", "a.example.net", "", None, "allow"),
