@@ -7,6 +7,7 @@ nor digits, or by the ends of the url. Rules of (host, path prefix) override the
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -15,11 +16,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelloom.functions.sizing import bounded_rows
 from labelloom.llm.shipping import ship
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TO_LOWER = str.maketrans(UPPER, LOWER)
 
+#: Terms a vocabulary table may have: an automaton of some hundred megabytes in every worker.
+MAX_TERMS = 1_000_000
+
 STRICT = ("spam-farm", "cheap-pills", "porn", "xxx", "viagra", "casino", "warez", "malware", "phishing", "escort")
 SOFT = ("adult", "bet", "betting", "bonus", "buy", "cheap", "cracked", "dating", "download", "free", "gambling", "hot",
         "jackpot", "keygen", "loan", "nude", "pharmacy", "pills", "poker", "prize", "sex", "slots", "torrent", "win")
@@ -33,6 +38,19 @@ class Vocabulary:
     soft: Sequence[str] = SOFT
     limit: int = 2
 
+    @classmethod
+    def of_table(cls, terms: DataFrame, limit: int = 2, bound: int = MAX_TERMS) -> Vocabulary:
+        """Terms from a table (term, weight): a weight of ``limit`` or more makes one strict, a lower positive one soft.
+
+        Case does not matter; null and empty terms and weights of zero or less are left out, the highest weight
+        of a repeated term counts.
+        """
+        lowered = F.translate("term", UPPER, LOWER).alias("term")
+        held = terms.select(lowered, "weight").filter((F.col("term") != "") & (F.col("weight") > 0))
+        rows = bounded_rows(held.groupBy("term").agg(F.max("weight").alias("weight")), bound, "url terms")
+        strict, soft = (sorted(r["term"] for r in rows if (r["weight"] >= limit) == hard) for hard in (True, False))
+        return cls(tuple(strict), tuple(soft), limit)
+
     def automaton(self) -> ahocorasick.Automaton:
         found = ahocorasick.Automaton()
         for term in self.soft:
@@ -98,8 +116,8 @@ def judge_urls(
     """Add host, path, n_strict, n_soft, rule and verdict (allow or block) to every row.
 
     A null or empty url, or one without ``://``, has an empty host and path, fits no rule, and is
-    judged by its terms alone (null: none, so it is allowed). A term listed as strict and soft is
-    strict. Rows are independent; other columns pass through, those named like results are replaced.
+    judged by its terms alone (null: none, so it is allowed); a very long one is scanned once. A term listed
+    as strict and soft is strict. An empty vocabulary rejects nothing. Rows are independent; other columns pass through, those named like results are replaced.
     """
     ship(pages.sparkSession)
     vocabulary = vocabulary or Vocabulary()
@@ -109,9 +127,10 @@ def judge_urls(
     types = dict(source.dtypes)
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in kept), "n_strict long", "n_soft long"])
     at = kept.index(url)
+    shared = pages.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = vocabulary.automaton()
+        automaton = shared.value.automaton()
         for batch in batches:
             counts = [count_terms(u, automaton) for u in batch.column(at).to_pylist()]
             columns = [pa.array([c[i] for c in counts], pa.int64()) for i in (0, 1)]
@@ -131,7 +150,8 @@ def oracle(vocabulary: Vocabulary | None = None, rules: Sequence[Rule] = RULES)
     vocabulary = vocabulary or Vocabulary()
 
     def bounded(term: str) -> str:
-        return f"regexp_matches(t, '(^|[^a-z0-9]){term}([^a-z0-9]|$)')"
+        plain = re.escape(term).replace("'", "''")
+        return f"regexp_matches(t, '(^|[^a-z0-9]){plain}([^a-z0-9]|$)')"
 
     strict = " OR ".join(bounded(t) for t in vocabulary.strict)
     soft = " + ".join(f"{bounded(t)}::INT" for t in vocabulary.soft if t not in vocabulary.strict)

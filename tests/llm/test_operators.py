@@ -461,6 +461,22 @@ def test_urls(spark):
     assert url_filter.judge_urls(df.limit(0)).collect() == []
 
 
+def test_url_terms_from_a_table(spark):
+    rng = random.Random(6)
+    terms = [(f"Term{n}", rng.choice([1, 1, 1, 2, 3])) for n in range(3000)] + [("c++", 2), (None, 2), ("", 2), ("off", 0), ("term1", 3)]
+    found = url_filter.Vocabulary.of_table(spark.createDataFrame(terms, "term string, weight int"))
+    assert len(found.strict) + len(found.soft) == 3001 and "term1" in found.strict and "c++" in found.strict
+    weight = {t.lower(): w for t, w in terms if t}
+    urls = [(n, "http://a.b/" + "/".join(f"term{rng.randint(0, 6000)}" for _ in range(rng.randint(0, 4)))) for n in range(400)]
+    urls.append((400, "http://a.b/c++"))
+    got = url_filter.judge_urls(spark.createDataFrame(urls, "page_id long, url string"), vocabulary=found)
+    for r in got.collect():
+        held = {t for t in r["url"].split("/")[3:] if weight.get(t, 0) > 0}
+        hard = sum(t == "term1" or weight[t] >= 2 for t in held)
+        assert (r["n_strict"], r["n_soft"]) == (hard, len(held) - hard)
+        assert r["verdict"] == ("block" if hard or len(held) > 1 else "allow")
+
+
 def test_packing():
     keys = np.unique(np.random.default_rng(0).integers(0, 2**63, 1000).astype(np.uint64) * np.uint64(2))
     assert (unpack_sorted(pack_sorted(keys)) == keys).all() and (unpack(pack(keys)) == keys).all()
