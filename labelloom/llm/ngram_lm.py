@@ -11,8 +11,8 @@ Two rounds between chunks of documents and shards:
 A trie has the middle words, below each its successors w and its predecessors u, and below each
 (v, u) the words that followed. Those are stored *relative to the context*: as places among v's
 successors, which are small numbers. All levels are Elias-Fano coded monotone sequences with
-pointers of the same kind; probabilities are 16-bit codes of a logarithm. A level is a byte string
-that is read in place and searched for successors, never expanded.
+pointers of the same kind; probabilities are 16-bit codes of a logarithm. The levels of a shard are
+written to one file, mapped, read in place and searched for successors, never expanded.
 
 Smoothing is hierarchical (Dirichlet): with c training counts,
 P(w) = (c(w) + 1) / (N + V + 1), P(w | v) = (c(vw) + s2 P(w)) / (c(v) + s2),
@@ -21,7 +21,9 @@ P(w | u v) = (c(uvw) + s3 P(w | v)) / (c(uv) + s3).
 
 from __future__ import annotations
 
+import tempfile
 import zlib
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -47,23 +49,41 @@ RESULT = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
           "score double")
 
 
+POPULATION = np.bitwise_count(np.arange(256, dtype=np.uint8))
+#: SELECTED[b, r]: place of the r-th set bit of byte b.
+SELECTED = np.zeros((256, 8), np.uint8)
+for _place in range(8):
+    _set = np.flatnonzero(np.arange(256) >> _place & 1)
+    SELECTED[_set, POPULATION[_set & (2**_place - 1)]] = _place
+
+
+def select(words: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Place of the set bit with the given rank in each 64-bit word."""
+    part = np.ascontiguousarray(words).view(np.uint8).reshape(-1, 8)
+    upto = np.cumsum(POPULATION[part], axis=1, dtype=np.uint8)
+    byte = (upto <= rank[:, None]).sum(axis=1)
+    row = np.arange(len(words))
+    before = np.where(byte > 0, upto[row, byte - 1], 0)
+    return byte * 8 + SELECTED[part[row, byte], rank - before]
+
+
 class EliasFano:
     """A monotone sequence below ``universe``: packed low bits and a unary coded high part.
 
-    Stored as one byte string; ``find`` locates values by searching the few entries that share their
-    high part.
+    Read in place from bytes, which may be a mapped file; the directory has one number for 64 bits of the
+    high part. ``at`` gives entries by their place, ``find`` the place of values by searching the few
+    entries that share their high part.
     """
 
-    def __init__(self, count: int, universe: int, raw: bytes):
+    def __init__(self, count: int, universe: int, raw: np.ndarray | bytes):
+        raw = np.frombuffer(raw, np.uint8) if isinstance(raw, bytes) else raw
         self.count = count
         self.low_bits = low_bits(count, universe)
         n_low = -(-count * self.low_bits // 64) + 1
-        self.lows = np.frombuffer(raw, np.uint64, n_low)
-        bits = np.frombuffer(raw, np.uint8, offset=8 * n_low)
-        # Directory: how many entries lie before each high part.
-        marks = np.unpackbits(bits)
-        zeros = np.flatnonzero(marks == 0)
-        self.before = np.concatenate([[0], zeros - np.arange(len(zeros))])
+        words = raw.view(np.uint64)
+        self.lows, self.highs = words[:n_low], words[n_low:]
+        ones = np.cumsum(np.bitwise_count(self.highs), dtype=np.int64)
+        self.ones = np.concatenate([[0], ones[:-1]]).astype(np.int32 if count < 2**31 else np.int64)
 
     @staticmethod
     def encode(values: np.ndarray, universe: int) -> bytes:
@@ -78,9 +98,9 @@ class EliasFano:
             over = np.flatnonzero(shift + np.uint64(bits) > np.uint64(64))
             np.bitwise_or.at(lows, word[over] + 1, low[over] >> (np.uint64(64) - shift[over]))
         high = (values >> np.uint64(bits)).astype(np.int64)
-        marks = np.zeros(len(values) + (universe >> bits) + 2, bool)
+        marks = np.zeros(-(-(len(values) + (universe >> bits) + 2) // 64) * 64, bool)
         marks[high + np.arange(len(values))] = True
-        return lows.tobytes() + np.packbits(marks).tobytes()
+        return lows.tobytes() + np.packbits(marks, bitorder="little").tobytes()
 
     def low(self, at: np.ndarray) -> np.ndarray:
         if not self.low_bits:
@@ -90,12 +110,26 @@ class EliasFano:
         rest = np.where(shift > 0, self.lows[word + 1] << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
         return ((self.lows[word] >> shift) | rest) & np.uint64(2**self.low_bits - 1)
 
+    def at(self, place: np.ndarray) -> np.ndarray:
+        """Entries by place."""
+        word = np.searchsorted(self.ones, place, "right") - 1
+        high = word * 64 + select(self.highs[word], place - self.ones[word]) - place
+        return (high.astype(np.uint64) << np.uint64(self.low_bits) | self.low(place)).astype(np.int64)
+
+    def before(self, high: np.ndarray) -> np.ndarray:
+        """How many entries have a smaller high part: the ones in front of a zero."""
+        zero = np.maximum(high - 1, 0)
+        zeros = np.arange(len(self.ones)) * 64 - self.ones
+        word = np.searchsorted(zeros, zero, "right") - 1
+        place = word * 64 + select(~self.highs[word], zero - zeros[word])
+        return np.where(high > 0, place - zero, 0)
+
     def find(self, values: np.ndarray) -> np.ndarray:
         """Place of each value, -1 where it does not occur."""
         values = values.astype(np.uint64)
         high = (values >> np.uint64(self.low_bits)).astype(np.int64)
         wanted = values & np.uint64(2**self.low_bits - 1)
-        lo, hi = self.before[high], self.before[high + 1]
+        lo, hi = self.before(high), self.before(high + 1)
         stop = hi.copy()
         while True:
             open_ = np.flatnonzero(lo < hi)
@@ -125,17 +159,46 @@ def quantise(probability: np.ndarray) -> np.ndarray:
 RESTORED = np.concatenate([[0.0], 10.0 ** (np.arange(65535) / 65534 * -LEAST + LEAST)])
 
 
+class Mapped:
+    """Bytes of a trie's levels in one file without a name, gone with the task, and mapped when read."""
+
+    def __init__(self) -> None:
+        self.file = tempfile.TemporaryFile()
+        self.held: np.ndarray | None = None
+
+    def add(self, raw: bytes) -> tuple[int, int]:
+        """Append, from a multiple of eight bytes on; start and end."""
+        start = self.file.tell()
+        self.file.write(raw + bytes(-len(raw) % 8))
+        return start, start + len(raw)
+
+    def part(self, ends: tuple[int, int]) -> np.ndarray:
+        if self.held is None:
+            self.file.flush()
+            self.held = np.memmap(self.file, np.uint8, "r")
+        return self.held[ends[0]:ends[1]]
+
+
 class Level:
-    """Children of the nodes above: keys ascending below each parent, as one monotone sequence."""
+    """Children of the nodes above: keys ascending below each parent, as one monotone sequence.
 
-    def __init__(self, parent: np.ndarray, key: np.ndarray, parents: int, codes: np.ndarray | None = None):
+    ``pointers`` tells where each parent's children begin, coded the same way.
+    """
+
+    def __init__(self, levels: Mapped, parent: np.ndarray, key: np.ndarray, parents: int, codes: np.ndarray | None = None):
+        self.levels, self.count, self.parents = levels, len(key), parents
         self.width = int(key.max()) + 1 if len(key) else 1
-        self.parents = parents
-        self.raw = EliasFano.encode(parent * self.width + key, parents * self.width)
-        # Where each parent's children begin.
-        self.pointers = EliasFano.encode(np.searchsorted(parent, np.arange(parents + 1)), len(key) + 1)
-        self.keys = EliasFano(len(key), parents * self.width, self.raw)
-        self.codes = codes
+        self.at_keys = levels.add(EliasFano.encode(parent * self.width + key, parents * self.width))
+        self.at_pointers = levels.add(EliasFano.encode(np.searchsorted(parent, np.arange(parents + 1)), len(key) + 1))
+        self.at_codes = levels.add(codes.tobytes()) if codes is not None else (0, 0)
+
+    @cached_property
+    def keys(self) -> EliasFano:
+        return EliasFano(self.count, self.parents * self.width, self.levels.part(self.at_keys))
+
+    @cached_property
+    def pointers(self) -> EliasFano:
+        return EliasFano(self.parents + 1, self.count + 1, self.levels.part(self.at_pointers))
 
     def find(self, parent: np.ndarray, key: np.ndarray) -> np.ndarray:
         """Node of (parent, key); -1 without such a child or parent."""
@@ -144,8 +207,10 @@ class Level:
         out[known] = self.keys.find(parent[known] * self.width + key[known])
         return out
 
-    def size(self) -> int:
-        return len(self.raw) + len(self.pointers) + (self.codes.nbytes if self.codes is not None else 0)
+    def probability(self, node: np.ndarray) -> np.ndarray:
+        """What the nodes' codes stand for; 0 for no node."""
+        codes = self.levels.part(self.at_codes).view(np.uint16)
+        return np.where(node >= 0, RESTORED[codes[np.maximum(node, 0)]], 0.0)
 
 
 class Trie:
@@ -154,24 +219,24 @@ class Trie:
     def __init__(self, v: np.ndarray, u: np.ndarray, w: np.ndarray, count: np.ndarray, total: np.ndarray,
                  strength: float):
         """``total`` is the training count of each row's middle word."""
+        levels = Mapped()
         first, parent = groups(v)
-        self.middles = Level(np.zeros(len(first), np.int64), v[first], 1)
+        self.middles = Level(levels, np.zeros(len(first), np.int64), v[first], 1)
         middles = len(first)
         order = np.argsort(joined(parent, w), kind="stable")
         first, run = groups2(parent[order], w[order])
         pair_count = np.bincount(run, weights=count[order])
         at = order[first]
         self.strength = strength
-        self.successors = Level(parent[at], w[at], middles, quantise(pair_count / (total[at] + strength)))
+        self.successors = Level(levels, parent[at], w[at], middles, quantise(pair_count / (total[at] + strength)))
         begin = np.searchsorted(parent[at], np.arange(middles))
         rank, share = np.empty(len(v), np.int64), np.empty(len(v))
         rank[order] = run - begin[parent[order]]
         share[order] = count[order] / pair_count[run]
         # Places among the successors ascend like the words do, so the rows are in order already.
         first, run = groups2(parent, u)
-        self.contexts = Level(parent[first], u[first], middles)
-        self.follow = Level(run, rank, len(first), quantise(share))
-        self.begin = begin
+        self.contexts = Level(levels, parent[first], u[first], middles)
+        self.follow = Level(levels, run, rank, len(first), quantise(share))
 
     def query(self, v: np.ndarray, u: np.ndarray, w: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """c(vw) and c(uvw) as the stored c(vw) / (c(v) + s2) and c(uvw) / c(vw) tell them; 0 where unseen.
@@ -180,10 +245,11 @@ class Trie:
         """
         parent = self.middles.find(np.zeros(len(v), np.int64), v)
         pair = self.successors.find(parent, w)
-        second = np.rint(np.where(pair >= 0, RESTORED[self.successors.codes[pair]], 0.0) * (total + self.strength))
-        rank = np.where(pair >= 0, pair - self.begin[parent], -1)
+        second = np.rint(self.successors.probability(pair) * (total + self.strength))
+        # The word's place among the successors of the middle word.
+        rank = np.where(pair >= 0, pair - self.successors.pointers.at(np.maximum(parent, 0)), -1)
         triple = self.follow.find(self.contexts.find(parent, u), rank)
-        third = np.rint(np.where(triple >= 0, RESTORED[self.follow.codes[triple]], 0.0) * second)
+        third = np.rint(self.follow.probability(triple) * second)
         return second.astype(np.int64), third.astype(np.int64)
 
 
