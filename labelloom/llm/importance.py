@@ -159,17 +159,17 @@ def rank_highest(scored: DataFrame, key: str, percent: int, min_words: int, leve
         return scored.withColumn("rank", F.lit(None).cast("long"))
     reached = able & (F.col("score") >= before[-1][0])
     ahead = spark.createDataFrame(before, "score long, `rows ahead` long")
-    rows = scored.filter(reached).withColumn("deal", F.pmod(F.xxhash64("place"), F.lit(DEALS)))
-    cells = rows.groupBy("score", key, "deal").agg(F.count(F.lit(1)).alias("n"))
-    within = Window.partitionBy("score").orderBy(F.col(key).asc_nulls_last(), "deal")
+    rows = scored.filter(reached).withColumn("row deal", F.pmod(F.xxhash64("place"), F.lit(DEALS)))
+    cells = rows.groupBy("score", key, "row deal").agg(F.count(F.lit(1)).alias("n"))
+    within = Window.partitionBy("score").orderBy(F.col(key).asc_nulls_last(), "row deal")
     begun = cells.join(F.broadcast(ahead), "score").select(
-        F.col("score").alias("score of"), F.col(key).alias("key of"), F.col("deal").alias("deal of"),
-        (F.col("rows ahead") + F.sum("n").over(within) - F.col("n")).alias("ahead"))
-    number = F.row_number().over(Window.partitionBy("score", key, "deal").orderBy("place"))
-    ranked = rows.withColumn("number", number).join(
+        F.col("score").alias("score of"), F.col(key).alias("key of"), F.col("row deal").alias("deal of"),
+        (F.col("rows ahead") + F.sum("n").over(within) - F.col("n")).alias("rows before"))
+    number = F.row_number().over(Window.partitionBy("score", key, "row deal").orderBy("place"))
+    ranked = rows.withColumn("row number", number).join(
         begun, (F.col("score") == F.col("score of")) & F.col(key).eqNullSafe(F.col("key of"))
-        & (F.col("deal") == F.col("deal of")))
-    rank = F.col("ahead") + F.col("number")
+        & (F.col("row deal") == F.col("deal of")))
+    rank = F.col("rows before") + F.col("row number")
     drawn = ranked.select(*scored.columns, F.when(rank <= want, rank).cast("long").alias("rank"))
     return drawn.unionByName(scored.filter(~reached).withColumn("rank", F.lit(None).cast("long")))
 

@@ -4,6 +4,7 @@ import random
 
 import brute
 import pytest
+from pyspark.sql import functions as F
 from test_operators import plain, rows
 
 from labelloom.llm import importance
@@ -44,8 +45,10 @@ def test_one_key_and_one_text_in_most_rows(spark, items):
 
 
 def test_columns_carried_and_empty_tables(spark, frame, items, nothing):
-    got = importance.resample(frame, items[1], more=("text", "lang", "n_words"))
-    assert got.columns == ["doc_id", "text", "lang", "n_words", "n_features", "weight", "score", "rank"]
+    clashing = frame.withColumns({"deal": F.lit("d"), "place": F.lit("p"), "number": F.lit("n"), "ahead": F.lit("a")})
+    got = importance.resample(clashing, items[1], more=("text", "lang", "n_words", "deal", "place", "number", "ahead"))
+    assert got.columns == ["doc_id", "text", "lang", "deal", "number", "ahead", "n_words", "n_features", "weight", "score", "rank"]
+    assert {tuple(r) for r in got.select("deal", "number", "ahead").collect()} == {("d", "n", "a")}
     assert importance.resample(nothing, items[1]).collect() == []
     free = importance.resample(frame, items[1].limit(0))
     assert free.filter("rank is not null").count() > 0
