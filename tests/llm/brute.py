@@ -84,6 +84,32 @@ def simhash(docs, radius=4):
     return [(i, f"{p:016x}", least.get(find(a))) for a, ((i, _), p) in enumerate(zip(docs, prints))]
 
 
+def shingles(text, width=5):
+    w = words((text or "").translate(LOWER))
+    return {tuple(w[k:k + width]) for k in range(max(len(w) - width, 0) + 1)} if w else set()
+
+
+def jaccard(docs, percent=80):
+    """(id, smallest id of the group) by comparing all pairs of shingle sets."""
+    sets, root = [shingles(t) for _, t in docs], list(range(len(docs)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(docs)):
+        for b in range(a):
+            common = len(sets[a] & sets[b])
+            if 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
+                root[find(a)] = find(b)
+    least = {}
+    for a, (i, _) in enumerate(docs):
+        if i is not None:
+            least[find(a)] = min(least.get(find(a), i), i)
+    return [(i, least.get(find(a))) for a, (i, _) in enumerate(docs)]
+
+
 def contaminated(docs, items, window=10):
     pattern = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 

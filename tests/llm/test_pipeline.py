@@ -49,8 +49,9 @@ def test_each_stage(spark, folder, tmp_path):
             assert sorted(((r["doc_id"], r["text"]) for r in after), key=repr) == sorted(expected, key=repr)
             assert all(r["n_chars"] == len(r["text"]) for r in after)
         elif name == "near_dedup":
-            expected = {c for i, _, c in brute.simhash(before) if i is not None}
+            expected = {c for i, c in brute.jaccard(before) if i is not None}
             assert {r["doc_id"] for r in after} - {None} == expected
+            assert len(after) == len(expected) + sum(i is None for i, _ in before)
         elif name == "decontamination":
             items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
             expected = [i for i, _, hit, _ in brute.contaminated(before, items) if not hit]
@@ -70,11 +71,6 @@ def test_empty_tables(spark, tmp_path):
     assert pipeline.run(spark, str(tmp_path)).count() == 0
 
 
-def shingles(text, width=5):
-    w = brute.words((text or "").translate(brute.LOWER))
-    return {tuple(w[k:k + width]) for k in range(max(len(w) - width, 0) + 1)} if w else set()
-
-
 def test_near_dedup_finds_every_pair_of_similarity(spark):
     rng = random.Random(11)
     found, number = [], 0
@@ -86,17 +82,42 @@ def test_near_dedup_finds_every_pair_of_similarity(spark):
             number += 7
             found.append((None if number % 11 == 0 else number % 200, " ".join(changed + passage)))
     found += [(500, None), (501, ""), (502, " \n")]
-    sets, root = [shingles(t) for _, t in found], list(range(len(found)))
-    for a in range(len(found)):
-        for b in range(a):
-            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and root[a] != root[b]:
-                root = [root[b] if r == root[a] else r for r in root]
-    least = {}
-    for r, (i, _) in zip(root, found, strict=True):
-        least[r] = min(least.get(r, 2**63), 2**63 if i is None else i)
-    expected = [(i, least[r] if least[r] < 2**63 else None) for r, (i, _) in zip(root, found, strict=True)]
+    expected = brute.jaccard(found)
     df = spark.createDataFrame(found, "doc_id long, text string").repartition(3)
     got = [tuple(r) for r in set_dedup.near_duplicates(df).collect()]
     assert sorted(got, key=repr) == sorted(expected, key=repr)
     kept = {r["doc_id"] for r in pipeline.near_duplicates(spark, df, "").collect()}
     assert kept - {None} == {c for i, c in expected if i is not None and i == c}
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 3])
+def test_near_dedup_of_texts_with_one_frequent_shingle(spark, rounds, monkeypatch):
+    """Different texts that share a passage, near copies of one of them, a very long text and names of its own columns."""
+    monkeypatch.setattr(set_dedup, "SAMPLE", 1)
+    rng = random.Random(12)
+    passage = [f"often{k}" for k in range(20)]
+
+    def text(n):
+        return [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+
+    found = [(n, " ".join([*passage, *text(rng.randint(1, 6))])) for n in range(120)]
+    whole = [*text(60), *passage, *text(60)]
+    found += [(200 + n, " ".join(w if rng.random() > 0.01 * (n % 4) else f"x{rng.randint(0, 10**6)}" for w in whole)) for n in range(60)]
+    long = text(40_000)
+    found += [(300, " ".join(long)), (301, " ".join(long[:39_000])), (302, " ".join(long[:30_000])), (None, " ".join(long[10:]))]
+    df = spark.createDataFrame([(i, t, 1, "n", [1]) for i, t in found], "fp long, text string, n int, token string, tokens array<int>")
+    got = [tuple(r) for r in set_dedup.near_duplicates(df.repartition(3), "fp", rounds=rounds).collect()]
+    expected = brute.jaccard(found)
+    assert sorted(got, key=repr) == sorted(expected, key=repr)
+    assert len({c for _, c in expected}) < 150
+
+
+def test_bounds_never_drop_a_similar_pair():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        x = np.unique(rng.integers(0, 2**63, rng.integers(1, 200)).astype(np.uint64))
+        y = np.unique(np.concatenate([x[rng.random(len(x)) < 0.9], rng.integers(0, 2**63, rng.integers(0, 40)).astype(np.uint64)]))
+        common = len(np.intersect1d(x, y))
+        assert set_dedup.common_bound(set_dedup.sketch(x), len(x), set_dedup.sketch(y), len(y)) >= common
