@@ -276,14 +276,6 @@ def test_elias_fano():
         assert coded.find(values).tolist() == list(range(len(values)))
         others = np.setdiff1d(rng.integers(0, universe, 50), values)
         assert (coded.find(others) == -1).all()
-        assert coded.at(np.arange(len(values))).tolist() == values.tolist()
-        often = np.sort(np.concatenate([values, values, values[::3]]))
-        assert ngram_lm.EliasFano(len(often), universe, ngram_lm.EliasFano.encode(often, universe)).at(
-            np.arange(len(often))).tolist() == often.tolist()
-    words = rng.integers(0, 2**63, 500).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-    rank = (rng.random(500) * np.bitwise_count(words)).astype(np.int64)
-    expected = [[b for b in range(64) if int(w) >> b & 1][r] for w, r in zip(words, rank)]
-    assert ngram_lm.select(words, rank).tolist() == expected
 
 
 def test_quality(frame, docs, nothing):
