@@ -53,7 +53,10 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group linked by a Jaccard similarity of 0.8."""
+    """One document, the one with the smallest id, of each group linked by a Jaccard similarity of 0.8.
+
+    SimHash finds the candidates, their shingle sets decide, and a prefix join adds what fingerprints miss.
+    """
     return unpack(simhash.keep_one(pack(docs), near=set_dedup.near_duplicates), docs.columns)
 
 

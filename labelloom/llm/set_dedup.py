@@ -5,7 +5,10 @@ similarity share a shingle among the first ones of each: of the smaller set, amo
 ``n - need + 1`` where ``need`` is what it must have in common with a set of its own size; of the larger
 one, among the first ``n - need + 1`` where ``need`` is the wanted share of itself.
 
-Candidates are looked at in three steps, each exact in what it drops: lengths and the places of the
+The first candidates are those of SimHash: texts whose fingerprints, of the same shingles, differ in a few
+bits. Those that the sets confirm are linked, and the prefix join finds what the fingerprints miss.
+
+Its candidates are looked at in three steps, each exact in what it drops: lengths and the places of the
 shared shingle bound what two sets can have in common; then sketches (one bit for each shingle's lowest
 hash bits) bound it; then the sets themselves decide. Only sets of candidates that the sketches leave are
 made again from their texts and shuffled.
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import words
+from labelloom.llm import simhash, words
 from labelloom.llm.packing import bit_table, marked, pack_sorted, unpack_sorted
 from labelloom.llm.shipping import ship
 from labelloom.llm.simhash import components, with_labels
@@ -202,9 +205,22 @@ def _similar(files: Files, pairs: DataFrame, sets: DataFrame, docs: DataFrame, t
     return files.store(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links", whole, pairs)
 
 
+def simhash_pairs(sets: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, b) of sets (fp, print) that connect those whose SimHash fingerprints differ in ``radius`` bits at most.
+
+    Sets of one fingerprint meet the least of them, and that meets the least one of each fingerprint linked.
+    """
+    heads = sets.groupBy("print").agg(F.min("fp").alias("head"))
+    near = simhash.link_fingerprints(heads.select(F.col("print").alias("fp")), radius)
+    heads_of = {c: heads.select(F.col("print").alias(c), F.col("head").alias(f"head of {c}")) for c in "ab"}
+    between = near.join(heads_of["a"], "a").join(heads_of["b"], "b").select(F.col("head of a").alias("a"), F.col("head of b").alias("b"))
+    within = sets.join(heads, "print").filter(F.col("fp") != F.col("head")).select(F.col("head").alias("a"), F.col("fp").alias("b"))
+    return between.unionByName(within)
+
+
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT,
-    rounds: int = ROUNDS,
+    rounds: int = ROUNDS, radius: int = simhash.RADIUS,
 ) -> DataFrame:
     """key and component_id of every row.
 
@@ -212,7 +228,7 @@ def near_duplicates(
     hundredths or more; a shorter text is one shingle, and texts without words are alike. The
     component is the smallest key reachable; null keys never name one, unless no row of it has a key
     (then null). Repeated rows keep a row each; other columns are ignored. A very long text is a batch of
-    its own.
+    its own. ``radius`` is that of the SimHash fingerprints looked at first; any finds the same groups.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -225,20 +241,22 @@ def near_duplicates(
         found, first = shingle_sets(raw, shingle)
         tokens = [x.view(np.int64) for x in _prefixes(found, first, percent, *frequent.value)]
         sketches = [sketch(found[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+        prints = [simhash.text_fingerprint(simhash.shingle_hashes(t.as_py() or b"", shingle)) for t in raw]
         flat = np.concatenate([np.empty(0, np.int64), *tokens])
         ends = np.cumsum([0, *map(len, tokens)])
         return pa.RecordBatch.from_arrays(
             [batch["key"], batch["text_hash"], pa.array(set_hashes(found, first)), pa.array(np.diff(first)),
-             pa.array(sketches, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
-            names=["key", "text_hash", "fp", "n", "sketch", "tokens"])
+             pa.array(sketches, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
+             pa.array(np.array(prints, np.uint64).view(np.int64))],
+            names=["key", "text_hash", "fp", "n", "sketch", "tokens", "print"])
 
     printed = files.store(_mapped(
         docs, "text", printed_of,
-        f"key {dict(docs.dtypes)['key']}, text_hash long, fp long, n long, sketch binary, tokens array<long>",
+        f"key {dict(docs.dtypes)['key']}, text_hash long, fp long, n long, sketch binary, tokens array<long>, print long",
         [F.col("key"), F.xxhash64(F.col("text").cast("binary")).alias("text_hash")]), "prefixes")
     sets = files.store(printed.groupBy("fp").agg(
         F.coalesce(F.min("key").cast("long"), F.lit(2**63 - 1)).alias("label"),
-        F.first(F.struct("text_hash", "n", "sketch", "tokens")).alias("one")).select("fp", "label", "one.*"), "labels")
+        F.first(F.struct("text_hash", "n", "sketch", "tokens", "print")).alias("one")).select("fp", "label", "one.*"), "labels")
     printed = files.store(printed.select("key", "fp"), "keys", printed)
     labels = sets.select("fp", "label")
     # Held by several sets, as least and largest set hash differ.
@@ -247,11 +265,13 @@ def near_duplicates(
     lead = F.col("place") <= F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / (100 + percent))
     entries = files.store(every.join(several.select("token"), "token", "left_semi").select(
         "token", "fp", F.col("n").cast("int").alias("n"), "place", lead.alias("lead")), "entries")
-    links, group = None, files.store(labels.select("fp", F.col("fp").alias("component")), "groups")
 
     def grouped(found: DataFrame, label: Column) -> DataFrame:
         return components(found, sets.select("fp", label.alias("label")))
 
+    links = _similar(files, simhash_pairs(sets, radius), sets, docs, "text", shingle, percent)
+    group = files.store(grouped(links, F.col("fp")), "groups")
+
     now, number = entries.join(group, "fp"), 0
     while True:
         # The order of the groups changes from round to round, so that no text stays the only one compared with.
@@ -269,7 +289,7 @@ def near_duplicates(
         number += 1
         if found.isEmpty():
             break
-        links = found if links is None else files.store(links.unionByName(found), "links", links, found)
+        links = files.store(links.unionByName(found), "links", links, found)
         group = files.store(grouped(links, F.col("fp")), "groups", group)
         # Groups only grow: a token whose texts are in one of them is done with.
         fresh = entries.join(group, "fp")
@@ -287,7 +307,7 @@ def near_duplicates(
         ordered & (F.col("component") != other["component"]) & similar(most, F.col("n"), other["n"], percent))
     rest = _similar(files, rest.select(F.col("fp").alias("a"), other["fp"].alias("b")).distinct(), sets, docs, "text",
                     shingle, percent)
-    links = rest if links is None else files.store(links.unionByName(rest), "links", links, rest)
+    links = files.store(links.unionByName(rest), "links", links, rest)
     done = files.store(grouped(links, F.col("label")), "components", links, group, entries, sets)
     return with_labels(printed, done).select(
         F.col("key").alias(key), F.when(F.col("component") < 2**63 - 1, F.col("component")).alias("component_id"))

@@ -303,6 +303,7 @@ def keep_one(
 ) -> DataFrame:
     """The rows of ``docs`` whose key is the smallest of their near-duplicate component, as ``near`` finds it.
 
+    ``near`` is SimHash alone or, as ``set_dedup.near_duplicates``, SimHash with an exact check after it.
     Rows without a key have nothing smaller to yield to and stay. Of rows repeating a kept key the one
     with the smallest row hash stays (map columns are not looked at), of equal rows any.
     """

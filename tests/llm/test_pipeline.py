@@ -121,3 +121,32 @@ def test_bounds_never_drop_a_similar_pair():
         y = np.unique(np.concatenate([x[rng.random(len(x)) < 0.9], rng.integers(0, 2**63, rng.integers(0, 40)).astype(np.uint64)]))
         common = len(np.intersect1d(x, y))
         assert set_dedup.common_bound(set_dedup.sketch(x), len(x), set_dedup.sketch(y), len(y)) >= common
+
+
+def test_near_dedup_takes_simhash_candidates(spark, monkeypatch):
+    """Fingerprints of the stage's shingles are compared, and what the sets confirm is linked before the prefix join."""
+    rng = random.Random(13)
+    words = [f"w{n}" for n in range(400)]
+    near = [" ".join(w if k != at else f"x{at}" for k, w in enumerate(words)) for at in (5, 200)]
+    found = [(1, " ".join(words)), (2, near[0]), (3, near[1]), (4, " ".join(rng.sample(words, 400)))]
+    asked, linked = [], []
+    link, check = set_dedup.simhash.link_fingerprints, set_dedup._similar
+
+    def compared(distinct, radius):
+        asked.append(sorted(r["fp"] for r in distinct.collect()))
+        return link(distinct, radius)
+
+    def confirmed(*args):
+        out = check(*args)
+        linked.append(out.count())
+        return out
+
+    monkeypatch.setattr(set_dedup.simhash, "link_fingerprints", compared)
+    monkeypatch.setattr(set_dedup, "_similar", confirmed)
+    df = spark.createDataFrame(found, "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in pipeline.near_duplicates(spark, df, "").collect())
+    assert kept == [1, 4]
+    prints = [r["fp"] for r in set_dedup.simhash.fingerprints(df, out="fp", shingle=set_dedup.SHINGLE).collect()]
+    assert asked == [sorted(set(prints))]
+    differ = [bin((prints[0] ^ p) & (2**64 - 1)).count("1") for p in prints]
+    assert linked[0] == sum(0 <= d <= set_dedup.simhash.RADIUS for d in differ[1:3]) > 0
