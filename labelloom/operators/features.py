@@ -1,17 +1,22 @@
 """TF-IDF, keyword and structural features as column expressions.
 
-Fitting the vocabulary is the only step that shuffles. Encoding is narrow: MLlib's
-CountVectorizerModel counts the frozen vocabulary inside the JVM, the weighting is array arithmetic.
+Fitting the vocabulary is the only step that shuffles. N-grams are counted in whole-array steps over
+slices of texts, words as numbers; encoding looks the numbers of a frozen vocabulary up in the same way and
+is narrow. The weighting is array arithmetic in the JVM.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 from math import log
 
-from pyspark.ml.feature import CountVectorizerModel
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,8 +30,16 @@ CELLS = 1 << 18  # hash cells of n-grams: few for a task to send, many for a rar
 SAMPLE = 16  # one text in so many is looked at for a guess
 SURE = 8  # occurrences in the sample that make a guess
 PRUNE_FROM_BYTES = 8 * 1024 * 1024
+SLICE_BYTES = 8 * 1024 * 1024  # texts counted together
+SLICE_ROWS = 1 << 16
+SENT_ROWS = 10_000
+KEY_BYTES = 4 * 1024 * 1024  # estimated bytes of input behind one partition of counts by key
+NOT_WORD = tx.WORD.replace("[", "[^")
 DOCUMENTS = ""  # pseudo term whose document frequency is the number of documents
 
+# Task functions travel with the job: executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 @dataclass(frozen=True)
 class FeatureSpace:
@@ -56,32 +69,131 @@ def grams_of(text: Column, ngram_range: tuple[int, int] = (1, 2)) -> Column:
     return tx.ngrams(tx.words(tx.normalize(text)), *ngram_range)
 
 
+def word_text(text: Column) -> Column:
+    """Words of raw text between blanks: those of ``tx.words(tx.normalize(text))``, as no word holds white space."""
+    return F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), NOT_WORD, " ")
+
+
+@dataclass
+class WordCodes:
+    """Words of a slice of texts as numbers, in order, and the row of each."""
+
+    codes: np.ndarray
+    row: np.ndarray
+    words: pa.Array
+    rows: int
+
+    @staticmethod
+    def of(texts: pa.Array) -> WordCodes:
+        lists = pc.split_pattern(texts, " ")
+        words = lists.flatten()
+        held = pc.not_equal(words, "")
+        coded = words.filter(held).dictionary_encode()
+        row = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))[held.to_numpy(zero_copy_only=False)]
+        return WordCodes(coded.indices.to_numpy().astype(np.int64), row, coded.dictionary, len(texts))
+
+    def grams(self, n: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        """Different n-grams, and for each (n-gram, row) its number, its row and how often it occurs, by number."""
+        base, last = len(self.words) + 1, max(0, len(self.codes) - n + 1)
+        whole = np.flatnonzero(self.row[:last] == self.row[n - 1:])
+        code, tables = self.codes[whole], []
+        for k in range(1, n):
+            if k > 1:  # dense again, so that no product overflows
+                table, code = np.unique(code, return_inverse=True)
+                tables.append(table)
+            code = code * base + self.codes[whole + k]
+        code, of, times = runs(code, self.row[whole], self.rows)
+        first = starts(code)
+        number = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(code)]))
+        left, parts = code[first], []
+        for k in range(n - 1, 0, -1):
+            parts.append(left % base)
+            left = left // base
+            if k > 1:
+                left = tables[k - 2][left]
+        found = [self.words.take(pa.array(p)) for p in (left, *parts[::-1])]
+        return found[0] if n == 1 else pc.binary_join_element_wise(*found, " "), number, of, times
+
+
+def starts(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.empty(0, np.int64)
+
+
+def runs(high: np.ndarray, low: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different pairs in order, low numbers being below ``size``, and how often each occurs."""
+    both = np.sort(high * size + low)
+    first = starts(both)
+    return both[first] // size, both[first] % size, np.diff(np.r_[first, len(both)])
+
+
+def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of at most ``SLICE_BYTES`` and ``SLICE_ROWS``, or of one text."""
+    ends, at = np.r_[0, np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)], 0
+    while at < len(texts):
+        end = int(np.searchsorted(ends, ends[at] + SLICE_BYTES, side="right")) - 1
+        end = min(max(at + 1, end), at + SLICE_ROWS)
+        yield at, end
+        at = end
+
+
+def _sent(rows: dict) -> Iterator[pa.RecordBatch]:
+    whole = pa.RecordBatch.from_pydict(rows)
+    for at in range(0, whole.num_rows, SENT_ROWS):
+        yield whole.slice(at, SENT_ROWS)
+
+
+def gram_rows(df: DataFrame, text: str, ngram_range: tuple[int, int]) -> DataFrame:
+    """(term, cf, df) of every slice of texts, to be added up: narrow, a row per n-gram and slice.
+
+    The pseudo term DOCUMENTS carries the number of documents along.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(batch.column(0)):
+                coded = WordCodes.of(batch.column(0).slice(a, b - a))
+                yield from _sent({"term": [DOCUMENTS], "cf": [b - a], "df": [b - a]})
+                for n in range(ngram_range[0], ngram_range[1] + 1):
+                    term, number, _, times = coded.grams(n)
+                    first = starts(number)
+                    if len(first):
+                        yield from _sent({"term": term, "cf": np.add.reduceat(times, first),
+                                          "df": np.diff(np.r_[first, len(number)])})
+
+    return df.select(word_text(F.col(text)).alias("words")).mapInArrow(run, "term string, cf long, df long")
+
+
+def grams_by_key(df: DataFrame, key: str, text: str, ngram_range: tuple[int, int]) -> DataFrame:
+    """(key, term, tf) of every row; narrow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(batch.column(1)):
+                coded, keys = WordCodes.of(batch.column(1).slice(a, b - a)), batch.column(0).slice(a, b - a)
+                for n in range(ngram_range[0], ngram_range[1] + 1):
+                    term, number, of, times = coded.grams(n)
+                    for at in range(0, len(number), SENT_ROWS):
+                        part = slice(at, at + SENT_ROWS)
+                        yield pa.RecordBatch.from_arrays(
+                            [keys.take(pa.array(of[part])), term.take(pa.array(number[part])), pa.array(times[part], pa.int64())],
+                            names=["key", "term", "tf"])
+
+    rows = df.select(F.col(key).alias("key"), word_text(F.col(text)).alias("words"))
+    return rows.mapInArrow(run, f"key {dict(rows.dtypes)['key']}, term string, tf long").withColumnRenamed("key", key)
+
+
 def term_counts(df: DataFrame, text: str = "prompt", ngram_range: tuple[int, int] = (1, 2),
                 cells: DataFrame | None = None) -> DataFrame:
     """(term, cf, df): corpus count and document frequency of every n-gram.
 
-    One scan and one shuffle: each document emits its n-grams for the corpus count and its distinct
-    n-grams for the document frequency; frequent terms are folded map-side. The pseudo term
-    DOCUMENTS carries the number of documents along. With ``cells``, only n-grams of those hash cells
-    are counted.
+    One scan and one shuffle: slices of texts give counts of their own, which are added up by term,
+    map-side first. The pseudo term DOCUMENTS carries the number of documents along. With ``cells``,
+    only n-grams of those hash cells are counted.
     """
-
-    def emitted(grams: Column) -> Column:
-        def rows(terms: Column, cf: int, df_: int) -> Column:
-            return F.transform(
-                terms,
-                lambda t: F.struct(t.alias("term"), F.lit(cf).cast("long").alias("cf"), F.lit(df_).cast("long").alias("df")),
-            )
-
-        return F.concat(
-            rows(grams, 1, 0), rows(F.array_distinct(grams), 0, 1), rows(F.array(F.lit(DOCUMENTS)), 1, 1)
-        )
-
-    # explode_outer: plain explode would add a filter that evaluates the whole expression again.
-    rows = df.select(F.explode_outer(let(grams_of(F.col(text), ngram_range), emitted)).alias("g"))
-    rows = rows.select("g.term", "g.cf", "g.df")
+    rows = gram_rows(df, text, ngram_range)
     if cells is not None:
-        rows = rows.join(F.broadcast(cells), gram_cell(F.col("term")) == F.col("cell"))
+        rows = rows.join(F.broadcast(cells), gram_cell(F.col("term")) == F.col("cell")).select("term", "cf", "df")
     return rows.groupBy("term").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"))
 
 
@@ -91,8 +203,8 @@ def frequent_cells(df: DataFrame, least: int, text: str, ngram_range: tuple[int,
     No n-gram of another cell can occur that often. Counts by cell are fixed in number and width, so this
     shuffles no text; the cells found are at most all n-grams / ``least``.
     """
-    rows = df.select(F.explode(F.transform(grams_of(F.col(text), ngram_range), gram_cell)).alias("cell"))
-    found = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("cell")
+    rows = gram_rows(df, text, ngram_range).filter(F.col("term") != DOCUMENTS).select(gram_cell(F.col("term")).alias("cell"), "cf")
+    found = rows.groupBy("cell").agg(F.sum("cf").alias("n")).filter(F.col("n") >= least).select("cell")
     return found.unionByName(df.sparkSession.range(1).select(gram_cell(F.lit(DOCUMENTS)).alias("cell"))).distinct()
 
 
@@ -193,17 +305,81 @@ def l2_normalize(values: Column) -> Column:
     return let(values, scaled)
 
 
+@dataclass
+class TermLookup:
+    """Terms by the numbers of their words: a sorted table of (state, next word) for every word after the first.
+
+    A state stands for the words so far; ``index`` has the term that ends in it, or -1.
+    """
+
+    words: pa.Array
+    keys: list[np.ndarray]
+    index: list[np.ndarray]
+
+    @staticmethod
+    def of(terms: Sequence[str], ngram_range: tuple[int, int]) -> TermLookup:
+        low, high = ngram_range
+        split = [(i, p) for i, t in enumerate(terms) if low <= len(p := t.split(" ")) <= high and all(p)]
+        words = sorted({w for _, p in split for w in p})
+        place = {w: k for k, w in enumerate(words)}
+        state = {i: place[p[0]] for i, p in split}
+        keys, index = [], [np.full(len(words), -1)]
+        for n in range(1, high + 1):
+            for i, p in split:
+                if len(p) == n:
+                    index[-1][state[i]] = i
+            following = {i: state[i] * len(words) + place[p[n]] for i, p in split if len(p) > n}
+            keys.append(np.unique(np.array([*following.values()], np.int64)))
+            index.append(np.full(len(keys[-1]), -1))
+            state |= dict(zip(following, np.searchsorted(keys[-1], [*following.values()]).tolist()))
+        return TermLookup(pa.array(words, pa.string()), keys, index)
+
+    def counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, term and count of all terms in texts of ``word_text``, ascending."""
+        coded = WordCodes.of(texts)
+        known = pc.index_in(coded.words.cast(pa.string()), self.words).fill_null(-1).to_numpy().astype(np.int64)
+        word, row = known[coded.codes] if len(known) else coded.codes, coded.row
+        at = np.flatnonzero(word >= 0)
+        state, found = word[at], []
+        for n, index in enumerate(self.index, 1):
+            term = index[state]
+            found.append((row[at[term >= 0]], term[term >= 0]))
+            if n > len(self.keys) or not len(self.keys[n - 1]):
+                break
+            more = np.flatnonzero(at < len(word) - n)
+            more = more[(row[at[more] + n] == row[at[more]]) & (word[at[more] + n] >= 0)]
+            at, key = at[more], state[more] * len(self.words) + word[at[more] + n]
+            state = np.minimum(np.searchsorted(self.keys[n - 1], key), len(self.keys[n - 1]) - 1)
+            same = self.keys[n - 1][state] == key
+            at, state = at[same], state[same]
+        rows, terms = (np.concatenate(c) for c in zip(*found))
+        return runs(rows, terms, int(terms.max()) + 1 if len(terms) else 1)
+
+
 def encode(df: DataFrame, space: FeatureSpace, text: str = "prompt") -> DataFrame:
     """Adds ``indices ARRAY<INT>`` and ``values ARRAY<DOUBLE>``: TF-IDF, then keywords, then structure.
 
-    Narrow throughout: no shuffle, no Python, terms outside the vocabulary are dropped.
+    Narrow: no shuffle, and terms outside the vocabulary are dropped.
     """
     keep = df.columns
     norm = df.withColumn("_t", tx.normalize(F.col(text)))
     if space.terms:
-        grams = norm.withColumn("_g", tx.ngrams(tx.words(F.col("_t")), *space.ngram_range))
-        counter = CountVectorizerModel.from_vocabulary(list(space.terms), inputCol="_g", outputCol="_v")
-        counted = counter.transform(grams).withColumn("_v", F.unwrap_udt("_v"))
+        shared = df.sparkSession.sparkContext.broadcast(TermLookup.of(space.terms, space.ngram_range))
+
+        @F.arrow_udf("struct<indices: array<int>, values: array<double>>")
+        def counts(texts: pa.Array) -> pa.Array:
+            rows, terms, times = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for a, b in slices(texts):
+                row, term, count = shared.value.counts(texts.slice(a, b - a))
+                rows.append(row + a)
+                terms.append(term)
+                times.append(count)
+            ends = pa.array(np.r_[0, np.cumsum(np.bincount(np.concatenate(rows), minlength=len(texts)))], pa.int32())
+            return pa.StructArray.from_arrays([
+                pa.ListArray.from_arrays(ends, pa.array(np.concatenate(terms), pa.int32())),
+                pa.ListArray.from_arrays(ends, pa.array(np.concatenate(times), pa.float64()))], ["indices", "values"])
+
+        counted = norm.withColumn("_v", counts(word_text(F.col(text))))
         idf = double_array(space.idf)
         weight = sublinear_tf if space.sublinear else (lambda c: c)
         raw = F.zip_with("_v.indices", "_v.values", lambda i, c: weight(c) * F.get(idf, i))

@@ -1,9 +1,11 @@
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from labelloom.functions import text as tx
+from labelloom.operators import features
 
 
 def one(spark, value, column):
@@ -74,3 +76,38 @@ def test_label_cells(spark, cell, expected):
 def test_blank(spark):
     for value, blank in [(None, True), ("", True), ("\t  ", True), (" x", False)]:
         assert one(spark, value, tx.is_blank(F.col("s"))) is blank
+
+
+ODD = [None, "", " \t", "a", "A a a b", "x-y_z  x-y_z x", "ß É é 日本 ١٢ ½ é", "b a b a b " * 400, "İst Σ Σ", "a b c a b c d"]
+
+
+@pytest.mark.parametrize("spans", [(1, 2), (2, 3), (1, 4)])
+def test_counts_of_slices_add_up(spark, monkeypatch, spans):
+    """A row per n-gram and slice, the same sums as of the n-grams of every text, and the same counts by key."""
+    monkeypatch.setattr(features, "SLICE_BYTES", 40)
+    df = spark.createDataFrame([(i % 4 or None, t) for i, t in enumerate(ODD * 3)], "id int, prompt string").repartition(2)
+    grams = df.select("id", features.grams_of(F.col("prompt"), spans).alias("g")).collect()
+    cf = Counter(g for r in grams for g in r["g"])
+    df_of = Counter(g for r in grams for g in set(r["g"]))
+    expected = {(g, cf[g], df_of[g]) for g in cf} | {(features.DOCUMENTS, len(grams), len(grams))}
+    assert {tuple(r) for r in features.term_counts(df, "prompt", spans).collect()} == expected
+    assert features.gram_rows(df, "prompt", spans).count() < sum(cf.values())
+    by_key = Counter((r["id"], g) for r in grams for g in r["g"])
+    found = features.grams_by_key(df, "id", "prompt", spans).groupBy("id", "term").agg(F.sum("tf"))
+    assert {tuple(r) for r in found.collect()} == {(*k, n) for k, n in by_key.items()}
+
+
+@pytest.mark.parametrize("spans", [(1, 1), (1, 2), (2, 3)])
+def test_encoding_looks_up_terms_of_any_length(spark, monkeypatch, spans):
+    monkeypatch.setattr(features, "SLICE_BYTES", 40)
+    terms = ("a", "a b", "b a b", "d", "é", "never seen", "x", "y_z x", "日本")
+    space = features.FeatureSpace(terms, (1.0,) * len(terms), (), spans, False)
+    df = spark.createDataFrame(list(enumerate(ODD)), "id int, prompt string").repartition(2)
+    counted = {r["id"]: Counter(g for g in r["g"] if g in terms) for r in df.select(
+        "id", features.grams_of(F.col("prompt"), spans).alias("g")).collect()}
+    assert sum(map(len, counted.values())) > 4
+    for r in features.encode(df, space).collect():
+        held = counted[r["id"]]
+        length = sum(n * n for n in held.values()) ** 0.5
+        cells = [(i, v) for i, v in zip(r["indices"], r["values"]) if i < len(terms)]
+        assert cells == [(i, pytest.approx(held[t] / length)) for i, t in enumerate(terms) if t in held]
