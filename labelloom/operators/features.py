@@ -34,6 +34,7 @@ SLICE_BYTES = 8 * 1024 * 1024  # texts counted together
 SLICE_ROWS = 1 << 16
 SENT_ROWS = 10_000
 KEY_BYTES = 4 * 1024 * 1024  # estimated bytes of input behind one partition of counts by key
+UNKNOWN_BYTES = 1 << 40  # an estimate of so much is none: a table without statistics or a product of sizes
 NOT_WORD = tx.WORD.replace("[", "[^")
 DOCUMENTS = ""  # pseudo term whose document frequency is the number of documents
 
@@ -417,19 +418,27 @@ def features_long(encoded: DataFrame, space: FeatureSpace, keys: Sequence[str])
     )
 
 
+def key_parts(df: DataFrame) -> int:
+    """Partitions for counts by key: one for ``KEY_BYTES`` of input, and as the session says if its size is not known."""
+    size = estimated_bytes(df)
+    if size >= UNKNOWN_BYTES:
+        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, -(-size // KEY_BYTES))
+
+
 def tfidf_by_join(df: DataFrame, vocabulary: DataFrame, key: str, text: str = "prompt",
                   ngram_range: tuple[int, int] = (1, 2)) -> DataFrame:
-    """(key, term, value) TF-IDF against a vocabulary table of any size.
+    """(key, term, value) TF-IDF against a vocabulary table of any size, which has a row per term.
 
     For vocabularies too large to ship to every task: the join is left to Spark, with AQE splitting
-    the partitions of very common terms. Documents are partitioned by key first, so counting needs no
-    further shuffle, nor does normalising when the vocabulary turns out small.
+    the partitions of very common terms. Texts are counted where they are; counts that the vocabulary
+    knows are partitioned by key, into parts that grow in number with the input and not in size, so
+    adding up and normalising need no further shuffle.
     """
-    grams = df.repartition(F.col(key)).select(key, F.explode_outer(grams_of(F.col(text), ngram_range)).alias("term"))
-    counted = grams.filter(F.col("term").isNotNull()).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    raw = counted.join(vocabulary.select("term", "idf"), "term").withColumn(
-        "x", sublinear_tf(F.col("tf")) * F.col("idf")
-    )
+    known = grams_by_key(df, key, text, ngram_range).join(vocabulary.select("term", "idf"), "term")
+    counted = known.repartition(key_parts(df), F.col(key)).groupBy(key, "term").agg(
+        F.sum("tf").alias("tf"), F.first("idf").alias("idf"))
+    raw = counted.withColumn("x", sublinear_tf(F.col("tf")) * F.col("idf"))
     length = F.sqrt(F.sum(F.col("x") * F.col("x")).over(W.partitionBy(key)))
     return raw.withColumn("n", length).select(key, "term", (F.col("x") / F.col("n")).alias("value"))
 

@@ -111,3 +111,18 @@ def test_encoding_looks_up_terms_of_any_length(spark, monkeypatch, spans):
         length = sum(n * n for n in held.values()) ** 0.5
         cells = [(i, v) for i, v in zip(r["indices"], r["values"]) if i < len(terms)]
         assert cells == [(i, pytest.approx(held[t] / length)) for i, t in enumerate(terms) if t in held]
+
+
+def test_counts_by_key_have_parts_as_the_input_grows(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(i % 7 or None, t) for i, t in enumerate(ODD * 20)], "id int, prompt string").repartition(2).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    vocabulary = features.fit_vocabulary(df, max_features=9)
+    expected = {(r["id"], r["term"]): r["value"] for r in features.tfidf_by_join(df, vocabulary, "id").collect()}
+    monkeypatch.setattr(features, "KEY_BYTES", 64)
+    found = features.tfidf_by_join(df, vocabulary, "id")
+    assert found.rdd.getNumPartitions() == features.key_parts(df) > 10
+    assert {(r["id"], r["term"]): r["value"] for r in found.collect()} == pytest.approx(expected)
+    idf = {r["term"]: r["idf"] for r in vocabulary.collect()}
+    grams = Counter((r["id"], g) for r in df.select("id", features.grams_of(F.col("prompt")).alias("g")).collect() for g in r["g"])
+    assert expected.keys() == {k for k in grams if k[1] in idf}
+    assert features.key_parts(spark.createDataFrame(df.rdd, df.schema)) == int(spark.conf.get("spark.sql.shuffle.partitions"))
