@@ -36,8 +36,9 @@ BLOCK_CELLS = 2_000_000  # rows x features of one block when dense: bounds a tas
 GROUP_CELLS = 1_000_000  # features x classifiers optimised together: bounds the driver's memory
 HISTORY = 30  # step and gradient pairs kept per classifier, at every model size
 RANKED_TOGETHER = 512  # rows ranked in one window partition, on average
-DIRECT_PARTIALS = 64  # more partial sums than this are added up on the executors, slice by slice
-SLICE_CELLS = 65_536  # doubles of one slice
+DIRECT_PARTIALS = 64  # more partial sums than this are added up on the executors, slice by slice,
+DIRECT_CELLS = 32_768  # and so are those of more doubles altogether
+SLICE_CELLS = 16_384  # doubles of one slice
 SPARSE_BELOW = 1 / 48  # blocks filled less than this are multiplied by index
 FEW = 8  # classifiers that are multiplied by index one by one
 INDEX_COST = 5  # a product by index costs as much as so many cells of a dense matrix
@@ -184,7 +185,8 @@ def _pass(blocks: Blocks, kernel: Callable, payload: dict, size: int) -> np.ndar
     n_features, n_labels = blocks.n_features, blocks.n_labels
     shared = blocks.frame.sparkSession.sparkContext.broadcast(payload)
 
-    slices = ceil(size / SLICE_CELLS) if blocks.n_parts > DIRECT_PARTIALS else 1
+    spread = blocks.n_parts > DIRECT_PARTIALS or (blocks.n_parts > 1 and blocks.n_parts * size > DIRECT_CELLS)
+    slices = ceil(size / SLICE_CELLS) if spread else 1
     edges = np.linspace(0, size, slices + 1).astype(int)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +206,7 @@ def _pass(blocks: Blocks, kernel: Callable, payload: dict, size: int) -> np.ndar
         yield pa.RecordBatch.from_pydict({"slice": pa.array([number], pa.int32()), "sums": [total.tobytes()]})
 
     out = blocks.frame.mapInArrow(partial, _PARTIAL)
-    if blocks.n_parts > DIRECT_PARTIALS:
+    if spread:
         out = out.groupBy("slice").applyInArrow(add, _PARTIAL)
     total = np.zeros(size)
     for row in out.collect():

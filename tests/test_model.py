@@ -206,6 +206,24 @@ def test_partial_sums_added_on_executors(spark, monkeypatch):
         training.fit_models(df, ["a"], 12, "tree")
 
 
+def test_driver_gets_one_vector_a_pass(spark, monkeypatch):
+    monkeypatch.setattr(training, "LOCAL_VALUES", 0)
+    monkeypatch.setattr(training, "DIRECT_CELLS", 10)
+    df, *_ = dataset(spark, n=60)
+    kind, got = type(df), []
+    collect = kind.collect
+
+    def seen(frame):
+        rows = collect(frame)
+        if "sums" in frame.columns:
+            got.append(sum(len(r["sums"]) for r in rows) // 8)
+        return rows
+
+    monkeypatch.setattr(kind, "collect", seen)
+    training.fit_models(df.repartition(4), ["a", "b", "none", "all"], 12)
+    assert got and max(got) == 2 * (12 + 2)
+
+
 def test_margins_in_chunks(monkeypatch):
     rng = np.random.default_rng(0)
     counts = rng.integers(0, 5, 40)
