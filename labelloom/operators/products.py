@@ -24,7 +24,7 @@ ROW_BITS = 10
 ROWS = 1 << ROW_BITS
 FEATURES = 4096
 MEMBERS = 512
-GROUP_BYTES = 64 * 1024 * 1024
+GROUP_BYTES = 16 * 1024 * 1024
 
 # Task functions travel with the job: executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -90,6 +90,11 @@ def _packets(rows: DataFrame) -> DataFrame:
 PACKET_FIELDS = [("block", pa.int64()), ("slice", pa.int32()), ("pos", pa.binary()), ("idx", pa.binary()), ("val", pa.binary())]
 
 
+def packet_bytes() -> Column:
+    """What a packet holds, positions included."""
+    return F.octet_length("pos") + F.octet_length("idx") + F.octet_length("val")
+
+
 def _partial(packet: dict, matrix: np.ndarray) -> tuple[bytes, bytes]:
     """Positions of a packet's rows, and their products with a matrix block."""
     pos, idx, val = (np.frombuffer(packet[c], t) for c, t in (("pos", np.int32), ("idx", np.int32), ("val", np.float64)))
@@ -109,7 +114,7 @@ def block_margins(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     written table, and ``margins`` has ``ROWS`` rows.
     """
     packets = _packets(rows).persist()
-    held = packets.groupBy("slice").agg(F.sum(F.octet_length("idx") + F.octet_length("val")).alias("bytes"))
+    held = packets.groupBy("slice").agg(F.sum(packet_bytes()).alias("bytes"))
     # One row per feature slice of the matrix.
     deals = {r["slice"]: max(1, -(-r["bytes"] // GROUP_BYTES)) for r in bounded_rows(held, 1 << 20, "feature slices")}
     spark = rows.sparkSession

@@ -60,3 +60,10 @@ def test_no_rows(spark):
     _, df = rows_of(spark)
     model = scoring.logistic_model(["a"], np.ones((20, 1)), np.zeros(1))
     assert scoring.score_in_blocks(df.limit(0), model).collect() == []
+
+
+def test_groups_are_sized_by_all_that_packets_hold(spark):
+    rows = spark.createDataFrame([(i, list(range(50)), [1.0] * 50) for i in range(30)], "row long, indices array<int>, values array<double>")
+    packets = products._packets(rows)
+    held = sum(len(p["pos"]) + len(p["idx"]) + len(p["val"]) for p in packets.collect())
+    assert packets.select(products.packet_bytes().alias("n")).agg({"n": "sum"}).first()[0] == held == 30 * 50 * 16
