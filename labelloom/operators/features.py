@@ -20,6 +20,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from labelloom.functions import text as tx
 from labelloom.functions.columns import double_array, let, str_array
@@ -357,37 +358,41 @@ class TermLookup:
         return runs(rows, terms, int(terms.max()) + 1 if len(terms) else 1)
 
 
+def term_rows(df: DataFrame, space: FeatureSpace, text: str) -> DataFrame:
+    """Adds ``_i ARRAY<INT>``, the terms of a text in ascending order, and ``_n ARRAY<DOUBLE>``, their counts."""
+    keep, shared = df.columns, df.sparkSession.sparkContext.broadcast(TermLookup.of(space.terms, space.ngram_range))
+    named = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]
+    schema = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(df.schema)]).add(
+        "indices", ArrayType(IntegerType())).add("counts", ArrayType(DoubleType()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(batch.column(0)):
+                part = batch.slice(a, b - a)
+                row, term, count = shared.value.counts(part.column(0))
+                ends = pa.array(np.r_[0, np.cumsum(np.bincount(row, minlength=b - a))], pa.int32())
+                found = [pa.ListArray.from_arrays(ends, pa.array(v, t)) for v, t in ((term, pa.int32()), (count, pa.float64()))]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *found], names=schema.names)
+
+    return df.select(word_text(F.col(text)).alias("words"), *named).mapInArrow(run, schema).toDF(*keep, "_i", "_n")
+
+
 def encode(df: DataFrame, space: FeatureSpace, text: str = "prompt") -> DataFrame:
     """Adds ``indices ARRAY<INT>`` and ``values ARRAY<DOUBLE>``: TF-IDF, then keywords, then structure.
 
     Narrow: no shuffle, and terms outside the vocabulary are dropped.
     """
     keep = df.columns
-    norm = df.withColumn("_t", tx.normalize(F.col(text)))
     if space.terms:
-        shared = df.sparkSession.sparkContext.broadcast(TermLookup.of(space.terms, space.ngram_range))
-
-        @F.arrow_udf("struct<indices: array<int>, values: array<double>>")
-        def counts(texts: pa.Array) -> pa.Array:
-            rows, terms, times = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for a, b in slices(texts):
-                row, term, count = shared.value.counts(texts.slice(a, b - a))
-                rows.append(row + a)
-                terms.append(term)
-                times.append(count)
-            ends = pa.array(np.r_[0, np.cumsum(np.bincount(np.concatenate(rows), minlength=len(texts)))], pa.int32())
-            return pa.StructArray.from_arrays([
-                pa.ListArray.from_arrays(ends, pa.array(np.concatenate(terms), pa.int32())),
-                pa.ListArray.from_arrays(ends, pa.array(np.concatenate(times), pa.float64()))], ["indices", "values"])
-
-        counted = norm.withColumn("_v", counts(word_text(F.col(text))))
+        counted = term_rows(df, space, text)
         idf = double_array(space.idf)
         weight = sublinear_tf if space.sublinear else (lambda c: c)
-        raw = F.zip_with("_v.indices", "_v.values", lambda i, c: weight(c) * F.get(idf, i))
-        tf_idx, tf_val = F.col("_v.indices"), l2_normalize(raw)
+        raw = F.zip_with("_i", "_n", lambda i, c: weight(c) * F.get(idf, i))
+        tf_idx, tf_val = F.col("_i"), l2_normalize(raw)
     else:
-        counted = norm
+        counted = df
         tf_idx, tf_val = F.array().cast("array<int>"), F.array().cast("array<double>")
+    counted = counted.withColumn("_t", tx.normalize(F.col(text)))
 
     base = len(space.terms)
     kw = len(space.keyword_groups)
