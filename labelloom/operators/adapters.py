@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from labelloom.functions import labels as lb
 from labelloom.functions import text as tx
+from labelloom.operators.features import key_parts
 from labelloom.sources.catalogs import catalog_frame
 
+FEW_PARTS = 4  # inputs of at most so many parts by key are small enough to be folded by prompt where they are read
+
 
 def normalize_headers(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip().lower() for c in df.columns])
@@ -35,8 +38,11 @@ def from_paired_rows(df: DataFrame, labels: Sequence[str]) -> DataFrame:
     """(prompt, tool, label) rows to one y vector per prompt.
 
     Unknown tools and null labels are dropped first, so a prompt with nothing else vanishes. The
-    catalog is an ordinary small join side. One shuffle on the prompt; the map-side step leaves one
-    row per prompt and task, so a prompt owning a large share of the rows is no hot spot.
+    catalog is an ordinary small join side. Small inputs take one shuffle on the prompt, whose map-side
+    step leaves one row per prompt and task. That step's hash table has all prompts of a task, which a
+    single row group of narrow columns can make many millions, so larger inputs are dealt by prompt and
+    task of origin first: into parts that grow in number with the input and not in size. A prompt owning
+    a large share of the rows is no hot spot either way: no part has more of it than one task has read.
     """
     catalog = catalog_frame(df.sparkSession, labels).withColumnRenamed("label", "tool")
     rows = df.select("prompt", "tool", F.col("label").alias("_label")).filter(
@@ -45,12 +51,15 @@ def from_paired_rows(df: DataFrame, labels: Sequence[str]) -> DataFrame:
     if len(labels) <= 1000:
         rows = rows.filter(F.col("tool").isin(*labels))  # reaches the scan
     flags = lb.merge_flags(F.col("pos"), lb.coerce(F.col("_label")), len(labels))
-    return (
-        rows.join(catalog, "tool")
-        .groupBy("prompt")
-        .agg(*flags)
-        .select("prompt", lb.flags_to_vector(len(labels)).alias("y"))
-    )
+    parts = key_parts(df)
+    if df.isStreaming or parts <= FEW_PARTS:
+        merged = rows.join(catalog, "tool").groupBy("prompt").agg(*flags)
+    else:
+        dealt = rows.withColumn("_origin", F.spark_partition_id()).join(catalog, "tool").drop("tool")
+        folded = dealt.repartition(parts, "prompt", "_origin").groupBy("prompt", "_origin").agg(*flags)
+        words = [c for c in folded.columns if c not in ("prompt", "_origin")]
+        merged = folded.repartition(parts, "prompt").groupBy("prompt").agg(*[F.bit_or(c).alias(c) for c in words])
+    return merged.select("prompt", lb.flags_to_vector(len(labels)).alias("y"))
 
 
 def from_label_lists(df: DataFrame, labels: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:

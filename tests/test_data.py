@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from labelloom.functions import labels as lb
 from labelloom.functions.sizing import TooLarge, bounded_rows
-from labelloom.operators import adapters, quality, split
+from labelloom.operators import adapters, features, quality, split
 from labelloom.sources import catalogs, prompts
 
 L = ["a", "b", "c"]
@@ -35,6 +35,29 @@ def test_paired_rows(spark):
     assert rows(adapters.to_canonical(df, L)) == {"p": [1, 0, 0], "s": [0, 0, 1], "t": [0, 0, 0]}
 
 
+def test_large_paired_rows_fold_in_parts_that_grow_in_number(spark, monkeypatch, tmp_path):
+    spark.range(4000).selectExpr(
+        "if(id % 3 = 0, 'often', concat('p', id % 700)) AS prompt", "element_at(array('a', 'b', 'c', 'zzz'), int(id % 4) + 1) AS tool",
+        "if(id % 11 = 0, null, int(id % 5 = 0)) AS label").repartition(3).write.parquet(str(tmp_path / "pairs"))
+    df = spark.read.parquet(str(tmp_path / "pairs"))
+    small = adapters.from_paired_rows(df, L)
+    want = rows(small)
+    expected = {}
+    for r in df.collect():
+        if r["tool"] in L and r["label"] is not None:
+            expected.setdefault(r["prompt"], [0, 0, 0])[L.index(r["tool"])] |= r["label"]
+    assert want == expected
+    monkeypatch.setattr(features, "KEY_BYTES", 64)
+    large = adapters.from_paired_rows(df, L)
+    assert rows(large) == expected and large.count() == len(expected)
+    # No step gathers the prompts of a whole input split: rows are dealt into the parts before they are folded.
+    parts = features.key_parts(df)
+    plan = large._jdf.queryExecution().executedPlan().toString()
+    assert parts > 100 and large.rdd.getNumPartitions() == parts
+    below = plan[plan.rindex("hashpartitioning(prompt"):]
+    assert "_origin" in below.splitlines()[0] and "Aggregate" not in below
+
+
 def test_paired_rows_with_many_labels(spark):
     labels = [f"l{i:03d}" for i in range(200)]
     pairs = [(f"p{i % 7}", labels[i], 1) for i in range(0, 200, 3)] + [("p0", labels[1], 0)]
