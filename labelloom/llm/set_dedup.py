@@ -21,6 +21,7 @@ hashes of 64 bits.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ from labelloom.llm import simhash, words
 from labelloom.llm.packing import bit_table, marked, pack_sorted, unpack_sorted
 from labelloom.llm.shipping import ship
 from labelloom.llm.simhash import components, with_labels
-from labelloom.session import discard, durable_dir, work_path
+from labelloom.session import arrow_batches_of, discard, durable_dir, work_path
 
 SHINGLE = 5
 PERCENT = 80
@@ -41,6 +42,9 @@ PERCENT = 80
 SAMPLE, FREQUENT, MOST = 16, 3, 1_000_000
 ROUNDS = 2
 EMPTY = 0
+#: Bytes of a batch sent to Python, and of the texts in it that are hashed together, whose arrays are many times
+#: as large. Every core of an executor has a worker, beside a JVM that fills its heap.
+BATCH_BYTES, SLICE_BYTES = 4 << 20, 1 << 19
 
 
 def shingle_sets(raw: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,13 +114,25 @@ def _prefixes(shingles: np.ndarray, first: np.ndarray, percent: int, often: np.n
     return out
 
 
+def _give_back() -> None:
+    """Return what this worker holds free, of earlier tasks and stages, to the system.
+
+    Workers are used again, and each would keep the most that any of its tasks has had.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if trim is not None:
+        trim(0)
+
+
 def _mapped(docs: DataFrame, text: str, fn, schema: str, kept: list[Column]) -> DataFrame:
     """``fn`` of each slice of texts and of the columns kept, as a record batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _give_back()
         for batch in batches:
             raw = batch.column(batch.num_columns - 1)
-            for a, b in words.slices(raw):
+            for a, b in words.slices(raw, SLICE_BYTES):
                 yield fn(batch.slice(a, b - a), raw[a:b])
 
     return docs.select(*kept, F.col(f"`{text}`").cast("binary").alias("raw text")).mapInArrow(run, schema)
@@ -132,7 +148,8 @@ class Files:
     def store(self, df: DataFrame, name: str, *done: DataFrame | None) -> DataFrame:
         """Write a table, then delete those that only served to make it."""
         path = work_path(self.spark, f"shingle-{name}")
-        df.write.parquet(path)
+        with arrow_batches_of(self.spark, BATCH_BYTES):
+            df.write.parquet(path)
         for d in done:
             if d is not None:
                 discard(self.spark, self.paths.pop(id(d)))
@@ -149,7 +166,9 @@ def _sampled(docs: DataFrame, text: str, width: int) -> tuple[np.ndarray, np.nda
 
     hashed = docs.select(F.col(f"`{text}`").alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
     held = _mapped(hashed.distinct(), "text", run, "token long", []).groupBy("token").count()
-    often = held.filter(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "token").limit(MOST).toPandas()
+    often = held.filter(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "token").limit(MOST)
+    with arrow_batches_of(docs.sparkSession, BATCH_BYTES):
+        often = often.toPandas()
     token = often["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(token)
     return token[order], (len(token) - order).astype(np.int64)
@@ -159,6 +178,7 @@ def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose sketches allow the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _give_back()
         for batch in batches:
             x, y = batch["x"].to_pylist(), batch["y"].to_pylist()
             good = [similar(common_bound(p["sketch"], p["n"], q["sketch"], q["n"]), p["n"], q["n"], percent)
@@ -179,9 +199,10 @@ def _similar(files: Files, pairs: DataFrame, sets: DataFrame, docs: DataFrame, t
     table = docs.sparkSession.sparkContext.broadcast(bit_table(wanted.select("text_hash")))
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _give_back()
         for batch in batches:
             batch = batch.filter(pa.array(marked(table.value, batch["text_hash"].to_numpy())))
-            for i, j in words.slices(batch["raw"]):
+            for i, j in words.slices(batch["raw"], SLICE_BYTES):
                 shingles, first = shingle_sets(batch["raw"][i:j], width)
                 packed = [pack_sorted(shingles[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
@@ -193,6 +214,7 @@ def _similar(files: Files, pairs: DataFrame, sets: DataFrame, docs: DataFrame, t
     whole = files.store(whole.groupBy("fp").agg(F.first("shingles").alias("shingles")), "sets", wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _give_back()
         for batch in batches:
             good = []
             for x, y in zip(batch["x"], batch["y"]):

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,6 +50,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def arrow_batches_of(spark: SparkSession, most: int) -> Iterator[None]:
+    """Actions in here send Python workers batches of about ``most`` bytes; a longer row is a batch of its own.
+
+    A batch is held by the JVM, outside its heap, and by the worker, once per task each.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """Fresh path for an intermediate table inside the durable folder."""
     return os.path.join(durable_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")

@@ -112,6 +112,44 @@ def test_near_dedup_of_texts_with_one_frequent_shingle(spark, rounds, monkeypatc
     assert len({c for _, c in expected}) < 150
 
 
+def test_near_dedup_sends_small_batches(spark):
+    """What a worker holds does not follow how many rows a partition has, and the session's own setting comes back."""
+    import pyarrow as pa
+
+    def sizes(batch, raw):
+        held = [len(raw.buffers()[2]), sum(map(len, raw.to_pylist()))]
+        return pa.RecordBatch.from_arrays([pa.array([x]) for x in held], names=["batch", "slice"])
+
+    set_dedup.ship(spark)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.range(6000).selectExpr("id AS doc_id", "repeat(concat('word', id, ' '), 256) AS text").coalesce(1)
+    files = set_dedup.Files(spark)
+    found = files.store(set_dedup._mapped(docs, "text", sizes, "batch long, slice long", []), "sizes").collect()
+    assert sum(r["slice"] for r in found) == docs.selectExpr("sum(octet_length(text))").first()[0] > 12 << 20
+    assert max(r["batch"] for r in found) < 5 << 20 and max(r["slice"] for r in found) <= 1 << 19
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
+def test_near_dedup_workers_give_back_what_earlier_tasks_held(spark):
+    import pyarrow as pa
+
+    def fill(batches):
+        for batch in batches:
+            held = [pa.array([bytes(1 << 16)] * 16) for _ in range(128)]
+            del held
+            yield batch
+
+    def private(batch, raw):
+        lines = open("/proc/self/smaps_rollup").read().split("\n")
+        return pa.RecordBatch.from_arrays([pa.array([sum(int(x.split()[1]) for x in lines if x.startswith("Private_Dirty"))])], names=["kb"])
+
+    set_dedup.ship(spark)
+    spark.range(0, 64, 1, 8).mapInArrow(fill, "id long").collect()
+    docs = spark.range(0, 64, 1, 8).selectExpr("id AS doc_id", "'a b c' AS text")
+    found = set_dedup._mapped(docs, "text", private, "kb long", []).collect()
+    assert len(found) == 8 and max(r["kb"] for r in found) < 100_000
+
+
 def test_bounds_never_drop_a_similar_pair():
     import numpy as np
 
