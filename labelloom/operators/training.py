@@ -3,6 +3,9 @@
 Rows are packed once into sparse blocks that stay on the executors. Every pass evaluates loss and
 gradient of all unfinished classifiers at once; the driver only sees model-sized sums and advances
 one L-BFGS state per classifier. A pass costs one scan of the blocks, whatever the number of labels.
+After some passes, the curvature of every label is estimated on the executors where its classifiers now
+stand; steps scaled by that estimate need far fewer passes. Losses, gradients and the point where a
+classifier counts as finished are always those of all rows.
 
 Blocks that are small altogether are broadcast instead, and tasks share out the classifiers: the same
 steps on the same sums, without a job for every pass.
@@ -14,6 +17,7 @@ their class counts, and takes its Newton steps on that.
 from __future__ import annotations
 
 import sys
+import zlib
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import cached_property
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 
 from labelloom.functions.sizing import bounded_rows
 from labelloom.operators.scoring import LinearModel, sigmoid
-from labelloom.session import cut_lineage
+from labelloom.session import cut_lineage, discard, work_path
 
 ALGORITHMS = ("logistic_regression", "linear_svm")
 FOLDS = 3
@@ -44,9 +48,16 @@ FEW = 8  # classifiers that are multiplied by index one by one
 INDEX_COST = 5  # a product by index costs as much as so many cells of a dense matrix
 LOCAL_VALUES = 8_000_000  # non-zero values (12 bytes each) of all blocks that may be broadcast
 LOCAL_CELLS = 40_000_000  # rows x features a task may hold as doubles; above, it multiplies by index
+CURVED_FEATURES = 4096  # features squared are doubles of one task: above, no curvature is estimated
+CURVED_ROWS = 8  # rows for each feature that an estimate rests on
+CURVED_LINES = 512  # lines of a factor that are made and stored together
+CURVED_EVERY = 15  # passes between two estimates, at least
+PASS_WEIGHT = 8  # an operation of a pass takes as long as so many of an estimate
 
 _BLOCK = "n int, starts binary, idx binary, val binary, y binary, fold binary"
 _PARTIAL = "slice int, sums binary"
+_DRAWN = "task int, starts binary, idx binary, val binary, curve binary"
+_FACTOR = "task int, first int, lines binary"
 
 # Task functions travel with the job: executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -215,13 +226,31 @@ def _pass(blocks: Blocks, kernel: Callable, payload: dict, size: int) -> np.ndar
     return total
 
 
-def _loss_kernel(rows: Rows, p: dict) -> np.ndarray:
-    """Losses, weight gradients and intercept gradients of the classifiers in the payload."""
+def _signed_margins(rows: Rows, p: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes as signs, weights and signed margins of the rows for the classifiers in the payload."""
     z = np.where(rows.y[:, p["label"]] == 1, 1.0, -1.0)
     s = np.where(z > 0, p["w_pos"], p["w_neg"])
     if rows.fold is not None:
         s = np.where(rows.fold[:, p["label"]] == p["held_out"], 0.0, s)
-    m = z * (rows.times(p["theta"][:-1]) + p["theta"][-1])
+    return z, s, z * (rows.times(p["theta"][:-1]) + p["theta"][-1])
+
+
+def _curves(rows: Rows, p: dict) -> np.ndarray:
+    """Second derivatives of the losses in the margins."""
+    _, s, m = _signed_margins(rows, p)
+    if p["hinge"]:
+        return 2.0 * s * (m < 1.0)
+    q = sigmoid(m)
+    return s * q * (1.0 - q)
+
+
+def _curve_kernel(rows: Rows, p: dict) -> np.ndarray:
+    return _curves(rows, p).sum(0)
+
+
+def _loss_kernel(rows: Rows, p: dict) -> np.ndarray:
+    """Losses, weight gradients and intercept gradients of the classifiers in the payload."""
+    z, s, m = _signed_margins(rows, p)
     if p["hinge"]:
         h = np.maximum(0.0, 1.0 - m)
         loss, slope = s * h * h, -2.0 * s * z * h
@@ -230,6 +259,163 @@ def _loss_kernel(rows: Rows, p: dict) -> np.ndarray:
     return np.concatenate([loss.sum(0), rows.transposed_times(slope).ravel(), slope.sum(0)])
 
 
+def inverse_of_triangle(lower: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """First line and lines, as far as their diagonal, of the inverse of a lower triangular matrix."""
+    out = np.zeros_like(lower)
+    for a in range(0, len(lower), CURVED_LINES):
+        b = min(a + CURVED_LINES, len(lower))
+        own = np.linalg.inv(lower[a:b, a:b])
+        out[a:b, :a] = -own @ (lower[a:b, :a] @ out[:a, :a])
+        out[a:b, a:b] = own
+        yield a, out[a:b, :b]
+
+
+@dataclass
+class Curvature:
+    """Estimated inverse curvatures (Hessian matrices) of labels, as factors that stay on the executors.
+
+    A label's classifiers share the mean of their curvatures. Rows are drawn by their share in it, with
+    known chances, so that a label's estimate is one task's work at any number of rows. Only the
+    lengths and directions of steps depend on it. A factor F stands for F'F, which no rounding makes indefinite.
+    """
+
+    blocks: Blocks
+    spec: dict  # of the classifiers optimised together
+    hinge: bool
+    c: float
+    every: int  # passes between two estimates
+    tasks: dict[int, int] | None = None  # labels that have a factor
+    path: str = ""
+    factors: DataFrame | None = None
+
+    @staticmethod
+    def of(blocks: Blocks, spec: dict, hinge: bool, c: float) -> Curvature | None:
+        size, members, labels = blocks.n_features + 1, len(spec["label"]), len(np.unique(spec["label"]))
+        if size > CURVED_FEATURES:
+            return None
+        one = 4 * max(1, blocks.rows) * size * members
+        estimate = labels * size * size * (min(blocks.rows, CURVED_ROWS * size) + size)
+        return Curvature(blocks, spec, hinge, c, max(CURVED_EVERY, ceil(estimate / (PASS_WEIGHT * one))))
+
+    def estimate(self, theta: np.ndarray, cols: np.ndarray) -> None:
+        """New factors for the labels of some classifiers, whose parameters are lines of ``theta``."""
+        blocks, c, hinge = self.blocks, self.c, self.hinge
+        n_features, n_labels, size = blocks.n_features, blocks.n_labels, blocks.n_features + 1
+        spark = blocks.frame.sparkSession
+        payload = {"theta": np.ascontiguousarray(theta[cols].T), "hinge": hinge}
+        payload |= {k: self.spec[k][cols] for k in ("label", "held_out", "w_pos", "w_neg")}
+        total = _pass(blocks, _curve_kernel, payload, len(cols))
+        owner = payload["label"]
+        labels = [int(l) for l in np.unique(owner) if total[owner == l].sum() > 0]
+        self.close()
+        self.tasks = {l: i for i, l in enumerate(labels)}
+        if not labels:
+            return
+        groups = [(np.flatnonzero(owner == l), CURVED_ROWS * size / total[owner == l].mean()) for l in labels]
+        shared = spark.sparkContext.broadcast((payload, groups))
+
+        def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            payload, groups = shared.value
+            for batch in batches:
+                for block in batch.to_pylist():
+                    rows = Rows(block, n_features, n_labels)
+                    curves = _curves(rows, payload)
+                    random = np.random.default_rng(zlib.crc32(block["idx"]))  # a repeated task draws the same rows
+                    for task, (members, share) in enumerate(groups):
+                        curve = curves[:, members].mean(1)
+                        chance = np.minimum(1.0, curve * share)
+                        at = np.flatnonzero(random.random(len(curve)) < chance)
+                        if not len(at):
+                            continue
+                        n = rows.starts[at + 1] - rows.starts[at]
+                        ends = np.cumsum(n)
+                        cells = np.repeat(rows.starts[at] - (ends - n), n) + np.arange(ends[-1])
+                        yield pa.RecordBatch.from_pydict({
+                            "task": pa.array([task], pa.int32()), "starts": [np.r_[0, ends].tobytes()],
+                            "idx": [rows.idx[cells].tobytes()], "val": [rows.val[cells].tobytes()],
+                            "curve": [(c * curve[at] / chance[at]).tobytes()]})
+
+        def factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, task = np.zeros((size, size)), None
+            held, filled = np.zeros((2 * CURVED_LINES, size)), 0
+            for batch in batches:
+                for r in batch.to_pylist():
+                    task = r["task"]
+                    starts, curve = np.frombuffer(r["starts"], np.int64), np.frombuffer(r["curve"])
+                    idx, val = np.frombuffer(r["idx"], np.int32), np.frombuffer(r["val"])
+                    at = 0
+                    while at < len(curve):
+                        end = min(len(curve), at + len(held) - filled)
+                        root, n = np.sqrt(curve[at:end]), np.diff(starts[at:end + 1])
+                        line, cells = np.arange(filled, filled + end - at), slice(starts[at], starts[end])
+                        held[np.repeat(line, n), idx[cells]] = val[cells] * np.repeat(root, n)
+                        held[line, -1] = root
+                        filled, at = filled + end - at, end
+                        if filled == len(held):
+                            total += held.T @ held
+                            held[:], filled = 0.0, 0
+            if task is None:
+                return
+            total += held.T @ held
+            diagonal = np.arange(size - (not hinge))  # a logistic intercept is free
+            total[diagonal, diagonal] += 1.0
+            total[-1, -1] *= 1.0 + 1e-9
+            try:
+                lower = np.linalg.cholesky(total)
+            except np.linalg.LinAlgError:
+                return
+            del total
+            for first, lines in inverse_of_triangle(lower):
+                yield pa.RecordBatch.from_pydict({
+                    "task": pa.array([task], pa.int32()), "first": pa.array([first], pa.int32()),
+                    "lines": [lines.astype(np.float32).tobytes()]})
+
+        self.path = work_path(spark, "curvature")
+        drawn = blocks.frame.mapInArrow(draw, _DRAWN).repartitionById(len(labels), F.col("task"))
+        drawn.mapInArrow(factor, _FACTOR).write.parquet(self.path)
+        shared.destroy()
+        self.factors = spark.read.schema(_FACTOR).parquet(self.path).persist()
+
+    def times(self, vectors: np.ndarray, cols: np.ndarray) -> np.ndarray:
+        """Estimated inverse curvatures of some classifiers times a vector each; a vector stays if there is none."""
+        if self.factors is None:
+            return vectors
+        shared = self.factors.sparkSession.sparkContext.broadcast(
+            (vectors, np.array([self.tasks.get(int(l), -1) for l in self.spec["label"][cols]])))
+
+        def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            vectors, task = shared.value
+            out = {}
+            for batch in batches:
+                for r in batch.to_pylist():
+                    of = np.flatnonzero(task == r["task"])
+                    if not len(of):
+                        continue
+                    lines = np.frombuffer(r["lines"], np.float32)
+                    # Lines first .. first + n - 1 reach to column first + n.
+                    n = int(round((np.sqrt(r["first"] ** 2 + 4 * len(lines)) - r["first"]) / 2))
+                    lines = lines.reshape(n, r["first"] + n).astype(np.float64)
+                    sums = out.setdefault(r["task"], np.zeros((len(of), vectors.shape[1])))
+                    sums[:, :lines.shape[1]] += (vectors[of, :lines.shape[1]] @ lines.T) @ lines
+            for number, sums in out.items():
+                yield pa.RecordBatch.from_pydict({"task": pa.array([number], pa.int32()), "products": [sums.tobytes()]})
+
+        task, out = shared.value[1], vectors.copy()
+        found = self.factors.mapInArrow(multiply, "task int, products binary").collect()
+        for number in {r["task"] for r in found}:
+            out[task == number] = sum(np.frombuffer(r["products"]) for r in found if r["task"] == number).reshape(
+                -1, vectors.shape[1])
+        shared.destroy()
+        return out
+
+    def close(self) -> None:
+        """Drop the factors."""
+        if self.factors is not None:
+            self.factors.unpersist()
+            discard(self.factors.sparkSession, self.path)
+        self.factors, self.tasks = None, None
+
+
 @dataclass
 class Fit:
     """Classifiers of one optimisation: columns of ``theta`` (last row: intercepts)."""
@@ -240,10 +426,11 @@ class Fit:
 
 
 def minimise(evaluate: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], rows: int, columns: int,
-             scale: np.ndarray, tol: float, max_passes: int, memory: int = HISTORY) -> Fit:
+             scale: np.ndarray, tol: float, max_passes: int, memory: int = HISTORY, curvature: Curvature | None = None) -> Fit:
     """Independent L-BFGS per column; every pass serves one trial point of every unfinished column.
 
-    A column whose step was too long retries with a shorter one while the others move on.
+    A column whose step was too long retries with a shorter one while the others move on. With ``curvature``,
+    directions start from estimated inverse curvatures once there are some, instead of a multiple of the identity.
     """
     theta = np.zeros((columns, rows))  # one classifier per line while searching
 
@@ -259,17 +446,26 @@ def minimise(evaluate: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.n
     direction = -grad
     step = 1.0 / np.maximum(np.linalg.norm(grad, axis=1), 1e-12)
     active = np.abs(grad).max(1) / scale > tol
-    passes = 1
+    passes, since, times = 1, 1, None
     while active.any() and passes < max_passes:
         cols = np.flatnonzero(active)
+        if curvature is not None and since >= curvature.every:
+            curvature.estimate(theta, cols)
+            since, times = 0, curvature.times
+            direction[cols] = -_two_loop(grad[cols], cols, s_hist, y_hist, rho, stored, step, times)
+            step[cols] = 1.0
         trial = theta[cols] + step[cols, None] * direction[cols]
         f, g = at(trial, cols)
-        passes += 1
+        passes, since = passes + 1, since + 1
         slope = (grad[cols] * direction[cols]).sum(1)
         slack = 1e-10 * np.maximum(1.0, np.abs(loss[cols]))
         ok = f <= loss[cols] + 1e-4 * step[cols] * slope + slack
         retry = cols[~ok]
-        step[retry] *= 0.4
+        if times is None:
+            step[retry] *= 0.4
+        else:  # to the least value of the parabola through both points
+            first = step[retry] * slope[~ok]
+            step[retry] *= np.clip(-first / (2.0 * np.maximum(f[~ok] - loss[retry] - first, 1e-300)), 0.1, 0.5)
         active[retry[step[retry] < 1e-14]] = False
         done = cols[ok]
         if not len(done):
@@ -281,14 +477,16 @@ def minimise(evaluate: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.n
         kept, slot = done[good], stored[done[good]] % memory
         s_hist[kept, slot], y_hist[kept, slot], rho[kept, slot] = ds[good], dy[good], 1.0 / sy[good]
         stored[kept] += 1
-        direction[done] = -_two_loop(grad[done], done, s_hist, y_hist, rho, stored, step)
-        step[done] = 1.0
         active[done] = np.abs(grad[done]).max(1) / scale[done] > tol
+        more = done[active[done]]
+        if len(more):
+            direction[more] = -_two_loop(grad[more], more, s_hist, y_hist, rho, stored, step, times)
+            step[more] = 1.0
     return Fit(theta.T.copy(), np.abs(grad).max(1) / scale, passes)
 
 
-def _two_loop(grad, done, s_hist, y_hist, rho, stored, step) -> np.ndarray:
-    """Inverse-Hessian estimate times gradient for the classifiers ``done``."""
+def _two_loop(grad, done, s_hist, y_hist, rho, stored, step, times=None) -> np.ndarray:
+    """Inverse-Hessian estimate times gradient for the classifiers ``done``; ``times`` is what it starts from."""
     memory = s_hist.shape[1]
     depth = np.minimum(stored[done], memory)
     q = grad.copy()
@@ -298,8 +496,13 @@ def _two_loop(grad, done, s_hist, y_hist, rho, stored, step) -> np.ndarray:
         alpha[:, k] = np.where(k < depth, rho[done, slot] * (s_hist[done, slot] * q).sum(1), 0.0)
         q -= alpha[:, k, None] * y_hist[done, slot]
     newest = (stored[done] - 1) % memory
-    yy = (y_hist[done, newest] ** 2).sum(1) * rho[done, newest]
-    q *= np.where(depth > 0, 1.0 / np.where(yy > 0, yy, 1.0), step[done])[:, None]
+    if times is None:
+        yy = (y_hist[done, newest] ** 2).sum(1) * rho[done, newest]
+        q *= np.where(depth > 0, 1.0 / np.where(yy > 0, yy, 1.0), step[done])[:, None]
+    else:
+        q, curved = np.split(times(np.vstack([q, y_hist[done, newest]]), np.r_[done, done]), 2)
+        yy = (y_hist[done, newest] * curved).sum(1) * rho[done, newest]
+        q *= np.where((depth > 0) & (yy > 0), 1.0 / np.where(yy > 0, yy, 1.0), 1.0)[:, None]
     for k in range(depth.max() - 1, -1, -1):
         slot = (stored[done] - 1 - k) % memory
         beta = rho[done, slot] * (y_hist[done, slot] * q).sum(1)
@@ -465,7 +668,10 @@ def _solve_in_passes(blocks: Blocks, spec: dict, hinge: bool, c: float, tol: flo
             sums = _pass(blocks, _loss_kernel, payload, len(ids) * (size + 1))
             return _objective(sums, point, blocks.n_features, hinge, c)
 
-        fit = minimise(evaluate, size, len(part), spec["weight"][part], tol, max_passes)
+        curvature = Curvature.of(blocks, {k: v[part] for k, v in spec.items()}, hinge, c)
+        fit = minimise(evaluate, size, len(part), spec["weight"][part], tol, max_passes, curvature=curvature)
+        if curvature is not None:
+            curvature.close()
         theta[:, part], gradient[part] = fit.theta, fit.gradient
         passes += fit.passes
         if hinge:

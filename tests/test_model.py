@@ -206,6 +206,51 @@ def test_partial_sums_added_on_executors(spark, monkeypatch):
         training.fit_models(df, ["a"], 12, "tree")
 
 
+@pytest.mark.parametrize("algorithm", training.ALGORITHMS)
+def test_few_passes_on_features_of_unlike_size(spark, monkeypatch, algorithm):
+    monkeypatch.setattr(training, "LOCAL_VALUES", 0)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 30)) * 10.0 ** rng.uniform(-1.5, 1.0, 30)
+    y = (x @ rng.normal(size=30) + 3.0 * rng.normal(size=600) > 0).astype(int)
+    rows = [(str(i), [*range(30)], [float(v) for v in x[i]], [int(y[i])]) for i in range(600)]
+    df = spark.createDataFrame(rows, "prompt string, indices array<int>, values array<double>, y array<int>").repartition(3)
+    model, report = training.fit_models(df, ["a"], 30, algorithm, tol=1e-6, max_passes=500)
+    assert report[0]["gradient"] <= 1e-6 and report[0]["passes"] <= 40
+    if algorithm == "logistic_regression":
+        want = solve(x, y, False, np.ones(600, bool))
+        assert np.append(model.weights[:, 0], model.intercepts[0]) == pytest.approx(want, abs=1e-2)
+
+
+@pytest.mark.parametrize("hinge", [False, True])
+def test_estimated_curvature_is_the_whole_one_if_all_rows_are_drawn(spark, monkeypatch, hinge):
+    monkeypatch.setattr(training, "CURVED_ROWS", 10_000)
+    monkeypatch.setattr(training, "CURVED_LINES", 5)
+    df, x, y = dataset(spark)
+    if hinge:
+        df = training.assign_folds(df, 4)
+    blocks = training.Blocks(training.pack(df, 12), 3, 12, 4, 240, int((x != 0).sum()))
+    label, ones = np.array([1, 0]), np.ones(2)
+    spec = {"label": label, "held_out": np.array([255, 255]), "w_pos": 2.0 * ones, "w_neg": ones}
+    curvature = training.Curvature.of(blocks, spec, hinge, 0.5)
+    vectors, theta = np.random.default_rng(1).normal(size=(2, 2, 13))
+    assert (curvature.times(vectors, np.arange(2)) == vectors).all()
+    curvature.estimate(theta, np.arange(2))
+    found = curvature.times(vectors[[1, 0, 1]], np.array([1, 0, 1]))
+    x1 = np.hstack([x, np.ones((240, 1))])
+    for got, j in zip(found, (1, 0, 1), strict=True):
+        z = 2.0 * y[:, label[j]] - 1
+        m, s = z * (x1 @ theta[j]), np.where(z > 0, 2.0, 1.0)
+        q = 1 / (1 + np.exp(-m))
+        h = 0.5 * (2 * s * (m < 1) if hinge else s * q * (1 - q))
+        reg = np.eye(13)
+        reg[-1, -1] = hinge
+        assert got == pytest.approx(np.linalg.solve((x1.T * h) @ x1 + reg, vectors[j]), rel=1e-4, abs=1e-5)
+    curvature.close()
+    curvature.estimate(np.tile([0.0] * 12 + [1e6], (2, 1)), np.arange(2))  # labels of flat losses, or of few curved rows
+    assert np.isfinite(curvature.times(vectors, np.arange(2))).all()
+    curvature.close()
+
+
 def test_driver_gets_one_vector_a_pass(spark, monkeypatch):
     monkeypatch.setattr(training, "LOCAL_VALUES", 0)
     monkeypatch.setattr(training, "DIRECT_CELLS", 10)
