@@ -139,7 +139,8 @@ class Rows:
     def times(self, weights: np.ndarray) -> np.ndarray:
         """Rows times a features x members matrix."""
         if self.x is not None:
-            return self.x @ weights
+            # The few columns lie in lines, here and below: the other way a product took up to twice as long.
+            return (np.ascontiguousarray(weights.T) @ self.x.T).T
         if weights.shape[1] > FEW:
             out = np.empty((self.shape[0], weights.shape[1]))
             for r, (a, b) in enumerate(zip(self.starts[:-1], self.starts[1:], strict=True)):
@@ -155,7 +156,7 @@ class Rows:
     def transposed_times(self, slope: np.ndarray) -> np.ndarray:
         """Transposed rows times a rows x members matrix; a row's indices are different."""
         if self.x is not None:
-            return self.x.T @ slope
+            return (np.ascontiguousarray(slope.T) @ self.x).T
         out = np.zeros((self.shape[1], slope.shape[1]))
         if slope.shape[1] > FEW:
             for r, (a, b) in enumerate(zip(self.starts[:-1], self.starts[1:], strict=True)):
