@@ -260,15 +260,23 @@ def _loss_kernel(rows: Rows, p: dict) -> np.ndarray:
     return np.concatenate([loss.sum(0), rows.transposed_times(slope).ravel(), slope.sum(0)])
 
 
-def inverse_of_triangle(lower: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """First line and lines, as far as their diagonal, of the inverse of a lower triangular matrix."""
-    out = np.zeros_like(lower)
-    for a in range(0, len(lower), CURVED_LINES):
-        b = min(a + CURVED_LINES, len(lower))
-        own = np.linalg.inv(lower[a:b, a:b])
-        out[a:b, :a] = -own @ (lower[a:b, :a] @ out[:a, :a])
-        out[a:b, a:b] = own
-        yield a, out[a:b, :b]
+def inverse_factor(matrix: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """First line and lines, as far as their diagonal, of the inverse of a matrix's Cholesky factor.
+
+    The lower triangle is read and replaced, lines after lines, so that no second matrix is held; right of the
+    diagonal blocks the matrix must be zero.
+    """
+    for a in range(0, len(matrix), CURVED_LINES):
+        b = min(a + CURVED_LINES, len(matrix))
+        left = matrix[a:b, :a] @ matrix[:a, :a].T
+        block = matrix[a:b, a:b] - left @ left.T
+        try:
+            own = np.linalg.inv(np.linalg.cholesky(block))
+        except np.linalg.LinAlgError:  # indefinite by rounding: any scale serves a step
+            own = np.diag(1.0 / np.sqrt(np.maximum(matrix[a:b, a:b].diagonal(), 1.0)))
+        matrix[a:b, :a] = -own @ (left @ matrix[:a, :a])
+        matrix[a:b, a:b] = own
+        yield a, matrix[a:b, :b]
 
 
 @dataclass
@@ -339,6 +347,12 @@ class Curvature:
         def factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total, task = np.zeros((size, size)), None
             held, filled = np.zeros((2 * CURVED_LINES, size)), 0
+
+            def add() -> None:
+                for a in range(0, size, CURVED_LINES):
+                    b = min(a + CURVED_LINES, size)
+                    total[a:b, :b] += held[:, a:b].T @ held[:, :b]
+
             for batch in batches:
                 for r in batch.to_pylist():
                     task = r["task"]
@@ -353,20 +367,15 @@ class Curvature:
                         held[line, -1] = root
                         filled, at = filled + end - at, end
                         if filled == len(held):
-                            total += held.T @ held
+                            add()
                             held[:], filled = 0.0, 0
             if task is None:
                 return
-            total += held.T @ held
+            add()
             diagonal = np.arange(size - (not hinge))  # a logistic intercept is free
             total[diagonal, diagonal] += 1.0
             total[-1, -1] *= 1.0 + 1e-9
-            try:
-                lower = np.linalg.cholesky(total)
-            except np.linalg.LinAlgError:
-                return
-            del total
-            for first, lines in inverse_of_triangle(lower):
+            for first, lines in inverse_factor(total):
                 yield pa.RecordBatch.from_pydict({
                     "task": pa.array([task], pa.int32()), "first": pa.array([first], pa.int32()),
                     "lines": [lines.astype(np.float32).tobytes()]})

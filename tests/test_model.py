@@ -221,6 +221,20 @@ def test_few_passes_on_features_of_unlike_size(spark, monkeypatch, algorithm):
         assert np.append(model.weights[:, 0], model.intercepts[0]) == pytest.approx(want, abs=1e-2)
 
 
+def test_inverse_factor_of_any_matrix(monkeypatch):
+    monkeypatch.setattr(training, "CURVED_LINES", 3)
+    x = np.random.default_rng(2).normal(size=(20, 8))
+    for matrix in (x.T @ x, np.ones((8, 8)), np.zeros((8, 8))):
+        held, factor = np.zeros((8, 8)), np.zeros((8, 8))
+        for a in range(0, 8, 3):
+            held[a:a + 3, :a + 3] = matrix[a:a + 3, :a + 3]
+        for a, lines in training.inverse_factor(held):
+            factor[a:a + len(lines), :lines.shape[1]] = lines
+        assert np.isfinite(factor).all() and np.linalg.matrix_rank(factor) == 8
+        if np.linalg.matrix_rank(matrix) == 8:
+            assert factor.T @ factor @ matrix == pytest.approx(np.eye(8), abs=1e-9)
+
+
 @pytest.mark.parametrize("hinge", [False, True])
 def test_estimated_curvature_is_the_whole_one_if_all_rows_are_drawn(spark, monkeypatch, hinge):
     monkeypatch.setattr(training, "CURVED_ROWS", 10_000)
